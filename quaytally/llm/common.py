@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one task works on at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Entries of a per-process word cache before it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
 
@@ -160,13 +160,14 @@ class Index:
         return (np.concatenate(starts), np.concatenate(which)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The benchmark's items in blocks of about block_bytes of text at most."""
+def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[Callable[[], list[tuple[str, bytes]]]]:
+    """The benchmark's items in blocks of about block_bytes of text at most, each read when called."""
     own = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("binary").alias("raw")).where("item is not null and raw is not null")
     total = own.agg(F.sum(F.length("raw"))).first()[0] or 0
     n = max(1, math.ceil(1.5 * total / block_bytes)) if total > block_bytes else 1
     for i in range(n):
-        yield [(r["item"], bytes(r["raw"])) for r in own.where(F.pmod(F.xxhash64("item"), F.lit(n)) == i).collect()]
+        block = own.where(F.pmod(F.xxhash64("item"), F.lit(n)) == i)
+        yield lambda block=block: [(r["item"], bytes(r["raw"])) for r in block.collect()]
 
 
 CARRIED = "doc_id long, raw binary, spans array<struct<start:long,end:long>>, items array<string>"
@@ -178,52 +179,58 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", t
     spark = docs.sparkSession
     shingle = min(shingle, size)
     state = texts(docs.withColumnRenamed(id, "doc_id"), "doc_id", text=text)
-    blocks = 0
-    for items in _blocks(benchmark, item, item_text, block_bytes):
-        windows = spark.sparkContext.broadcast(Windows.of(items, size))
-        counts = shingle_counts(state, windows, shingle) if windows.value.items else {}
-        index = spark.sparkContext.broadcast(Index.of(windows.value, counts, shingle))
-        if blocks:
+    blocks = list(_blocks(benchmark, item, item_text, block_bytes))
+    for i, block in enumerate(blocks):
+        windows = Windows.of(block(), size)
+        shared = spark.sparkContext.broadcast(windows)
+        counts = shingle_counts(state, shared, shingle) if windows.items else {}
+        index = spark.sparkContext.broadcast(Index.of(windows, counts, shingle))
+        last = i == len(blocks) - 1
+        state = state.mapInArrow(_searcher(index, carries=i > 0, last=last), DIGEST if last else CARRIED)
+        if not last:
             state = written(state, "decontaminate")
-        state = state.mapInArrow(_searcher(index, bool(blocks)), CARRIED)
-        blocks += 1
-    return state.mapInArrow(_digest, DIGEST)
+    return state
 
 
-def _searcher(index, carries: bool):
+def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs without any window of the benchmark, with all their columns."""
+    hit = decontamination(docs, benchmark, id, text, item, item_text).where("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
+    return docs.join(hit, docs[id] == F.col("__hit"), "left_anti")
+
+
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _searcher(index, carries: bool, last: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Index = index.value
         for part, raws in chunks(batches):
             documents = [words_of(r) for r in raws]
             starts, which = own.found(own.windows.word_ids(documents))
-            borders = np.cumsum([len(d) + 1 for d in documents])
-            of = np.searchsorted(borders, starts, side="right")
-            begin = np.concatenate([[0], borders])
+            begin = np.concatenate([[0], np.cumsum([len(d) + 1 for d in documents])])
+            of = np.searchsorted(begin, starts, side="right") - 1
             spans: list[list[dict]] = part.column(2).to_pylist() if carries else [[] for _ in raws]
             names: list[set[str]] = [set(x) for x in part.column(3).to_pylist()] if carries else [set() for _ in raws]
             for s, w, d in zip(starts.tolist(), which.tolist(), of.tolist()):
                 at = s - int(begin[d])
                 spans[d].append({"start": at, "end": at + int(own.windows.lengths[w])})
                 names[d].update(own.windows.items[w])
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([sorted(x) for x in names], pa.list_(pa.string()))],
-                names=["doc_id", "raw", "spans", "items"],
-            )
+            if last:
+                yield _digest(part.column(0), documents, spans, names)
+            else:
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(spans, SPANS), pa.array([sorted(x) for x in names], pa.list_(pa.string()))], names=["doc_id", "raw", "spans", "items"])
 
     return search
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, raws in chunks(batches):
-        n_words, n_hit, n_items, hashes = [], [], [], []
-        for raw, spans, items in zip(raws, part.column(2).to_pylist(), part.column(3).to_pylist()):
-            n_words.append(len(words_of(raw)))
-            end = hit = 0
-            for x in sorted(spans, key=lambda x: x["start"]):
-                hit += max(0, x["end"] - max(end, x["start"]))
-                end = max(end, x["end"])
-            n_hit.append(hit)
-            n_items.append(len(items))
-            hashes.append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
-        hit = pa.array(n_hit, pa.int64())
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), hit, pa.array(n_items, pa.int64()), pa.array(hashes, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+def _digest(keys: pa.Array, documents: list[list[bytes]], spans: list[list[dict]], names: list[set[str]]) -> pa.RecordBatch:
+    hits = []
+    for own in spans:
+        end = hit = 0
+        for x in sorted(own, key=lambda x: x["start"]):
+            hit += max(0, x["end"] - max(end, x["start"]))
+            end = max(end, x["end"])
+        hits.append(hit)
+    hashes = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in names]
+    columns = [pa.array([len(d) for d in documents], pa.int64()), pa.array(hits, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(hashes, pa.string()), pa.array([n > 0 for n in hits], pa.bool_())]
+    return pa.RecordBatch.from_arrays([keys, *columns], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
