@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaytally.llm import decontaminate, exact_dedup, licenses, packing, quality, secrets, toxicity, url_filter
+from quaytally.llm import decontaminate, exact_dedup, licenses, near_dedup, packing, quality, secrets, substring_dedup, toxicity, url_filter
 from quaytally.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
@@ -40,6 +44,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,8 +59,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op4_quality": op4_quality,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_url_filter": op7_url_filter,
         "op8_license_scan": op8_license_scan,
+        "op9_near_dedup": op9_near_dedup,
         "op10_decontamination": op10_decontamination,
     }
 
