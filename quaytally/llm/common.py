@@ -52,12 +52,14 @@ def chunks(batches: Iterator[pa.RecordBatch], raw: str = "raw") -> Iterator[tupl
             taken = np.searchsorted(np.cumsum(sizes[begin:]), CHUNK_BYTES, side="right")
             end = min(batch.num_rows, begin + max(1, int(taken)))
             part = batch.slice(begin, end - begin)
-            yield part, [x or b"" for x in part.column(part.schema.get_field_index(raw)).to_pylist()]
+            own = part.column(part.schema.get_field_index(raw))
+            own = own.cast(pa.binary()) if pa.types.is_string(own.type) or pa.types.is_large_string(own.type) else own
+            yield part, [x or b"" for x in own.to_pylist()]
             begin = end
 
 
 def _offsets(column: pa.Array) -> np.ndarray:
-    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    kind = np.int64 if pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type) else np.int32
     return np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, kind)
 
 
