@@ -1,0 +1,153 @@
+"""Order-dependent operators over items, movements and versions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quaytally.operators import order as O
+from quaytally.plans.registry import query
+from quaytally.sources import canonical as C
+
+HEADER = "CASE WHEN line_no % 4 = 1 THEN CASE product_id % 3 WHEN 0 THEN 'repacked' WHEN 1 THEN 'left_in_warehouse' ELSE 'shipped' END END"
+
+
+def headed(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("product_id") % 3 == 0, "repacked").when(F.col("product_id") % 3 == 1, "left_in_warehouse").otherwise("shipped")
+    return C.items(spark, d).drop("section").withColumn("header_section", F.when(F.col("line_no") % 4 == 1, kind))
+
+
+@query(f"""SELECT item_id, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY line_no), 'shipped') AS section FROM (SELECT *, {HEADER} AS h FROM items)""")
+def section_fill(spark: SparkSession, d: str) -> DataFrame:
+    return O.section_filled(headed(spark, d)).select("item_id", "section")
+
+
+@query("""
+, b AS (SELECT *, sum(r::INT) OVER (PARTITION BY document_id ORDER BY line_no) AS block FROM (SELECT *, line_no % 6 = 0 AS r, CASE WHEN product_id % 2 = 0 THEN marks ELSE '' END AS m FROM items))
+SELECT item_id, CASE WHEN r THEN m ELSE last_value(nullif(m, '') IGNORE NULLS) OVER (PARTITION BY document_id, block ORDER BY line_no) END AS marks FROM b""")
+def marks_fill(spark: SparkSession, d: str) -> DataFrame:
+    rows = C.items(spark, d).withColumns({"is_reset": F.col("line_no") % 6 == 0, "marks": F.when(F.col("product_id") % 2 == 0, F.col("marks")).otherwise("")})
+    return O.marks_filled(rows).select("item_id", "marks")
+
+
+@query("""
+, r AS (SELECT item_id, document_id, line_no, 'M' || product_id % 2 AS marks, 2 AS cartons, section FROM (SELECT *, CASE WHEN line_no % 5 = 0 THEN 'left_in_warehouse' ELSE 'shipped' END AS section FROM (SELECT * EXCLUDE (section) FROM items))),
+m AS (SELECT *, coalesce(section = 'shipped' AND lag(section) OVER w = 'shipped' AND lag(marks) OVER w = marks, false) AS match FROM r WINDOW w AS (PARTITION BY document_id ORDER BY line_no)),
+i AS (SELECT *, sum((NOT match)::INT) OVER (PARTITION BY document_id ORDER BY line_no) AS island FROM m),
+p AS (SELECT *, row_number() OVER (PARTITION BY document_id, island ORDER BY line_no) - 1 AS place FROM i)
+SELECT item_id, CASE WHEN match AND place % 2 = 1 THEN 0 ELSE cartons END::DOUBLE AS total_cartons, CASE WHEN match AND place % 2 = 1 THEN 'carton_dedup:secondary_row' END AS remarks FROM p""")
+def carton_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    items = C.items(spark, d).select(
+        "item_id", "document_id", "line_no",
+        F.concat(F.lit("M"), F.col("product_id") % 2).alias("marks"),
+        *(F.lit("same").alias(c) for c in ("item_code", "description", "shop")),
+        F.lit(2).cast("decimal(18,3)").alias("total_cartons"),
+        *(F.lit(1).cast("decimal(16,2)").alias(c) for c in ("total_quantity", "unit_price_rmb", "total_amount_rmb", "total_cbm", "total_weight_kg")),
+        F.when(F.col("line_no") % 5 == 0, "left_in_warehouse").otherwise("shipped").alias("section"),
+        F.lit(None).cast("string").alias("remarks"),
+    )
+    return O.cartons_deduplicated(items).select("item_id", "total_cartons", "remarks")
+
+
+@query("""SELECT item_id, document_id FROM items QUALIFY row_number() OVER (PARTITION BY description, qty_per_carton, total_quantity, section, shop ORDER BY document_id, line_no) = 1""")
+def first_seen_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    return O.first_seen(C.items(spark, d), ("description", "qty_per_carton", "total_quantity", "section", "shop"), ("document_id", "line_no")).select("item_id", "document_id")
+
+
+@query("""SELECT movement_id, product_id, sum(CASE movement_type WHEN 'out' THEN -quantity ELSE quantity END) OVER (PARTITION BY product_id, segment ORDER BY created_at, movement_id ROWS UNBOUNDED PRECEDING)::DOUBLE AS stock
+FROM (SELECT *, count(*) FILTER (movement_type = 'adjustment') OVER (PARTITION BY product_id ORDER BY created_at, movement_id ROWS UNBOUNDED PRECEDING) AS segment FROM movements)""")
+def running_stock(spark: SparkSession, d: str) -> DataFrame:
+    return O.running_stock(C.movements(spark, d)).select("movement_id", "product_id", "stock")
+
+
+VERSIONS = """
+, versions AS (SELECT product_id AS item_id, row_number() OVER (PARTITION BY product_id ORDER BY document_id, line_no) AS version, section, total_cartons::BIGINT::VARCHAR AS cartons, deleted FROM items)
+, changed AS (SELECT *, lag(section) OVER w AS s0, lag(cartons) OVER w AS c0, lag(deleted) OVER w AS d0 FROM versions WINDOW w AS (PARTITION BY item_id ORDER BY version))
+, changes AS (SELECT *, CASE WHEN deleted AND NOT d0 THEN 'delete' WHEN NOT deleted AND d0 THEN 'restore' WHEN section <> s0 OR cartons <> c0 THEN 'update' END AS action FROM changed WHERE d0 IS NOT NULL)"""
+
+
+def versions(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a product, in document order, as versions of one item."""
+    rows = C.items(spark, d).select(F.col("product_id").alias("item_id"), "document_id", F.col("line_no").alias("line"), "section", F.col("total_cartons").cast("long").cast("string").alias("cartons"), "deleted")
+    return O.numbered(rows, "item_id", "document_id", "line").withColumnRenamed("line_no", "version").withColumn("version", F.col("version").cast("long")).drop("document_id", "line")
+
+
+@query(f"""{VERSIONS} SELECT item_id, version, action, concat_ws(';', CASE WHEN section <> s0 THEN 'section=' || s0 END, CASE WHEN cartons <> c0 THEN 'cartons=' || c0 END) AS old_values,
+  concat_ws(';', CASE WHEN section <> s0 THEN 'section=' || section END, CASE WHEN cartons <> c0 THEN 'cartons=' || cartons END) AS new_values FROM changes WHERE action IS NOT NULL""")
+def row_change_log(spark: SparkSession, d: str) -> DataFrame:
+    shown = lambda c: F.concat_ws(";", F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    found = O.version_changes(versions(spark, d), "item_id", ("section", "cartons"))
+    return found.withColumns({"old_values": shown("old_values"), "new_values": shown("new_values")})
+
+
+@query(f"""{VERSIONS} SELECT item_id, count(*) AS n_changes, max(version) AS last_version, max_by(action, version) AS last_action FROM changes WHERE action IS NOT NULL GROUP BY 1""")
+def change_counts(spark: SparkSession, d: str) -> DataFrame:
+    found = O.version_changes(versions(spark, d), "item_id", ("section", "cartons"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_changes"), F.max("version").alias("last_version"), F.max_by("action", "version").alias("last_action"))
+
+
+@query(f"""{VERSIONS} SELECT item_id, version, first_value(cartons) OVER (PARTITION BY item_id ORDER BY version) AS original_cartons, abs(cartons::DOUBLE - first_value(cartons::DOUBLE) OVER (PARTITION BY item_id ORDER BY version)) >= 0.005 AS moved FROM versions""")
+def originals(spark: SparkSession, d: str) -> DataFrame:
+    rows = O.originals_frozen(versions(spark, d), "item_id", ("cartons",))
+    return rows.select("item_id", "version", "original_cartons", (F.abs(F.col("cartons").cast("double") - F.col("original_cartons").cast("double")) >= 0.005).alias("moved"))
+
+
+@query(f"""{VERSIONS}
+, last AS (SELECT item_id, max_by(action, version) AS last_action, count(*) AS n_changes FROM changes WHERE action IS NOT NULL GROUP BY 1),
+ends AS (SELECT item_id, max_by(deleted, version) AS deleted, min_by(cartons, version)::DOUBLE AS original, max_by(cartons, version)::DOUBLE AS live FROM versions GROUP BY 1)
+SELECT item_id, deleted, live - original AS delta, last_action FROM ends LEFT JOIN last USING (item_id) WHERE deleted OR n_changes > 0 OR abs(live - original) >= 0.005""")
+def changed_items(spark: SparkSession, d: str) -> DataFrame:
+    rows = versions(spark, d)
+    last = O.version_changes(rows, "item_id", ("section", "cartons")).groupBy("item_id").agg(F.max_by("action", "version").alias("last_action"), F.count(F.lit(1)).alias("n_changes"))
+    ends = rows.groupBy("item_id").agg(F.max_by("deleted", "version").alias("deleted"), F.min_by("cartons", "version").cast("double").alias("original"), F.max_by("cartons", "version").cast("double").alias("live"))
+    found = ends.join(last, "item_id", "left").where("deleted or n_changes > 0 or abs(live - original) >= 0.005")
+    return found.select("item_id", "deleted", (F.col("live") - F.col("original")).alias("delta"), "last_action")
+
+
+@query("""SELECT user_id AS item_id, max(event_id) AS change_id FROM events WHERE event_id % 3 <> 0 GROUP BY 1""")
+def note_target(spark: SparkSession, d: str) -> DataFrame:
+    changes = C.table(spark, d, "events").select(F.col("user_id").alias("item_id"), F.col("event_id").alias("change_id"), F.when(F.col("event_id") % 3 == 0, "noted").alias("note"))
+    return O.note_target(changes, "item_id")
+
+
+@query("""SELECT user_id AS job_key, event_id AS job_id, event_type AS status FROM events WHERE event_type IN ('view', 'click', 'purchase') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def latest_job(spark: SparkSession, d: str) -> DataFrame:
+    jobs = C.table(spark, d, "events").where(F.col("event_type").isin("view", "click", "purchase"))
+    return O.latest(jobs, ("user_id",), F.desc("ts"), F.desc("event_id")).select(F.col("user_id").alias("job_key"), F.col("event_id").alias("job_id"), F.col("event_type").alias("status"))
+
+
+@query("""SELECT event_id AS job_id, event_type = 'error' AND value < 100 AS retryable, event_id % 4 AS attempts, CASE WHEN event_type = 'error' AND value < 100 AND event_id % 4 < 2 THEN strftime(ts + to_seconds(5 * (event_id % 4 + 1)), '%Y-%m-%d %H:%M:%S') END AS retry_at,
+  event_type = 'view' AND ts < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 8 MINUTE AS stale FROM events""")
+def retry_report(spark: SparkSession, d: str) -> DataFrame:
+    jobs = C.table(spark, d, "events").withColumn("error", F.when(F.col("event_type") == "error", F.when(F.col("value") < 100, "fetch failed: ETIMEDOUT").otherwise("bad document")))
+    attempts = F.col("event_id") % 4
+    retryable = F.coalesce(F.lower("error").rlike("timeout|timedout|econnreset|fetch failed|rate limit|429|503"), F.lit(False))
+    at = F.when(retryable & (attempts < 2), F.date_format(F.col("ts") + F.make_dt_interval(secs=5 * (attempts + 1)), "yyyy-MM-dd HH:mm:ss"))
+    stale = (F.col("event_type") == "view") & (F.col("ts") < F.expr("timestamp_ntz'2024-01-15 00:00:00' - interval 8 minutes"))
+    return jobs.select(F.col("event_id").alias("job_id"), retryable.alias("retryable"), attempts.alias("attempts"), at.alias("retry_at"), stale.alias("stale"))
+
+
+@query("""
+, h AS (SELECT *, CASE WHEN product_id % 29 = 0 THEN 'repacked' WHEN product_id % 7 = 0 THEN 'goods_left' END AS header FROM items),
+s AS (SELECT *, max(coalesce(header = 'repacked', false)::INT) OVER (PARTITION BY document_id ORDER BY line_no) AS seen FROM h)
+SELECT item_id FROM s WHERE seen = 0 AND coalesce(header, '') <> 'goods_left'""")
+def repack_boundary(spark: SparkSession, d: str) -> DataFrame:
+    rows = C.items(spark, d).withColumn("header", F.when(F.col("product_id") % 29 == 0, "repacked").when(F.col("product_id") % 7 == 0, "goods_left"))
+    return O.until_boundary(rows).select("item_id")
+
+
+@query()
+def overflow_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    items = C.items(spark, d).withColumn("total_cartons", F.col("total_cartons") + F.when(F.col("line_no") % 2 == 0, 4 + F.col("product_id") % 5).otherwise(0))
+    footers = items.groupBy("document_id").agg((F.sum("total_cartons").cast("double") - 9).alias("footer_cartons"))
+    return O.overflow_reconciled(items.withColumn("total_quantity", F.ceil(F.col("total_quantity") / F.col("qty_per_carton")) * F.col("qty_per_carton")), footers, least_pieces=1)
+
+
+@query()
+def continuation_merge(spark: SparkSession, d: str) -> DataFrame:
+    items = C.items(spark, d)
+    rows = items.select(
+        "document_id", "item_id", "line_no", F.concat(F.lit("K"), F.col("supplier_id") % 3).alias("item_key"), "description",
+        F.when(F.col("line_no") % 2 == 1, F.col("total_quantity").cast("double")).alias("total_quantity"), F.when(F.col("line_no") % 3 != 0, F.col("total_amount_rmb").cast("double")).alias("total_amount_rmb"),
+    )
+    return O.continuations_merged(rows)
