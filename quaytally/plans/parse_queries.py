@@ -1,0 +1,116 @@
+"""Texts, grids and lines built from the items and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quaytally.plans.registry import query
+from quaytally.sources import canonical as C
+from quaytally.sources import grids as G
+from quaytally.sources import lines as L
+
+
+def as_text(c: str) -> F.Column:
+    return F.col(c).cast("double").cast("decimal(18,4)").cast("double").cast("string")
+
+
+def whole(c: str) -> F.Column:
+    return F.col(c).cast("long").cast("string")
+
+
+def item_pages(spark: SparkSession, d: str, rowspan: bool = False) -> DataFrame:
+    """An HTML page for each document: a title row over all columns, a header row, a row per item."""
+    first = F.concat(F.lit("<td rowspan='1'>" if rowspan else "<td>"), F.col("line_no"), F.lit("</td>"))
+    row = F.concat(F.lit("<tr>"), first, *(x for c in ("item_code", "description") for x in (F.lit("<td>"), F.col(c), F.lit("</td>"))), F.lit("<td><b>"), whole("total_quantity"), F.lit("</b>&nbsp;</td></tr>"))
+    rows = C.items(spark, d).groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", row.alias("html")))), lambda r: r["html"]), "\n").alias("rows"))
+    head = "<p>list</p><TABLE border=1><tr><td colspan=4>order &amp; goods</td></tr><tr><th>No.:</th><th>ITEM NO</th><th>DES.</th><th>T.QTY</th></tr>"
+    return rows.select(F.col("document_id").alias("page_id"), F.concat(F.lit(head), "rows", F.lit("</TABLE>")).alias("html"))
+
+
+CELLS = """SELECT document_id AS page_id, 0 AS "table", 0 AS row, c AS col, 'order & goods' AS text FROM (SELECT DISTINCT document_id FROM items), range(4) r(c)
+UNION ALL SELECT document_id, 0, 1, c, ['No.:', 'ITEM NO', 'DES.', 'T.QTY'][c + 1] FROM (SELECT DISTINCT document_id FROM items), range(4) r(c)
+UNION ALL SELECT document_id, 0, line_no + 1, c, [line_no::VARCHAR, item_code, description, total_quantity::BIGINT::VARCHAR][c + 1] FROM items, range(4) r(c)"""
+
+
+@query(CELLS)
+def html_cells(spark: SparkSession, d: str) -> DataFrame:
+    return G.html_cells(item_pages(spark, d))
+
+
+@query(CELLS)
+def html_cells_rowspan(spark: SparkSession, d: str) -> DataFrame:
+    return G.html_cells(item_pages(spark, d, rowspan=True))
+
+
+@query("""SELECT document_id AS page_id, line_no + 1 AS row, item_code, description, total_quantity::BIGINT::VARCHAR AS total_quantity FROM items""")
+def html_field_rows(spark: SparkSession, d: str) -> DataFrame:
+    cells = G.html_cells(item_pages(spark, d))
+    return G.field_rows(cells, G.SALES_LABELS, ("item_code", "description", "total_quantity")).drop("table")
+
+
+def manifest_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Each item as a marks line and either one data line or three."""
+    rest = [F.concat(F.lit("SANCARGO "), F.col("shop"), F.lit(" "), F.col("description")), F.concat(F.col("packaging"), F.lit(" "), whole("total_cartons"), F.lit("CTNS "), whole("total_quantity"), F.lit("pcs")), F.concat(as_text("total_cbm"), F.lit("CBM ¥"), F.col("unit_price_rmb"), F.lit(" ¥"), F.col("total_amount_rmb"))]
+    body = F.when(F.col("line_no") % 2 == 0, F.array(F.array_join(F.array(*rest), " "))).otherwise(F.array(*rest))
+    return C.items(spark, d).select("document_id", F.posexplode(F.concat(F.array("marks"), body)).alias("n", "text"), F.col("line_no").alias("item_line")).select("document_id", (F.col("item_line") * 10 + F.col("n")).alias("line_no"), "text")
+
+
+@query("""SELECT document_id, line_no * 10 AS first_line, marks, packaging, total_cartons::DOUBLE AS total_cartons, total_quantity::DOUBLE AS total_quantity, total_cbm::DOUBLE AS total_cbm, unit_price_rmb::DOUBLE AS unit_price_rmb, total_amount_rmb::DOUBLE AS total_amount_rmb FROM items""")
+def line_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return L.manifest_rows(manifest_lines(spark, d))
+
+
+@query("""SELECT document_id, marks, total_cartons::DOUBLE AS total_cartons, total_cbm::DOUBLE AS total_cbm FROM items""")
+def flat_manifest(spark: SparkSession, d: str) -> DataFrame:
+    row = F.concat(F.col("marks"), F.lit(" SANCARGO x "), whole("total_cartons"), F.lit("CTNS 0.001CBM "), as_text("total_cbm"), F.lit("CBM "))
+    flat = C.items(spark, d).groupBy("document_id").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", row.alias("t")))), lambda r: r["t"]), ""), F.lit("TOTAL WEIGHT 9KGS")).alias("text"))
+    return L.flat_manifest_rows(flat).select("document_id", "marks", "total_cartons", "total_cbm")
+
+
+@query("""SELECT item_id, packaging, total_cartons::DOUBLE AS total_cartons, total_quantity::DOUBLE AS total_quantity, total_cbm::DOUBLE AS total_cbm, total_weight_kg::DOUBLE AS total_weight_kg, unit_price_rmb::DOUBLE AS unit_price_rmb, total_amount_rmb::DOUBLE AS total_amount_rmb FROM items""")
+def cell_pattern_rows(spark: SparkSession, d: str) -> DataFrame:
+    cells = [F.col("marks"), F.col("description"), F.col("packaging"), F.concat(whole("total_cartons"), F.lit("CTNS")), F.concat(whole("total_quantity"), F.lit("pcs")), F.lit("0.001CBM"), F.concat(as_text("total_cbm"), F.lit("CBM")), F.lit("1KGS"), F.concat(as_text("total_weight_kg"), F.lit("KGS")), F.concat(F.lit("¥"), F.col("unit_price_rmb")), F.concat(F.lit("¥"), F.col("total_amount_rmb"))]
+    moved = F.when(F.col("line_no") % 2 == 0, F.concat(F.array(F.lit("")), F.array(*cells))).otherwise(F.array(*cells))
+    return C.items(spark, d).select("item_id", moved.alias("cells")).select("item_id", *L.pattern_row(F.col("cells")))
+
+
+def tails(spark: SparkSession, d: str) -> DataFrame:
+    full = F.col("line_no") % 4 != 0
+    numbers = [whole("total_cartons"), whole("qty_per_carton"), F.when(full, (F.col("total_cartons") * F.col("qty_per_carton")).cast("long").cast("string")).otherwise("999999"), F.lit("2.5"), F.lit("7.5"), F.lit("30"), F.lit("20"), F.lit("10"), F.lit("0.006"), F.lit("1.5"), F.lit("0.01"), F.lit("3")]
+    return C.items(spark, d).select("item_id", F.array_join(F.array(F.col("description"), *numbers), " ").alias("description"))
+
+
+@query("""SELECT item_id, CASE WHEN line_no % 4 <> 0 THEN total_cartons::DOUBLE END AS total_cartons, CASE WHEN line_no % 4 <> 0 THEN (total_cartons * qty_per_carton)::DOUBLE END AS total_quantity, CASE WHEN line_no % 4 <> 0 THEN 3.0::DOUBLE END AS total_weight_kg FROM items""")
+def tail_recovery(spark: SparkSession, d: str) -> DataFrame:
+    return L.anchored_tail(tails(spark, d)).select("item_id", *(F.col(f"tail_{c}").alias(c) for c in ("total_cartons", "total_quantity", "total_weight_kg")))
+
+
+@query("""SELECT item_id, total_cartons::DOUBLE AS total_cartons, (total_cartons * qty_per_carton)::DOUBLE AS total_quantity, (total_cartons * qty_per_carton * 2)::DOUBLE AS total_amount_rmb FROM items""")
+def tail_window(spark: SparkSession, d: str) -> DataFrame:
+    pieces = (F.col("total_cartons") * F.col("qty_per_carton")).cast("long")
+    numbers = [F.lit("WH-7 77"), whole("total_cartons"), whole("qty_per_carton"), pieces.cast("string"), F.lit("2"), (pieces * 2).cast("string"), F.lit("30 20 10 0.5 1"), (F.col("total_cartons") * 0.5).cast("decimal(18,1)").cast("string"), whole("total_cartons"), F.lit("88 box")]
+    rows = C.items(spark, d).select("item_id", F.array_join(F.array(F.col("description"), *numbers), " ").alias("description"))
+    return L.window_tail(rows).select("item_id", *(F.col(f"tail_{c}").alias(c) for c in ("total_cartons", "total_quantity", "total_amount_rmb")))
+
+
+@query("""SELECT document_id, sum(total_cartons)::DOUBLE AS cartons, sum(total_cbm)::DOUBLE AS cbm, sum(total_amount_rmb)::DOUBLE AS rmb FROM items GROUP BY 1""")
+def subtotal_bars(spark: SparkSession, d: str) -> DataFrame:
+    sums = C.items(spark, d).groupBy("document_id").agg(F.sum("total_cartons").alias("c"), F.sum("total_cbm").alias("v"), F.sum("total_amount_rmb").alias("a"))
+    bars = sums.select("document_id", F.lit(900).alias("line_no"), F.concat(F.col("c").cast("long"), F.lit("CTN "), F.col("v"), F.lit("CBM 5KGS ¥"), F.format_number("a", 2)).alias("text"))
+    rows = manifest_lines(spark, d).select("document_id", "line_no", "text").unionByName(bars)
+    return L.subtotal_bars(rows).select("document_id", "cartons", "cbm", "rmb")
+
+
+@query("""SELECT document_id, count(*) AS n_lines FROM items GROUP BY 1""")
+def fragment_lines(spark: SparkSession, d: str) -> DataFrame:
+    parts = F.array(*(F.struct(F.lit(x).alias("x"), c.cast("string").alias("text")) for x, c in ((30.0, F.col("description")), (10.0, F.col("marks")), (50.0, F.lit(" ")), (70.0, F.col("total_quantity")))))
+    fragments = C.items(spark, d).select("document_id", F.lit(1).alias("page"), (F.col("line_no") * 12.0).alias("y"), F.explode(parts).alias("p")).select("document_id", "page", "p.x", "y", "p.text")
+    found = L.fragments_to_lines(fragments)
+    return found.where(F.col("text").startswith("MS-")).groupBy("document_id").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query()
+def row_chunks(spark: SparkSession, d: str) -> DataFrame:
+    lines = manifest_lines(spark, d).withColumn("is_anchor", L.marks_token(F.col("text")))
+    return L.chunks(lines, rows=2, most=9, overlap=1).select("document_id", "chunk", "first_line", "last_line")
