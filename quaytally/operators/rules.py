@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaytally.functions import text as T
-from quaytally.functions.numbers import half_up
+from quaytally.functions.numbers import half_up, loose_or_null, weight
 from quaytally.operators.reports import TOLERANCE_EXTRACT, TOLERANCE_GATE, TOLERANCE_REPAIR, zero
 
 # Largest plausible quantity, pieces a carton, unit price, amount and cartons of a line.
@@ -225,3 +225,79 @@ def section_against_bars(items: DataFrame, bars: DataFrame) -> DataFrame:
     near = F.abs(F.col("amount") - F.col("bar_amount")) <= TOLERANCE_REPAIR[3]
     same = F.abs(F.col("cartons") - F.col("bar_cartons")) <= TOLERANCE_REPAIR[0]
     return computed.join(last, ["document_id", "section"]).withColumn("matches", near & ((F.col("section") == "left_in_warehouse") | same))
+
+
+SHIFT_TAG = "repair:shifted_manifest_columns"
+
+
+def kilograms(c: Column) -> Column:
+    return F.when(c.isNotNull(), F.concat(c.cast("string"), F.lit("KGS")))
+
+
+#: A manifest row: strings, then doubles.
+MANIFEST_FIELDS = ("sku", "description", "packing", "unit_weight", "total_weight", "remarks", "cartons", "quantity", "dim_l_cm", "dim_w_cm", "dim_h_cm", "unit_cbm", "cbm", "cost_price", "total_amount_rmb")
+
+
+def replaced(r: Column, condition: Column, new: dict[str, Column]) -> Column:
+    """The row with new values where the condition, worked out once, holds."""
+    return F.transform(F.array(condition), lambda c: F.struct(*(F.when(c, new[f]).otherwise(r[f]).alias(f) if f in new else r[f].alias(f) for f in MANIFEST_FIELDS)))[0]
+
+
+def shift_repaired(r: Column) -> Column:
+    """Rows whose columns moved by one, as their packing and the size of their numbers show.
+
+    A row (MANIFEST_FIELDS) is repaired from its values as they came."""
+    zero_ = lambda c: F.coalesce(r[c], F.lit(0.0))
+    cartons_in_packing, trailing = T.packing_cartons(T.text(r["packing"])), T.trailing_packing(T.text(r["description"]))
+    moved = cartons_in_packing.isNotNull() & trailing.isNotNull() & (zero_("cartons") > 0) & (zero_("quantity") > 0)
+    classic = (
+        moved & ((r["cartons"] >= 100) | (r["cartons"] > r["quantity"] * 2)) & r["quantity"].between(20, 200) & (zero_("dim_l_cm") > 0) & (zero_("dim_l_cm") < 2) & (zero_("cost_price") >= 500)
+        & (zero_("total_amount_rmb") >= 0) & (zero_("total_amount_rmb") < 1000)
+    )
+    parts = moved & ((zero_("cbm") >= 5) | F.coalesce(weight(r["unit_weight"]) >= 200, F.lit(False))) & (zero_("total_amount_rmb") > 0) & (zero_("total_amount_rmb") < 1000)
+    some = F.coalesce(classic | parts, F.lit(False))
+    price = F.coalesce(loose_or_null(r["total_weight"]), F.lit(0.0))
+    unpriced = (T.text(r["sku"]) == "") & T.text(r["description"]).rlike(r"(?i)FOOD\s+WARMER\s+PARTS")
+    amount = F.when(unpriced | ((price <= 0) & (zero_("total_amount_rmb") > 0)), F.lit(None)).otherwise(r["cost_price"])
+    new = {
+        "description": T.without_trailing_packing(r["description"]), "packing": trailing, "cartons": cartons_in_packing, "quantity": r["cartons"], "dim_h_cm": r["quantity"], "dim_w_cm": r["dim_h_cm"], "dim_l_cm": r["dim_w_cm"],
+        "unit_cbm": r["dim_l_cm"], "cbm": r["unit_cbm"], "unit_weight": kilograms(r["cbm"]), "total_weight": r["unit_weight"], "cost_price": F.when(unpriced, F.lit(0.0)).otherwise(price), "total_amount_rmb": amount, "remarks": T.with_remark(r["remarks"], SHIFT_TAG),
+    }
+    return replaced(r, some, new)
+
+
+def no_packing_repaired(r: Column) -> Column:
+    """Rows without packing whose quantity, price and amount each stand one column early."""
+    price = F.coalesce(loose_or_null(r["total_weight"]), F.lit(0.0))
+    some = F.coalesce((F.trim(T.text(r["packing"])) == "") & (r["cartons"] > 0) & (r["quantity"] <= 0) & price.between(50, 1000) & (r["cost_price"] >= 1000) & r["total_amount_rmb"].between(100, 500), F.lit(False))
+    new = {"cartons": F.lit(None).cast("double"), "quantity": r["cartons"], "cost_price": price, "total_amount_rmb": r["cost_price"], "remarks": T.with_remark(r["remarks"], "repair:no_packing_amount_row")}
+    return replaced(r, some, new)
+
+
+def outliers_repaired(r: Column) -> Column:
+    """Rows whose packing is a carton count and whose quantity went to the cartons, or to a dimension."""
+    packed = T.packing_cartons(T.text(r["packing"]))
+    cartons, qty, cbm, price = (F.coalesce(r[c], F.lit(0.0)) for c in ("cartons", "quantity", "cbm", "cost_price"))
+    unit_weight, total_weight = loose_or_null(r["unit_weight"]), loose_or_null(r["total_weight"])
+    base = (packed > 0) & qty.between(20, 220) & (cbm >= 5) & r["total_amount_rmb"].isNull()
+    moved = F.coalesce(base & (cartons > F.greatest(F.lit(20.0), packed * 2)) & (price >= 500), F.lit(False))
+    single = F.coalesce(base & (cartons > 0) & (cartons <= 6) & (price > 0) & (F.abs(total_weight - price) <= 0.01), F.lit(False))
+    some = moved | single
+    volume = F.coalesce(r["unit_cbm"], r["cbm"])
+    new = {
+        "cartons": packed, "quantity": F.when(moved, cartons).otherwise(packed), "unit_cbm": half_up(volume / packed * 1e6) / 1e6, "cbm": volume, "unit_weight": F.when(cbm > 0, kilograms(cbm)).otherwise(r["unit_weight"]),
+        "total_weight": F.when(unit_weight > 0, kilograms(unit_weight)).otherwise(r["total_weight"]), "cost_price": F.when(total_weight > 0, total_weight).otherwise(r["cost_price"]), "total_amount_rmb": F.when(price > 0, price).otherwise(r["total_amount_rmb"]),
+        "remarks": T.with_remark(r["remarks"], "repair:manifest_outlier_shift"),
+    }
+    return replaced(r, some, new)
+
+
+def manifest_repaired(rows: DataFrame) -> DataFrame:
+    """The chain of shift rules, run twice as imports do.
+
+    Each rule sees the row as one value, so that a rule's result is worked out once."""
+    row = F.struct(*MANIFEST_FIELDS)
+    for rule in (shift_repaired, no_packing_repaired, outliers_repaired) * 2:
+        row = F.transform(F.array(row), rule)[0]
+    rest = [c for c in rows.columns if c not in MANIFEST_FIELDS]
+    return rows.select(*rest, row.alias("row")).select(*rest, "row.*")

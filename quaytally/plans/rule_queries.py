@@ -323,3 +323,17 @@ def english_first(spark: SparkSession, d: str) -> DataFrame:
     a = F.when(k < 2, F.concat(F.lit("壶"), p)).otherwise("")
     b = F.when(k == 0, F.concat(F.lit("Cup "), p)).otherwise("")
     return C.items(spark, d).select("item_id", T.english_first(a, b).alias("name"))
+
+
+@query("""SELECT item_id, CASE WHEN line_no % 3 = 2 THEN NULL ELSE 3::DOUBLE END AS cartons, CASE line_no % 3 WHEN 0 THEN 120 WHEN 1 THEN 2 ELSE 5 END::DOUBLE AS quantity, CASE line_no % 3 WHEN 0 THEN 12.5 WHEN 1 THEN 7 ELSE 60 END::DOUBLE AS cost_price,
+  CASE line_no % 3 WHEN 0 THEN 600 WHEN 1 THEN 14 ELSE 1500 END::DOUBLE AS total_amount_rmb, CASE line_no % 3 WHEN 0 THEN 'repair:shifted_manifest_columns' WHEN 2 THEN 'repair:no_packing_amount_row' END AS remarks,
+  CASE line_no % 3 WHEN 0 THEN '40pcs/ctn' WHEN 1 THEN packaging END AS packing FROM items""")
+def shift_repair(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("line_no") % 3
+    pick = lambda a, b, c, t="double": F.when(k == 0, F.lit(a)).when(k == 1, F.lit(b)).otherwise(F.lit(c)).cast(t)
+    rows = C.items(spark, d).select(
+        "item_id", F.col("item_code").alias("sku"), F.when(k == 0, F.concat("description", F.lit(" 40pcs/ctn"))).otherwise(F.col("description")).alias("description"), F.when(k == 0, "3CTNS").when(k == 1, F.col("packaging")).alias("packing"),
+        pick(120, 3, 5).alias("cartons"), pick(50, 2, 0).alias("quantity"), pick(0.5, 10, 10).alias("dim_l_cm"), pick(40, 10, 10).alias("dim_w_cm"), pick(30, 10, 10).alias("dim_h_cm"), pick(0.3, 0.1, 0.1).alias("unit_cbm"), pick(12, 0.3, 0.3).alias("cbm"),
+        pick("14KGS", "1KGS", "1KGS", "string").alias("unit_weight"), pick("12.5", "3KGS", "60", "string").alias("total_weight"), pick(600, 7, 1500).alias("cost_price"), pick(20, 14, 300).alias("total_amount_rmb"), F.lit(None).cast("string").alias("remarks"),
+    )
+    return U.manifest_repaired(rows).select("item_id", "cartons", "quantity", "cost_price", "total_amount_rmb", "remarks", "packing")
