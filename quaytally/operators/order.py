@@ -51,38 +51,44 @@ TIER_CBM = 0.02
 
 
 def cartons_deduplicated(items: DataFrame) -> DataFrame:
-    """Shipped rows that repeat the row above have their cartons counted there.
+    """Shipped rows that repeat the row above have their cartons counted there: cartons 0 and a tag.
 
-    A zeroed row is what the next row is held against, so of a run of equal rows every second one is
-    zeroed; a row with 0 cartons that equals a zeroed row gets the tag only."""
+    A row is held against the row above as the pass has left it, so of a run of equal rows every second
+    one is zeroed, and a row with 0 cartons that equals a zeroed row is tagged. Whether a row matches
+    depends on the row above being zeroed or not: rows where it makes no difference settle the state,
+    rows that match only an unzeroed row turn it round, and the others keep it. So the state is that of
+    the last settling row, turned round once for each turning row since."""
     rows = items.withColumn("before", F.lag(F.struct("section", *DUPLICATE_KEYS)).over(lines("document_id")))
     before = F.col("before")
     shipped = (T.canonical_section(F.col("section")) == "shipped") & before.isNotNull() & (T.canonical_section(before["section"]) == "shipped")
     number = lambda c: F.coalesce(c, F.lit(0)).cast("double")
     named = (T.text("marks") != "") | (T.text("item_code") != "")
-    duplicate = named & same_line(before, F.struct(*DUPLICATE_KEYS), DUPLICATE_KEYS)
-    both = (number(F.col("total_cartons")) > 0) & (number(before["total_cartons"]) > 0)
+    other_keys = tuple(k for k in DUPLICATE_KEYS if k != "total_cartons")
+    same = named & same_line(before, F.struct(*other_keys), other_keys)
     shops = (T.text(before["shop"]) == "") | (T.text("shop") == "") | (T.text(before["shop"]) == T.text("shop"))
     cbm, cbm_before = number(F.col("total_cbm")), number(before["total_cbm"])
     near = F.abs(cbm - cbm_before) <= TIER_CBM
     described, described_before = T.text("description"), T.text(before["description"])
     unmarked = (described == "") | ((described_before != "") & ((described == described_before) | ((cbm > 0) & (cbm_before > 0) & near)))
-    spanned = (T.text(before["marks"]) != "") & shops & both & F.when(T.text("marks") == "", unmarked).otherwise((T.text("marks") == T.text(before["marks"])) & (described == "") & (described_before != ""))
+    spanned = (T.text(before["marks"]) != "") & shops & F.when(T.text("marks") == "", unmarked).otherwise((T.text("marks") == T.text(before["marks"])) & (described == "") & (described_before != ""))
     tier_keys = ("marks", "item_code", "description", "shop")
     differs = F.coalesce(before["total_quantity"] != F.col("total_quantity"), F.lit(False)) | F.coalesce(before["total_amount_rmb"] != F.col("total_amount_rmb"), F.lit(False))
-    tier = (T.text("marks") != "") & same_line(before, F.struct(*tier_keys), tier_keys) & both & near & differs
-    match = F.coalesce(shipped & (duplicate | spanned | tier), F.lit(False))
-    # islands of matches: positions in a run of matching rows, every odd one counted from the first match is zeroed
-    rows = rows.withColumn("match", match).withColumn("island", F.sum((~F.col("match")).cast("int")).over(up_to_here("document_id")))
-    rows = rows.withColumn("place", F.row_number().over(lines("document_id", "island")) - 1)
-    zeroed = F.col("match") & (F.col("place") % 2 == 1)
-    empty = F.col("match") & (F.col("place") % 2 == 0) & (number(F.col("total_cartons")) == 0)
+    tier = (T.text("marks") != "") & same_line(before, F.struct(*tier_keys), tier_keys) & near & differs
+    both = (number(F.col("total_cartons")) > 0) & (number(before["total_cartons"]) > 0)
+    if_left = F.coalesce(shipped & ((same & F.col("total_cartons").eqNullSafe(before["total_cartons"])) | (both & (spanned | tier))), F.lit(False))
+    if_zeroed = F.coalesce(shipped & same & (F.col("total_cartons") == 0), F.lit(False))
+    rows = rows.withColumns({"if_left": if_left, "if_zeroed": if_zeroed})
+    rows = rows.withColumn("island", F.sum((F.col("if_left") == F.col("if_zeroed")).cast("int")).over(up_to_here("document_id")))
+    settled = F.first("if_left").over(up_to_here("document_id", "island"))
+    turns = F.sum((F.col("if_left") & ~F.col("if_zeroed")).cast("int")).over(up_to_here("document_id", "island"))
+    zeroed = (settled.cast("int") + turns) % 2 == 1
+    rows = rows.withColumn("zeroed", zeroed)
     return rows.withColumns(
         {
-            "total_cartons": F.when(zeroed, F.lit(0)).otherwise(F.col("total_cartons")).cast(dict(items.dtypes)["total_cartons"]),
-            "remarks": F.when(zeroed | empty, T.with_remark(F.col("remarks"), "carton_dedup:secondary_row", " ")).otherwise(F.col("remarks")),
+            "total_cartons": F.when(F.col("zeroed"), F.lit(0)).otherwise(F.col("total_cartons")).cast(dict(items.dtypes)["total_cartons"]),
+            "remarks": F.when(F.col("zeroed"), T.with_remark(F.col("remarks"), "carton_dedup:secondary_row", " ")).otherwise(F.col("remarks")),
         }
-    ).drop("before", "match", "island", "place")
+    ).drop("before", "if_left", "if_zeroed", "island", "zeroed")
 
 
 def first_seen(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
