@@ -9,11 +9,13 @@ concentrated as with independent hash functions.
 
 1. Texts of one set are one node (the smallest id); copies never meet in pairs.
 2. Nodes of a common band are a bucket. Each bucket's smallest node is held against the others on
-   the full sets, and the links found give components.
+   the full sets, then its largest against those not yet in its component; the links found give
+   components.
 3. Buckets of three or more nodes that still hold several components have pairs not yet looked at.
-   Their nodes go to an exact join: elements ordered by rarity, a common element among the first
-   n - ceil(0.75 n) + 1 is needed, sizes must fit, pairs of one component are left out, and the
-   candidates are verified on the full sets. No bucket is cut or sampled.
+   Their nodes go to an exact join: elements ordered by rarity, sets of sizes n and m that
+   are similar enough have k = ceil(0.75 (n + m) / 1.75) common elements, so one among the first
+   n - k + 1 and m - k + 1; sizes must fit, pairs of one component are left out, and the candidates
+   are verified on the full sets. No bucket is cut or sampled.
 
 Two sets of similarity 0.75 share no band with probability (1 - 0.75 ** ROWS) ** BANDS < 0.0002.
 
@@ -119,6 +121,11 @@ def _fits(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
+def _ceil_of(a: Column, b: int) -> Column:
+    """a / b, rounded up, in whole numbers."""
+    return F.floor((a + (b - 1)) / b)
+
+
 def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough; bodies: node, raw."""
 
@@ -156,12 +163,12 @@ def _rest(rest: DataFrame, bodies: DataFrame) -> DataFrame:
     counts = rows.groupBy("element").agg(F.count(F.lit(1)).alias("df"), (F.min("component") != F.max("component")).alias("mixed"))
     by_rarity = Window.partitionBy("node").orderBy("mixed", "df", "element")
     prefix = rows.join(counts, "element").withColumn("place", F.row_number().over(by_rarity))
-    needed = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    needed = F.col("n") - _ceil_of(F.col("n") * PERCENT, 100) + 1
     prefix = written(prefix.where(F.col("mixed") & (F.col("place") <= needed)).select("element", "node", "component", "n", "place"), "prefix")
     a, b = (prefix.select("element", *(F.col(c).alias(c + x) for c in ("node", "component", "n", "place"))) for x in "ab")
-    # from the places on, at most so many elements can be common
-    reach = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb")) + F.least("placea", "placeb")
-    fits = _fits(F.col("na"), F.col("nb")) & (reach * (100 + PERCENT) >= (F.col("na") + F.col("nb")) * PERCENT)
+    # two sets of these sizes need so many common elements: the first of them leaves room for the others
+    overlap = _ceil_of((F.col("na") + F.col("nb")) * PERCENT, 100 + PERCENT)
+    fits = _fits(F.col("na"), F.col("nb")) & (F.col("placea") <= F.col("na") - overlap + 1) & (F.col("placeb") <= F.col("nb") - overlap + 1)
     return a.join(b, "element").where((F.col("nodea") < F.col("nodeb")) & (F.col("componenta") != F.col("componentb")) & fits).select(F.col("nodea").alias("u"), F.col("nodeb").alias("v")).distinct()
 
 
@@ -172,15 +179,22 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     own = all_sketches.withColumnRenamed("doc_id", "node").join(sets, ["node", "set_a", "set_b"])
     buckets = own.select(F.explode("bands").alias("band"), "node", F.col("n_shingles").alias("n"))
     centres = buckets.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("centre <> last")
-    members = written(buckets.join(centres, "band").select("band", "node", "n", "centre", "size"), "buckets")
+    members = written(buckets.join(centres, "band").select("band", "node", "n", "centre", "last", "size"), "buckets")
 
     found = docs.select(F.col(id).alias("node"), F.col(text).cast("binary").alias("raw"))
     bodies = written(found.join(members.select("node").distinct(), "node"), "bodies")
-    pairs = members.where("centre < node").select(F.col("centre").alias("u"), F.col("node").alias("v"), "n").distinct()
     sizes = members.select(F.col("node").alias("u"), F.col("n").alias("nu")).distinct()
-    pairs = pairs.join(sizes, "u").where(_fits(F.col("n"), F.col("nu")))
-    edges = written(verified(pairs, bodies), "links")
+    stars = members.where("centre < node").select(F.col("centre").alias("u"), F.col("node").alias("v"), "n")
+    edges = written(verified(stars.distinct().join(sizes, "u").where(_fits(F.col("n"), F.col("nu"))), bodies), "links")
     labels = components(edges)
+    # a second star from the other end settles most nodes that are too far from the first centre
+    own_label, last_label = labels.select(F.col("node").alias("v"), F.col("component").alias("cv")), labels.select(F.col("node").alias("u"), F.col("component").alias("cu"))
+    stars = members.where("size > 2 and node < last and node > centre").select(F.col("last").alias("u"), F.col("node").alias("v"), "n").distinct()
+    stars = stars.join(own_label, "v", "left").join(last_label, "u", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v"))
+    second = written(verified(stars.join(sizes, "u").where(_fits(F.col("n"), F.col("nu"))), bodies), "links")
+    if not second.isEmpty():
+        edges = edges.unionByName(second)
+        labels = components(edges)
 
     labelled = members.where("size > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = labelled.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band")
