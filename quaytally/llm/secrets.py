@@ -34,7 +34,7 @@ HEX = re.compile(rf"[0-9a-f]{{{HEX_LEAST},}}")
 #: Words that make the text shortly after them sensitive.
 CONTEXT = re.compile(r"pass(?:word|wd|phrase)|secret|token|api_?key|credential|authori[sz]ation|bearer|private|access_?key|client_?id|signature|session|cookie|login", re.IGNORECASE | re.ASCII)
 CONTEXT_WORDS = (b"passw", b"passphrase", b"secret", b"token", b"apikey", b"api_key", b"credential", b"authori", b"bearer", b"private", b"accesskey", b"access_key", b"clientid", b"client_id", b"signature", b"session", b"cookie", b"login")
-CANDIDATE_LEAST, CONTEXT_REACH, AROUND, NOVELTY = 20, 48, 256, 0.6
+CANDIDATE_LEAST, CONTEXT_REACH, AROUND, NOVELTY = 20, 48, 256, 0.85
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{CANDIDATE_LEAST},}}")
 
 #: What code and configuration usually say; primes the compressor.
