@@ -2,8 +2,9 @@
 
 A candidate is a long run of secret-like characters with a sensitive word shortly before it. Its
 novelty is the number of bytes that it adds to the Zstandard frame of the surrounding text, whose
-compressor is primed with a dictionary of common identifiers, divided by its length. Words and names
-that the dictionary or the surroundings know add little; random keys add nearly all their bytes.
+compressor is primed with a dictionary of common identifiers, as a share of what the same bytes add
+out of order. Words and names that the dictionary or the surroundings know add much less; random keys
+add as much. What adds few bytes for its length is not novel at all.
 
 Nulls and empty texts have no spans (their base_sha256 is that of the empty string). Texts of any
 length are scanned whole, each by itself. Repeated rows give repeated results, a null id stays null,
@@ -34,7 +35,7 @@ HEX = re.compile(rf"[0-9a-f]{{{HEX_LEAST},}}")
 #: Words that make the text shortly after them sensitive.
 CONTEXT = re.compile(r"pass(?:word|wd|phrase)|secret|token|api_?key|credential|authori[sz]ation|bearer|private|access_?key|client_?id|signature|session|cookie|login", re.IGNORECASE | re.ASCII)
 CONTEXT_WORDS = (b"passw", b"passphrase", b"secret", b"token", b"apikey", b"api_key", b"credential", b"authori", b"bearer", b"private", b"accesskey", b"access_key", b"clientid", b"client_id", b"signature", b"session", b"cookie", b"login")
-CANDIDATE_LEAST, CONTEXT_REACH, AROUND, NOVELTY = 20, 48, 256, 0.85
+CANDIDATE_LEAST, CONTEXT_REACH, AROUND, NOVELTY, LEAST_COST = 20, 48, 256, 0.9, 0.66
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{CANDIDATE_LEAST},}}")
 
 #: What code and configuration usually say; primes the compressor.
@@ -51,7 +52,7 @@ AAAAAAAAAAAAAAAA 0000000000000000 xxxxxxxxxxxxxxxx the and that with for this fr
 
 
 class Novelty:
-    """Bytes that a string adds to its compressed surroundings, by byte of the string."""
+    """Bytes that a string adds to its compressed surroundings, as a share of what its mixed bytes add."""
 
     def __init__(self, identifiers: bytes = IDENTIFIERS):
         primed = zstandard.ZstdCompressionDict(identifiers, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -60,8 +61,11 @@ class Novelty:
     def __call__(self, before: str, candidate: str, after: str) -> float:
         around = (after + before).encode("utf-8", "replace")
         own = candidate.encode()
-        more = len(self.compressor.compress(around + own)) - len(self.compressor.compress(around))
-        return more / len(own)
+        # the same bytes without their order: what they cost if nothing is known of them
+        mixed = bytes(b for _, b in sorted((hashlib.blake2b(b"%d:%d" % (i, b), digest_size=8).digest(), b) for i, b in enumerate(own)))
+        least = len(self.compressor.compress(around))
+        cost, most = (len(self.compressor.compress(around + x)) - least for x in (own, mixed))
+        return cost / max(1, most) if cost >= LEAST_COST * len(own) else 0.0
 
 
 def base_spans(text: str, raw: bytes) -> list[tuple[int, int, str]]:
