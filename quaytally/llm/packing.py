@@ -38,7 +38,9 @@ class Ids:
     stands alone between other characters; such pieces are encoded once and remembered. Texts with
     other white space, or with the special token's string, are encoded as a whole."""
 
-    WHOLE = re.compile(r"  |\n\n| \n|\n |^[ \n]|[ \n]$|[^\S \n]|<\|endoftext\|>")
+    #: White space besides the space and the line break, in ASCII and beyond.
+    OTHER = b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+    BEYOND = re.compile(r"(?![\x00-\x7f])\s")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,12 +54,18 @@ class Ids:
     def encoded(self, parts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def is_plain(self, text: str, raw: bytes) -> bool:
+        """Whether all white space is single spaces and line breaks inside the text."""
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or "<|endoftext|>" in text:
+            return False
+        return len(raw.translate(None, self.OTHER)) == len(raw) and (text.isascii() or not self.BEYOND.search(text))
+
     def of(self, raws: list[bytes]) -> list[bytes]:
         for known in (self.spaced, self.first):
             if len(known) > CACHE_WORDS:
                 known.clear()
         whole = [raw.decode("utf-8", "replace") for raw in raws]
-        plain = [not self.WHOLE.search(t) for t in whole]
+        plain = [self.is_plain(t, raw) for t, raw in zip(whole, raws)]
         lines = [[line.split(" ") for line in t.split("\n")] if p and t else [] for t, p in zip(whole, plain)]
         spaced = list({w for d in lines for line in d for w in line[1:]} - self.spaced.keys())
         first = list({line[0] for d in lines for line in d} - self.first.keys())
