@@ -102,3 +102,18 @@ def price_donors(items: DataFrame) -> DataFrame:
     best = needs.join(donors, "document_id").withColumn("score", score).where("score >= 3").groupBy("item_id").agg(F.min_by(F.struct("donor_price", "donor_line", "score"), F.struct((-F.col("score")).alias("s"), "donor_line")).alias("best"), F.first("total_quantity").alias("total_quantity"))
     price = F.col("best.donor_price").cast("double")
     return best.select("item_id", "best.donor_line", "best.score", price.alias("unit_price_rmb"), (half_up(F.col("total_quantity").cast("double") * price * 100) / 100).alias("total_amount_rmb"))
+
+
+# Words of footer lines that a list query looks for.
+FOOTER_WORDS = ("TOTAL WEIGHT", "TOTAL CBM", "TOTAL CARTON", "TOTAL COST", "TOTAL BALANCE", "GOODS BALANCE", "CREDIT SUPPORT", "PIVOC", "EXCHANGE RATE", "REDUCE DETAILS")
+
+
+def footer_rows(items: DataFrame, most: int = 400) -> DataFrame:
+    """The first rows that look like footer lines, for a report."""
+    hit = T.any_of([F.coalesce(F.col(c).ilike(f"%{w}%"), F.lit(False)) for w in FOOTER_WORDS for c in ("marks", "description", "item_code")])
+    return items.where(hit).orderBy("item_id").limit(most)
+
+
+def merged_by_id(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """All rows of the first, and those of the second that it does not have."""
+    return first.unionByName(second.join(first.select(key), key, "left_anti").select(first.columns))

@@ -175,3 +175,10 @@ def payments_fold(payments: DataFrame) -> DataFrame:
     last = lambda kind: F.max_by("amount_usd", F.when(F.col("payment_type") == kind, late)).alias(kind)
     first = lambda kind: F.min_by("amount_usd", F.when((F.col("payment_type") == kind) & ~undated, F.struct("payment_date", "payment_id"))).alias(kind)
     return payments.groupBy("document_id").agg(last("freight"), last("credit"), last("other"), first("deposit"), first("balance"))
+
+
+def totals_synced(stored: DataFrame, items: DataFrame) -> DataFrame:
+    """Stored totals with new values for documents that have a live item; the others keep theirs."""
+    fresh = live(items).groupBy("document_id").agg(F.sum(zero("total_amount_rmb")).cast("double").alias("fresh"))
+    rows = stored.join(fresh, "document_id", "left")
+    return rows.select("document_id", F.coalesce("fresh", "computed_amount").alias("computed_amount"), F.col("fresh").isNotNull().alias("refreshed"))

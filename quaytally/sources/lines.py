@@ -135,3 +135,44 @@ def fragments_to_lines(fragments: DataFrame, bucket: float = 3.0) -> DataFrame:
     row = F.round(F.col("y") / bucket).cast("long")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda s: s["text"]), " ")
     return fragments.where(F.trim("text") != "").groupBy("document_id", "page", row.alias("row")).agg(T.squeezed(text).alias("text"))
+
+
+#: Twelve numbers, a barcode and a warehouse at the end of a sales row.
+SALES_TAIL = r"^(.*?)((?:\s+\d+(?:\.\d+)?){12})\s+(\S+)\s+(\S+)$"
+
+
+def sales_rows(lines: DataFrame) -> DataFrame:
+    """Sales rows out of text lines: a row goes from "n yyyy-mm-dd" to the next."""
+    found = blocks(lines, F.col("text").rlike(r"^\d{1,4}\s+\d{4}-\d{2}-\d{2}$"))
+    part = lambda i: F.regexp_extract(F.regexp_replace("text", r"^(\d+)\s+\S+\s+", ""), SALES_TAIL, i)
+    numbers = F.transform(F.split(F.trim(part(2)), r"\s+"), lambda n: n.try_cast("double"))
+    head = F.regexp_extract(part(1), r"^(\S+)\s+(\S+)\s*(.*)$", 2), F.regexp_extract(part(1), r"^(\S+)\s+(\S+)\s*(.*)$", 3)
+    return found.select(
+        "document_id", F.regexp_extract("text", r"^(\d+)", 1).cast("long").alias("line_no"), F.regexp_extract(part(1), r"^(\S+)", 1).alias("delivery_no"), head[0].alias("item_code"), head[1].alias("description"),
+        *(F.try_element_at(numbers, F.lit(i + 1)).alias(c) for i, c in enumerate(TAIL)), part(3).alias("barcode"), part(4).alias("warehouse"),
+    )
+
+
+def extracted(rows: DataFrame, body: str) -> DataFrame:
+    """Extractor JSON (all values read as text) to typed columns."""
+    from quaytally.functions.numbers import cell
+
+    fields = ("description", "item_code", "marks", "total_qty", "total_cartons", "unit_price_rmb", "total_amount_rmb", "section")
+    parsed = rows.withColumn("p", F.from_json(body, ", ".join(f"{f} string" for f in fields)))
+    text = {c: T.clean(F.col(f"p.{c}")) for c in ("description", "item_code", "marks")}
+    number = {"total_quantity": cell(F.col("p.total_qty")), **{c: cell(F.col(f"p.{c}")) for c in ("total_cartons", "unit_price_rmb", "total_amount_rmb")}}
+    return parsed.withColumns(text | number | {"section": T.storage_section(F.col("p.section"), F.lit(""))}).drop("p", body)
+
+
+# Where a document's text names its facts.
+FACTS = {
+    "total_cartons": r"(?i)TOTAL\s+CARTONS?\s*:?\s*([\d,]+)",
+    "total_cbm": r"(?i)TOTAL\s+CBM\s*:?\s*([\d,.]+)",
+    "total_rmb": r"(?i)TOTAL\s+COST\s*:?\s*[¥￥]?\s*([\d,.]+)",
+    "rate": r"(?i)EXCHANGE\s+RATE\s*:?\s*([\d.]+)",
+}
+
+
+def document_facts(documents: DataFrame, text: str) -> DataFrame:
+    number = lambda p: prefix_number(F.replace(F.regexp_extract(text, p, 1), F.lit(","), F.lit("")))
+    return documents.select("document_id", *(number(p).alias(c) for c, p in FACTS.items()), F.nullif(F.regexp_extract(text, r"(?i)CONTAINER\s+NO\.?\s*:?\s*([A-Z0-9-]+)", 1), F.lit("")).alias("container_no"))
