@@ -213,3 +213,44 @@ def resolved_kind(body: Column, name: Column) -> Column:
         .when(by_name != "unknown", by_name)
         .otherwise("container_manifest")
     )
+
+
+def without_repeats(label: Column) -> Column:
+    """A label whose words are one phrase of two words or more, again and again, is that phrase; else equal words in a row are one."""
+    words = F.split(squeezed(label), " ")
+    n = F.size(words)
+    same = lambda p: F.forall(F.sequence(F.lit(1), n), lambda i: F.try_element_at(words, i) == F.try_element_at(words, F.pmod(i - 1, p) + 1))
+    period = F.array_min(F.filter(F.sequence(F.lit(2), F.greatest(F.lit(2), F.floor(n / 2).cast("int"))), lambda p: (p * 2 <= n) & (n % p == 0) & same(p)))
+    once = F.filter(words, lambda w, i: (i == 0) | (w != F.try_element_at(words, F.greatest(i, F.lit(1)))))
+    return F.when(n < 6, squeezed(label)).when(period.isNotNull(), F.array_join(F.slice(words, F.lit(1), period), " ")).otherwise(F.array_join(once, " "))
+
+
+def clean_label(label: Column) -> Column:
+    """A section's label under its usual name, without repeats."""
+    line = squeezed(text(label))
+    upper = F.upper(line)
+    counted = F.regexp_extract(line, r"(?i)([A-Z0-9-]+\s+\d+\s*CTN\S*)\s+GOODS\s+STUFFED\s+INTO\s+THIS\s+CO", 1)
+    return (
+        F.when(upper.rlike(r"\bNEW\s+ORDERS?\b"), "NEW ORDERS")
+        .when(upper.rlike(r"\bGOODS\s+LEFT\s+IN\s+SANCARGO\b"), "GOODS LEFT IN SANCARGO WAREHOUSE")
+        .when(upper.rlike(r"\bBEFORE\s+GOODS\b"), F.regexp_extract(upper, r"BEFORE GOODS(?: [A-Z0-9-]+)?", 0))
+        .when(upper.rlike(r"\bGOODS\s+STUFFED\s+INTO\s+THIS\s+CO(?:NTAINER)?\b"), F.trim(F.concat(counted, F.lit(" GOODS STUFFED INTO THIS CONTAINER"))))
+        .otherwise(without_repeats(line))
+    )
+
+
+def spurious_label(label: Column) -> Column:
+    """Whether a label is a product row that was taken for a banner."""
+    line = squeezed(text(label))
+    upper = F.upper(line)
+    known = upper.rlike(r"\bNEW\s+ORDERS?\b|\bBEFORE\s+GOODS\b|\bGOODS\s+(?:LEFT|STUFFED|LOAD)\b|\bSTUFFED\s+INTO\s+THIS\s+CO|\bLOAD\s+IN\s+THIS\s+CONTA|\bREPACK|^SHEET\s*\d+\b")
+    yen = line.rlike("[¥￥]")
+    heading = F.size(F.split(line, " ")).between(2, 14) & ~yen & ~line.rlike(r"\d+\.\d{2,}")
+    priced = yen & (upper.rlike(r"\b(?:CBM|KGS|CTNS?)\b") | line.rlike(r"\d+\s*-\s*\d+\s*$"))
+    coded = upper.rlike(r"MAG-\d{3}-\d+|MS-\d{3}-\d+") & (yen | upper.rlike(r"\b\d+\.?\d*\s*CBM\b"))
+    return (line != "") & ~known & ~heading & ((F.length(line) >= 82) | priced | coded)
+
+
+def shown_label(section: Column, remarks: Column) -> Column:
+    own = section_label(remarks)
+    return F.when(own.isNotNull() & ~spurious_label(own), clean_label(own)).when(section == "shipped", "Shipped").when(section == "left_in_warehouse", "Left in Warehouse").when(section == "repacked", "Repacked").otherwise(F.replace(section, F.lit("_"), F.lit(" ")))

@@ -107,3 +107,25 @@ def doc_facts(spark: SparkSession, d: str) -> DataFrame:
     """Header and footer facts of a document out of its text."""
     body = F.concat(F.lit("CLIENT DETAILS: x\nCONTAINER NO: MS-"), F.col("document_id") % 50, F.lit("\nTOTAL CARTON: "), 5 + F.col("document_id") % 7, F.lit("CTNS\nTOTAL CBM 70.1CBM\nTOTAL COST ¥"), F.format_number("printed_amount", 2), F.lit("\nEXCHANGE RATE 6.80"))
     return L.document_facts(C.documents(spark, d).select("document_id", body.alias("text")), "text")
+
+
+@query("""SELECT item_id, CASE item_id % 6 WHEN 0 THEN 'NEW ORDERS' WHEN 1 THEN 'BEFORE GOODS MAG-' || line_no WHEN 2 THEN 'LOT ' || shop WHEN 3 THEN '37-T-1 18 CTN GOODS STUFFED INTO THIS CONTAINER' WHEN 4 THEN 'cups pans ' || line_no || ' lids' ELSE 'Shipped' END AS label FROM items""")
+def shown_labels(spark: SparkSession, d: str) -> DataFrame:
+    k, n = F.col("item_id") % 6, F.col("line_no")
+    raw = (
+        F.when(k == 0, "new  order").when(k == 1, F.concat(F.lit("before goods mag-"), n)).when(k == 2, F.array_join(F.array_repeat(F.concat(F.lit("LOT "), F.col("shop")), 3), " "))
+        .when(k == 3, "37-T-1 18 CTN GOODS STUFFED INTO THIS CO").when(k == 4, F.concat(F.lit("cups cups pans "), n, F.lit(" lids lids"))).otherwise(F.concat(F.lit("MS-301-"), n, F.lit(" ¥ 12 CBM 3")))
+    )
+    return C.items(spark, d).select("item_id", T.shown_label(F.lit("shipped"), T.section_label_tag(raw)).alias("label"))
+
+
+@query("""SELECT item_id, line_no::VARCHAR AS first, description, total_quantity::BIGINT::VARCHAR AS last FROM items""")
+def aligned_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with a description in one cell, or over two."""
+    from quaytally.sources import grids as G
+
+    n = F.col("line_no").cast("string")
+    split = F.split("description", " ", 2)
+    cells = F.when(F.col("line_no") % 3 == 0, F.array(n, F.col("description"), whole("total_quantity"))).otherwise(F.concat(F.array(n), split, F.array(whole("total_quantity"))))
+    rows = G.aligned_rows(C.items(spark, d).select("item_id", cells.alias("cells")), ["line_no", "description", "total_quantity"])
+    return rows.select("item_id", F.col("cells")[0].alias("first"), F.col("cells")[1].alias("description"), F.element_at("cells", -1).alias("last"))

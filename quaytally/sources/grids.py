@@ -115,3 +115,18 @@ def field_rows(cells: DataFrame, labels: dict[str, str], fields: tuple[str, ...]
     data = cells.join(headers, ["page_id", "table"]).where("row > header_row").join(columns, ["page_id", "table", "col"])
     joined = data.groupBy("page_id", "table", "row", "column_field").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda s: s["text"])), " ").alias("value"))
     return joined.groupBy("page_id", "table", "row").pivot("column_field", list(fields)).agg(F.first("value"))
+
+
+def aligned_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of cells (`cells`) with as many cells as there are columns: fields by position, of which neighbours may both be "description".
+
+    What a row has too much is joined to its description; what it lacks of a spread description is left blank."""
+    first = columns.index("description")
+    span = next((i for i, c in enumerate(columns[first:]) if c != "description"), len(columns) - first)
+    n, more = len(columns), F.size("cells") - len(columns)
+    at = first + 1  # of the description, from 1
+    joined = F.array_join(F.filter(F.slice("cells", F.lit(at), more + 1), lambda c: F.trim(c) != ""), " ")
+    merged = F.concat(F.slice("cells", 1, first), F.array(joined), F.slice("cells", F.lit(at) + more + 1, F.lit(n - at)))
+    spread = F.concat(F.slice("cells", 1, at), F.array_repeat(F.lit(""), -more), F.slice("cells", F.lit(at + 1), F.greatest(F.size("cells") - at, F.lit(0))))
+    cells = F.when((more > 0) & F.lit(span == 1), merged).when((more < 0) & (-more < span), spread).otherwise(F.col("cells"))
+    return rows.withColumn("cells", cells)
