@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one task works on at a time.
@@ -95,3 +95,19 @@ def mixed(a: np.ndarray, b: np.ndarray | int, salt: int = 0) -> np.ndarray:
         x ^= x >> np.uint64(32)
         x *= np.uint64(0xD6E8FEB86659FD93)
         return x ^ (x >> np.uint64(31))
+
+
+def held_out(id: Column) -> Column:
+    """Whether a document's labels are kept from training; a null id's are not."""
+    return F.coalesce(F.crc32(id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id: str, text: str) -> DataFrame:
+    """A bounded sample of labelled rows that are not held out, by hash of their id: raw, label, lang."""
+    known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("label")).where("__id is not null and label in (0, 1)")
+    known = known.where(~held_out(F.col("__id"))).groupBy("__id").agg(F.max("label").alias("label"))
+    parts = [known.where(F.col("label") == y).orderBy(F.xxhash64("__id")).limit(per_class) for y in (0, 1)]
+    chosen = parts[0].unionByName(parts[1])  # 2 * per_class ids at most
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    own = docs.select(F.col(id).alias("__doc"), F.col(text).cast("binary").alias("raw"), lang.alias("lang"))
+    return own.join(F.broadcast(chosen), own["__doc"] == chosen["__id"]).select("raw", "label", F.coalesce("lang", F.lit("")).alias("lang"))

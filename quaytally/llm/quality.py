@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaytally.llm.common import WordCodes, chunks, hash64
+from quaytally.llm.common import WordCodes, chunks, hash64, held_out, labelled_sample
 
 PASSAGE, BUCKETS, HIDDEN, ATTENTION = 64, 64, 16, 8
 PER_CLASS, TRAIN_PASSAGES, STEPS, RATE, DECAY = 1500, 64, 150, 0.04, 1e-3
@@ -117,20 +117,6 @@ def fit(x: np.ndarray, many: np.ndarray, labels: np.ndarray, seed: int = 5) -> d
     return p | scale
 
 
-def held_out(id) -> F.Column:
-    return F.coalesce(F.crc32(id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
-
-
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id: str, text: str) -> DataFrame:
-    """A bounded sample of labelled rows that are not held out, by hash of their id: raw, label."""
-    known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("label")).where("__id is not null and label in (0, 1)")
-    known = known.where(~held_out(F.col("__id"))).groupBy("__id").agg(F.max("label").alias("label"))
-    parts = [known.where(F.col("label") == y).orderBy(F.xxhash64("__id")).limit(per_class) for y in (0, 1)]
-    chosen = parts[0].unionByName(parts[1])  # 2 * per_class ids at most
-    own = docs.select(F.col(id).alias("__doc"), F.col(text).cast("binary").alias("raw"))
-    return own.join(F.broadcast(chosen), own["__doc"] == chosen["__id"]).select("raw", "label")
-
-
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, train_passages: int = TRAIN_PASSAGES, id: str = "doc_id", text: str = "text") -> dict[str, np.ndarray] | None:
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes(word_code)
@@ -139,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
             bags = [b[:train_passages].astype(np.float32).tobytes() for b in np.split(x, np.cumsum(many)[:-1])]
             yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), part.column(1)], names=["bag", "label"])
 
-    rows = sample(docs, labels, label, per_class, id, text).mapInArrow(coded, "bag binary, label int").toArrow().to_pylist()
+    rows = labelled_sample(docs, labels, label, per_class, id, text).select("raw", "label").mapInArrow(coded, "bag binary, label int").toArrow().to_pylist()
     rows.sort(key=lambda r: (zlib.crc32(r["bag"]), r["bag"], r["label"]))
     y = np.array([r["label"] for r in rows], float)
     if len(set(y)) < 2:

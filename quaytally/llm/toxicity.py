@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaytally.llm.common import CACHE_WORDS, chunks
+from quaytally.llm.common import CACHE_WORDS, chunks, held_out, labelled_sample
 
 WIDTHS, FILTERS, DIM, BEGINNINGS = (1, 2, 3), 8, 12, (4, 6)
 PER_CLASS, TRAIN_WORDS, LEAST_TEXTS, LEAST_SHARE, EPOCHS, BATCH, RATE, DECAY, DROPPED = 2000, 2000, 3, 200, 5, 32, 0.01, 1e-4, 0.5
@@ -223,28 +223,13 @@ def best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
     return float((x[widest] + x[widest + 1]) / 2)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id: str, text: str) -> DataFrame:
-    """A bounded sample of labelled rows that are not held out, by hash of their id: raw, label, lang."""
-    known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("label")).where("__id is not null and label in (0, 1)")
-    known = known.where(~held_out(F.col("__id"))).groupBy("__id").agg(F.max("label").alias("label"))
-    parts = [known.where(F.col("label") == y).orderBy(F.xxhash64("__id")).limit(per_class) for y in (0, 1)]
-    chosen = parts[0].unionByName(parts[1])  # 2 * per_class ids at most
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    own = docs.select(F.col(id).alias("__doc"), F.col(text).cast("binary").alias("raw"), lang.alias("lang"))
-    return own.join(F.broadcast(chosen), own["__doc"] == chosen["__id"]).select("raw", "label", F.coalesce("lang", F.lit("")).alias("lang"))
-
-
-def held_out(id) -> F.Column:
-    return F.coalesce(F.crc32(id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
-
-
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, train_words: int = TRAIN_WORDS, id: str = "doc_id", text: str = "text") -> Model | None:
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raws in chunks(batches):
             rows = [[features(w) for w in words_of(r.decode("utf-8", "replace"))[:train_words]] for r in raws]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.list_(pa.int64()))), part.column(1), part.column(2)], names=["words", "label", "lang"])
 
-    rows = sample(docs, labels, label, per_class, id, text).mapInArrow(coded, "words array<array<long>>, label int, lang string").toArrow().to_pylist()
+    rows = labelled_sample(docs, labels, label, per_class, id, text).mapInArrow(coded, "words array<array<long>>, label int, lang string").toArrow().to_pylist()
     rows.sort(key=lambda r: zlib.crc32(repr((r["words"][:40], len(r["words"]))).encode()))
     if len({r["label"] for r in rows}) < 2:
         return None
