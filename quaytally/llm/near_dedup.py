@@ -8,9 +8,9 @@ all elements of a round share the bins, one or two rounds do for most texts, and
 concentrated as with independent hash functions.
 
 1. Texts of one set are one node (the smallest id); copies never meet in pairs.
-2. Nodes of a common band are a bucket. Each bucket's smallest node is held against the others on
-   the full sets, then its largest against those not yet in its component; the links found give
-   components.
+2. Nodes of a common band are a bucket. The node of each bucket that shares most bands is held
+   against its others on the full sets, then the smallest node against those not yet in its
+   component; the links found give components.
 3. Buckets of three or more nodes that still hold several components have pairs not yet looked at.
    Their nodes go to an exact join: elements ordered by rarity, sets of sizes n and m that
    are similar enough have k = ceil(0.75 (n + m) / 1.75) common elements, so one among the first
@@ -178,20 +178,28 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     sets = all_sketches.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
     own = all_sketches.withColumnRenamed("doc_id", "node").join(sets, ["node", "set_a", "set_b"])
     buckets = own.select(F.explode("bands").alias("band"), "node", F.col("n_shingles").alias("n"))
-    centres = buckets.groupBy("band").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("centre <> last")
-    members = written(buckets.join(centres, "band").select("band", "node", "n", "centre", "last", "size"), "buckets")
+    shared = buckets.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("least <> last")
+    members = written(buckets.join(shared, "band").select("band", "node", "n", "least", "size"), "buckets")
+    # the node that shares most bands with others is the nearest to all of them
+    degrees = members.groupBy("node").agg(F.sum("size").alias("degree"))
+    central = members.join(degrees, "node").groupBy("band").agg(F.max(F.struct("degree", "node")).alias("best")).select("band", F.col("best.node").alias("central"))
 
     found = docs.select(F.col(id).alias("node"), F.col(text).cast("binary").alias("raw"))
     bodies = written(found.join(members.select("node").distinct(), "node"), "bodies")
     sizes = members.select(F.col("node").alias("u"), F.col("n").alias("nu")).distinct()
-    stars = members.where("centre < node").select(F.col("centre").alias("u"), F.col("node").alias("v"), "n")
-    edges = written(verified(stars.distinct().join(sizes, "u").where(_fits(F.col("n"), F.col("nu"))), bodies), "links")
+
+    def star(centres: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+        """Verified links of each bucket's centre (u) with its other nodes, of other components if there are labels."""
+        pairs = centres.where("u <> v").distinct()
+        if labels is not None:
+            for end in "uv":
+                pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+            pairs = pairs.where(F.coalesce("cu", "u") != F.coalesce("cv", "v"))
+        return written(verified(pairs.join(sizes, "u").where(_fits(F.col("n"), F.col("nu"))), bodies), "links")
+
+    edges = star(members.join(central, "band").select(F.col("central").alias("u"), F.col("node").alias("v"), "n"))
     labels = components(edges)
-    # a second star from the other end settles most nodes that are too far from the first centre
-    own_label, last_label = labels.select(F.col("node").alias("v"), F.col("component").alias("cv")), labels.select(F.col("node").alias("u"), F.col("component").alias("cu"))
-    stars = members.where("size > 2 and node < last and node > centre").select(F.col("last").alias("u"), F.col("node").alias("v"), "n").distinct()
-    stars = stars.join(own_label, "v", "left").join(last_label, "u", "left").where(F.coalesce("cu", "u") != F.coalesce("cv", "v"))
-    second = written(verified(stars.join(sizes, "u").where(_fits(F.col("n"), F.col("nu"))), bodies), "links")
+    second = star(members.where("size > 2").select(F.col("least").alias("u"), F.col("node").alias("v"), "n"), labels)
     if not second.isEmpty():
         edges = edges.unionByName(second)
         labels = components(edges)
