@@ -230,8 +230,13 @@ def section_against_bars(items: DataFrame, bars: DataFrame) -> DataFrame:
 SHIFT_TAG = "repair:shifted_manifest_columns"
 
 
+def shown(c: Column) -> Column:
+    """A number as text, whole ones without a point."""
+    return F.regexp_replace(c.cast("string"), r"\.0$", "")
+
+
 def kilograms(c: Column) -> Column:
-    return F.when(c.isNotNull(), F.concat(c.cast("string"), F.lit("KGS")))
+    return F.when(c.isNotNull(), F.concat(shown(c), F.lit("KGS")))
 
 
 #: A manifest row: strings, then doubles.
@@ -274,6 +279,31 @@ def no_packing_repaired(r: Column) -> Column:
     return replaced(r, some, new)
 
 
+def compact_repaired(r: Column) -> Column:
+    """Rows that give packing as a carton count or pieces a carton, with quantity and volume one column early."""
+    packed, pieces, trailing = T.packing_cartons(T.text(r["packing"])), T.packing_pieces(T.text(r["packing"])), T.trailing_packing(T.text(r["description"]))
+    had, qty, unit, price = (F.coalesce(r[c], F.lit(0.0)) for c in ("cartons", "quantity", "unit_cbm", "cost_price"))
+    total_weight, amount = loose_or_null(r["total_weight"]), r["total_amount_rmb"]
+    compact = packed.isNotNull() & trailing.isNotNull() & (had > 0) & (qty > 0) & (qty < 5) & r["unit_cbm"].isNull() & amount.isNull() & (price >= 100)
+    early = (
+        (F.coalesce(had > F.greatest(F.lit(20.0), packed * 2), F.lit(False)) | (pieces.isNotNull() & (had > 0) & (had <= 20)))
+        & (qty > 0) & (qty <= 200) & (unit > 0) & (unit <= 5) & (F.coalesce(amount, F.lit(0.0)) <= 100) & ((price >= 500) | F.coalesce(total_weight.between(20, 600), F.lit(False)))
+    )
+    cartons = F.coalesce(packed, r["cartons"])
+    quantity = F.when(pieces.isNotNull() & (cartons > 0), half_up(cartons * pieces).cast("double")).otherwise(had)
+    volume = F.when(early, unit).otherwise(qty)
+    paid = F.when(price > 0, price)
+    inferred = F.when(total_weight > 0, total_weight).otherwise(half_up(paid / F.nullif(quantity, F.lit(0.0)) * 10000) / 10000)
+    even = F.when((cartons > 0) & (quantity > 0) & (quantity % F.nullif(cartons, F.lit(0.0)) == 0), F.concat(shown(quantity / F.nullif(cartons, F.lit(0.0))), F.lit("pcs/ctn")))
+    new = {
+        "description": F.when(trailing.isNotNull(), F.coalesce(T.without_trailing_packing(r["description"]), r["description"])).otherwise(r["description"]),
+        "packing": F.coalesce(trailing, F.when(pieces.isNotNull(), F.concat(shown(pieces), F.lit("pcs/ctn"))), even, r["packing"]), "cartons": cartons, "quantity": quantity, "unit_cbm": F.when((cartons > 0) & (volume > 0), half_up(volume / F.nullif(cartons, F.lit(0.0)) * 1e6) / 1e6), "cbm": volume,
+        "unit_weight": F.coalesce(kilograms(r["cbm"]), r["unit_weight"]), "total_weight": F.coalesce(r["unit_weight"], r["total_weight"]), "cost_price": F.when(inferred > 0, inferred).otherwise(r["cost_price"]), "total_amount_rmb": paid,
+        "dim_h_cm": F.when(early, r["quantity"]).otherwise(r["dim_h_cm"]), "dim_w_cm": F.when(early, r["dim_h_cm"]).otherwise(r["dim_w_cm"]), "dim_l_cm": F.when(early, r["dim_w_cm"]).otherwise(r["dim_l_cm"]), "remarks": T.with_remark(r["remarks"], "repair:compact_packed_shift_row_v2"),
+    }
+    return replaced(r, compact | early, new)
+
+
 def outliers_repaired(r: Column) -> Column:
     """Rows whose packing is a carton count and whose quantity went to the cartons, or to a dimension."""
     packed = T.packing_cartons(T.text(r["packing"]))
@@ -297,7 +327,7 @@ def manifest_repaired(rows: DataFrame) -> DataFrame:
 
     Each rule sees the row as one value, so that a rule's result is worked out once."""
     row = F.struct(*MANIFEST_FIELDS)
-    for rule in (shift_repaired, no_packing_repaired, outliers_repaired) * 2:
+    for rule in (shift_repaired, no_packing_repaired, compact_repaired, outliers_repaired) * 2:
         row = F.transform(F.array(row), rule)[0]
     rest = [c for c in rows.columns if c not in MANIFEST_FIELDS]
     return rows.select(*rest, row.alias("row")).select(*rest, "row.*")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaytally.functions import numbers as N
 from quaytally.functions import text as T
 from quaytally.operators import joins as J
 from quaytally.operators import reports as R

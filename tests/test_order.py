@@ -76,8 +76,17 @@ def test_delivery_note_csv(spark, tmp_path):
     assert [dict(r.cells) for r in rows] == [{"MARKS / SKU": "m-1", "QTY": "2\nlines", 'A "x"': "3", "__col3": "4"}, {"MARKS / SKU": "m-2", "QTY": "5", 'A "x"': "6", "__col3": ""}]
 
 
-def test_outlier_and_twice_run_chain(spark):
-    row = (None, "pan", "2CTNS", "12KGS", "15", None, 48.0, 60.0, None, None, None, 0.2, 9.0, 700.0, None)
-    df = spark.createDataFrame([row], ", ".join(f"{c} {'string' if i < 6 else 'double'}" for i, c in enumerate(rules.MANIFEST_FIELDS)))
-    got = rules.manifest_repaired(df).first()
-    assert (got.cartons, got.quantity, got.cbm, got.unit_cbm, got.cost_price, got.total_amount_rmb, got.remarks) == (2.0, 48.0, 0.2, 0.1, 15.0, 700.0, "repair:manifest_outlier_shift")
+def manifest_row(spark, **values):
+    row = tuple(values.get(c) for c in rules.MANIFEST_FIELDS)
+    return spark.createDataFrame([row], ", ".join(f"{c} {'string' if i < 6 else 'double'}" for i, c in enumerate(rules.MANIFEST_FIELDS)))
+
+
+def test_shift_rules(spark):
+    moved = dict(description="pan", packing="2CTNS", unit_weight="12KGS", total_weight="15", cartons=48.0, quantity=60.0, unit_cbm=0.2, cbm=9.0, cost_price=700.0)
+    got = rules.manifest_repaired(manifest_row(spark, **moved)).first()
+    assert (got.cartons, got.quantity, got.cbm, got.unit_cbm, got.cost_price, got.total_amount_rmb, got.packing, got.unit_weight, got.total_weight) == (2.0, 48.0, 0.2, 0.1, 15.0, 700.0, "24pcs/ctn", "9KGS", "12KGS")
+    assert got.remarks == "repair:compact_packed_shift_row_v2"
+    one = rules.manifest_repaired(manifest_row(spark, **moved | dict(cartons=3.0, cost_price=15.0))).first()
+    assert (one.cartons, one.quantity, one.total_amount_rmb, one.remarks) == (2.0, 2.0, 15.0, "repair:manifest_outlier_shift")
+    fine = dict(description="pan", packing="24pcs/ctn", unit_weight="4KGS", total_weight="8KGS", cartons=2.0, quantity=48.0, unit_cbm=0.1, cbm=0.2, cost_price=5.0, total_amount_rmb=240.0)
+    assert rules.manifest_repaired(manifest_row(spark, **fine)).first().asDict() == {c: fine.get(c) for c in rules.MANIFEST_FIELDS}
