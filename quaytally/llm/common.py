@@ -22,12 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, from the session; one of our own only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    application = spark.sparkContext.applicationId
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own_folders.get(application)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own_folders[application] = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
     return found
 
 
