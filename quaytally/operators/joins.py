@@ -117,3 +117,21 @@ def footer_rows(items: DataFrame, most: int = 400) -> DataFrame:
 def merged_by_id(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """All rows of the first, and those of the second that it does not have."""
     return first.unionByName(second.join(first.select(key), key, "left_anti").select(first.columns))
+
+
+def appended_if_none(items: DataFrame, recovered: DataFrame, is_one: Column) -> DataFrame:
+    """Items with the recovered rows of documents that have no such row yet."""
+    have = items.where(is_one).select("document_id").distinct()
+    return items.unionByName(recovered.join(have, "document_id", "left_anti").select(items.columns))
+
+
+# Item codes of rows kept for review, by kind of header or footer.
+SENTINEL_CODES = {"header": "__FULL_EXTRACT_BANNER__", "subtotal": "__SUBTOTAL__", "footer": "__FOOTER__"}
+
+
+def full_extract(products: DataFrame, other_lines: DataFrame) -> DataFrame:
+    """Products with the other lines of the document (document_id, line_no, text), each under the code of its kind; lines of no kind are headers."""
+    bar = (F.col("text").rlike(r"(?i)\d+\s*CTNS?\b") & F.col("text").rlike(r"(?i)\d\s*CBM\b")) & ~F.col("text").rlike(r"(?i)pcs\s*/\s*ctn")
+    code = F.when(T.footer_like(F.col("text")), SENTINEL_CODES["footer"]).when(bar, SENTINEL_CODES["subtotal"]).otherwise(SENTINEL_CODES["header"])
+    rows = other_lines.select("document_id", "line_no", code.alias("item_code"), F.col("text").alias("description"))
+    return products.select("document_id", "line_no", "item_code", "description").unionByName(rows)

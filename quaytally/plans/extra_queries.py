@@ -128,3 +128,19 @@ def aligned_rows(spark: SparkSession, d: str) -> DataFrame:
     cells = F.when(F.col("line_no") % 3 == 0, F.array(n, F.col("description"), whole("total_quantity"))).otherwise(F.concat(F.array(n), split, F.array(whole("total_quantity"))))
     rows = G.aligned_rows(C.items(spark, d).select("item_id", cells.alias("cells")), ["line_no", "description", "total_quantity"])
     return rows.select("item_id", F.col("cells")[0].alias("first"), F.col("cells")[1].alias("description"), F.element_at("cells", -1).alias("last"))
+
+
+@query("""SELECT document_id, item_id, description FROM items UNION ALL SELECT document_id, -document_id - 1, 'outlier ' || max(line_no) FROM items GROUP BY 1 HAVING NOT bool_or(description LIKE '%ring%')""")
+def recovered_rows(spark: SparkSession, d: str) -> DataFrame:
+    items = C.items(spark, d).select("document_id", "item_id", "description", "line_no")
+    recovered = items.groupBy("document_id").agg(F.max("line_no").alias("line_no")).select("document_id", (-F.col("document_id") - 1).alias("item_id"), F.concat(F.lit("outlier "), "line_no").alias("description"), "line_no")
+    return J.appended_if_none(items, recovered, F.col("description").contains("ring")).drop("line_no")
+
+
+@query("""SELECT document_id, line_no, item_code, description FROM items UNION ALL
+SELECT document_id, 1000 + k, ['__FULL_EXTRACT_BANNER__', '__SUBTOTAL__', '__FOOTER__'][k], ['NEW ORDER', '12CTN 3CBM 4KGS', 'EXCHANGE RATE 6.80'][k] FROM (SELECT DISTINCT document_id FROM items), range(1, 4) r(k)""")
+def full_extract(spark: SparkSession, d: str) -> DataFrame:
+    items = C.items(spark, d)
+    texts = F.array(*(F.lit(x) for x in ("NEW ORDER", "12CTN 3CBM 4KGS", "EXCHANGE RATE 6.80")))
+    other = items.select("document_id").distinct().select("document_id", F.posexplode(texts).alias("n", "text")).select("document_id", (1001 + F.col("n")).cast("long").alias("line_no"), "text")
+    return J.full_extract(items, other)
