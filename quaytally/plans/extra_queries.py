@@ -144,3 +144,13 @@ def full_extract(spark: SparkSession, d: str) -> DataFrame:
     texts = F.array(*(F.lit(x) for x in ("NEW ORDER", "12CTN 3CBM 4KGS", "EXCHANGE RATE 6.80")))
     other = items.select("document_id").distinct().select("document_id", F.posexplode(texts).alias("n", "text")).select("document_id", (1001 + F.col("n")).cast("long").alias("line_no"), "text")
     return J.full_extract(items, other)
+
+
+@query("""SELECT item_id, item_code, description, CASE WHEN line_no % 5 <> 0 THEN total_cartons::DOUBLE END AS total_cartons, CASE WHEN line_no % 5 <> 0 THEN (total_cartons * qty_per_carton)::DOUBLE END AS total_quantity, CASE WHEN line_no % 5 <> 0 THEN total_amount_rmb::DOUBLE END AS total_amount_rmb, shop AS warehouse FROM items""")
+def anchored_rows(spark: SparkSession, d: str) -> DataFrame:
+    pieces = F.when(F.col("line_no") % 5 != 0, (F.col("total_cartons") * F.col("qty_per_carton")).cast("long").cast("string")).otherwise("999999")
+    numbers = [whole("total_cartons"), whole("qty_per_carton"), pieces, F.col("unit_price_rmb").cast("string"), F.format_number("total_amount_rmb", 2), *(F.lit(x) for x in ("30", "20", "10", "0.006", "1.5", "0.01", "3"))]
+    tail = F.array(F.col("item_code"), F.col("description"), *numbers, F.lit("6901234567"), F.lit(""), F.col("shop"))
+    cells = F.when(F.col("line_no") % 2 == 0, F.concat(F.array(F.lit("1"), F.lit("26C707-6083")), tail)).otherwise(tail)
+    found = L.anchored_cells(C.items(spark, d).select("item_id", cells.alias("cells")))
+    return found.select("item_id", "item_code", "description", "total_cartons", "total_quantity", "total_amount_rmb", "warehouse")

@@ -175,3 +175,17 @@ FACTS = {
 def document_facts(documents: DataFrame, text: str) -> DataFrame:
     number = lambda p: prefix_number(F.replace(F.regexp_extract(text, p, 1), F.lit(","), F.lit("")))
     return documents.select("document_id", *(number(p).alias(c) for c, p in FACTS.items()), F.nullif(F.regexp_extract(text, r"(?i)CONTAINER\s+NO\.?\s*:?\s*([A-Z0-9-]+)", 1), F.lit("")).alias("container_no"))
+
+
+def anchored_cells(rows: DataFrame) -> DataFrame:
+    """Headerless sales rows (`cells`): the last barcode cell is the anchor, and the twelve numbers and the
+    description stand at fixed places before it, remark and warehouse after it. A row whose cartons, pieces
+    a carton and quantity do not agree has lost or gained a cell and gets no numbers."""
+    found = F.transform("cells", lambda c, i: F.when(F.trim(c).rlike(r"^\d{8,14}$"), i + 1))
+    anchor = F.array_max(found)
+    at = lambda k: F.try_element_at("cells", F.nullif(F.greatest(F.col("anchor") + k, F.lit(0)), F.lit(0)))
+    placed = rows.withColumn("anchor", anchor)
+    numbers = {c: prefix_number(F.replace(F.regexp_replace(at(i - 12), "[¥￥ ]", ""), F.lit(","), F.lit(""))) for i, c in enumerate(TAIL)}
+    placed = placed.withColumns({"barcode": at(0), "description": at(-13), "item_code": at(-14), "remarks": F.nullif(F.trim(at(1)), F.lit("")), "warehouse": F.nullif(F.trim(at(2)), F.lit("")), **numbers})
+    fits = F.coalesce(_near(F.col("total_cartons") * F.col("qty_per_carton"), F.col("total_quantity")), F.lit(False))
+    return placed.withColumn("fits", fits).withColumns({c: F.when(F.col("fits"), F.col(c)) for c in TAIL}).drop("anchor", "cells", "fits")
