@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaytally.llm.common import CACHE_WORDS, chunks, texts, written
+from quaytally.llm.common import chunks, texts, written
 
 LENGTH, BUCKETS = 1024, 256
+#: Pieces of text that a worker remembers the ids of; encoding anew is what costs.
+CACHE_PIECES = 1_000_000
 
 
 class Ids:
@@ -62,7 +64,7 @@ class Ids:
 
     def of(self, raws: list[bytes]) -> list[bytes]:
         for known in (self.spaced, self.first):
-            if len(known) > CACHE_WORDS:
+            if len(known) > CACHE_PIECES:
                 known.clear()
         whole = [raw.decode("utf-8", "replace") for raw in raws]
         plain = [self.is_plain(t, raw) for t, raw in zip(whole, raws)]
