@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2 << 20
 #: Entries of a per-process word cache before it starts anew.
 CACHE_WORDS = 500_000
+#: Words of a class that the classifiers learn from before they take no more rows (about 30 MB of hashes).
+TRAIN_WORDS = 2_500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,4 +115,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     chosen = parts[0].unionByName(parts[1])  # 2 * per_class ids at most
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     own = docs.select(F.col(id).alias("__doc"), F.col(text).cast("binary").alias("raw"), lang.alias("lang"))
-    return own.join(F.broadcast(chosen), own["__doc"] == chosen["__id"]).select("raw", "label", F.coalesce("lang", F.lit("")).alias("lang"))
+    key = F.xxhash64("__doc", "raw").alias("key")
+    return own.join(F.broadcast(chosen), own["__doc"] == chosen["__id"]).select("raw", "label", F.coalesce("lang", F.lit("")).alias("lang"), key)
+
+
+def whole_rows(coded: DataFrame, per_class: int, most_words: int) -> list[dict]:
+    """The rows (key, label, words, ...) to learn from, each whole: by key, per_class a class at most, and
+    no more of a class once its words have reached most_words. Rows of one key count once."""
+    coded, chosen = written(coded, "sample"), []
+    for y in (0, 1):
+        left = most_words
+        for r in coded.where(F.col("label") == y).groupBy("key").agg(F.max("words").alias("words")).orderBy("key").limit(per_class).collect():
+            if left <= 0:
+                break
+            left -= r["words"]
+            chosen.append(r["key"])
+    return coded.where(F.col("key").isin(chosen)).dropDuplicates(["key"]).toArrow().to_pylist() if chosen else []

@@ -7,8 +7,8 @@ tanh(V h) * sigmoid(U h), weigh the passages; a logistic unit scores their weigh
 are learnt in numpy from the texts' labels alone. Words are looked up in a cache by task; passages of
 many texts are encoded and weighed at once.
 
-Training uses a bounded sample of labelled rows (`per_class` rows a class, chosen by hash of the id,
-at most `train_passages` passages of each); the model has a fixed size.
+Training uses a bounded sample of labelled rows (`per_class` rows a class, chosen by hash of the id, and
+no more rows once they have `train_words` words), all passages of each; the model has a fixed size.
 
 Null and empty texts are one empty passage. Long texts are whole. A null id stays null (held_out
 false). Repeated rows score alike. Without labels of both classes the score is 1 for all, so that
@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaytally.llm.common import WordCodes, chunks, hash64, held_out, labelled_sample
+from quaytally.llm.common import TRAIN_WORDS, WordCodes, chunks, hash64, held_out, labelled_sample, whole_rows
 
 PASSAGE, BUCKETS, HIDDEN, ATTENTION = 64, 64, 16, 8
-PER_CLASS, TRAIN_PASSAGES, STEPS, RATE, DECAY = 1500, 64, 150, 0.04, 1e-3
+PER_CLASS, STEPS, RATE, DECAY = 1500, 150, 0.04, 1e-3
 REJECT_BELOW = 0.3
 WIDTH = BUCKETS + 4
 
@@ -117,15 +117,15 @@ def fit(x: np.ndarray, many: np.ndarray, labels: np.ndarray, seed: int = 5) -> d
     return p | scale
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, train_passages: int = TRAIN_PASSAGES, id: str = "doc_id", text: str = "text") -> dict[str, np.ndarray] | None:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, train_words: int = TRAIN_WORDS, id: str = "doc_id", text: str = "text") -> dict[str, np.ndarray] | None:
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes(word_code)
         for part, raws in chunks(batches):
             x, many = passages(raws, codes)
-            bags = [b[:train_passages].astype(np.float32).tobytes() for b in np.split(x, np.cumsum(many)[:-1])]
-            yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), part.column(1)], names=["bag", "label"])
+            bags = [b.tobytes() for b in np.split(x, np.cumsum(many)[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(bags, pa.binary()), part.column(1), part.column(2), pa.array(many * PASSAGE, pa.int64())], names=["bag", "label", "key", "words"])
 
-    rows = labelled_sample(docs, labels, label, per_class, id, text).select("raw", "label").mapInArrow(coded, "bag binary, label int").toArrow().to_pylist()
+    rows = whole_rows(labelled_sample(docs, labels, label, per_class, id, text).select("raw", "label", "key").mapInArrow(coded, "bag binary, label int, key long, words long"), per_class, train_words)
     rows.sort(key=lambda r: (zlib.crc32(r["bag"]), r["bag"], r["label"]))
     y = np.array([r["label"] for r in rows], float)
     if len(set(y)) < 2:

@@ -9,8 +9,9 @@ once, and a text costs table look-ups and sums.
 The score sees the text alone. Thresholds by language come from the held-in validation part and feed
 the extra column `flagged` only.
 
-Training uses a bounded sample of labelled rows (`per_class` rows a class, of at most `train_words`
-words each, chosen by hash of the id); the model is broadcast, its size bounded by the sample.
+Training uses a bounded sample of labelled rows (`per_class` rows a class, chosen by hash of the id, and
+no more rows once they have `train_words` words), the whole text of each, pooled in pieces; the model is
+broadcast, its size bounded by the sample.
 
 Null and empty texts score as a text without known words. Long texts are whole, scored in overlapping
 pieces whose maxima are the text's. A null id stays null (held_out false). Repeated rows score alike.
@@ -20,6 +21,7 @@ Without labels of both classes the score is 0 for all. Other columns are not rea
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaytally.llm.common import CACHE_WORDS, chunks, held_out, labelled_sample
+from quaytally.llm.common import CACHE_WORDS, TRAIN_WORDS, chunks, held_out, labelled_sample, whole_rows
 
 WIDTHS, FILTERS, DIM, BEGINNINGS = (1, 2, 3), 8, 12, (4, 6)
-PER_CLASS, TRAIN_WORDS, LEAST_TEXTS, LEAST_SHARE, EPOCHS, BATCH, RATE, DECAY, DROPPED = 2000, 2000, 3, 200, 5, 32, 0.01, 1e-4, 0.5
+PER_CLASS, LEAST_TEXTS, EPOCHS, BATCH, RATE, DECAY, DROPPED = 2000, 3, 5, 32, 0.01, 1e-4, 0.5
 NO_ROWS = (0,) * (1 + len(BEGINNINGS))
 WORD = re.compile(r"\w+")
-PIECE_WORDS = 1 << 16
+PIECE_WORDS, TRAIN_PIECE = 1 << 16, 1 << 15
 
 
 def features(word: str) -> list[int]:
@@ -119,22 +121,20 @@ class Scorer:
         return float(1 / (1 + np.exp(-(pooled @ self.model.weights + self.model.offset))))
 
 
-def fit(samples: list[tuple[list[list[int]], int, str]], seed: int = 7) -> Model:
-    """From (feature hashes by word, label, language) of each training text."""
+def fit(samples: list[tuple[np.ndarray, int, str]], seed: int = 7) -> Model:
+    """From (feature hashes by word, 0 for none, label, language) of each training text."""
     rng = np.random.default_rng(seed)
     labels = np.array([y for _, y, _ in samples], float)
-    seen: dict[int, int] = {}
-    for words, _, _ in samples:
-        for h in set(chain.from_iterable(words)):
-            seen[h] = seen.get(h, 0) + 1
-    rows = {h: i + 1 for i, h in enumerate(sorted(h for h, n in seen.items() if n >= max(LEAST_TEXTS, len(samples) // LEAST_SHARE)))}
+    seen, texts = np.unique(np.concatenate([np.unique(words) for words, _, _ in samples]), return_counts=True)
+    vocabulary = seen[(texts >= LEAST_TEXTS) & (seen > 0)]
+    rows = {h: i + 1 for i, h in enumerate(vocabulary.tolist())}
     per_word = 1 + len(BEGINNINGS)
     coded = []
     for words, _, _ in samples:
         own = np.zeros((max(1, len(words)) + max(WIDTHS) - 1, per_word), np.int32)
-        for i, hashes in enumerate(words):
-            for j, h in enumerate(hashes):
-                own[i, j] = rows.get(h, 0)
+        if len(vocabulary):
+            at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+            own[: len(words)] = np.where(vocabulary[at] == words, at + 1, 0)
         coded.append(own)
     embedding = rng.normal(0, 0.1, (len(rows) + 1, DIM))
     embedding[0] = 0
@@ -150,17 +150,20 @@ def fit(samples: list[tuple[list[list[int]], int, str]], seed: int = 7) -> Model
         ids = coded[i]
         if dropped:  # whole words go, so that a text is not known by one of them
             ids = np.where(rng.random((len(ids), 1)) < dropped, 0, ids)
-        vectors = parameters["e"][ids].sum(1)
-        n = len(ids) - max(WIDTHS) + 1
-        pooled, places = [], []
-        for k, w in enumerate(WIDTHS):
-            windows = np.lib.stride_tricks.sliding_window_view(vectors, w, axis=0)[:n].transpose(0, 2, 1).reshape(n, w * DIM)
-            value = windows @ parameters[f"f{w}"]
-            best = value.argmax(0)
-            places.append(best)
-            pooled.append(value[best, np.arange(FILTERS)] + parameters["b"][k * FILTERS : (k + 1) * FILTERS])
-        pooled = np.concatenate(pooled)
-        return ids, vectors, places, pooled, float(np.maximum(pooled, 0) @ parameters["w"] + parameters["o"][0])
+        whole = len(ids) - max(WIDTHS) + 1
+        pooled, places = np.full(FILTERS * len(WIDTHS), -np.inf), np.zeros((len(WIDTHS), FILTERS), np.int64)
+        for begin in range(0, whole, TRAIN_PIECE):
+            vectors = parameters["e"][ids[begin : begin + TRAIN_PIECE + max(WIDTHS) - 1]].sum(1)
+            n = len(vectors) - max(WIDTHS) + 1
+            for k, w in enumerate(WIDTHS):
+                windows = np.lib.stride_tricks.sliding_window_view(vectors, w, axis=0)[:n].transpose(0, 2, 1).reshape(n, w * DIM)
+                value = windows @ parameters[f"f{w}"]
+                best = value.argmax(0)
+                most, own = value[best, np.arange(FILTERS)], pooled[k * FILTERS : (k + 1) * FILTERS]
+                places[k] = np.where(most > own, best + begin, places[k])
+                np.maximum(own, most, out=own)
+        pooled += parameters["b"]
+        return ids, places, pooled, float(np.maximum(pooled, 0) @ parameters["w"] + parameters["o"][0])
 
     for _ in range(EPOCHS):
         rng.shuffle(order)
@@ -169,7 +172,7 @@ def fit(samples: list[tuple[list[list[int]], int, str]], seed: int = 7) -> Model
             grads = {k: np.zeros_like(parameters[k]) for k in dense}
             touched: dict[int, np.ndarray] = {}
             for i in batch:
-                ids, vectors, places, pooled, logit = forward(i, DROPPED)
+                ids, places, pooled, logit = forward(i, DROPPED)
                 delta = (1 / (1 + np.exp(-logit)) - labels[i]) * balance[i] / len(batch)
                 grads["w"] += delta * np.maximum(pooled, 0)
                 grads["o"] += delta
@@ -179,7 +182,7 @@ def fit(samples: list[tuple[list[list[int]], int, str]], seed: int = 7) -> Model
                     own = back[k * FILTERS : (k + 1) * FILTERS]
                     for f in np.flatnonzero(own):
                         at = places[k][f]
-                        grads[f"f{w}"][:, f] += own[f] * vectors[at : at + w].ravel()
+                        grads[f"f{w}"][:, f] += own[f] * parameters["e"][ids[at : at + w]].sum(1).ravel()
                         shares = own[f] * parameters[f"f{w}"][:, f].reshape(w, DIM)
                         for j in range(w):
                             for r in ids[at + j].tolist():
@@ -198,7 +201,7 @@ def fit(samples: list[tuple[list[list[int]], int, str]], seed: int = 7) -> Model
                 second["e"][at] += g * g  # adaptive by row, as most rows are touched seldom
                 parameters["e"][at] -= 0.1 * g / (np.sqrt(second["e"][at]) + 1e-8)
     model = Model(rows, parameters["e"], [parameters[f"f{w}"].reshape(w, DIM, FILTERS) for w in WIDTHS], parameters["b"], parameters["w"], 0.0, {})
-    logits = np.array([forward(i)[4] for i in range(len(samples))])
+    logits = np.array([forward(i)[3] for i in range(len(samples))])
     held = validation if len(set(labels[validation])) == 2 else np.ones(len(samples), bool)
     # the score passes 0.5 where the validation texts are told apart best
     model.offset = float(parameters["o"][0] - best_cut(logits[held], labels[held]))
@@ -226,14 +229,16 @@ def best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, train_words: int = TRAIN_WORDS, id: str = "doc_id", text: str = "text") -> Model | None:
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raws in chunks(batches):
-            rows = [[features(w) for w in words_of(r.decode("utf-8", "replace"))[:train_words]] for r in raws]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.list_(pa.int64()))), part.column(1), part.column(2)], names=["words", "label", "lang"])
+            documents = [words_of(r.decode("utf-8", "replace")) for r in raws]
+            own = {w: struct.pack(f"<{len(NO_ROWS)}I", *(features(w) + [0, 0])[: len(NO_ROWS)]) for w in set(chain.from_iterable(documents))}
+            hashes = pa.array([b"".join(map(own.__getitem__, d)) for d in documents], pa.binary())
+            yield pa.RecordBatch.from_arrays([hashes, *part.columns[1:], pa.array([len(d) for d in documents], pa.int64())], names=["hashes", "label", "lang", "key", "words"])
 
-    rows = labelled_sample(docs, labels, label, per_class, id, text).mapInArrow(coded, "words array<array<long>>, label int, lang string").toArrow().to_pylist()
-    rows.sort(key=lambda r: zlib.crc32(repr((r["words"][:40], len(r["words"]))).encode()))
+    rows = whole_rows(labelled_sample(docs, labels, label, per_class, id, text).mapInArrow(coded, "hashes binary, label int, lang string, key long, words long"), per_class, train_words)
+    rows.sort(key=lambda r: (zlib.crc32(r["hashes"]), r["hashes"], r["label"]))
     if len({r["label"] for r in rows}) < 2:
         return None
-    return fit([(r["words"], r["label"], r["lang"]) for r in rows])
+    return fit([(np.frombuffer(r["hashes"], "<u4").reshape(-1, len(NO_ROWS)), r["label"], r["lang"]) for r in rows])
 
 
 SCORES = "doc_id long, score double"

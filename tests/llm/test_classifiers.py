@@ -69,3 +69,45 @@ def test_pipeline_stages(spark, tables):
         out = stage(spark, sample, SMALL)
         assert out.columns == docs.columns
         assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in decide(sample).collect())
+
+
+@pytest.fixture(scope="module")
+def late(spark):
+    """Long documents whose marks all stand at the very end."""
+    ids = [i for i in range(400) if not held_out(i)]
+    filler = [f"w{i % 97}" for i in range(6000)]
+    word = lambda i: "zorgulent" if i % 2 else "plaintiful"
+    docs = spark.createDataFrame([(i, " ".join([*filler[i:], *([word(i)] * 130)]), "en") for i in ids], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in ids], "doc_id long, toxic int, quality int")
+    return docs, labels
+
+
+def test_toxic_words_after_a_long_beginning_are_learnt(late):
+    docs, labels = late
+    model = toxicity.train(docs, labels)
+    assert all(h in model.rows for w in ("zorgulent", "plaintiful") for h in toxicity.features(w))
+    found = [(r.score, r.doc_id % 2) for r in toxicity.scored(docs, model).collect()]
+    assert auc(found) == 1
+
+
+def test_bad_passages_after_a_long_beginning_are_learnt(late):
+    from pyspark.sql import functions as F
+
+    docs, labels = late
+    docs = docs.withColumn("text", F.regexp_replace("text", "zorgulent", "#!#!"))
+    assert auc([(r.score, 1 - r.doc_id % 2) for r in quality.quality(docs, labels).collect()]) == 1
+
+
+def test_rare_words_of_a_large_sample_have_embeddings():
+    import numpy as np
+
+    samples = [(np.array([[1, 2, 3], [9 if i < 3 else 8 if i < 5 else 7, 0, 0]], np.uint32), i % 2, "") for i in range(1000)]
+    assert {8, 9} & set(toxicity.fit([s if i != 4 else samples[5] for i, s in enumerate(samples)]).rows) == {9}
+
+
+def test_sample_has_fewer_rows_not_shorter_ones(spark):
+    from quaytally.llm.common import whole_rows
+
+    coded = spark.createDataFrame([(k, y, w) for y in (0, 1) for k, w in ((10 * y + 1, 40), (10 * y + 2, 500), (10 * y + 2, 500), (10 * y + 3, 1))], "key long, label int, words long")
+    assert sorted((r["key"], r["words"]) for r in whole_rows(coded, 10, 100)) == [(1, 40), (2, 500), (11, 40), (12, 500)]
+    assert sorted(r["key"] for r in whole_rows(coded, 1, 100)) == [1, 11]
