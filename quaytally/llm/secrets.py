@@ -1,6 +1,8 @@
 """Secret scan: three fixed pattern kinds, and strings that a primed compressor cannot shorten.
 
-A candidate is a long run of secret-like characters with a sensitive word shortly before it. Its
+A candidate is a long run of secret-like characters with a sensitive word shortly before it. Of a run
+NAME=value without spaces the value is the candidate, and the name is part of what stands before it;
+where no part of a run is novel by itself, the whole run is looked at. Its
 novelty is the number of bytes that it adds to the Zstandard frame of the surrounding text, whose
 compressor is primed with a dictionary of common identifiers, as a share of what the same bytes add
 out of order. Words and names that the dictionary or the surroundings know add much less; random keys
@@ -37,6 +39,8 @@ CONTEXT = re.compile(r"pass(?:word|wd|phrase)|secret|token|api_?key|credential|a
 CONTEXT_WORDS = (b"passw", b"passphrase", b"secret", b"token", b"apikey", b"api_key", b"credential", b"authori", b"bearer", b"private", b"accesskey", b"access_key", b"clientid", b"client_id", b"signature", b"session", b"cookie", b"login")
 CANDIDATE_LEAST, CONTEXT_REACH, AROUND, NOVELTY, LEAST_COST = 20, 48, 256, 0.9, 0.66
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{CANDIDATE_LEAST},}}")
+NAMED = re.compile(r"[A-Za-z0-9+/_.-]+=+(?=[A-Za-z0-9+/_.-])")
+PART = re.compile(rf"[A-Za-z0-9+/_.-]{{{CANDIDATE_LEAST},}}=*")
 
 #: What code and configuration usually say; primes the compressor.
 IDENTIFIERS = """
@@ -86,10 +90,22 @@ def novel_spans(text: str, raw: bytes, novelty: Novelty, least: float = NOVELTY)
     if not any(x in low for x in CONTEXT_WORDS):
         return []
     found = []
+
+    def is_novel(start: int, end: int, reach_from: int) -> bool:
+        before, context = text[max(0, start - AROUND) : start], text[max(0, reach_from - CONTEXT_REACH) : start]
+        return CONTEXT.search(context) is not None and novelty(before, text[start:end], text[end : end + AROUND]) >= least
+
     for m in CANDIDATE.finditer(text):
-        before = text[max(0, m.start() - AROUND) : m.start()]
-        if CONTEXT.search(before[-CONTEXT_REACH:]) and novelty(before, m[0], text[m.end() : m.end() + AROUND]) >= least:
-            found.append((*m.span(), "novel"))
+        own = []
+        if named := NAMED.match(m[0]):  # the value behind the leading name
+            start = m.start() + named.end()
+            if m.end() - start >= CANDIDATE_LEAST and is_novel(start, m.end(), m.start()):
+                own = [(start, m.end())]
+            # else each part between the signs, with the names before it
+            own = own or [(a, b) for p in PART.finditer(text, m.start(), m.end()) if is_novel(a := p.start(), b := p.end(), a)]
+        if not own and is_novel(*m.span(), m.start()):
+            own = [m.span()]
+        found += [(*s, "novel") for s in own]
     return found
 
 

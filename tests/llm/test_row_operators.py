@@ -153,3 +153,18 @@ def test_rules_are_filed_under_their_rarest_token(spark):
     assert rule.tokens == ("shop", "example", "com", "en")
     urls = url_filter.with_parts(spark.createDataFrame([(1, "http://shop.example.com/en/sale"), (2, "http://example.com/en/")], "page_id long, url string"), "page_id", "url")
     assert url_filter.token_counts(urls, (rule,)) == {"shop": 1, "example": 2, "com": 2, "en": 2}
+
+
+@pytest.mark.parametrize("name", ["PRIVATE_KEY", "access_key", "client_id", "my.credential", "authorization", "session", "cookie", "signature", "login", "bearer", "--passphrase", "x=session"])
+def test_value_behind_its_name_without_spaces(name):
+    key = "q8Zt1LmX0vRk29YwPq7BnsD4"
+    for text in (f"{name}={key}", f"export {name}={key}\n", f"https://host/?a=1&{name}={key}&b=2", f"{name}={key}=="):
+        found = secrets.novel_spans(text, text.encode(), secrets.Novelty())
+        assert [text[a:b].rstrip("=") for a, b, _ in found] == [key]
+    plain = f"{name.replace('_', '')}=the_usual_configuration_default"
+    assert secrets.novel_spans(plain, plain.encode(), secrets.Novelty()) == []
+
+
+def test_run_without_a_name_is_whole():
+    text = "secret: q8Zt1LmX0vRk=9YwPq7BnsD4K"
+    assert [text[a:b] for a, b, _ in secrets.novel_spans(text, text.encode(), secrets.Novelty())] == [text[8:]]
