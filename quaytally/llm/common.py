@@ -43,6 +43,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, __row, that stays: ids may be null or repeated, these are not."""
+    return written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
+def first_rows(rows: DataFrame, *group: str) -> DataFrame:
+    """__row of one row of each group, that with the smallest id (a null one last); rows: __row, id and the groups."""
+    return rows.groupBy(*group).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("first")).select("first.__row")
+
+
 def texts(docs: DataFrame, *more: str, text: str = "text") -> DataFrame:
     """The text in UTF-8 as `raw` (null stays null), besides the columns named."""
     return docs.select(*more, F.col(text).cast("binary").alias("raw"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaytally.llm.common import chunks, mixed, texts, written
+from quaytally.llm.common import chunks, mixed, numbered, texts, written
 
 SIZE, SHINGLE, BLOCK_BYTES = 10, 3, 4 << 20
 
@@ -194,8 +194,9 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", t
 
 def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs without any window of the benchmark, with all their columns."""
-    hit = decontamination(docs, benchmark, id, text, item, item_text).where("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs[id] == F.col("__hit"), "left_anti")
+    own = numbered(docs)  # by row, as an id may be null or repeated
+    hit = decontamination(own.select("__row", F.col(text).alias("text")), benchmark, "__row", item=item, item_text=item_text).where("contaminated").select(F.col("doc_id").alias("__row"))
+    return own.join(hit, "__row", "left_anti").select(docs.columns)
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

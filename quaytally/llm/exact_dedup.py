@@ -7,7 +7,7 @@ their class by (hash, SHA-256), which the class table proves to name one text ea
 
 Nulls: a null text counts as empty; a null id never wins over another id, and a class with null ids
 only has a null keep_id. Empty and very long texts are like any other. Repeated rows (same id, same
-text) are counted each and marked alike. An empty table gives an empty result. Other columns of the
+text) are counted each and marked alike; exact_dedup keeps one row of a class. An empty table gives an empty result. Other columns of the
 input, whatever their names, are not read.
 """
 
@@ -18,6 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaytally.llm.common import first_rows, numbered
+
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -44,10 +46,11 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", hash12
 
 
 def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = exact_groups(docs, id, text).where("kept").select(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha256")).distinct()
-    own = docs.withColumn("__sha256", F.sha2(normalised(F.col(text)), 256))
-    return own.join(kept, own[id].eqNullSafe(F.col("__kept_id")) & (F.col("__sha256") == F.col("__kept_sha256")), "left_semi").drop("__sha256")
+    """The rows of docs that stay, with all their columns: one row of each text, whatever the ids."""
+    own = numbered(docs)
+    body = normalised(F.col(text))
+    rows = own.select("__row", F.col(id).alias("id"), F.unhex(F.md5(body)).alias("md5"), F.unhex(F.sha2(body, 256)).alias("sha256"))
+    return own.join(first_rows(rows, "md5", "sha256"), "__row", "left_semi").drop("__row")
 
 
 ORACLE = r"""

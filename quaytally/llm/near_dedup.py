@@ -21,7 +21,7 @@ Two sets of similarity 0.75 share no band with probability (1 - 0.75 ** ROWS) **
 
 Null and empty texts have an empty set and are linked with nothing. A text of fewer words than a
 shingle has one element, its whole sequence. Long texts are whole. Rows that share an id are one node
-where they share a set. A null id takes part in no link. An empty table gives an empty result. Other
+where they share a set. A null id takes part in no link (in near_dedup it does). An empty table gives an empty result. Other
 columns are not read.
 """
 
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaytally.llm.common import WordCodes, chunks, mixed, written
+from quaytally.llm.common import WordCodes, chunks, first_rows, mixed, numbered, written
 from quaytally.llm.graph import components
 
 SHINGLE, ROWS, BANDS, PERCENT = 5, 5, 32, 75
@@ -217,6 +217,9 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
 
 
 def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay: one document of each group, with all their columns."""
-    gone = near_groups(docs, id, text).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id] == F.col("__gone"), "left_anti")
+    """The rows of docs that stay: one row of each group, with all their columns. Rows are told apart by their
+    number, so null and repeated ids are grouped like any other."""
+    own = numbered(docs)
+    groups = near_groups(own, "__row", text).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("component"))
+    rows = own.select("__row", F.col(id).alias("id")).join(groups, "__row")
+    return own.join(first_rows(rows, "component"), "__row", "left_semi").drop("__row")
