@@ -105,13 +105,13 @@ def price_donors(items: DataFrame) -> DataFrame:
 
 
 # Words of footer lines that a list query looks for.
-FOOTER_WORDS = ("TOTAL WEIGHT", "TOTAL CBM", "TOTAL CARTON", "TOTAL COST", "TOTAL BALANCE", "GOODS BALANCE", "CREDIT SUPPORT", "PIVOC", "EXCHANGE RATE", "REDUCE DETAILS")
+FOOTER_WORDS = ("TOTAL WEIGHT", "TOTAL CBM", "TOTAL CARTON", "TOTAL COST", "TOTAL BALANCE", "GOODS BALANCE", "CREDIT SUPPORT", "PIVOC", "FREIGHT", "EXCHANGE RATE", "BALANCE PAYMENT", "outstanding balance is not paid", "payment delay surcharge", "vessel arrival mombasa", "REDUCE DETAILS")
 
 
-def footer_rows(items: DataFrame, most: int = 400) -> DataFrame:
-    """The first rows that look like footer lines, for a report."""
-    hit = T.any_of([F.coalesce(F.col(c).ilike(f"%{w}%"), F.lit(False)) for w in FOOTER_WORDS for c in ("marks", "description", "item_code")])
-    return items.where(hit).orderBy("item_id").limit(most)
+def footer_rows(items: DataFrame, most: int = 400, include_deleted: bool = False) -> DataFrame:
+    """The first rows that look like footer lines, for a report; deleted ones only if asked for."""
+    hit = T.any_of([F.coalesce(F.col(c).ilike(f"%{w}%"), F.lit(False)) for w in FOOTER_WORDS for c in ("marks", "description", "shop")])
+    return items.where(hit if include_deleted else hit & ~F.coalesce("deleted", F.lit(False))).orderBy("item_id").limit(most)
 
 
 def merged_by_id(first: DataFrame, second: DataFrame, key: str) -> DataFrame:

@@ -41,7 +41,7 @@ def source_cells(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT item_id, description FROM (SELECT item_id, CASE WHEN product_id % 5 = 0 THEN 'TOTAL CBM ' || line_no ELSE description END AS description FROM items) WHERE description LIKE 'TOTAL CBM%' ORDER BY item_id LIMIT 400""")
 def footer_rows(spark: SparkSession, d: str) -> DataFrame:
     items = C.items(spark, d).withColumn("description", F.when(F.col("product_id") % 5 == 0, F.concat(F.lit("TOTAL CBM "), F.col("line_no"))).otherwise(F.col("description")))
-    return J.footer_rows(items).select("item_id", "description")
+    return J.footer_rows(items, include_deleted=True).select("item_id", "description")
 
 
 @query("""SELECT item_id FROM items WHERE product_id % 6 = 0 AND line_no % 2 = 0""")
