@@ -23,10 +23,12 @@ def delivery_notes(spark: SparkSession, path: str, columns: int = 24) -> DataFra
 
 
 def headed_rows(records: DataFrame, known: tuple[str, ...] = ("MARKS", "MARKS / SKU", "SKU", "NAME")) -> DataFrame:
-    """Records after the first that names a known column, as maps from header to cell.
+    """Records after the first that names a known column (in a file without one, after its first record), as maps
+    from header to cell.
 
     Unnamed columns are __colN; blank records and single-cell banners go."""
-    first = F.min(F.when(F.exists("cells", lambda c: F.upper(F.trim(c)).isin(*known)), F.struct("record", "cells"))).over(Window.partitionBy("file"))
+    named = F.exists("cells", lambda c: F.upper(F.trim(c)).isin(*known))
+    first = F.min(F.struct((~named).alias("other"), "record", "cells")).over(Window.partitionBy("file"))
     rows = records.withColumn("header", first).where("record > header.record")
     names = F.transform(F.col("header.cells"), lambda c, i: F.when(F.trim(c) == "", F.concat(F.lit("__col"), i)).otherwise(F.trim(c)))
     filled = F.size(F.filter("cells", lambda c: F.trim(c) != ""))
