@@ -1,20 +1,22 @@
 """Removal of repeated passages, found by recompression.
 
-A text's words become symbols (hashes of content, so equal words have one name everywhere). A phase of
-recompression names runs (a word that stands exactly twice is one symbol) and pairs (symbols are left
-or right by a bit of their name; a left one before a right one becomes one symbol). Names are hashes
-of the parts' names, and what is joined depends on the neighbourhood alone, so equal passages have
-equal symbols but for a few words at their borders. `phases` rounds are taken: as many as leave a
-symbol that is sure to be the same in every occurrence of a window of `size` words.
-
-1. Of the sure symbols in a window, the longest is its anchor (ties: by name, then the first). It is
-   named with the words around it that lie in every window that can choose it. Anchors named once in
-   the corpus rule their windows out: Spark counts names, and sends the shared ones to their documents.
-2. The windows of shared anchors are compared as a whole (96 bits of hash over all words): for each,
-   Spark finds the smallest document that has it.
+A text's words become symbols. A phase of recompression names runs (a symbol that stands any number of
+times in a row becomes one symbol with its count) and pairs (symbols are left or right by a bit of their
+name; a left one before a right one becomes one symbol). Names are hashes of the parts' names, equal
+everywhere, and what is joined depends on the nearest symbols alone. A symbol is sure in a window of
+`size` words if all that decides its extent lies in the window; equal windows have the same sure symbols.
+
+1. The largest sure symbol of a window (by letters, then name, then the first) is its anchor; it is
+   named with its sure neighbours. Windows without a sure symbol are their own anchors. Spark brings
+   equal names of all documents together, keeps the shared ones, and sends them to their documents.
+2. The windows of shared anchors are verified as a whole, by 128 bits of hash over all their words: for
+   each, Spark finds the smallest document that has it.
 3. A document removes the words of each such window that starts earlier somewhere: in a smaller
    document, or before in its own.
 
+An anchor that a task sees in several places is known as shared at once: its places need no company, and
+one row tells the other tasks. So an anchor sends a row or two per chunk of text, however hot it is.
+
 Nulls and empty texts have no words. Texts of any length are whole (one text is one task's work).
 Rows that share an id are judged alike and do not remove each other's words. A row with a null id keeps
 its words and removes no other's. An empty table gives an empty result. Other columns are not read.
@@ -25,169 +27,239 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaytally.llm.common import WordCodes, chunks, hash64, mixed, written
+from quaytally.llm.common import chunks, mixed, written
+from quaytally.llm.words import Words, words_of
 
 SIZE = 20
-#: Bits of an anchor's name: names only narrow the search, so a name shared by chance costs time, not results.
-NAME_BITS = 48
-
-
-def bounds(size: int) -> tuple[int, int, int]:
-    """(phases, words at either border that may be parsed otherwise, most words of a symbol)."""
-    phases, loss, span = 0, 0, 1
-    while True:
-        run_loss, run_span = loss + 2 * span, 2 * span
-        next_loss, next_span = run_loss + run_span, 2 * run_span
-        if size - 2 * next_loss < 2 * next_span:
-            return phases, loss, span
-        phases, loss, span = phases + 1, next_loss, next_span
+#: Windows of one block, so that a block's place and size fit one number.
+BLOCK = 63
+#: Windows that are given their anchors at a time.
+SECTION, PLACE_BITS = 1 << 20, 24
 
 
-def word_code(word: bytes) -> int:
-    """8 bits of length, 56 of hash."""
-    return min(255, len(word)) << 56 | hash64(word) >> 8
+def phases(size: int) -> int:
+    """Rounds of runs and pairs after which a window usually still has several sure symbols."""
+    return max(1, int(np.log2(max(1, size / 10))))
 
 
 @dataclass
-class Parsed:
-    """The words of some texts, one text after another, and their windows' anchors."""
-
-    code: np.ndarray  # of words
-    first: np.ndarray  # of texts
-    sizes: np.ndarray
-    window: np.ndarray  # starts of windows
-    owner: np.ndarray  # their texts
-    place: np.ndarray  # where their anchors stand
-    name: np.ndarray  # their anchors' names
-
-
-def parsed(documents: list[list[bytes]], codes: WordCodes, size: int) -> Parsed:
-    codes.trim()
-    sizes = np.array([len(d) for d in documents], np.int64)
-    code = np.fromiter(map(codes.__getitem__, chain.from_iterable(documents)), np.uint64, int(sizes.sum()))
-    first = np.cumsum(sizes) - sizes
-    of = np.repeat(np.arange(len(documents)), sizes)
-    phases, loss, span = bounds(size)
-    symbol, start = code, np.arange(len(code))
-    for phase in range(phases):
-        for kind in ("run", "pair"):
-            joined = np.zeros(len(symbol), bool)
-            if len(symbol) > 1:
-                near = of[start[1:]] == of[start[:-1]]
-                if kind == "run":
-                    equal = near & (symbol[1:] == symbol[:-1])
-                    alone = equal.copy()
-                    alone[1:] &= ~equal[:-1]
-                    alone[:-1] &= ~equal[1:]
-                    joined[:-1] = alone
-                else:
-                    left = (mixed(symbol, np.uint64(phase), 0x2545F4914F6CDD1D) & np.uint64(1)).astype(bool)
-                    joined[:-1] = near & left[:-1] & ~left[1:]
-            at = np.flatnonzero(joined)
-            names = mixed(symbol[at], symbol[at + 1], 2 * phase + (kind == "pair"))
-            letters = np.minimum(255, (symbol[at] >> np.uint64(56)) + (symbol[at + 1] >> np.uint64(56)))
-            symbol = symbol.copy()
-            symbol[at] = letters << np.uint64(56) | names >> np.uint64(8)
-            keep = np.ones(len(symbol), bool)
-            keep[at + 1] = False
-            symbol, start = symbol[keep], start[keep]
-    value = np.zeros(len(code), np.uint64)
-    value[start] = symbol
-    end = np.zeros(len(code), np.int64)
-    end[start] = np.append(start[1:], len(code))
-    window = np.flatnonzero(np.arange(len(code)) + size <= (first + sizes)[of]) if len(code) else np.zeros(0, np.int64)
-    best = _largest(value, size - 2 * loss - span + 1)[window + loss] if len(window) else window
-    anchors, which = np.unique(best, return_inverse=True)
-    name = value[anchors] if len(anchors) else np.zeros(0, np.uint64)
-    for j in range(1, loss + 1):
-        name = mixed(mixed(name, code[anchors - j]), code[end[anchors] + j - 1])
-    return Parsed(code, first, sizes, window, of[window] if len(window) else window, best, (name >> np.uint64(64 - NAME_BITS))[which] if len(anchors) else np.zeros(0, np.uint64))
-
-
-def _largest(value: np.ndarray, width: int) -> np.ndarray:
-    """Where the largest of the `width` values from each place on stands; the first of equals."""
-    n = len(value)
-    best, have = np.arange(n), 1
-    while have < width:
-        step = min(have, width - have)
-        other = best[np.minimum(np.arange(n) + step, n - 1)]
-        best = np.where(value[best] >= value[other], best, other)
-        have += step
+class Symbols:
+    """A level of recompression over some texts: symbols, and those that are sure in each window."""
+
+    name: np.ndarray
+    letters: np.ndarray
+    text: np.ndarray
+    low: np.ndarray  # by window: its first sure symbol
+    high: np.ndarray  # and its last
+
+
+def _sure(s: Symbols, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """low and high as they are where they leave something, else 1 and 0."""
+    room = (s.low <= s.high) & (low <= high)
+    return np.where(room, low, 1), np.where(room, high, 0)
+
+
+def runs(s: Symbols) -> Symbols:
+    """Equal symbols in a row become one. A run is sure if the window holds its other neighbours too."""
+    new = np.ones(len(s.name), bool)
+    new[1:] = (s.name[1:] != s.name[:-1]) | (s.text[1:] != s.text[:-1])
+    at, of = np.flatnonzero(new), np.cumsum(new) - 1
+    many = np.diff(np.append(at, len(new)))
+    name, several = s.name[at], many > 1
+    name[several] = mixed(name[several], many[several].astype(np.uint64), 1)
+    low, high = (of[np.minimum(x, len(new) - 1)] for x in (s.low, s.high))
+    return Symbols(name, s.letters[at] * many, s.text[at], *_sure(s, low + 1, high - 1))
+
+
+def pairs(s: Symbols, phase: int) -> Symbols:
+    """A left symbol before a right one becomes one with it. What is sure has a sure symbol on either side."""
+    left = (mixed(s.name, np.uint64(phase), 5) & np.uint64(1)).astype(bool)
+    joined = np.zeros(len(s.name), bool)
+    joined[:-1] = left[:-1] & ~left[1:] & (s.text[1:] == s.text[:-1])
+    new = np.ones(len(s.name), bool)
+    new[1:] = ~joined[:-1]
+    at, of = np.flatnonzero(new), np.cumsum(new) - 1
+    name, letters = s.name.copy(), s.letters.copy()
+    i = np.flatnonzero(joined)
+    name[i] = mixed(name[i], name[i + 1], 2)
+    letters[i] += letters[i + 1]
+    low, high = (np.clip(x, 0, len(new) - 1) for x in (s.low + 1, s.high - 1))
+    first, last = _sure(s, of[low] + ~new[low], of[high])
+    narrow = s.low + 1 > s.high - 1
+    return Symbols(name[at], letters[at], s.text[at], np.where(narrow, 1, first), np.where(narrow, 0, last))
+
+
+def largest(value: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Where the largest value from low to high (inclusive, both ascending) stands, the first of equals; low <= high."""
+    best = np.empty(len(low), np.int64)
+    mask = np.uint64((1 << PLACE_BITS) - 1)
+    for begin in range(0, len(low), SECTION):
+        lo, hi = low[begin : begin + SECTION], high[begin : begin + SECTION]
+        base, top = int(lo[0]), int(hi[-1]) + 1
+        key = value[base:top] & ~mask | mask - np.arange(top - base, dtype=np.uint64)
+        level = np.frexp((hi - lo + 1).astype(float))[1] - 1
+        levels = [key]
+        for k in range(int(level.max())):
+            wider = levels[-1].copy()
+            wider[: -(1 << k)] = np.maximum(wider[: -(1 << k)], levels[-1][1 << k :])
+            levels.append(wider)
+        for k, own in enumerate(levels):
+            mine = np.flatnonzero(level == k)
+            found = np.maximum(own[lo[mine] - base], own[hi[mine] - base - (1 << k) + 1])
+            best[begin + mine] = base + (mask - (found & mask)).astype(np.int64)
     return best
 
 
 def window_hashes(code: np.ndarray, window: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 32 bits for the words of each window."""
+    """Twice 64 bits for the words of each window."""
     a, b = np.zeros(len(window), np.uint64), np.zeros(len(window), np.uint64)
     with np.errstate(over="ignore"):
         other = mixed(code, np.uint64(7))
         for j in range(size):
             a = a * np.uint64(0x9E3779B97F4A7C15) + code[window + j]
             b = b * np.uint64(0xC2B2AE3D27D4EB4F) + other[window + j]
-    return mixed(a, np.uint64(3)), (mixed(b, np.uint64(5)) >> np.uint64(32)).astype(np.uint32)
-
-
-def _once(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the columns once each: the places of their first occurrences, and how often they occur."""
-    order = np.lexsort(columns[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for c in columns:
-        new[1:] |= c[order][1:] != c[order][:-1]
+    return mixed(a, np.uint64(3)), mixed(b, np.uint64(5))
+
+
+def starts(words: Words, size: int) -> np.ndarray:
+    """Where windows start, in words of all texts."""
+    last = np.repeat(words.first + words.size - size, words.size)
+    return np.flatnonzero(np.arange(len(last)) <= last)
+
+
+def anchored(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of windows in a row with one anchor: first window, number of windows (BLOCK at most), anchor's name.
+
+    A window equal to the one before it, inside a long run, is in no block (see `follows`)."""
+    window = starts(words, size)
+    length = words.end - words.start
+    s = Symbols(words.code, length, words.text, window, window + size - 1)
+    rounds = phases(size)
+    for phase in range(rounds):
+        s = pairs(runs(s), phase)
+    # neighbours on either side that the name takes in, and that must be sure with it
+    side = 3 if rounds == 1 and size >= SIZE else 1
+    low, high = s.low + side, s.high - side
+    own = low > high
+    place = np.empty(len(window), np.int64)
+    some = np.flatnonzero(~own)
+    if some.size:
+        value = np.minimum(s.letters, 255).astype(np.uint64) << np.uint64(56) | s.name >> np.uint64(8)
+        place[some] = largest(value, low[some], high[some])
+    alone = np.flatnonzero(own)
+    place[alone] = -1 - window[alone]
+    new = np.ones(len(window), bool)
+    new[1:] = (place[1:] != place[:-1]) | (window[1:] != window[:-1] + 1)
     at = np.flatnonzero(new)
-    return order[at], np.diff(np.append(at, len(order)))
+    name = np.empty(len(at), np.uint64)
+    lonely = place[at] < 0
+    name[lonely] = window_hashes(words.code, window[at[lonely]], size)[0]
+    p = place[at[~lonely]]
+    named = mixed(s.name[p], np.uint64(9))
+    for j in range(1, side + 1):
+        named = mixed(mixed(named, s.name[p - j]), s.name[p + j])
+    name[~lonely] = named
+    many = np.diff(np.append(at, len(window)))
+    first = window[at]
+    if lonely.any():
+        keep = ~lonely | ~np.isin(first, follows(words, size))
+        first, many, name = first[keep], many[keep], name[keep]
+    if (many > BLOCK).any():
+        parts = -(-many // BLOCK)
+        which = np.repeat(np.arange(len(many)), parts)
+        skip = BLOCK * (np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts))
+        first, many, name = first[which] + skip, np.minimum(many[which] - skip, BLOCK), name[which]
+    return first, many, name
+
+
+def follows(words: Words, size: int) -> np.ndarray:
+    """Windows equal to the window one word before: size + 1 equal words in a row. They always go."""
+    n = len(words.code)
+    same = np.zeros(n, np.int64)
+    same[1:] = (words.code[1:] == words.code[:-1]) & (words.text[1:] == words.text[:-1])
+    total = np.concatenate([[0], np.cumsum(same)])
+    at = np.arange(1, max(1, n - size + 1))
+    return at[total[at + size] - total[at] == size] if n >= size else at[:0]
+
+
+ANCHORS = "doc_id long, block long, anchor long, many int"
 
 
 def anchors(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, anchor, many (1, or 2 if the document has the anchor at two places or more)."""
+    """A row for each place of an anchor: doc_id, block (64 * first window + windows), anchor, many (places known so far).
+
+    Places whose anchor the task has seen elsewhere have many = 2 and a number of their own as anchor."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = WordCodes(word_code)
         for part, raws in chunks(batches):
-            own = parsed([r.split() for r in raws], codes, size)
-            new = np.ones(len(own.place), bool)  # of the windows of one place, the first
-            new[1:] = own.place[1:] != own.place[:-1]
-            owner, name = own.owner[new], own.name[new]
-            at, many = _once(owner, name)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner[at])), pa.array(name[at].astype(np.int64)), pa.array(np.minimum(many, 2), pa.int32())], names=["doc_id", "anchor", "many"])
-
-    return docs.mapInArrow(find, "doc_id long, anchor long, many int")
-
-
-def _candidates(own: Parsed, names: list[np.ndarray | None], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, texts and hashes of the windows whose anchor is among their text's names."""
-    ends = np.searchsorted(own.owner, np.arange(len(names) + 1))
-    some = np.zeros(len(own.window), bool)
-    for d, known in enumerate(names):
-        if known is not None and len(known):
-            some[ends[d] : ends[d + 1]] = np.isin(own.name[ends[d] : ends[d + 1]], known.astype(np.uint64))
-    window = own.window[some]
-    return (window, own.owner[some], *window_hashes(own.code, window, size))
-
-
-def _arrays(column: pa.ListArray) -> list[np.ndarray | None]:
-    return list(column.to_numpy(zero_copy_only=False))
+            words = words_of(raws)
+            first, many, name = anchored(words, size)
+            of = words.text[first]
+            block = (first - words.first[of]) * (BLOCK + 1) + many
+            _, at, back, count = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+            known = count[back] > 1
+            # any numbers do that spread the known places
+            key = np.where(known, mixed(mixed(name, of.astype(np.uint64)), block.astype(np.uint64), 4), name)
+            told = at[count > 1]  # one row for all places of a known anchor
+            nobody = pa.nulls(len(told), pa.int64())
+            columns = (
+                pa.chunked_array([part.column(0).take(pa.array(of)), nobody]),
+                pa.chunked_array([pa.array(block), nobody]),
+                pa.chunked_array([pa.array(key.view(np.int64)), pa.array(name[told].view(np.int64))]),
+                pa.chunked_array([pa.array(known + 1, pa.int32()), pa.array(np.full(len(told), 2), pa.int32())]),
+            )
+            yield from pa.table(columns, names=["doc_id", "block", "anchor", "many"]).combine_chunks().to_batches()
+
+    return docs.mapInArrow(find, ANCHORS)
+
+
+def shared_blocks(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, blocks: the blocks of each document whose anchors stand at several places."""
+    places = F.sum("many").over(Window.partitionBy("anchor"))
+    rows = anchors(docs, size).withColumn("places", places).where("places > 1 and block is not null")
+    return rows.groupBy("doc_id").agg(F.collect_list("block").alias("blocks"))
+
+
+def _windows(part: pa.RecordBatch, words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows of a batch's blocks, ascending, and their texts."""
+    blocks = part.column(part.schema.get_field_index("blocks"))
+    own = blocks.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    of = np.repeat(np.arange(len(blocks)), np.asarray(blocks.value_lengths().fill_null(0)))
+    begin, many = words.first[of] + own // (BLOCK + 1), own % (BLOCK + 1)
+    window = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
+    # rows of one id have their blocks together: a shorter text has not all of them
+    window = np.unique(window[window + size <= np.repeat((words.first + words.size)[of], many)])
+    return window, words.text[window]
 
 
 def windows(found: DataFrame, size: int) -> DataFrame:
     """doc_id, a, b: the windows of shared anchors of each document, once each."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = WordCodes(word_code)
         for part, raws in chunks(batches):
-            own = parsed([r.split() for r in raws], codes, size)
-            _, owner, a, b = _candidates(own, _arrays(part.column(2)), size)
-            at, _ = _once(owner, a, b)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner[at])), pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int32))], names=["doc_id", "a", "b"])
+            words = words_of([r if b else b"" for r, b in zip(raws, part.column(2).is_valid().to_pylist())])
+            window, of = _windows(part, words, size)
+            a, b = window_hashes(words.code, window, size)
+            at = _firsts(of, a, b)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[at])), pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int64))], names=["doc_id", "a", "b"])
+
+    return found.mapInArrow(find, "doc_id long, a long, b long")
+
 
-    return found.mapInArrow(find, "doc_id long, a long, b int")
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """The places at which each row of the columns stands first."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    return order[new]
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -195,42 +267,47 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 def _kept(size: int, whole: bool):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = WordCodes(word_code)
         for part, raws in chunks(batches):
-            documents = [r.split() for r in raws]
-            own = parsed(documents, codes, size)
-            window, owner, a, _ = _candidates(own, _arrays(part.column(2)), size)
-            ends = np.searchsorted(owner, np.arange(len(raws) + 1))
-            firsts = _arrays(part.column(3))
-            counts, removed, out = [], [], []
-            for d, words in enumerate(documents):
-                mine = slice(ends[d], ends[d + 1])
-                hashes = a[mine]
-                stays = np.zeros(len(hashes), bool)
-                if len(hashes):
-                    _, at = np.unique(hashes, return_index=True)
-                    stays[at] = firsts[d] is not None and np.isin(hashes[at], firsts[d].view(np.uint64))
-                gone = np.zeros(len(words) + 1, np.int64)
-                starts = window[mine][~stays] - own.first[d]
-                np.add.at(gone, starts, 1)
-                np.add.at(gone, starts + size, -1)
-                gone = np.cumsum(gone)[:-1] > 0
-                kept = b" ".join(w for w, g in zip(words, gone) if not g) if gone.any() else b" ".join(words)
-                counts.append(len(words))
-                removed.append(int(gone.sum()))
+            words = words_of(raws)
+            window, of = _windows(part, words, size)
+            a, _ = window_hashes(words.code, window, size)
+            # a window stays where its document is the first to have it, and has it for the first time
+            firsts = part.column(3)
+            first_of = np.repeat(np.arange(len(raws)), np.asarray(firsts.value_lengths().fill_null(0)))
+            known = mixed(firsts.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), first_of.astype(np.uint64))
+            stays = np.zeros(len(window), bool)
+            at = _firsts(of, a)
+            stays[at] = np.isin(mixed(a[at], of[at].astype(np.uint64)), known)
+            in_runs = follows(words, size)
+            in_runs = in_runs[part.column(0).is_valid().to_numpy(zero_copy_only=False)[words.text[in_runs]]]
+            gone = np.zeros(len(words.code) + 1, np.int64)
+            for begin in (window[~stays], in_runs):
+                np.add.at(gone, begin, 1)
+                np.add.at(gone, begin + size, -1)
+            gone = np.cumsum(gone)[:-1] > 0
+            removed = np.bincount(words.text[gone], minlength=len(raws))
+            out = []
+            for d, raw in enumerate(raws):
+                own = raw.split()
+                if removed[d]:
+                    begin = words.first[d]
+                    own = [w for w, g in zip(own, gone[begin : begin + len(own)].tolist()) if not g]
+                kept = b" ".join(own)
                 out.append(kept.decode("utf-8", "replace") if whole else hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text" if whole else "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words.size, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text" if whole else "kept_sha256"])
 
     return find
 
 
 def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE, whole: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 (whole: kept_text instead)."""
-    own = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("binary").alias("raw"))
-    named = anchors(own.where("doc_id is not null"), size)
-    shared = named.groupBy("anchor").agg(F.sum("many").alias("many")).where("many > 1").select("anchor")
-    by_doc = written(named.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "anchors")
-    texts = own.join(by_doc, "doc_id", "left").select("doc_id", "raw", "anchors")
-    found = windows(texts.where("anchors is not null"), size)
-    first = found.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("a").alias("firsts"))
-    return texts.join(first, "doc_id", "left").select("doc_id", "raw", "anchors", "firsts").mapInArrow(_kept(size, whole), RESULT.replace("kept_sha256", "kept_text") if whole else RESULT)
+    # without a needless alias, both uses of `texts` are one exchange
+    own = docs.select(F.col(id) if id == "doc_id" else F.col(id).alias("doc_id"), F.col(text).cast("binary").alias("raw"))
+    known = own.where("doc_id is not null")
+    by_doc = written(shared_blocks(known, size), "anchors")
+    texts = known.join(by_doc, "doc_id", "left").select("doc_id", "raw", "blocks")
+    first = windows(texts, size).groupBy("a", "b").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("a").alias("firsts"))
+    judged = texts.join(first, "doc_id", "left").select("doc_id", "raw", "blocks", "firsts")
+    # null ids need no company, and must not meet in one task
+    others = own.where("doc_id is null").select("doc_id", "raw", *(F.lit(None).cast("array<long>").alias(x) for x in ("blocks", "firsts")))
+    return judged.unionByName(others).mapInArrow(_kept(size, whole), RESULT.replace("kept_sha256", "kept_text") if whole else RESULT)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from quaytally.llm import substring_dedup
-from quaytally.llm.common import WordCodes
+from quaytally.llm.words import words_of
 
 
 def brute(rows, size=20):
@@ -57,17 +57,52 @@ def test_few_words_repeat_much(docs_frame):
     assert got(substring_dedup.substring_dedup(docs_frame(rows))) == brute(rows)
 
 
-@pytest.mark.parametrize("size", [12, 20, 50, 100])
+@pytest.mark.parametrize("size", [1, 2, 5, 12, 20, 33, 50, 100])
 def test_equal_windows_have_equal_anchors(size):
     random.seed(size)
-    phases, loss, span = substring_dedup.bounds(size)
-    assert phases >= (1 if size >= 16 else 0) and size - 2 * loss >= 2 * span
-    for _ in range(60):
-        window = [random.choice("abcdef").encode() for _ in range(size)]
-        seen = set()
-        for _ in range(6):
-            before, after = ([random.choice("abcdef").encode() for _ in range(random.randrange(12))] for _ in "xy")
-            own = substring_dedup.parsed([before + window + after], WordCodes(substring_dedup.word_code), size)
-            at = int(np.flatnonzero(own.window == len(before))[0])
-            seen.add((int(own.name[at]), int(own.place[at]) - len(before)))
-        assert len(seen) == 1
+    for letters in ("ab", "abcdef", "aaaaaaab"):
+        for _ in range(40):
+            window = [random.choice(letters).encode() for _ in range(size)]
+            seen = set()
+            for _ in range(6):
+                before, after = ([random.choice(letters).encode() for _ in range(random.randrange(12))] for _ in "xy")
+                words = words_of([b" ".join(before + window + after), b"a b"])
+                first, many, name = substring_dedup.anchored(words, size)
+                own = np.flatnonzero((first <= len(before)) & (len(before) < first + many))
+                if len(before) in substring_dedup.follows(words, size):
+                    assert not own.size
+                else:
+                    assert own.size == 1
+                    seen.add(int(name[own[0]]))
+            assert len(seen) <= 1
+
+
+@pytest.mark.parametrize("size", [3, 12, 50])
+def test_other_sizes(docs_frame, size):
+    random.seed(size)
+    base = [random.choice("abcdefgh") for _ in range(600)]
+    rows = []
+    for i in range(40):
+        at, n = random.randrange(500), random.randrange(2 * size)
+        rows.append((i, " ".join([random.choice("ab") for _ in range(9)] + base[at : at + n] + ["x"] * random.randrange(2 * size) + [random.choice("abc") for _ in range(9)])))
+    assert got(substring_dedup.substring_dedup(docs_frame(rows), size=size)) == brute(rows, size)
+
+
+def test_rows_of_one_id_and_null_ids(docs_frame):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, text), (3, text), (None, text), (None, text), (4, "b " + text), (None, "y " * 50)]
+    assert got(substring_dedup.substring_dedup(docs_frame(rows))) == brute(rows)
+    short = [(3, text), (3, "w0 w1"), (4, text)]
+    found = got(substring_dedup.substring_dedup(docs_frame(short)))
+    assert [r[:3] for r in found] == [(3, 2, 0), (3, 60, 0), (4, 60, 60)]
+
+
+def test_words():
+    random.seed(2)
+    texts = ["".join(random.choice("ab \t\n\x0b\r\u00e9\u3000-") for _ in range(random.randrange(200))).encode() for _ in range(60)] + [b"x" * 200, b"y" * 64 + b" " + b"y" * 65, b""]
+    words = words_of(texts)
+    expected = [t.split() for t in texts]
+    assert words.size.tolist() == [len(x) for x in expected]
+    flat = [w for x in expected for w in x]
+    assert [words.joined[a:b] for a, b in zip(words.start, words.end)] == flat
+    assert len(set(words.code.tolist())) == len(set(flat)) == len(set(zip(flat, words.code.tolist())))
