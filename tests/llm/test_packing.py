@@ -46,10 +46,22 @@ def test_hard_rows(docs_frame, hard_rows):
 
 
 def test_white_space_is_encoded_as_a_whole_would_be(docs_frame):
-    rows = list(enumerate(["a  b", "a\n\nb", " a", "a ", "a\nb c", "a \nb", "x y z", "'s 'll don't", "1 2\t3", "\n", " ", "a\r\nb"]))
+    rows = list(enumerate(["a  b", "a\n\nb", " a", "a ", "a\nb c", "a \nb", "x y z", "'s 'll don't", "1 2\t3", "\n", " ", "a\r\nb", "\u0120a \u010ab\n\u0120", "a\xa0b \u2028 c", "x\u3000y", "\x85", "a\nb\nc\nd e f\ng"]))
     check(packing.packed(docs_frame(rows), PATH).collect(), rows)
 
 
+def test_pieces_that_do_not_fit_the_cache_are_encoded_anew(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_PIECES", 3)
+    ids, tokenizer = packing.Ids(PATH), Tokenizer.from_file(PATH)
+    for text in ("a b c", "d e f", "a b c", "g\na d"):
+        assert ids.of([text.encode(), b"", b"x  y"])[0].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_null_and_repeated_ids_over_many_buckets(docs_frame):
+    rows = [(None if i % 3 else 7, "word " * (i % 5) + "end") for i in range(200)]
+    check(packing.packed(docs_frame(rows), PATH, bucket_pieces=4).collect(), rows)
+
+
 def test_empty_table(docs_frame):
     assert packing.packed(docs_frame([]), PATH).collect() == []
 
