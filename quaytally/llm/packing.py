@@ -4,8 +4,8 @@ Each document's ids, closed by id 0, are cut at multiples of the sequence length
 of piece lengths (as many rows as a sequence has tokens) decides the packing: packs are opened for the
 total of all tokens, lengths are placed longest first, always into the packs that hold least so far,
 and packs of one content are one pattern with a count. Pieces then find their place by their rank
-among the pieces of their length. A length has a bucket for each million of its pieces, so that a length
-of a third of all pieces is spread over tasks that stay small.
+among the pieces of their length. A length has a bucket for each few hundred of its pieces (more, once
+there are 100,000 buckets), so that a length of a third of all pieces is spread over many tasks.
 
 Null and empty texts are one piece with id 0 alone. Long texts are whole. Repeated rows are packed
 each. A null id stays null. An empty table gives an empty result. Other columns are not read.
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from quaytally.llm.common import chunks, texts, written
 
 LENGTH = 1024
-#: Pieces of one length that are ranked together.
-BUCKET_PIECES = 1 << 20
+#: Pieces of one length that are ranked together, and groups of such pieces besides one a length: more pieces make larger groups.
+BUCKET_PIECES, MOST_BUCKETS = 256, 100_000
 #: Pieces of text that a worker remembers the ids of; encoding anew is what costs.
 CACHE_PIECES = 1_000_000
 #: Pieces that are encoded together.
@@ -214,13 +214,14 @@ def packed(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     rows = written(pieces(docs, tokenizer, id, text, length), "pieces")
     histogram = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # `length` rows at most
+    bucket_pieces = max(bucket_pieces, sum(histogram.values()) // MOST_BUCKETS)
     many = [0] + [-(-histogram.get(n, 0) // bucket_pieces) for n in range(1, length + 1)]
     # all columns spread the pieces, also those of null or repeated ids
     spread = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.element_at(F.lit(many), F.col("length").cast("int") + 1).cast("long"))
     bucketed = rows.withColumn("bucket", spread.cast("int"))
     first = np.cumsum(many) - many  # the buckets of a length, in one row
     counts = np.zeros(sum(many), np.int64)
-    for r in bucketed.groupBy("length", "bucket").count().collect():  # a row per bucket_pieces pieces, and one per length
+    for r in bucketed.groupBy("length", "bucket").count().collect():  # MOST_BUCKETS + length rows at most
         counts[first[r["length"]] + r["bucket"]] = r["count"]
     total = np.append(0, np.cumsum(counts))
     before = total[:-1] - np.repeat(total[first], many)
