@@ -92,23 +92,25 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray, many: np.ndarray):
     return score, (first, of, h, tv, su, weight, bag)
 
 
+def gradients(p: dict[str, np.ndarray], x: np.ndarray, many: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean cross-entropy, by the parameters."""
+    score, (first, of, h, tv, su, weight, bag) = forward(p, x, many)
+    d = (score - labels) / len(labels)
+    db = (d[:, None] * p["c"])[of]
+    own = (db * h).sum(1)
+    dl = weight * (own - np.add.reduceat(weight * own, first)[of])
+    dt, ds = dl[:, None] * p["a"] * su * (1 - tv * tv), dl[:, None] * p["a"] * tv * su * (1 - su)
+    dh = (db * weight[:, None] + dt @ p["v"].T + ds @ p["u"].T) * (1 - h * h)
+    return {"c": bag.T @ d, "cb": d.sum(keepdims=True), "a": (tv * su).T @ dl, "v": h.T @ dt, "u": h.T @ ds, "h": x.T @ dh, "hb": dh.sum(0)}
+
+
 def fit(x: np.ndarray, many: np.ndarray, labels: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
     p = start(np.random.default_rng(seed))
     scale = {"mean": x.mean(0), "std": x.std(0) + 0.02}
     x = (x - scale["mean"]) / scale["std"]
     first_moment, second_moment = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     for step in range(1, STEPS + 1):
-        score, (first, of, h, tv, su, weight, bag) = forward(p, x, many)
-        d = (score - labels) / len(labels)
-        g = {"c": bag.T @ d, "cb": d.sum(keepdims=True)}
-        db = (d[:, None] * p["c"])[of]
-        own = (db * h).sum(1)
-        dl = weight * (own - np.add.reduceat(weight * own, first)[of])
-        g["a"] = (tv * su).T @ dl
-        dt, ds = dl[:, None] * p["a"] * su * (1 - tv * tv), dl[:, None] * p["a"] * tv * su * (1 - su)
-        g["v"], g["u"] = h.T @ dt, h.T @ ds
-        dh = (db * weight[:, None] + dt @ p["v"].T + ds @ p["u"].T) * (1 - h * h)
-        g["h"], g["hb"] = x.T @ dh, dh.sum(0)
+        g = gradients(p, x, many, labels)
         for k in p:
             grad = g[k] + DECAY * p[k] / 10
             first_moment[k] = 0.9 * first_moment[k] + 0.1 * grad

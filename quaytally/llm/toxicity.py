@@ -1,8 +1,8 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
 A word (lower-cased) is the sum of the embeddings of its hashed whole and hashed beginnings. Filters of
-several widths slide over the words, each filter keeps its largest value (max pooling), and a logistic
-unit scores them. Only hashes that occur in enough training texts have an
+several widths slide over the words, from before the text's first word to behind its last, each filter
+keeps its largest value (max pooling), and a logistic unit scores them. Only hashes that occur in enough training texts have an
 embedding, all others are zero, so unknown words say nothing. At scoring time the filters are applied to the embedding table
 once, and a text costs table look-ups and sums.
 
@@ -101,26 +101,76 @@ class Scorer:
         return np.array([self.one(d) for d in documents])
 
     def one(self, words: list[str]) -> float:
-        pooled = np.maximum(self.model.bias, 0)  # a text's end is followed by unknown words
-        widest = max(WIDTHS)
-        for begin in range(0, len(words), PIECE_WORDS):
-            part = words[begin : begin + PIECE_WORDS + widest - 1]
-            ids = np.fromiter(map(self.numbers.__getitem__, part), np.int64, len(part))
-            # stretches without known words add nothing beyond the bias
-            some = np.flatnonzero(ids)
-            if not some.size:
+        ids = padded(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
+        pooled = np.zeros(FILTERS * len(WIDTHS))  # a window without known words, as every text ends with one
+        for begin in range(0, len(ids) - WIDEST + 1, PIECE_WORDS):
+            part = ids[begin : begin + PIECE_WORDS + WIDEST - 1]
+            starts = (np.flatnonzero(part)[:, None] - np.arange(WIDEST)).ravel()
+            starts = np.unique(starts[(starts >= 0) & (starts <= len(part) - WIDEST)])
+            if not starts.size:
                 continue
-            near = np.unique((some[:, None] - np.arange(widest)).ravel())
-            padded = np.concatenate([np.zeros(widest, np.int64), ids, np.zeros(widest, np.int64)])
             for k, own in enumerate(self.word_tables):
-                value = own[0][padded[near + widest]]
-                for j in range(1, len(own)):
-                    value = value + own[j][padded[near + widest + j]]
+                value = sum(table[part[starts + j]] for j, table in enumerate(own))
                 at = slice(k * FILTERS, (k + 1) * FILTERS)
-                pooled[at] = np.maximum(pooled[at], np.maximum(value + self.model.bias[at], 0).max(0))
+                pooled[at] = np.maximum(pooled[at], value.max(0))
+        pooled = np.maximum(pooled + self.model.bias, 0)
         return float(1 / (1 + np.exp(-(pooled @ self.model.weights + self.model.offset))))
 
 
+WIDEST = max(WIDTHS)
+
+
+def padded(ids: np.ndarray) -> np.ndarray:
+    """Word ids (by row) with unknown words around them, so that a filter also meets the text's ends, and unknown words alone."""
+    out = np.zeros((len(ids) + 2 * WIDEST - 1, *ids.shape[1:]), ids.dtype)
+    out[WIDEST - 1 : WIDEST - 1 + len(ids)] = ids
+    return out
+
+
+class Network:
+    """The classifier as it is trained: embedding rows, filters by width, bias, weights of the pooled values, offset."""
+
+    def __init__(self, n_rows: int, rng: np.random.Generator):
+        many = FILTERS * len(WIDTHS)
+        self.p = {"e": rng.normal(0, 0.1, (n_rows, DIM)), "b": np.full(many, 0.1), "w": rng.normal(0, 0.5, many), "o": np.zeros(1)}
+        self.p |= {f"f{w}": rng.normal(0, 0.5, (w * DIM, FILTERS)) for w in WIDTHS}
+        self.p["e"][0] = 0
+
+    def forward(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Of a padded text: where each filter's largest window starts, the pooled values, and the logit."""
+        pooled, places = np.full(FILTERS * len(WIDTHS), -np.inf), np.zeros((len(WIDTHS), FILTERS), np.int64)
+        for begin in range(0, len(ids) - WIDEST + 1, TRAIN_PIECE):
+            vectors = self.p["e"][ids[begin : begin + TRAIN_PIECE + WIDEST - 1]].sum(1)
+            n = len(vectors) - WIDEST + 1
+            for k, w in enumerate(WIDTHS):
+                windows = np.lib.stride_tricks.sliding_window_view(vectors, w, axis=0)[:n].transpose(0, 2, 1).reshape(n, w * DIM)
+                value = windows @ self.p[f"f{w}"]
+                best = value.argmax(0)
+                most, own = value[best, np.arange(FILTERS)], pooled[k * FILTERS : (k + 1) * FILTERS]
+                places[k] = np.where(most > own, best + begin, places[k])
+                np.maximum(own, most, out=own)
+        pooled += self.p["b"]
+        return places, pooled, float(np.maximum(pooled, 0) @ self.p["w"] + self.p["o"][0])
+
+    def gradients(self, ids: np.ndarray, places: np.ndarray, pooled: np.ndarray, delta: float) -> tuple[dict[str, np.ndarray], dict[int, np.ndarray]]:
+        """For a logit whose derivative is delta: gradients of the dense parameters, and of the embedding rows met."""
+        back = delta * self.p["w"] * (pooled > 0)
+        grads = {"w": delta * np.maximum(pooled, 0), "o": np.full(1, delta), "b": back}
+        touched: dict[int, np.ndarray] = {}
+        for k, w in enumerate(WIDTHS):
+            own = back[k * FILTERS : (k + 1) * FILTERS]
+            grad = grads[f"f{w}"] = np.zeros_like(self.p[f"f{w}"])
+            for f in np.flatnonzero(own):
+                at = places[k][f]
+                grad[:, f] = own[f] * self.p["e"][ids[at : at + w]].sum(1).ravel()
+                shares = own[f] * self.p[f"f{w}"][:, f].reshape(w, DIM)
+                for j in range(w):
+                    for r in ids[at + j].tolist():
+                        if r:
+                            touched[r] = touched.get(r, 0) + shares[j]
+        return grads, touched
+
+
 def fit(samples: list[tuple[np.ndarray, int, str]], seed: int = 7) -> Model:
     """From (feature hashes by word, 0 for none, label, language) of each training text."""
     rng = np.random.default_rng(seed)
@@ -128,43 +178,21 @@ def fit(samples: list[tuple[np.ndarray, int, str]], seed: int = 7) -> Model:
     seen, texts = np.unique(np.concatenate([np.unique(words) for words, _, _ in samples]), return_counts=True)
     vocabulary = seen[(texts >= LEAST_TEXTS) & (seen > 0)]
     rows = {h: i + 1 for i, h in enumerate(vocabulary.tolist())}
-    per_word = 1 + len(BEGINNINGS)
     coded = []
     for words, _, _ in samples:
-        own = np.zeros((max(1, len(words)) + max(WIDTHS) - 1, per_word), np.int32)
+        own = np.zeros(words.shape, np.int32)
         if len(vocabulary):
             at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-            own[: len(words)] = np.where(vocabulary[at] == words, at + 1, 0)
-        coded.append(own)
-    embedding = rng.normal(0, 0.1, (len(rows) + 1, DIM))
-    embedding[0] = 0
-    parameters = {"e": embedding, "b": np.full(FILTERS * len(WIDTHS), 0.1), "w": rng.normal(0, 0.5, FILTERS * len(WIDTHS)), "o": np.zeros(1)}
-    parameters |= {f"f{w}": rng.normal(0, 0.5, (w * DIM, FILTERS)) for w in WIDTHS}
+            own = np.where(vocabulary[at] == words, at + 1, 0).astype(np.int32)
+        coded.append(padded(own))
+    network = Network(len(rows) + 1, rng)
+    parameters = network.p
     dense = [k for k in parameters if k != "e"]
     first, second = ({k: np.zeros_like(v) for k, v in parameters.items()} for _ in range(2))
     validation = np.array([zlib.crc32(f"v{i}".encode()) % 8 == 0 for i in range(len(samples))])
     order, step = np.flatnonzero(~validation), 0
     balance = np.where(labels == 1, 0.5 / max(1e-9, labels.mean()), 0.5 / max(1e-9, 1 - labels.mean()))
 
-    def forward(i: int, dropped: float = 0.0):
-        ids = coded[i]
-        if dropped:  # whole words go, so that a text is not known by one of them
-            ids = np.where(rng.random((len(ids), 1)) < dropped, 0, ids)
-        whole = len(ids) - max(WIDTHS) + 1
-        pooled, places = np.full(FILTERS * len(WIDTHS), -np.inf), np.zeros((len(WIDTHS), FILTERS), np.int64)
-        for begin in range(0, whole, TRAIN_PIECE):
-            vectors = parameters["e"][ids[begin : begin + TRAIN_PIECE + max(WIDTHS) - 1]].sum(1)
-            n = len(vectors) - max(WIDTHS) + 1
-            for k, w in enumerate(WIDTHS):
-                windows = np.lib.stride_tricks.sliding_window_view(vectors, w, axis=0)[:n].transpose(0, 2, 1).reshape(n, w * DIM)
-                value = windows @ parameters[f"f{w}"]
-                best = value.argmax(0)
-                most, own = value[best, np.arange(FILTERS)], pooled[k * FILTERS : (k + 1) * FILTERS]
-                places[k] = np.where(most > own, best + begin, places[k])
-                np.maximum(own, most, out=own)
-        pooled += parameters["b"]
-        return ids, places, pooled, float(np.maximum(pooled, 0) @ parameters["w"] + parameters["o"][0])
-
     for _ in range(EPOCHS):
         rng.shuffle(order)
         for begin in range(0, len(order), BATCH):
@@ -172,22 +200,14 @@ def fit(samples: list[tuple[np.ndarray, int, str]], seed: int = 7) -> Model:
             grads = {k: np.zeros_like(parameters[k]) for k in dense}
             touched: dict[int, np.ndarray] = {}
             for i in batch:
-                ids, places, pooled, logit = forward(i, DROPPED)
-                delta = (1 / (1 + np.exp(-logit)) - labels[i]) * balance[i] / len(batch)
-                grads["w"] += delta * np.maximum(pooled, 0)
-                grads["o"] += delta
-                back = delta * parameters["w"] * (pooled > 0)
-                grads["b"] += back
-                for k, w in enumerate(WIDTHS):
-                    own = back[k * FILTERS : (k + 1) * FILTERS]
-                    for f in np.flatnonzero(own):
-                        at = places[k][f]
-                        grads[f"f{w}"][:, f] += own[f] * parameters["e"][ids[at : at + w]].sum(1).ravel()
-                        shares = own[f] * parameters[f"f{w}"][:, f].reshape(w, DIM)
-                        for j in range(w):
-                            for r in ids[at + j].tolist():
-                                if r:
-                                    touched[r] = touched.get(r, 0) + shares[j]
+                # whole words go, so that a text is not known by one of them
+                ids = np.where(rng.random((len(coded[i]), 1)) < DROPPED, 0, coded[i])
+                places, pooled, logit = network.forward(ids)
+                own, rows_met = network.gradients(ids, places, pooled, (1 / (1 + np.exp(-logit)) - labels[i]) * balance[i] / len(batch))
+                for k in dense:
+                    grads[k] += own[k]
+                for r, g in rows_met.items():
+                    touched[r] = touched.get(r, 0) + g
             step += 1
             scale = np.sqrt(1 - 0.999 ** min(step, 10**4)) / (1 - 0.9**step)
             for k in dense:
@@ -201,7 +221,7 @@ def fit(samples: list[tuple[np.ndarray, int, str]], seed: int = 7) -> Model:
                 second["e"][at] += g * g  # adaptive by row, as most rows are touched seldom
                 parameters["e"][at] -= 0.1 * g / (np.sqrt(second["e"][at]) + 1e-8)
     model = Model(rows, parameters["e"], [parameters[f"f{w}"].reshape(w, DIM, FILTERS) for w in WIDTHS], parameters["b"], parameters["w"], 0.0, {})
-    logits = np.array([forward(i)[3] for i in range(len(samples))])
+    logits = np.array([network.forward(ids)[2] for ids in coded])
     held = validation if len(set(labels[validation])) == 2 else np.ones(len(samples), bool)
     # the score passes 0.5 where the validation texts are told apart best
     model.offset = float(parameters["o"][0] - best_cut(logits[held], labels[held]))
