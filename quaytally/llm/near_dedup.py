@@ -7,7 +7,8 @@ of earlier rounds; the bins keep their least value. Rounds 0 to t-1 choose bins
 all elements of a round share the bins, one or two rounds do for most texts, and the estimate is as
 concentrated as with independent hash functions.
 
-1. Texts of one set are one node (the smallest id); copies never meet in pairs.
+1. Texts of one set are one node (the smallest id); copies never meet in pairs. Keys that hold more than a
+   thousandth of the rows (a text of many copies, a node of many links) are dealt over several tasks.
 2. Nodes of a common band are a bucket. The node of each bucket that shares most bands is held
    against its others on the full sets, then the smallest node against those not yet in its
    component; the links found give components.
@@ -28,32 +29,26 @@ columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaytally.llm.common import WordCodes, chunks, first_rows, mixed, numbered, written
+from quaytally.llm.common import chunks, dealt_join, first_rows, hot_from, mixed, numbered, written
 from quaytally.llm.graph import components
+from quaytally.llm.words import words_of
 
 SHINGLE, ROWS, BANDS, PERCENT = 5, 5, 32, 75
 COORDINATES = ROWS * BANDS
 
 
-def element_sets(raws: list[bytes], codes: WordCodes, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct elements of all texts one after another, sorted by text, and each text's number."""
-    codes.trim()
-    documents = [r.lower().split() for r in raws]
-    sizes = np.array([len(d) for d in documents], np.int64)
-    code = np.fromiter(map(codes.__getitem__, chain.from_iterable(documents)), np.uint64, int(sizes.sum()))
-    first = np.cumsum(sizes) - sizes
-    of = np.repeat(np.arange(len(raws)), sizes)
-    n = len(code)
-    whole = np.arange(n) + size <= (first + sizes)[of] if n else np.zeros(0, bool)
+def element_sets(raws: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct elements of all texts one after another, ascending in each text, and each text's number."""
+    words = words_of(raws, lower=True)
+    code, sizes, first, of = words.code, words.size, words.first, words.text
+    at = np.flatnonzero(np.arange(len(code)) + size <= (first + sizes)[of]) if len(code) else np.zeros(0, np.int64)
     short = np.flatnonzero((sizes > 0) & (sizes < size))
-    at = np.flatnonzero(whole)
     value = np.full(len(at), size, np.uint64)
     for j in range(size):
         value = mixed(value, code[at + j])
@@ -96,9 +91,8 @@ def sketches(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     """doc_id, n_shingles, a 128-bit hash of the set (null if empty), a hash by band."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = WordCodes()
         for part, raws in chunks(batches):
-            elements, sizes = element_sets(raws, codes)
+            elements, sizes = element_sets(raws)
             state = sketch(elements, sizes)
             bands = np.repeat(np.arange(BANDS, dtype=np.uint64)[None], len(raws), 0)
             for j in range(ROWS):
@@ -126,35 +120,44 @@ def _ceil_of(a: Column, b: int) -> Column:
     return F.floor((a + (b - 1)) / b)
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two ascending sets share."""
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    return int((a[at] == b).sum()) if len(a) else 0
+
+
 def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough; bodies: node, raw."""
+    """The pairs (u, v) whose full sets are similar enough; bodies: node, raw.
+
+    A node that is u of very many pairs is held against its partners in several tasks."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = WordCodes()
-        last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
-        for batch in batches:
+        for part, raws in chunks(batches, "raw_v"):
+            lefts = part.column(part.schema.get_field_index("raw_u")).to_pylist()
+            numbers = {raw: i for i, raw in enumerate(dict.fromkeys(lefts))}
+            sets = [np.split(value, np.cumsum(sizes)[:-1]) for value, sizes in (element_sets(list(numbers)), element_sets(raws))]
             keep = []
-            for raw, other in zip(batch.column(2), batch.column(3)):
-                raw = raw.as_py()
-                if raw != last[0]:
-                    last = raw, element_sets([raw], codes)[0]
-                own = element_sets([other.as_py()], codes)[0]
-                common = len(np.intersect1d(last[1], own, assume_unique=True))
-                keep.append(common > 0 and 100 * common >= PERCENT * (len(last[1]) + len(own) - common))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    left = bodies.select(F.col("node").alias("u"), F.col("raw").alias("raw_u"))
+            for raw, b in zip(lefts, sets[1]):
+                a = sets[0][numbers[raw]]
+                common = _common(a, b)
+                keep.append(common > 0 and 100 * common >= PERCENT * (len(a) + len(b) - common))
+            yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = written(pairs.select("u", "v"), "pairs")
+    counts = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("__many"))
+    left = bodies.join(counts, bodies["node"] == counts["u"]).select("u", F.col("raw").alias("raw_u"), "__many")
     right = bodies.select(F.col("node").alias("v"), F.col("raw").alias("raw_v"))
-    return pairs.select("u", "v").join(right, "v").join(left, "u").select("u", "v", "raw_u", "raw_v").mapInArrow(check, "u long, v long")
+    both = dealt_join(pairs.join(right, "v"), left, ["u"], F.xxhash64("v"), hot_from(pairs.count()))
+    return both.select("u", "v", "raw_u", "raw_v").mapInArrow(check, "u long, v long")
 
 
 def _rest(rest: DataFrame, bodies: DataFrame) -> DataFrame:
     """Pairs of rest (node, component) of different components that the prefix filter lets through."""
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = WordCodes()
         for part, raws in chunks(batches):
-            value, sizes = element_sets(raws, codes)
+            value, sizes = element_sets(raws)
             own = np.repeat(np.arange(len(raws)), sizes)
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), pa.array(np.repeat(sizes, sizes), pa.int64()), pa.array(value.view(np.int64))], names=["node", "component", "n", "element"])
 
@@ -175,8 +178,9 @@ def _rest(rest: DataFrame, bodies: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     all_sketches = written(sketches(docs, id, text), "sketches")
-    sets = all_sketches.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
-    own = all_sketches.withColumnRenamed("doc_id", "node").join(sets, ["node", "set_a", "set_b"])
+    some = all_sketches.where("n_shingles > 0 and doc_id is not null")
+    # one node for each set: what it has is a function of the set, so copies are combined before they move
+    own = written(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("__many")), "nodes")
     buckets = own.select(F.explode("bands").alias("band"), "node", F.col("n_shingles").alias("n"))
     shared = buckets.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("least <> last")
     members = written(buckets.join(shared, "band").select("band", "node", "n", "least", "size"), "buckets")
@@ -211,9 +215,11 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
         more = verified(_rest(rest, bodies), bodies)
         labels = components(edges.unionByName(more))
 
-    grouped = all_sketches.select("doc_id", "n_shingles", "set_a", "set_b").join(sets, ["set_a", "set_b"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "node", "doc_id"))
-    return grouped.join(labels, "node", "left").select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    placed = dealt_join(some.select("doc_id", "n_shingles", "set_a", "set_b"), own.select("set_a", "set_b", "node", "__many"), ["set_a", "set_b"], F.xxhash64("doc_id"), hot_from(some.count()))
+    # empty sets and null ids are linked with nothing
+    alone = all_sketches.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    grouped = placed.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id")).unionByName(alone)
+    return grouped.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
