@@ -182,11 +182,14 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     # one node for each set: what it has is a function of the set, so copies are combined before they move
     own = written(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("__many")), "nodes")
     buckets = own.select(F.explode("bands").alias("band"), "node", F.col("n_shingles").alias("n"))
-    shared = buckets.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("least <> last")
-    members = written(buckets.join(shared, "band").select("band", "node", "n", "least", "size"), "buckets")
+    shared = buckets.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("least <> last").drop("last")
+    shared = written(shared.withColumn("__many", F.col("size")), "shared")
+    most = hot_from(own.count() * BANDS)
+    members = written(dealt_join(buckets, shared, ["band"], F.xxhash64("node"), most), "buckets")
     # the node that shares most bands with others is the nearest to all of them
     degrees = members.groupBy("node").agg(F.sum("size").alias("degree"))
-    central = members.join(degrees, "node").groupBy("band").agg(F.max(F.struct("degree", "node")).alias("best")).select("band", F.col("best.node").alias("central"))
+    central = members.join(degrees, "node").groupBy("band").agg(F.max(F.struct("degree", "node")).alias("best"), F.count(F.lit(1)).alias("__many")).select("band", F.col("best.node").alias("central"), "__many")
+    central = written(central, "central")
 
     found = docs.select(F.col(id).alias("node"), F.col(text).cast("binary").alias("raw"))
     bodies = written(found.join(members.select("node").distinct(), "node"), "bodies")
@@ -201,7 +204,7 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
             pairs = pairs.where(F.coalesce("cu", "u") != F.coalesce("cv", "v"))
         return written(verified(pairs.join(sizes, "u").where(_fits(F.col("n"), F.col("nu"))), bodies), "links")
 
-    edges = star(members.join(central, "band").select(F.col("central").alias("u"), F.col("node").alias("v"), "n"))
+    edges = star(dealt_join(members, central, ["band"], F.xxhash64("node"), most).select(F.col("central").alias("u"), F.col("node").alias("v"), "n"))
     labels = components(edges)
     second = star(members.where("size > 2").select(F.col("least").alias("u"), F.col("node").alias("v"), "n"), labels)
     if not second.isEmpty():
