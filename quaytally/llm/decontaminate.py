@@ -6,9 +6,9 @@ one shingle is the window's necessary prefix. Shingles are counted over all docu
 indexed by its rarest shingle, documents look up their shingles, and a window found in this way is
 held against the document word by word where it would have to start, if it fits there.
 
-The benchmark is taken in blocks of at most `block_bytes` of text. A block's windows go to every task;
-with one block (the usual case) the documents are counted and searched once, with more they pass once
-a block and carry their hits along.
+The windows of a benchmark of at most `block_bytes` of text (its size is checked) go to every task. A larger
+one is joined: shingles of documents that a filter of fixed size lets through, windows filed under their
+rarest shingle, and the documents' texts, each once whatever the benchmark's size.
 
 Nulls and empty texts have no words (a null or wordless item has no windows); a null id stays null.
 Long texts are whole. Repeated rows give repeated results; repeated items, or items of one text,
@@ -18,8 +18,7 @@ count by item_id. Empty tables give an empty result or no hits. Other columns ar
 from __future__ import annotations
 
 import hashlib
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
 
@@ -29,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaytally.llm.common import chunks, mixed, numbered, texts, written
+from quaytally.llm.words import Words, words_of
 
 SIZE, SHINGLE, BLOCK_BYTES = 10, 3, 4 << 20
 
@@ -36,7 +36,7 @@ SIZE, SHINGLE, BLOCK_BYTES = 10, 3, 4 << 20
 WORD_BYTES = bytes(ord(c.lower()) if (c := chr(i)).isascii() and c.isalnum() else (i if i >= 0x80 else 0x20) for i in range(256))
 
 
-def words_of(raw: bytes) -> list[bytes]:
+def words_of_text(raw: bytes) -> list[bytes]:
     return raw.translate(WORD_BYTES).split()
 
 
@@ -54,7 +54,7 @@ class Windows:
         vocabulary: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[str]] = {}
         for item, raw in items:
-            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(raw)]
+            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of_text(raw)]
             for i in range(max(1, len(ids) - size + 1) if ids else 0):
                 found.setdefault(tuple(ids[i : i + size]), set()).add(item)
         rows = np.zeros((len(found), size), np.int64)
@@ -107,7 +107,7 @@ def shingle_counts(docs: DataFrame, windows, shingle: int) -> dict[tuple[int, in
         kinds = known_codes(block, shingle)
         totals = [np.zeros(len(codes), np.int64) for _, codes in kinds]
         for _, raws in chunks(batches):
-            ids = block.word_ids([words_of(r) for r in raws])
+            ids = block.word_ids([words_of_text(r) for r in raws])
             for (k, codes), total in zip(kinds, totals):
                 total += np.bincount(places(ids, k, codes)[1], minlength=len(codes))
         for (k, _), total in zip(kinds, totals):
@@ -160,36 +160,113 @@ class Index:
         return (np.concatenate(starts), np.concatenate(which)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[Callable[[], list[tuple[str, bytes]]]]:
-    """The benchmark's items in blocks of about block_bytes of text at most, each read when called."""
-    own = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("binary").alias("raw")).where("item is not null and raw is not null")
-    total = own.agg(F.sum(F.length("raw"))).first()[0] or 0
-    n = max(1, math.ceil(1.5 * total / block_bytes)) if total > block_bytes else 1
-    for i in range(n):
-        block = own.where(F.pmod(F.xxhash64("item"), F.lit(n)) == i)
-        yield lambda block=block: [(r["item"], bytes(r["raw"])) for r in block.collect()]
-
-
-CARRIED = "doc_id long, raw binary, spans array<struct<start:long,end:long>>, items array<string>"
 DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = SIZE, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    spark = docs.sparkSession
     shingle = min(shingle, size)
-    state = texts(docs.withColumnRenamed(id, "doc_id"), "doc_id", text=text)
-    blocks = list(_blocks(benchmark, item, item_text, block_bytes))
-    for i, block in enumerate(blocks):
-        windows = Windows.of(block(), size)
-        shared = spark.sparkContext.broadcast(windows)
-        counts = shingle_counts(state, shared, shingle) if windows.items else {}
-        index = spark.sparkContext.broadcast(Index.of(windows, counts, shingle))
-        last = i == len(blocks) - 1
-        state = state.mapInArrow(_searcher(index, carries=i > 0, last=last), DIGEST if last else CARRIED)
-        if not last:
-            state = written(state, "decontaminate")
-    return state
+    own = texts(docs, F.col(id).alias("doc_id"), text=text)
+    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("binary").alias("raw")).where("item is not null and raw is not null")
+    if (items.agg(F.sum(F.length("raw"))).first()[0] or 0) > block_bytes:
+        return _joined(own, items, size, shingle)
+    windows = Windows.of([(r["item"], bytes(r["raw"])) for r in items.collect()], size)  # block_bytes of text at most
+    context = docs.sparkSession.sparkContext
+    counts = shingle_counts(own, context.broadcast(windows), shingle) if windows.items else {}
+    return own.mapInArrow(_searcher(context.broadcast(Index.of(windows, counts, shingle))), DIGEST)
+
+
+#: Bits of the filter that keeps shingles of no window from being sent anywhere.
+FILTER_BITS = 1 << 27
+
+
+def _places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits for each code."""
+    mask = np.uint64(FILTER_BITS - 1)
+    return (codes & mask).astype(np.int64), (codes >> np.uint64(32) & mask).astype(np.int64)
+
+
+def _shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the k words from each place of a text on, and their places."""
+    at = np.flatnonzero(np.arange(len(words.code)) + k <= np.repeat(words.first + words.size, words.size))
+    code = np.full(len(at), k, np.uint64)
+    for j in range(k):
+        code = mixed(code, words.code[at + j])
+    return code, at
+
+
+def _joined(own: DataFrame, items: DataFrame, size: int, shingle: int) -> DataFrame:
+    """decontamination for a benchmark of any size: windows and documents meet in joins on shingles.
+
+    Shingles that pass a filter of fixed size are counted by document; each window is filed under its rarest,
+    joined to the documents that have it, and verified there."""
+    spark = own.sparkSession
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, raws in chunks(batches):
+            rows = []
+            for name, raw in zip(part.column(0).to_pylist(), raws):
+                words = words_of_text(raw)
+                spans = [words[i : i + size] for i in range(max(1, len(words) - size + 1) if words else 0)]
+                rows += [(name, b" ".join(w), min(len(w), shingle)) for w in spans]
+            for begin in range(0, len(rows), 1 << 16):
+                names, windows, ks = zip(*rows[begin : begin + (1 << 16)])
+                found = words_of([*windows])
+                codes: list[list[int]] = [[] for _ in windows]
+                for k in set(ks):
+                    code, at = _shingles(found, k)
+                    for c, t in zip(code.view(np.int64).tolist(), found.text[at].tolist()):
+                        if ks[t] == k:
+                            codes[t].append(c)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(windows, pa.binary()), pa.array(ks, pa.int32()), pa.array(codes, pa.list_(pa.int64()))], names=["item", "raw", "k", "codes"])
+
+    windows = written(items.mapInArrow(cut, "item string, raw binary, k int, codes array<long>"), "windows")
+    kinds = sorted(r["k"] for r in windows.select("k").distinct().collect())  # `shingle` numbers at most
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            codes = part.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            at = np.unique(np.concatenate(_places(codes)))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
+
+    filled = windows.select("codes").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # FILTER_BITS at most
+    bitmap = np.zeros(FILTER_BITS >> 6, np.uint64)
+    bitmap[filled.column(0).to_numpy()] = filled.column(1).to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, raws in chunks(batches):
+            words = words_of([r.translate(WORD_BYTES) for r in raws])
+            rows, codes = [], []
+            for k in kinds:
+                code, at = _shingles(words, k)
+                some = np.ones(len(code), bool)
+                for place in _places(code):
+                    some &= (shared.value[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+                rows.append(words.text[at[some]])
+                codes.append(code[some])
+            found = np.unique(np.stack([np.concatenate(rows).astype(np.uint64), np.concatenate(codes)]), axis=1) if kinds else np.zeros((2, 0), np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found[0].astype(np.int64))), pa.array(found[1].view(np.int64))], names=["__row", "code"])
+
+    own = numbered(own)
+    codes = written(own.select("__row", "raw").mapInArrow(known, "__row long, code long"), "codes")
+    counts = codes.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    rarest = windows.select("item", "raw", F.explode("codes").alias("code")).join(counts, "code").groupBy("item", "raw").agg(F.min_by("code", F.struct("n", "code")).alias("code"))
+    candidates = codes.join(rarest, "code").select("__row", "item", "raw")
+    by_row = candidates.groupBy("__row").agg(F.collect_list("item").alias("items"), F.collect_list("raw").alias("windows"))
+    return own.join(by_row, "__row", "left").select("doc_id", "raw", "items", "windows").mapInArrow(_verifier(size, shingle), DIGEST)
+
+
+def _verifier(size: int, shingle: int):
+    """Digests of documents (doc_id, raw) that bring the windows they may hold (items, windows)."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, raws in chunks(batches):
+            names, windows = (part.column(i).flatten().to_pylist() for i in (2, 3))
+            own = Windows.of(list(dict.fromkeys(zip(names, windows))), size)
+            yield _searched(Index.of(own, {}, shingle), part.column(0), raws)
+
+    return verify
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -199,39 +276,26 @@ def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     return own.join(hit, "__row", "left_anti").select(docs.columns)
 
 
-SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-
-def _searcher(index, carries: bool, last: bool):
+def _searcher(index):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Index = index.value
         for part, raws in chunks(batches):
-            documents = [words_of(r) for r in raws]
-            starts, which = own.found(own.windows.word_ids(documents))
-            begin = np.concatenate([[0], np.cumsum([len(d) + 1 for d in documents])])
-            of = np.searchsorted(begin, starts, side="right") - 1
-            spans: list[list[dict]] = part.column(2).to_pylist() if carries else [[] for _ in raws]
-            names: list[set[str]] = [set(x) for x in part.column(3).to_pylist()] if carries else [set() for _ in raws]
-            for s, w, d in zip(starts.tolist(), which.tolist(), of.tolist()):
-                at = s - int(begin[d])
-                spans[d].append({"start": at, "end": at + int(own.windows.lengths[w])})
-                names[d].update(own.windows.items[w])
-            if last:
-                yield _digest(part.column(0), documents, spans, names)
-            else:
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(spans, SPANS), pa.array([sorted(x) for x in names], pa.list_(pa.string()))], names=["doc_id", "raw", "spans", "items"])
+            yield _searched(index.value, part.column(0), raws)
 
     return search
 
 
-def _digest(keys: pa.Array, documents: list[list[bytes]], spans: list[list[dict]], names: list[set[str]]) -> pa.RecordBatch:
-    hits = []
-    for own in spans:
-        end = hit = 0
-        for x in sorted(own, key=lambda x: x["start"]):
-            hit += max(0, x["end"] - max(end, x["start"]))
-            end = max(end, x["end"])
-        hits.append(hit)
+def _searched(index: Index, keys: pa.Array, raws: list[bytes]) -> pa.RecordBatch:
+    documents = [words_of_text(r) for r in raws]
+    starts, which = index.found(index.windows.word_ids(documents))
+    begin = np.concatenate([[0], np.cumsum([len(d) + 1 for d in documents])])
+    edges = np.zeros(begin[-1] + 1, np.int64)  # where hits begin and end, over all documents
+    np.add.at(edges, starts, 1)
+    np.add.at(edges, starts + index.windows.lengths[which], -1)
+    hit = np.concatenate([[0], np.cumsum(np.cumsum(edges)[:-1] > 0)])
+    hits = hit[begin[1:]] - hit[begin[:-1]]
+    names: list[set[str]] = [set() for _ in raws]
+    for w, d in set(zip(which.tolist(), (np.searchsorted(begin, starts, side="right") - 1).tolist())):
+        names[d].update(index.windows.items[w])
     hashes = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in names]
-    columns = [pa.array([len(d) for d in documents], pa.int64()), pa.array(hits, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(hashes, pa.string()), pa.array([n > 0 for n in hits], pa.bool_())]
+    columns = [pa.array([len(d) for d in documents], pa.int64()), pa.array(hits, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(hashes, pa.string()), pa.array(hits > 0, pa.bool_())]
     return pa.RecordBatch.from_arrays([keys, *columns], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])

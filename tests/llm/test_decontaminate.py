@@ -1,9 +1,10 @@
 import hashlib
+import random
 
 import pytest
 
 from quaytally.llm import decontaminate
-from quaytally.llm.decontaminate import words_of
+from quaytally.llm.decontaminate import words_of_text as words_of
 
 
 def brute(docs, items):
@@ -65,6 +66,23 @@ def test_windows_blocks_and_hard_rows(docs_frame, hard_rows, bench, block_bytes)
     assert got(decontaminate.decontamination(docs_frame(docs), bench(ITEMS), block_bytes=block_bytes)) == brute(docs, [x[:2] for x in ITEMS])
 
 
+def test_joined_form_on_documents(spark, small_documents):
+    """A benchmark beyond the size that goes to every task."""
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    one, other = (got(decontaminate.decontamination(small_documents, items, block_bytes=n)) for n in (1 << 20, 1))
+    assert one == other and any(x[-1] for x in one)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 1])
+def test_few_words_repeat_much(docs_frame, bench, block_bytes):
+    random.seed(4)
+    text = lambda n: " ".join(random.choice("abc") for _ in range(n))
+    docs = [(i if i % 5 else None, text(random.randrange(60))) for i in range(40)]
+    items = [(i, text(random.choice((1, 2, 3, 5, 9, 10, 11, 14)))) for i in range(40)]
+    assert got(decontaminate.decontamination(docs_frame(docs), bench([(*x, 0) for x in items]), block_bytes=block_bytes)) == brute(docs, items)
+
+
 def test_empty_tables(docs_frame, bench):
+    assert got(decontaminate.decontamination(docs_frame([]), bench(ITEMS), block_bytes=1)) == []
     assert got(decontaminate.decontamination(docs_frame([]), bench(ITEMS))) == []
     assert got(decontaminate.decontamination(docs_frame(DOCS), bench([]))) == brute(DOCS, [])
