@@ -17,6 +17,8 @@ result. Other columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -81,16 +83,17 @@ def token_counts(urls: DataFrame, rules: tuple[Rule, ...]) -> dict[str, int]:
     return {r["token"]: r["count"] for r in rows}
 
 
-def filed(rules: tuple[Rule, ...], counts: dict[str, int]) -> Column:
-    """A map from token to the rules filed under it."""
-    under: dict[str, list[Rule]] = {}
+def filed(rules: tuple[Rule, ...], counts: dict[str, int]) -> Callable[[Column], Column]:
+    """From a token to the rules filed under it, by the token's hash: buckets of a rule or two in an array."""
+    n = len(rules)
+    buckets: list[list[tuple[str, Rule]]] = [[] for _ in range(n)]
     for rule in rules:
-        under.setdefault(min(rule.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(rule)
-    entries = []
-    for token, own in sorted(under.items()):
-        structs = [F.struct(F.lit(r.name).cast("string").alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern")) for r in own]
-        entries.append(F.struct(F.lit(token).alias("token"), F.array(*structs).alias("rules")))
-    return F.map_from_entries(F.array(*entries))
+        token = min(rule.tokens, key=lambda t: (counts.get(t, 0), t))
+        buckets[zlib.crc32(token.encode()) % n].append((token, rule))
+    entry = lambda t, r: F.struct(F.lit(t).alias("token"), F.lit(r.name).cast("string").alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern"))
+    kind = "array<struct<token:string,name:string,verdict:string,pattern:string>>"
+    index = F.array(*(F.array(*(entry(t, r) for t, r in own)).cast(kind) for own in buckets))
+    return lambda token: F.filter(F.get(index, (F.crc32(token.cast("binary")) % n).cast("int")), lambda e: e["token"] == token)
 
 
 def url_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "page_id", url: str = "url") -> DataFrame:
@@ -99,8 +102,7 @@ def url_verdicts(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id: str = "p
         raise ValueError(f"1 to {MAX_RULES} rules with a literal token each are needed")
     urls = with_parts(pages, id, url)
     index = filed(rules, token_counts(urls, rules))
-    lists = F.filter(F.transform(tokens_of(F.col("subject")), lambda t: F.try_element_at(index, t)), lambda r: r.isNotNull())
-    fits = F.filter(F.flatten(lists), lambda r: F.rlike(F.col("subject"), r["pattern"]))
+    fits = F.filter(F.flatten(F.transform(tokens_of(F.col("subject")), index)), lambda r: F.rlike(F.col("subject"), r["pattern"]))
     named = F.filter(F.col("fits"), lambda r: r["name"].isNotNull())
     longest = F.array_max(F.transform(named, lambda r: F.struct(F.length(r["name"]).alias("n"), r["name"].alias("name"), r["verdict"].alias("verdict"))))
     blocked = F.exists(F.col("fits"), lambda r: r["verdict"] == "block")
