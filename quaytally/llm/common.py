@@ -72,7 +72,7 @@ def dealt_join(many: DataFrame, one: DataFrame, keys: list[str], spread: Column,
     return dealt.join(copies, [*keys, "__part"], how).drop("__part")
 
 
-def texts(docs: DataFrame, *more: str, text: str = "text") -> DataFrame:
+def texts(docs: DataFrame, *more: str | Column, text: str = "text") -> DataFrame:
     """The text in UTF-8 as `raw` (null stays null), besides the columns named."""
     return docs.select(*more, F.col(text).cast("binary").alias("raw"))
 

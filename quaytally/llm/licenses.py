@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quaytally.llm.common import chunks, texts
 
@@ -160,4 +161,4 @@ def license_scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
             rows = [scanned(raw, finder) for raw in raws]
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, t) for x, t in zip(zip(*rows), TYPES))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return texts(docs.withColumnRenamed(id, "doc_id"), "doc_id", text=text).mapInArrow(scan, SCHEMA)
+    return texts(docs, F.col(id).alias("doc_id"), text=text).mapInArrow(scan, SCHEMA)

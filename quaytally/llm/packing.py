@@ -153,7 +153,7 @@ def pieces(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "tex
                     totals.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, starts, lengths, sums, totals)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return texts(docs.withColumnRenamed(id, "doc_id"), "doc_id", text=text).mapInArrow(cut, PIECES)
+    return texts(docs, F.col(id).alias("doc_id"), text=text).mapInArrow(cut, PIECES)
 
 
 def patterns(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, tuple[int, ...]]]:

@@ -4,8 +4,8 @@ A candidate is a long run of secret-like characters with a sensitive word shortl
 NAME=value without spaces the value is the candidate, and the name is part of what stands before it;
 where no part of a run is novel by itself, the whole run is looked at. Its
 novelty is the number of bytes that it adds to the Zstandard frame of the surrounding text, whose
-compressor is primed with a dictionary of common identifiers, as a share of what the same bytes add
-out of order. Words and names that the dictionary or the surroundings know add much less; random keys
+compressor is primed with a dictionary of identifiers (a short fixed list, and the commonest of the
+documents themselves, counted in a pass of their own), as a share of what the same bytes add out of order. Words and names that the dictionary or the surroundings know add much less; random keys
 add as much. What adds few bytes for its length is not novel at all.
 
 Nulls and empty texts have no spans (their base_sha256 is that of the empty string). Texts of any
@@ -17,11 +17,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quaytally.llm.common import chunks, texts
 
@@ -37,12 +40,12 @@ HEX = re.compile(rf"[0-9a-f]{{{HEX_LEAST},}}")
 #: Words that make the text shortly after them sensitive.
 CONTEXT = re.compile(r"pass(?:word|wd|phrase)|secret|token|api_?key|credential|authori[sz]ation|bearer|private|access_?key|client_?id|signature|session|cookie|login", re.IGNORECASE | re.ASCII)
 CONTEXT_WORDS = (b"passw", b"passphrase", b"secret", b"token", b"apikey", b"api_key", b"credential", b"authori", b"bearer", b"private", b"accesskey", b"access_key", b"clientid", b"client_id", b"signature", b"session", b"cookie", b"login")
-CANDIDATE_LEAST, CONTEXT_REACH, AROUND, NOVELTY, LEAST_COST = 20, 48, 256, 0.9, 0.66
+CANDIDATE_LEAST, CONTEXT_REACH, AROUND, NOVELTY, LEAST_COST, LEVEL = 20, 48, 256, 0.9, 0.66, 12
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{CANDIDATE_LEAST},}}")
 NAMED = re.compile(r"[A-Za-z0-9+/_.-]+=+(?=[A-Za-z0-9+/_.-])")
 PART = re.compile(rf"[A-Za-z0-9+/_.-]{{{CANDIDATE_LEAST},}}=*")
 
-#: What code and configuration usually say; primes the compressor.
+#: What code and configuration usually say; primes the compressor, together with the corpus's own identifiers.
 IDENTIFIERS = """
 password passwd secret token api_key apikey access_key secret_key client_id client_secret private_key
 public_key authorization bearer username user_name user_id session_id request_id account_id database_url
@@ -53,23 +56,54 @@ https://www.example.com/ http://localhost:8080/ /usr/local/bin/ /var/lib/ /home/
 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ placeholder changeme your_token_here
 AAAAAAAAAAAAAAAA 0000000000000000 xxxxxxxxxxxxxxxx the and that with for this from have are was not
 """.encode()
+#: Identifiers of the corpus that prime the compressor, those of most documents first, and the fewest documents they have.
+MOST_IDENTIFIERS, LEAST_DOCUMENTS = 4096, 3
+IDENTIFIER = re.compile(rb"[A-Za-z_]{3,}")
+SHORT_RUN = re.compile(rb"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{3,%d}(?![A-Za-z0-9+/_=.-])" % (CANDIDATE_LEAST - 1))
+
+
+def has_context(raw: bytes) -> bool:
+    low = raw.lower()
+    return any(x in low for x in CONTEXT_WORDS)
+
+
+def corpus_identifiers(docs: DataFrame, text: str = "text", most: int = MOST_IDENTIFIERS, least: int = LEAST_DOCUMENTS) -> bytes:
+    """The commonest identifiers of all documents that say a sensitive word anywhere, as a dictionary.
+
+    They are counted by document, outside of strings long enough to be a secret: else one that is copied
+    often would be known. The result is a bounded number of short words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, raws in chunks(batches):
+            found: Counter[bytes] = Counter()
+            for raw in raws:
+                if has_context(raw):
+                    found.update(set(IDENTIFIER.findall(b" ".join(SHORT_RUN.findall(raw)))))
+            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in found], pa.string()), pa.array(found.values(), pa.int64())], names=["word", "n"])
+
+    counts = texts(docs, text=text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    words = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    return " ".join(reversed(words)).encode()  # the commonest stand nearest to what is compressed
 
 
 class Novelty:
     """Bytes that a string adds to its compressed surroundings, as a share of what its mixed bytes add."""
 
-    def __init__(self, identifiers: bytes = IDENTIFIERS):
-        primed = zstandard.ZstdCompressionDict(identifiers, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.compressor = zstandard.ZstdCompressor(level=12, dict_data=primed, write_content_size=False, write_dict_id=False)
+    def __init__(self, identifiers: bytes = b""):
+        primed = zstandard.ZstdCompressionDict(identifiers + b"\n" + IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed.precompute_compress(level=LEVEL)
+        self.compressor = zstandard.ZstdCompressor(dict_data=primed, write_content_size=False, write_dict_id=False)
 
     def __call__(self, before: str, candidate: str, after: str) -> float:
         around = (after + before).encode("utf-8", "replace")
         own = candidate.encode()
-        # the same bytes without their order: what they cost if nothing is known of them
-        mixed = bytes(b for _, b in sorted((hashlib.blake2b(b"%d:%d" % (i, b), digest_size=8).digest(), b) for i, b in enumerate(own)))
         least = len(self.compressor.compress(around))
-        cost, most = (len(self.compressor.compress(around + x)) - least for x in (own, mixed))
-        return cost / max(1, most) if cost >= LEAST_COST * len(own) else 0.0
+        cost = len(self.compressor.compress(around + own)) - least
+        if cost < LEAST_COST * len(own):
+            return 0.0
+        # the same bytes without their order: what they cost if nothing is known of them
+        mixed = np.random.default_rng(len(own)).permutation(np.frombuffer(own, np.uint8)).tobytes()
+        return cost / max(1, len(self.compressor.compress(around + mixed)) - least)
 
 
 def base_spans(text: str, raw: bytes) -> list[tuple[int, int, str]]:
@@ -86,8 +120,7 @@ def base_spans(text: str, raw: bytes) -> list[tuple[int, int, str]]:
 
 def novel_spans(text: str, raw: bytes, novelty: Novelty, least: float = NOVELTY) -> list[tuple[int, int, str]]:
     """Incompressible strings in sensitive context."""
-    low = raw.lower()
-    if not any(x in low for x in CONTEXT_WORDS):
+    if not has_context(raw):
         return []
     found = []
 
@@ -116,11 +149,12 @@ def listed(spans: list[tuple[int, int, str]]) -> str:
 SPANS = "doc_id long, kind string, start long, end long, found string"
 
 
-def secret_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = NOVELTY) -> DataFrame:
-    """One row per span found: doc_id, kind, start, end, found (the text of the span)."""
+def secret_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = NOVELTY, identifiers: bytes | None = None) -> DataFrame:
+    """One row per span found: doc_id, kind, start, end, found (the text of the span). Without identifiers, those of docs are taken."""
+    identifiers = corpus_identifiers(docs, text) if identifiers is None else identifiers
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(identifiers)
         for part, raws in chunks(batches):
             rows = []
             for key, raw in zip(part.column(0).to_pylist(), raws):
@@ -128,17 +162,18 @@ def secret_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", least:
                 rows += [(key, kind, start, end, whole[start:end]) for start, end, kind in base_spans(whole, raw) + novel_spans(whole, raw, novelty, least)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "kind", "start", "end", "found"])
 
-    return texts(docs.withColumnRenamed(id, "doc_id"), "doc_id", text=text).mapInArrow(scan, SPANS)
+    return texts(docs, F.col(id).alias("doc_id"), text=text).mapInArrow(scan, SPANS)
 
 
 DIGEST = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long"
 
 
-def secret_digest(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = NOVELTY) -> DataFrame:
+def secret_digest(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = NOVELTY, identifiers: bytes | None = None) -> DataFrame:
     """One row per document: counts by kind, the hash of the listed pattern spans, all spans listed."""
+    identifiers = corpus_identifiers(docs, text) if identifiers is None else identifiers
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty()
+        novelty = Novelty(identifiers)
         for part, raws in chunks(batches):
             counts, hashes, lists = {k: [] for k in KINDS}, [], []
             for raw in raws:
@@ -154,4 +189,4 @@ def secret_digest(docs: DataFrame, id: str = "doc_id", text: str = "text", least
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"],
             )
 
-    return texts(docs.withColumnRenamed(id, "doc_id"), "doc_id", text=text).mapInArrow(scan, DIGEST)
+    return texts(docs, F.col(id).alias("doc_id"), text=text).mapInArrow(scan, DIGEST)

@@ -131,6 +131,74 @@ def test_shunting_yard(expression, postfix):
     assert found == (["MIT", "is", "and"] if expression == "MIT and is free" else postfix)
 
 
+def brute_expression(text):
+    """Labels and score of an expression by recursive descent; the end of the expression is where no operator follows."""
+    parts = licenses.PART.findall(text)
+
+    def chain(at, operators, below, join):
+        value, at = below(at)
+        while at < len(parts) and parts[at].lower() in operators:
+            right, at = below(at + 1)
+            value = join(value, right)
+        return value, at
+
+    def atom(at):
+        if at >= len(parts) or parts[at] == ")" or parts[at].lower() in licenses.BINDS:
+            raise ValueError
+        if parts[at] == "(":
+            value, at = either(at + 1)
+            if at >= len(parts) or parts[at] != ")":
+                raise ValueError
+            return value, at + 1
+        label = licenses.label_of(parts[at].rstrip("."))
+        return (({label}, licenses.SURE) if label else (set(), licenses.UNKNOWN)), at + 1
+
+    bound = lambda at: chain(at, {"with"}, atom, lambda a, b: a)
+    both = lambda at: chain(at, {"and"}, bound, lambda a, b: (a[0] | b[0], min(a[1], b[1])))
+    either = lambda at: chain(at, {"or"}, both, lambda a, b: (a[0] | b[0], max(a[1], b[1])))
+    try:
+        return either(0)[0]
+    except ValueError:
+        return set(), licenses.MALFORMED
+
+
+def brute_labels(text):
+    """Labels and score by plain search and the recursive parser."""
+    line = f" {' '.join(re.findall(r'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+', text.translate(str.maketrans('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))))} "
+    phrases = licenses.BASE | licenses.MORE
+    labels = {label for phrase, label in phrases.items() if f" {phrase} " in line}
+    score = licenses.NOTICE if labels else 0.0
+    for found in re.findall(r"(?i)spdx-license-identifier[ \t]*:[ \t]*([^\n\r]*)", text):
+        own, sure = brute_expression(found)
+        labels, score = labels | own, max(score, sure)
+    return ",".join(sorted(labels)), score
+
+
+def random_expression(rng, depth=0):
+    names = ("MIT", "Apache-2.0", "GPL-2.0-or-later", "LGPL-3.0", "CC-BY-NC-4.0", "BSD-3-Clause", "Foo-1.0", "mpl-2.0", "GPL+", "CC0-1.0")
+    if depth > 2 or rng.random() < 0.4:
+        return rng.choice(names) + (" WITH Classpath-exception-2.0" if rng.random() < 0.2 else "")
+    inner = f" {rng.choice(('AND', 'or', 'and', 'OR'))} ".join(random_expression(rng, depth + 1) for _ in range(rng.choice((2, 2, 3))))
+    return f"({inner})" if depth or rng.random() < 0.3 else inner
+
+
+def test_labels_and_scores_against_brute_force(docs_frame):
+    import random
+
+    rng = random.Random(8)
+    phrases = [*licenses.BASE, *licenses.MORE, "mit", "license", "creative", "foo bar", "GNU General Public License", "cc-by-nc"]
+    rows = []
+    for i in range(400):
+        parts = [rng.choice(phrases) for _ in range(rng.randrange(6))]
+        if i % 2:
+            broken = rng.choice(("", "", "", " and", ")", " (", " or or MIT", " some prose, and more"))
+            parts.insert(rng.randrange(len(parts) + 1), f"\n// SPDX-License-Identifier: {random_expression(rng)}{broken}\n")
+        rows.append((i, rng.choice((" ", ", ", "\n")).join(parts)))
+    found = {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(docs_frame(rows)).collect()}
+    wrong = [(t, found[i], brute_labels(t)) for i, t in rows if found[i] != brute_labels(t)]
+    assert not wrong, wrong[0]
+
+
 URLS = [
     (1, "https://www.Example.com/en/1?x=/de/"), (2, "http://a.example.com/en"), (3, "http://example.com/fr/"), (4, "ftp://x.net/es/a#b"), (5, "http://x.net/de/casino/1"), (6, None), (7, "no scheme"), (8, "http://x.org?casino"),
     (9, "http://evilexample.com/en/"), (10, "http://notcom/en/"), (11, "http://x.org/a#.com/|"), (12, "http://free-bets.org/"), (13, "http://x.org/alphabets"), (14, "://COM/"), (15, "http://x.org/a.com#/"), (16, "http://x.NET/fr"),
@@ -168,3 +236,64 @@ def test_value_behind_its_name_without_spaces(name):
 def test_run_without_a_name_is_whole():
     text = "secret: q8Zt1LmX0vRk=9YwPq7BnsD4K"
     assert [text[a:b] for a, b, _ in secrets.novel_spans(text, text.encode(), secrets.Novelty())] == [text[8:]]
+
+
+CONTEXTS = ('private_key = "{}"', "session: {}", "authorization: Bearer {}", "client_id={}", "{{'cookie': '{}'}}", "login credential {} end", "x-signature={}", "export ACCESS_KEY={}")
+WORDS = ("default", "service", "account", "rotation", "policy", "handler", "request", "context", "manager", "storage", "backend", "connection", "provider", "endpoint", "version", "certificate", "timeout", "retry", "config", "schema", "worker", "queue")
+
+
+def planted(rng, n):
+    """Texts that hold one key or one name each in a sensitive context, among code-like words."""
+    alphabets = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEF")
+    rows = []
+    for i in range(n):
+        size = rng.choice((20, 24, 28, 32, 40, 64, 88, 128))
+        words = [rng.choice(WORDS) for _ in range(12)]
+        if i % 2:
+            value = "".join(rng.choice(alphabets[i // 2 % 4]) for _ in range(size))
+        else:
+            parts = [rng.choice(WORDS) for _ in range(max(3, size // 9))]
+            value = (rng.choice("_-./").join(parts) if i % 4 else parts[0] + "".join(p.title() for p in parts[1:]))[: max(size, 20)].ljust(20, "x")
+        rows.append((i, f"{' '.join(words[:6])}\n{CONTEXTS[i % len(CONTEXTS)].format(value)}\n{' '.join(words[6:])}", value, i % 2 == 1))
+    return rows
+
+
+def test_novelty_finds_keys_and_leaves_names(docs_frame):
+    import random
+
+    rows = planted(random.Random(1), 800)
+    found = {}
+    for r in secrets.secret_spans(docs_frame([r[:2] for r in rows])).where("kind = 'novel'").collect():
+        found.setdefault(r.doc_id, []).append(r.found)
+    keys = [r for r in rows if r[3]]
+    names = [r for r in rows if not r[3]]
+    recall = sum(any(r[2] in f for f in found.get(r[0], [])) for r in keys) / len(keys)
+    wrong = sum(r[0] in found for r in names) / len(names)
+    assert recall >= 0.9 and wrong <= 0.02, (recall, wrong)
+
+
+def test_copied_keys_do_not_become_known_words(docs_frame):
+    import random
+
+    rng = random.Random(2)
+    key = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(48))
+    rows = [(i, f"private_key: {key} {rng.choice(WORDS)}") for i in range(30)]
+    assert secrets.secret_spans(docs_frame(rows)).where("kind = 'novel'").count() == 30
+    assert b"service" in secrets.corpus_identifiers(docs_frame([(i, f"token for service{i} x") for i in range(5)])).split()
+
+
+def test_a_very_long_candidate_is_scanned_in_time():
+    import base64
+    import random
+    import time
+
+    text = "token " + base64.b64encode(random.Random(3).randbytes(1_500_000)).decode()
+    begin = time.monotonic()
+    assert secrets.novel_spans(text, text.encode(), secrets.Novelty())
+    assert time.monotonic() - begin < 8
+
+
+@pytest.mark.parametrize("apply", [secrets.secret_digest, licenses.license_scan])
+def test_another_id_column_beside_doc_id(docs_frame, apply):
+    docs = docs_frame([(1, "a"), (2, "b")])
+    assert sorted(r.doc_id for r in apply(docs.withColumn("key", docs.doc_id + 10), id="key").collect()) == [11, 12]
