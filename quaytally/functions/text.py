@@ -126,7 +126,7 @@ NO_MARKS = ("MARKS", "PACKING", "ITEM", "SHOP", "CLIENT DETAILS", "CONTAINER NO"
 
 def valid_marks(raw: Column) -> Column:
     first = F.trim(F.substring_index(text(raw), "\n", 1))
-    return (F.length(first) >= 3) & ~first.rlike(rf"{SPACE}|[¥￥]|\\") & ~any_of([F.upper(first).contains(w) for w in NO_MARKS])
+    return (F.length(first) >= 3) & ~first.rlike(rf"{SPACE}|[¥￥\\/]") & ~any_of([F.upper(first).contains(w) for w in NO_MARKS])
 
 
 # Patterns of printed footer lines.
@@ -254,3 +254,73 @@ def spurious_label(label: Column) -> Column:
 def shown_label(section: Column, remarks: Column) -> Column:
     own = section_label(remarks)
     return F.when(own.isNotNull() & ~spurious_label(own), clean_label(own)).when(section == "shipped", "Shipped").when(section == "left_in_warehouse", "Left in Warehouse").when(section == "repacked", "Repacked").otherwise(F.replace(section, F.lit("_"), F.lit(" ")))
+
+
+# Words of products that a total never holds, and signs of printed totals.
+PRODUCT_WORDS = r"(?i)machine|parts|oven|grill|bra|sleepwear|shapewear|tape|mixer|dispenser"
+TOTAL_SIGNS = (r"(?i)\b\d+\s*CTNS?\b", r"(?i)\d+\.?\d*\s*CBM\b", r"[¥￥]\s*[\d,]+", r"(?i)\d+\.?\d*\s*KGS?\b|\d+\.?\d*GS\b")
+DIVIDERS = ("__SECTION_REPACKAGED__", "__SECTION_STAGE__:", "__SECTION_STAGE_TOTAL__:")
+NEW_ORDER = "NEW ORDER"
+
+
+def rolled_totals(line: Column) -> Column:
+    """Three of cartons, volume, weight and amount in a line with few words and without packing."""
+    few = F.size(F.filter(F.split(F.regexp_replace(line, r"[\d.,¥￥\s/:%_-]", " "), " "), lambda w: w.rlike("^[A-Za-z]{3,}"))) < 5
+    signs = sum((line.rlike(p).cast("int") for p in TOTAL_SIGNS), F.lit(0))
+    return (signs >= 3) & few & ~line.rlike(r"(?i)\d+\s*pcs/ctn")
+
+
+def subtotal_line(cells: Column) -> Column:
+    """Whether a row of cells is a section's subtotal bar."""
+    line = squeezed(F.array_join(F.filter(cells, lambda c: text(c) != ""), " "))
+    return (line != "") & (line.rlike(r"(?i)\bSUB\s*TOTAL\b|\bSECTION\s+TOTAL\b") | rolled_totals(line))
+
+
+def subtotal_fields(description: Column, item_code: Column, cartons: Column, quantity: Column, amount: Column) -> Column:
+    """Whether a mapped row is a rolled total: large numbers without a product's name."""
+    d, i = F.trim(text(description)), F.trim(text(item_code))
+    named = ((F.length(d) > 2) | (F.length(i) > 2)) & d.rlike(PRODUCT_WORDS)
+    many = (cartons >= 40) & (amount >= 3000) & (F.length(d) <= 1) & (F.length(i) <= 1)
+    much = (quantity >= 200) & (amount >= 10_000) & (d == "")
+    return ~named & (F.coalesce(many, F.lit(False)) | F.coalesce(much, F.lit(False)))
+
+
+def totals_blob(row_text: Column, *fields: Column) -> Column:
+    """Whether a printed total went into the text fields of a mapped row."""
+    line = squeezed(F.concat_ws(" ", row_text, *fields))
+    return (F.length(line) >= 12) & rolled_totals(line)
+
+
+def banner_noise(*fields: Column) -> Column:
+    """Whether shop, item code, description and packing all say NEW ORDER."""
+    return reduce(lambda a, b: a & b, (F.upper(F.trim(text(c))) == NEW_ORDER for c in fields))
+
+
+def anonymous_parts(marks: Column, item_code: Column, shop: Column, description: Column) -> Column:
+    empty = reduce(lambda a, b: a & b, (F.trim(text(c)) == "" for c in (marks, item_code, shop)))
+    return empty & text(description).rlike(r"(?i)FOOD\s+WARMER\s+PARTS")
+
+
+def stuffed_banner(text_: Column, *metrics: Column) -> Column:
+    """Whether a row is the banner of stuffed goods: its text, and no positive number."""
+    return stuffed_header(text(text_)) & ~any_of([F.coalesce(m > 0, F.lit(False)) for m in metrics])
+
+
+def section_divider(sku: Column) -> Column:
+    s = text(sku)
+    return (s == DIVIDERS[0]) | any_of([s.startswith(d) for d in DIVIDERS[1:]])
+
+
+def document_number(client: Column, file_name: Column) -> Column:
+    """The first word like AB-12 of the client's details, else of the file's name."""
+    found = lambda c: F.nullif(F.regexp_extract(text(c), r"(?i)\b([A-Z]{1,5}-\d{1,6})\b", 1), F.lit(""))
+    return F.coalesce(found(client), found(file_name))
+
+
+def client_id(details: Column) -> Column:
+    return F.try_element_at(F.filter(F.split(F.trim(text(details)), r"[.\s]+"), lambda t: t != ""), F.lit(1))
+
+
+def usd(amount: Column) -> Column:
+    """An amount as money text."""
+    return F.concat(F.lit("$"), F.format_number(amount.cast("double"), 2), F.lit(" USD"))

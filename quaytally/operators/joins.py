@@ -126,7 +126,7 @@ def appended_if_none(items: DataFrame, recovered: DataFrame, is_one: Column) ->
 
 
 # Item codes of rows kept for review, by kind of header or footer.
-SENTINEL_CODES = {"header": "__FULL_EXTRACT_BANNER__", "subtotal": "__SUBTOTAL__", "footer": "__FOOTER__"}
+SENTINEL_CODES = {"header": "__FULL_EXTRACT__", "subtotal": "__SECTION_SUBTOTAL__", "footer": "__FOOTER__"}
 
 
 def full_extract(products: DataFrame, other_lines: DataFrame) -> DataFrame:
@@ -135,3 +135,14 @@ def full_extract(products: DataFrame, other_lines: DataFrame) -> DataFrame:
     code = F.when(T.footer_like(F.col("text")), SENTINEL_CODES["footer"]).when(bar, SENTINEL_CODES["subtotal"]).otherwise(SENTINEL_CODES["header"])
     rows = other_lines.select("document_id", "line_no", code.alias("item_code"), F.col("text").alias("description"))
     return products.select("document_id", "line_no", "item_code", "description").unionByName(rows)
+
+
+def name_ranks(names: DataFrame, name: str, letters: int = 2) -> DataFrame:
+    """Distinct names with their place in order (name_rank, from 1).
+
+    Names are numbered among those of the same first letters; only these beginnings, which are few, are counted through in one task."""
+    rows = names.withColumn("__start", F.substring(name, 1, letters))
+    counts = rows.groupBy("__start").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("__start", (F.sum("n").over(Window.orderBy("__start")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("__start").orderBy(name))
+    return rows.withColumn("own", own).join(before, "__start").select(name, (F.col("before") + F.col("own")).cast("long").alias("name_rank"))

@@ -4,12 +4,16 @@ Windows partition by document, item or product; groups are as large as one docum
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaytally.functions import text as T
 from quaytally.functions.numbers import half_up
+from quaytally.operators.reports import SENTINELS
 
 LINES = ("line_no", "item_id")
 
@@ -161,30 +165,101 @@ def until_boundary(rows: DataFrame) -> DataFrame:
     return rows.withColumn("seen", F.coalesce(seen, F.lit(0))).where("seen = 0 and (header is null or header <> 'goods_left')").drop("seen")
 
 
-def continuations_merged(rows: DataFrame, key: str = "item_key") -> DataFrame:
-    """Fragments with the item key of the row above are folded into it: texts joined, missing numbers taken.
-
-    Each fragment is held against the row as merged so far, so this goes line by line, in one group a
-    document; documents without two equal keys in a row are not touched."""
-    repeated = F.coalesce(F.col(key) == F.lag(key).over(lines("document_id")), F.lit(False))
-    marked = rows.withColumn("some", F.max(repeated.cast("int")).over(Window.partitionBy("document_id")))
-    schema = rows.select("document_id", "item_id", "line_no", key, "description", "total_quantity", "total_amount_rmb").schema
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for row in group.sort_values(list(LINES)).to_dict("records"):
-            above = out[-1] if out else None
-            if above is not None and row[key] is not None and row[key] == above[key] and (pd.isna(row["total_quantity"]) or pd.isna(above["total_quantity"])):
-                text = (row["description"] or "").strip()
-                if text and text not in (above["description"] or ""):
-                    above["description"] = f"{above['description'] or ''} {text}".strip()
-                for c in ("total_quantity", "total_amount_rmb"):
-                    if pd.isna(above[c]):
-                        above[c] = row[c]
-            else:
-                out.append(row)
-        return pd.DataFrame(out, columns=group.columns)
-
-    picked = marked.select(*schema.names, "some")
-    merged = picked.where("some = 1").drop("some").groupBy("document_id").applyInPandas(fold, schema)
-    return picked.where("some = 0").drop("some").unionByName(merged)
+# The columns of a sales row that a continuation completes, and the remark that says so.
+JOINED = ("description", "product_name_local")
+NAMED = ("delivery_no", "customer_item_ref", "unit")
+KEPT = ("packaging", "barcode", "warehouse", "shop", "source_cells")
+NUMBERS = ("qty_per_carton", "total_cartons", "total_quantity", "unit_price_rmb", "total_amount_rmb", "dim_l_cm", "dim_w_cm", "dim_h_cm", "unit_cbm", "total_cbm", "unit_weight_kg", "total_weight_kg")
+MERGED_TAG = "repair:merged_continuation_row"
+METRICS = ("total_quantity", "total_amount_rmb", "unit_price_rmb")
+
+
+def item_key(code: Column) -> Column:
+    """An item code without spaces and signs; null if nothing is left."""
+    return F.nullif(F.regexp_replace(F.upper(T.text(code)), "[^A-Z0-9-]", ""), F.lit(""))
+
+
+def _stripped(v) -> str:
+    return "" if v is None or v != v else str(v).strip()
+
+
+def _number(v) -> float:
+    return 0.0 if v is None or v != v else float(v)
+
+
+def _is_noise(text: str) -> bool:
+    """Whether a description is a stray number or empty brackets."""
+    return re.fullmatch(r"\d{1,15}|(?:\[\s*\]\s*)*", " ".join(text.split())) is not None
+
+
+def continues(above: dict, row: dict) -> bool:
+    """Whether a row of the same item goes on with the row above: it brings the title, or the numbers, that are missing there."""
+    marks = {_stripped(above.get("marks")), _stripped(row.get("marks"))} - {""}
+    if len(marks) > 1:
+        return False
+    title, more = _stripped(above["description"]), _stripped(row["description"])
+    had, brings = (any(_number(r[c]) > 0 for c in METRICS) for r in (above, row))
+    noise = _is_noise(more)
+    if more and noise and brings:
+        if all(_number(above[c]) > 0 for c in METRICS) and len(title) >= 4:
+            return False
+        if (len(title) >= 6 and not _is_noise(title)) or len(title) < 4 or not had:
+            return True
+    if len(title) < 4 and len(more) >= 6 and not noise:
+        return True
+    return len(title) >= 6 and not had and brings and (noise or len(more) < 4)
+
+
+def completed(above: dict, row: dict) -> dict:
+    """The row above with what the continuation adds."""
+    out = dict(above)
+    for c in set(JOINED) & set(row):
+        a, b = _stripped(above[c]), _stripped(row[c])
+        adds = b and not _is_noise(b) and b[:24] not in a
+        out[c] = (" ".join(f"{a} {b}".split()) if a and adds else b if adds else a) or None
+    for c in set(NAMED) & set(row):
+        out[c] = _stripped(above[c]) or _stripped(row[c]) or None
+    for c in set(KEPT) & set(row):
+        out[c] = row[c] if above[c] is None else above[c]
+    for c in set(NUMBERS) & set(row):
+        first, second = above[c], row[c]
+        out[c] = first if _number(first) > 0 or (_number(second) <= 0 and first == first and first is not None) else second
+    code = next((x for r in (above, row) for x in (_stripped(next((r[c] for c in ("source_item_no", "item_code") if r.get(c) is not None), "")),) if x), None)
+    out |= {c: code for c in ("item_code", "source_item_no") if c in row}
+    old = above["remarks"] or row["remarks"]
+    return out | {"remarks": f"{old};{MERGED_TAG}" if old else MERGED_TAG}
+
+
+def continuations_merged(rows: DataFrame) -> DataFrame:
+    """Fragments of an item that stand in the row below it are folded into it.
+
+    Each fragment is held against the row as merged so far, so a stretch of rows of one item goes row by row;
+    rows without a neighbour of their item pass as they are. Needs marks, item_code, description, remarks and the
+    three metrics; the other columns of a sales row are completed where there are some."""
+    source = F.col("source_item_no") if "source_item_no" in rows.columns else F.lit(None).cast("string")
+    synthetic = F.coalesce(F.trim("item_code").isin(*SENTINELS), F.lit(False)) | T.text("remarks").contains("full_extract:")
+    key = F.when(~synthetic, item_key(F.coalesce(source, "item_code")))
+    doc = lines("document_id")
+    keyed = rows.withColumns({c: F.col(c).cast("double") for c in NUMBERS if c in rows.columns}).withColumn("__key", key)
+    keyed = keyed.withColumn("__new", ~F.coalesce(F.col("__key") == F.lag("__key").over(doc), F.lit(False)))
+    keyed = keyed.withColumn("__some", ~F.col("__new") | ~F.coalesce(F.lead("__new").over(doc), F.lit(True)))
+    names = rows.columns
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        above: dict | None = None
+        for frame in frames:
+            yield frame.loc[~frame["__some"], names]
+            out = []
+            for row in frame[frame["__some"]].to_dict("records"):
+                if above is not None and not row["__new"] and continues(above, row):
+                    above = completed(above, row)
+                    continue
+                if above is not None:
+                    out.append(above)
+                above = row
+            yield pd.DataFrame(out, columns=[*names, "__new"])[names]
+        if above is not None:
+            yield pd.DataFrame([above])[names]
+
+    placed = keyed.repartition("document_id").sortWithinPartitions("document_id", *LINES).drop("__key")
+    return placed.mapInPandas(fold, keyed.select(*names).schema)

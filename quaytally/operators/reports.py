@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaytally.functions import text as T
 from quaytally.functions.text import base_name
 
 METRICS = ("total_cartons", "total_quantity", "total_cbm", "total_weight_kg", "total_amount_rmb")
 # Item codes of synthetic rows, tolerances by purpose (cartons, cbm, kg, amount).
-SENTINELS = ("__FULL_EXTRACT_BANNER__", "__SUBTOTAL__", "__FOOTER__")
+SENTINELS = ("__FULL_EXTRACT__", "__SECTION_SUBTOTAL__", "__FOOTER__")
 TOLERANCE_EXTRACT = (2, 0.5, 5, 100)
 TOLERANCE_GATE = (0.5, 0.05, 1, 5)
 TOLERANCE_REPAIR = (3, 0.02, 1, 1)
@@ -182,3 +183,47 @@ def totals_synced(stored: DataFrame, items: DataFrame) -> DataFrame:
     fresh = live(items).groupBy("document_id").agg(F.sum(zero("total_amount_rmb")).cast("double").alias("fresh"))
     rows = stored.join(fresh, "document_id", "left")
     return rows.select("document_id", F.coalesce("fresh", "computed_amount").alias("computed_amount"), F.col("fresh").isNotNull().alias("refreshed"))
+
+
+def payment_rows(payments: DataFrame) -> DataFrame:
+    """Payments as a document's footer shows them: label, value, highlight."""
+    note, kind = F.trim(F.coalesce("note", F.lit(""))), F.coalesce("payment_type", F.lit(""))
+    stated = lambda *c: F.coalesce(*(F.nullif(x, F.lit("")) for x in c))
+    dated = kind.isin("deposit", "balance")
+    # fixed values: what the footer calls its lines
+    label = (
+        F.when(kind == "freight", "YIWU-MOMBASA FREIGHT")
+        .when(kind == "credit", "CREDIT SUPPORT TO MOMBASA")
+        .when((kind == "other") & note.rlike("(?i)PIVOC"), "PIVOC")
+        .when(kind == "other", F.coalesce(stated(note), F.lit("Other")))
+        .when(dated & F.col("payment_date").isNotNull(), F.concat(F.date_format("payment_date", "dd/MM/yyyy"), F.lit(" PAYMENT")))
+        .when(kind == "balance", "BALANCE PAYMENT")
+        .when(kind == "deposit", "PAYMENT")
+        .otherwise(F.coalesce(stated(note, kind), F.lit("Payment")))
+    )
+    return payments.withColumns({"label": label, "value": F.coalesce(T.usd(F.col("amount_usd")), F.lit("-")), "highlight": kind == "balance"})
+
+
+def document_bundle(documents: DataFrame, totals: DataFrame, payments: DataFrame, raw: str = "raw") -> DataFrame:
+    """Documents with their totals and payments. A total that is not stored is taken from the document's raw JSON.
+
+    totals: document_id and the four total_ metrics; payments: document_id, payment_id, amount_usd."""
+    metrics = ("total_cartons", "total_cbm", "total_weight_kg", "total_amount_rmb")
+    paid = payments.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_payments"), F.sum("amount_usd").alias("paid_usd"))
+    rows = documents.join(totals.select("document_id", *(F.col(m).alias(f"stored_{m}") for m in metrics)), "document_id", "left").join(paid, "document_id", "left")
+    either = {m: F.coalesce(F.col(f"stored_{m}").cast("double"), F.get_json_object(raw, f"$.footer_totals.{m}").try_cast("double")) for m in metrics}
+    return rows.withColumns(either).drop(*(f"stored_{m}" for m in metrics))
+
+
+def compiled_blocks(rows: DataFrame, key: str = "document_id", repacked: str = "repacked") -> DataFrame:
+    """Normal rows, a divider, repacked rows, numbered through (place); the divider only stands between rows of both kinds."""
+    block = rows.withColumn("block", F.when(F.col("section") == repacked, 2).otherwise(0))
+    both = block.groupBy(key).agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low = 0 and high = 2")
+    divider = both.select(key, F.lit(1).alias("block"), F.lit(T.DIVIDERS[0]).alias("sku"))
+    placed = Window.partitionBy(key).orderBy("block", "line_no")
+    return block.unionByName(divider, allowMissingColumns=True).withColumn("place", F.row_number().over(placed).cast("long")).drop("block")
+
+
+def merged_products(manual: DataFrame, linked: DataFrame) -> DataFrame:
+    """Products entered by hand and those of documents, oldest first."""
+    return manual.unionByName(linked, allowMissingColumns=True).orderBy("created_at", "product_id")

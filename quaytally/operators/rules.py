@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quaytally.functions import text as T
 from quaytally.functions.numbers import half_up, loose_or_null, weight
-from quaytally.operators.reports import TOLERANCE_EXTRACT, TOLERANCE_GATE, TOLERANCE_REPAIR, zero
+from quaytally.operators.reports import TOLERANCE_EXTRACT, TOLERANCE_GATE, TOLERANCE_REPAIR, physical_totals, zero
 
 # Largest plausible quantity, pieces a carton, unit price, amount and cartons of a line.
 MAX_QUANTITY, MAX_PER_CARTON, MAX_PRICE, MAX_AMOUNT, MAX_CARTONS = 500_000, 20_000, 50_000, 50_000_000, 50_000
@@ -185,37 +185,56 @@ def cartons_adjusted(items: DataFrame, deltas: DataFrame) -> DataFrame:
     return rows.select("item_id", after.alias("total_cartons"), new_qty.alias("total_quantity"), (half_up(number("unit_price_rmb") * new_qty * 100) / 100).alias("total_amount_rmb"), (half_up(share("total_cbm") * after * 10000) / 10000).alias("total_cbm"))
 
 
-def extraction_validated(items: DataFrame, footers: DataFrame) -> DataFrame:
-    """Sums of each document against its footer. footers: document_id, footer_cartons, footer_amount (null: not printed)."""
+#: The metrics that a document prints at its end, with the names of its printed values.
+FOOTER_METRICS = {"cartons": "total_cartons", "cbm": "total_cbm", "weight": "total_weight_kg", "amount": "total_amount_rmb"}
+
+
+def computed_totals(items: DataFrame, everything: tuple[str, ...] = ("amount",)) -> DataFrame:
+    """Sums of each document's metrics; those not in `everything` leave out what stays in the warehouse."""
     physical = F.coalesce(F.col("section"), F.lit("shipped")) != "left_in_warehouse"
     publishable = physical & (F.coalesce(F.col("section"), F.lit("shipped")) != "repacked")
-    computed = items.groupBy("document_id").agg(
-        F.sum(F.when(physical, zero("total_cartons")).otherwise(0)).cast("double").alias("cartons"),
-        F.sum(zero("total_amount_rmb")).cast("double").alias("amount"),
-        F.count_if(publishable).alias("n_publishable"),
-    )
-    cartons_off, amount_off = F.abs(F.col("cartons") - F.col("footer_cartons")), F.abs(F.col("amount") - F.col("footer_amount"))
-    flags = F.array_compact(
-        F.array(
-            F.when(amount_off > TOLERANCE_EXTRACT[3], "Amount mismatch"),
-            F.when(cartons_off > TOLERANCE_EXTRACT[0], "Carton count mismatch"),
-            F.when(F.col("n_publishable") == 0, "No products extracted"),
-            F.when(F.col("n_publishable") < 5, "Suspiciously few rows"),
-        )
-    )
-    return footers.join(computed, "document_id").withColumn("flags", flags).withColumn("totals_match", F.size("flags") == 0)
+    sums = {m: F.sum(zero(c) if m in everything else F.when(physical, zero(c)).otherwise(0)).cast("double") for m, c in FOOTER_METRICS.items()}
+    return items.groupBy("document_id").agg(*(v.alias(m) for m, v in sums.items()), F.count_if(publishable).alias("n_publishable"), F.count(F.lit(1)).alias("n_rows"))
+
+
+# What a difference is called.
+MISMATCHES = {"cbm": "CBM mismatch", "weight": "Weight mismatch", "amount": "Amount mismatch", "cartons": "Carton count mismatch"}
+
+
+def extraction_validated(items: DataFrame, footers: DataFrame) -> DataFrame:
+    """Sums of each document against its footer. footers: document_id and footer_ of each metric (null: not printed).
+
+    Volume and weight are not held against the footer where no row has any."""
+    rows = footers.join(computed_totals(items), "document_id")
+    tolerance = dict(zip(FOOTER_METRICS, TOLERANCE_EXTRACT))
+    for m in FOOTER_METRICS:
+        unknown = (F.col(m) <= 0) & (F.col(f"footer_{m}") > 0) if m in ("cbm", "weight") else F.lit(False)
+        rows = rows.withColumn(f"{m}_diff", F.when(~unknown, half_up(F.abs(F.col(m) - F.col(f"footer_{m}")), 2)))
+    off = lambda m: F.col(f"{m}_diff").isNotNull() & (F.abs(F.col(m) - F.col(f"footer_{m}")) > tolerance[m])
+    few = (F.when(F.col("n_publishable") == 0, "No products extracted"), F.when(F.col("n_publishable") < 5, "Suspiciously few rows"))
+    flags = F.array_compact(F.array(*(F.when(off(m), name) for m, name in MISMATCHES.items()), *few))
+    return rows.withColumn("flags", flags).withColumn("totals_match", F.size("flags") == 0)
 
 
 def import_gate(items: DataFrame, footers: DataFrame) -> DataFrame:
-    """The strict gate before an import is published; a footer that is not printed fails."""
-    computed = items.groupBy("document_id").agg(F.sum(zero("total_cartons")).cast("double").alias("cartons"), F.sum(zero("total_amount_rmb")).cast("double").alias("amount"))
-    near = lambda a, b, most: F.coalesce(F.abs(F.col(a) - F.col(b)) <= most, F.lit(False))
-    return footers.join(computed, "document_id").select(
-        "document_id",
-        near("cartons", "footer_cartons", TOLERANCE_GATE[0]).alias("cartons_ok"),
-        near("amount", "footer_amount", TOLERANCE_GATE[3]).alias("amount_ok"),
-        (F.col("footer_cartons").isNotNull() & F.col("footer_amount").isNotNull()).alias("footers_present"),
-    )
+    """The strict gate before an import is published: as many rows as were read, all four footers, and each metric near its footer.
+
+    footers: document_id, footer_ of each metric, rows_read. A footer that is not printed makes no difference, but the gate needs all."""
+    rows = footers.join(computed_totals(items, tuple(FOOTER_METRICS)), "document_id")
+    printed = [F.col(f"footer_{m}").isNotNull() for m in FOOTER_METRICS]
+    near = [F.coalesce(F.abs(F.col(m) - F.col(f"footer_{m}")) <= most, F.lit(True)) for m, most in zip(FOOTER_METRICS, TOLERANCE_GATE)]
+    every = lambda conditions: F.forall(F.array(*conditions), lambda c: c)
+    rows = rows.select("document_id", (F.col("n_rows") == F.col("rows_read")).alias("rows_ok"), every(printed).alias("footers_present"), (T.any_of(printed) & every(near)).alias("totals_match"))
+    return rows.withColumn("passes", F.col("rows_ok") & F.col("footers_present") & F.col("totals_match"))
+
+
+def physical_totals_matched(items: DataFrame, printed: DataFrame) -> DataFrame:
+    """Stored totals after goods left were taken out of cartons, volume and weight; what is not printed counts as 0."""
+    rows = printed.join(physical_totals(items), "document_id")
+    off = {m: F.col(c).cast("double") - F.coalesce(F.col(f"footer_{m}"), F.lit(0.0)) for m, c in FOOTER_METRICS.items()}
+    near = [F.abs(v) <= most for v, most in zip(off.values(), TOLERANCE_REPAIR)]
+    diffs = [F.round(v, 4 if m == "cbm" else 2).alias(f"{m}_diff") for m, v in off.items()]
+    return rows.select("document_id", *FOOTER_METRICS.values(), *diffs, F.forall(F.array(*near), lambda c: c).alias("totals_match"))
 
 
 def section_against_bars(items: DataFrame, bars: DataFrame) -> DataFrame:

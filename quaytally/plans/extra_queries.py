@@ -51,14 +51,13 @@ def out_of_stock(spark: SparkSession, d: str) -> DataFrame:
     return items.where((R.zero("total_cartons") == 0) & (R.zero("total_quantity") == 0)).select("item_id")
 
 
-@query("""SELECT item_id, row_number() OVER (PARTITION BY document_id ORDER BY section = 'repacked', line_no) AS place FROM items WHERE section <> 'left_in_warehouse'""")
+@query("""
+, live AS (SELECT document_id, item_id, line_no, section, NULL::VARCHAR AS sku FROM items WHERE section <> 'left_in_warehouse'),
+rows AS (SELECT *, CASE section WHEN 'repacked' THEN 2 ELSE 0 END AS block FROM live UNION ALL SELECT document_id, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, '__SECTION_REPACKAGED__', 1 FROM live GROUP BY 1 HAVING bool_or(section = 'repacked') AND bool_or(section = 'shipped'))
+SELECT document_id, item_id, sku, row_number() OVER (PARTITION BY document_id ORDER BY block, line_no) AS place FROM rows""")
 def normal_then_repacked(spark: SparkSession, d: str) -> DataFrame:
-    """Normal rows and then repacked ones, numbered through."""
-    from pyspark.sql import Window
-
-    items = C.items(spark, d)
-    blocks = items.where("section = 'shipped'").withColumn("block", F.lit(0)).unionByName(items.where("section = 'repacked'").withColumn("block", F.lit(2)))
-    return blocks.select("item_id", F.row_number().over(Window.partitionBy("document_id").orderBy("block", "line_no")).cast("long").alias("place"))
+    items = C.items(spark, d).where("section <> 'left_in_warehouse'").select("document_id", "item_id", "line_no", "section")
+    return R.compiled_blocks(items).select("document_id", "item_id", "sku", "place")
 
 
 @query("""SELECT item_id FROM items WHERE product_id % 4 = 0 OR description LIKE '%ring%'""")
@@ -101,13 +100,6 @@ def order_context(spark: SparkSession, d: str) -> DataFrame:
     return docs.where(F.col("priority").isNotNull()).groupBy("client_id").agg(F.min("document_id").alias("first_document"), F.min_by("priority", "document_id").alias("priority"))
 
 
-@query(r"""SELECT document_id, (5 + document_id % 7)::DOUBLE AS total_cartons, 70.1::DOUBLE AS total_cbm, printed_amount::DOUBLE AS total_rmb, 6.8::DOUBLE AS rate, 'MS-' || document_id % 50 AS container_no FROM docs""")
-def doc_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Header and footer facts of a document out of its text."""
-    body = F.concat(F.lit("CLIENT DETAILS: x\nCONTAINER NO: MS-"), F.col("document_id") % 50, F.lit("\nTOTAL CARTON: "), 5 + F.col("document_id") % 7, F.lit("CTNS\nTOTAL CBM 70.1CBM\nTOTAL COST ¥"), F.format_number("printed_amount", 2), F.lit("\nEXCHANGE RATE 6.80"))
-    return L.document_facts(C.documents(spark, d).select("document_id", body.alias("text")), "text")
-
-
 @query("""SELECT item_id, CASE item_id % 6 WHEN 0 THEN 'NEW ORDERS' WHEN 1 THEN 'BEFORE GOODS MAG-' || line_no WHEN 2 THEN 'LOT ' || shop WHEN 3 THEN '37-T-1 18 CTN GOODS STUFFED INTO THIS CONTAINER' WHEN 4 THEN 'cups pans ' || line_no || ' lids' ELSE 'Shipped' END AS label FROM items""")
 def shown_labels(spark: SparkSession, d: str) -> DataFrame:
     k, n = F.col("item_id") % 6, F.col("line_no")
@@ -138,19 +130,9 @@ def recovered_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT document_id, line_no, item_code, description FROM items UNION ALL
-SELECT document_id, 1000 + k, ['__FULL_EXTRACT_BANNER__', '__SUBTOTAL__', '__FOOTER__'][k], ['NEW ORDER', '12CTN 3CBM 4KGS', 'EXCHANGE RATE 6.80'][k] FROM (SELECT DISTINCT document_id FROM items), range(1, 4) r(k)""")
+SELECT document_id, 1000 + k, ['__FULL_EXTRACT__', '__SECTION_SUBTOTAL__', '__FOOTER__'][k], ['NEW ORDER', '12CTN 3CBM 4KGS', 'EXCHANGE RATE 6.80'][k] FROM (SELECT DISTINCT document_id FROM items), range(1, 4) r(k)""")
 def full_extract(spark: SparkSession, d: str) -> DataFrame:
     items = C.items(spark, d)
     texts = F.array(*(F.lit(x) for x in ("NEW ORDER", "12CTN 3CBM 4KGS", "EXCHANGE RATE 6.80")))
     other = items.select("document_id").distinct().select("document_id", F.posexplode(texts).alias("n", "text")).select("document_id", (1001 + F.col("n")).cast("long").alias("line_no"), "text")
     return J.full_extract(items, other)
-
-
-@query("""SELECT item_id, item_code, description, CASE WHEN line_no % 5 <> 0 THEN total_cartons::DOUBLE END AS total_cartons, CASE WHEN line_no % 5 <> 0 THEN (total_cartons * qty_per_carton)::DOUBLE END AS total_quantity, CASE WHEN line_no % 5 <> 0 THEN total_amount_rmb::DOUBLE END AS total_amount_rmb, shop AS warehouse FROM items""")
-def anchored_rows(spark: SparkSession, d: str) -> DataFrame:
-    pieces = F.when(F.col("line_no") % 5 != 0, (F.col("total_cartons") * F.col("qty_per_carton")).cast("long").cast("string")).otherwise("999999")
-    numbers = [whole("total_cartons"), whole("qty_per_carton"), pieces, F.col("unit_price_rmb").cast("string"), F.format_number("total_amount_rmb", 2), *(F.lit(x) for x in ("30", "20", "10", "0.006", "1.5", "0.01", "3"))]
-    tail = F.array(F.col("item_code"), F.col("description"), *numbers, F.lit("6901234567"), F.lit(""), F.col("shop"))
-    cells = F.when(F.col("line_no") % 2 == 0, F.concat(F.array(F.lit("1"), F.lit("26C707-6083")), tail)).otherwise(tail)
-    found = L.anchored_cells(C.items(spark, d).select("item_id", cells.alias("cells")))
-    return found.select("item_id", "item_code", "description", "total_cartons", "total_quantity", "total_amount_rmb", "warehouse")

@@ -49,9 +49,15 @@ def carton_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return O.cartons_deduplicated(items).select("item_id", "total_cartons", "remarks")
 
 
-@query("""SELECT item_id, document_id FROM items QUALIFY row_number() OVER (PARTITION BY description, qty_per_carton, total_quantity, section, shop ORDER BY document_id, line_no) = 1""")
+@query("""
+, read AS (SELECT *, 0 AS copy FROM items UNION ALL SELECT *, 1 FROM items WHERE line_no % 3 <> 1)
+SELECT item_id, document_id, copy FROM read QUALIFY row_number() OVER (PARTITION BY document_id, section, marks, item_code, description, total_cartons, total_quantity, total_amount_rmb ORDER BY copy, line_no) = 1""")
 def first_seen_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    return O.first_seen(C.items(spark, d), ("description", "qty_per_carton", "total_quantity", "section", "shop"), ("document_id", "line_no")).select("item_id", "document_id")
+    """Rows of overlapping pieces of a document are read twice."""
+    items = C.items(spark, d)
+    read = items.withColumn("copy", F.lit(0)).unionByName(items.where("line_no % 3 <> 1").withColumn("copy", F.lit(1)))
+    keys = ("document_id", "section", "marks", "item_code", "description", "total_cartons", "total_quantity", "total_amount_rmb")
+    return O.first_seen(read, keys, ("copy", "line_no")).select("item_id", "document_id", "copy")
 
 
 @query("""SELECT movement_id, product_id, sum(CASE movement_type WHEN 'out' THEN -quantity ELSE quantity END) OVER (PARTITION BY product_id, segment ORDER BY created_at, movement_id ROWS UNBOUNDED PRECEDING)::DOUBLE AS stock
@@ -136,18 +142,53 @@ def repack_boundary(spark: SparkSession, d: str) -> DataFrame:
     return O.until_boundary(rows).select("item_id")
 
 
-@query()
+@query("""
+, i AS (SELECT document_id, item_id, line_no, total_cartons::DOUBLE + CASE WHEN line_no % 2 = 0 THEN 4 + product_id % 5 ELSE 0 END AS cartons, ceil(total_quantity / qty_per_carton)::DOUBLE AS whole, qty_per_carton FROM items),
+f AS (SELECT document_id, sum(cartons) - greatest(sum(cartons) - 9, 0) AS overflow FROM i GROUP BY 1 HAVING sum(cartons) - 9 > 0),
+c AS (SELECT document_id, item_id, whole, cartons - whole AS reduction, row_number() OVER (PARTITION BY document_id ORDER BY cartons - whole DESC, line_no DESC) AS n FROM i WHERE cartons - whole >= 4),
+taken AS (SELECT document_id, overflow AS left_over, 0 AS n, NULL::BIGINT AS item_id, NULL::DOUBLE AS new_cartons FROM f
+  UNION ALL SELECT t.document_id, CASE WHEN c.reduction <= t.left_over THEN t.left_over - c.reduction ELSE t.left_over END, c.n, CASE WHEN c.reduction <= t.left_over THEN c.item_id END, c.whole
+  FROM taken t JOIN c ON c.document_id = t.document_id AND c.n = t.n + 1)
+SELECT document_id, item_id, new_cartons FROM taken WHERE item_id IS NOT NULL""")
 def overflow_reconcile(spark: SparkSession, d: str) -> DataFrame:
     items = C.items(spark, d).withColumn("total_cartons", F.col("total_cartons") + F.when(F.col("line_no") % 2 == 0, 4 + F.col("product_id") % 5).otherwise(0))
     footers = items.groupBy("document_id").agg((F.sum("total_cartons").cast("double") - 9).alias("footer_cartons"))
     return O.overflow_reconciled(items.withColumn("total_quantity", F.ceil(F.col("total_quantity") / F.col("qty_per_carton")) * F.col("qty_per_carton")), footers, least_pieces=1)
 
 
-@query()
+CONTINUATIONS = r"""
+, r AS (SELECT document_id, item_id, line_no, CASE supplier_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'M1' ELSE 'M' END AS marks, 'K ' || supplier_id % 2 AS item_code,
+  CASE (product_id + line_no) % 6 WHEN 0 THEN NULL WHEN 1 THEN '22' WHEN 2 THEN '[ ] []' WHEN 3 THEN 'ab' ELSE description END AS description,
+  CASE WHEN line_no % 3 <> 1 THEN total_quantity::DOUBLE END AS total_quantity, CASE WHEN line_no % 4 <> 2 THEN unit_price_rmb::DOUBLE END AS unit_price_rmb, CASE WHEN line_no % 5 <> 3 THEN total_amount_rmb::DOUBLE END AS total_amount_rmb, remarks FROM items),
+noise AS (SELECT *, trim(coalesce(description, '')) AS d, regexp_full_match(trim(coalesce(description, '')), '\d{1,15}|(\[\s*\]\s*)*') AS noise, greatest(coalesce(total_quantity, 0), coalesce(unit_price_rmb, 0), coalesce(total_amount_rmb, 0)) > 0 AS brings FROM r),
+steps AS (
+  SELECT document_id, line_no, 0 AS g, item_id, marks, item_code, d, noise, brings, total_quantity, unit_price_rmb, total_amount_rmb, remarks FROM noise WHERE line_no = 1
+  UNION ALL
+  SELECT document_id, line_no, CASE WHEN m THEN g ELSE g + 1 END, CASE WHEN m THEN item_id ELSE item_id2 END, CASE WHEN m THEN marks ELSE marks2 END, CASE WHEN m THEN item_code ELSE item_code2 END,
+    CASE WHEN NOT m THEN d2 ELSE joined END, CASE WHEN NOT m THEN noise2 ELSE regexp_full_match(joined, '\d{1,15}|(\[\s*\]\s*)*') END, CASE WHEN m THEN brings OR brings2 ELSE brings2 END,
+    CASE WHEN m THEN coalesce(total_quantity, q2) ELSE q2 END, CASE WHEN m THEN coalesce(unit_price_rmb, p2) ELSE p2 END, CASE WHEN m THEN coalesce(total_amount_rmb, a2) ELSE a2 END,
+    CASE WHEN m THEN coalesce(remarks || ';', r2 || ';', '') || 'repair:merged_continuation_row' ELSE r2 END
+  FROM (
+    SELECT s.* EXCLUDE (line_no), n.line_no, n.item_id AS item_id2, n.marks AS marks2, n.item_code AS item_code2, n.d AS d2, n.noise AS noise2, n.brings AS brings2, n.total_quantity AS q2, n.unit_price_rmb AS p2, n.total_amount_rmb AS a2, n.remarks AS r2,
+      CASE WHEN n.noise OR contains(s.d, left(n.d, 24)) THEN s.d WHEN s.d = '' THEN n.d ELSE s.d || ' ' || n.d END AS joined,
+      s.item_code = n.item_code AND (s.marks = '' OR n.marks = '' OR s.marks = n.marks) AND CASE
+        WHEN n.d <> '' AND n.noise AND n.brings AND s.total_quantity > 0 AND s.unit_price_rmb > 0 AND s.total_amount_rmb > 0 AND length(s.d) >= 4 THEN false
+        WHEN n.d <> '' AND n.noise AND n.brings AND (length(s.d) >= 6 AND NOT s.noise OR length(s.d) < 4 OR NOT s.brings) THEN true
+        WHEN length(s.d) < 4 AND length(n.d) >= 6 AND NOT n.noise THEN true
+        ELSE length(s.d) >= 6 AND NOT s.brings AND n.brings AND (n.noise OR length(n.d) < 4) END AS m
+    FROM steps s JOIN noise n ON n.document_id = s.document_id AND n.line_no = s.line_no + 1)),
+last AS (SELECT document_id, g, max(line_no) AS line_no FROM steps GROUP BY 1, 2)
+SELECT item_id, nullif(d, '') AS description, total_quantity, unit_price_rmb, total_amount_rmb, remarks FROM steps JOIN last USING (document_id, g, line_no)"""
+
+
+@query(CONTINUATIONS)
 def continuation_merge(spark: SparkSession, d: str) -> DataFrame:
-    items = C.items(spark, d)
-    rows = items.select(
-        "document_id", "item_id", "line_no", F.concat(F.lit("K"), F.col("supplier_id") % 3).alias("item_key"), "description",
-        F.when(F.col("line_no") % 2 == 1, F.col("total_quantity").cast("double")).alias("total_quantity"), F.when(F.col("line_no") % 3 != 0, F.col("total_amount_rmb").cast("double")).alias("total_amount_rmb"),
+    n, supplier = F.col("line_no"), F.col("supplier_id")
+    kind = (F.col("product_id") + n) % 6
+    rows = C.items(spark, d).select(
+        "document_id", "item_id", "line_no", F.when(supplier % 5 == 0, "").when(supplier % 5 == 1, "M1").otherwise("M").alias("marks"), F.concat(F.lit("K "), supplier % 2).alias("item_code"),
+        F.when(kind == 1, "22").when(kind == 2, "[ ] []").when(kind == 3, "ab").when(kind > 3, F.col("description")).alias("description"),
+        F.when(n % 3 != 1, F.col("total_quantity")).alias("total_quantity"), F.when(n % 4 != 2, F.col("unit_price_rmb")).alias("unit_price_rmb"), F.when(n % 5 != 3, F.col("total_amount_rmb")).alias("total_amount_rmb"), "remarks",
     )
-    return O.continuations_merged(rows)
+    # an empty description is none
+    return O.continuations_merged(rows).select("item_id", F.nullif(F.trim("description"), F.lit("")).alias("description"), "total_quantity", "unit_price_rmb", "total_amount_rmb", "remarks")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaytally.functions.headers import field_of_label
 from quaytally.plans.registry import query
 from quaytally.sources import canonical as C
 from quaytally.sources import grids as G
@@ -19,34 +20,65 @@ def whole(c: str) -> F.Column:
     return F.col(c).cast("long").cast("string")
 
 
-def item_pages(spark: SparkSession, d: str, rowspan: bool = False) -> DataFrame:
-    """An HTML page for each document: a title row over all columns, a header row, a row per item."""
-    first = F.concat(F.lit("<td rowspan='1'>" if rowspan else "<td>"), F.col("line_no"), F.lit("</td>"))
-    row = F.concat(F.lit("<tr>"), first, *(x for c in ("item_code", "description") for x in (F.lit("<td>"), F.col(c), F.lit("</td>"))), F.lit("<td><b>"), whole("total_quantity"), F.lit("</b>&nbsp;</td></tr>"))
+MARKUP, SHOWN = " &amp;amp; caf&#233; &#x20AC;<br>x<br/>Y&lt;1&gt;", " &amp; café € x Y<1>"
+
+
+def item_pages(spark: SparkSession, d: str, spans: bool = False) -> DataFrame:
+    """An HTML page for each document: a title row over all columns, a header row, a row per item.
+
+    With spans, every second or third row (by document) opens with a cell of the shop that goes on in the rows below."""
+    shop = F.concat(F.lit("<td rowspan='"), 2 + F.col("document_id") % 2, F.lit("'>"), F.col("shop"), F.lit("</td>"))
+    opens = F.when((F.col("line_no") - 1) % (2 + F.col("document_id") % 2) == 0, shop).otherwise("") if spans else F.lit("")
+    row = F.concat(F.lit("<tr>"), opens, F.lit("<td>"), F.col("line_no"), F.lit("</td><td>"), F.col("item_code"), F.lit("</td><td>"), F.col("description"), F.lit(MARKUP + "</td><td><b>"), whole("total_quantity"), F.lit("</b>&nbsp;</td></tr>"))
     rows = C.items(spark, d).groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", row.alias("html")))), lambda r: r["html"]), "\n").alias("rows"))
-    head = "<p>list</p><TABLE border=1><tr><td colspan=4>order &amp; goods</td></tr><tr><th>No.:</th><th>ITEM NO</th><th>DES.</th><th>T.QTY</th></tr>"
+    head = f"<p>list</p><TABLE border=1><tr><td colspan={4 + spans}>order &amp; goods</td></tr><tr>{'<th>SHOP</th>' * spans}<th>No.:</th><th>ITEM NO</th><th>DES.</th><th>T.QTY</th></tr>"
     return rows.select(F.col("document_id").alias("page_id"), F.concat(F.lit(head), "rows", F.lit("</TABLE>")).alias("html"))
 
 
-CELLS = """SELECT document_id AS page_id, 0 AS "table", 0 AS row, c AS col, 'order & goods' AS text FROM (SELECT DISTINCT document_id FROM items), range(4) r(c)
+@query(f"""SELECT document_id AS page_id, 0 AS "table", 0 AS row, c AS col, 'order & goods' AS text FROM (SELECT DISTINCT document_id FROM items), range(4) r(c)
 UNION ALL SELECT document_id, 0, 1, c, ['No.:', 'ITEM NO', 'DES.', 'T.QTY'][c + 1] FROM (SELECT DISTINCT document_id FROM items), range(4) r(c)
-UNION ALL SELECT document_id, 0, line_no + 1, c, [line_no::VARCHAR, item_code, description, total_quantity::BIGINT::VARCHAR][c + 1] FROM items, range(4) r(c)"""
-
-
-@query(CELLS)
+UNION ALL SELECT document_id, 0, line_no + 1, c, [line_no::VARCHAR, item_code, description || '{SHOWN}', total_quantity::BIGINT::VARCHAR][c + 1] FROM items, range(4) r(c)""")
 def html_cells(spark: SparkSession, d: str) -> DataFrame:
     return G.html_cells(item_pages(spark, d))
 
 
-@query(CELLS)
+@query(f"""SELECT document_id AS page_id, 0 AS "table", 0 AS row, c AS col, 'order & goods' AS text FROM (SELECT DISTINCT document_id FROM items), range(5) r(c)
+UNION ALL SELECT document_id, 0, 1, c, ['SHOP', 'No.:', 'ITEM NO', 'DES.', 'T.QTY'][c + 1] FROM (SELECT DISTINCT document_id FROM items), range(5) r(c)
+UNION ALL SELECT i.document_id, 0, i.line_no + 1, c, [f.shop, i.line_no::VARCHAR, i.item_code, i.description || '{SHOWN}', i.total_quantity::BIGINT::VARCHAR][c + 1]
+  FROM items i JOIN items f ON f.document_id = i.document_id AND f.line_no = i.line_no - (i.line_no - 1) % (2 + i.document_id % 2), range(5) r(c)""")
 def html_cells_rowspan(spark: SparkSession, d: str) -> DataFrame:
-    return G.html_cells(item_pages(spark, d, rowspan=True))
+    return G.html_cells(item_pages(spark, d, spans=True))
 
 
-@query("""SELECT document_id AS page_id, line_no + 1 AS row, item_code, description, total_quantity::BIGINT::VARCHAR AS total_quantity FROM items""")
+@query(f"""SELECT document_id AS page_id, line_no + 1 AS row, item_code, description || '{SHOWN}' AS description, total_quantity::BIGINT::VARCHAR AS total_quantity FROM items""")
 def html_field_rows(spark: SparkSession, d: str) -> DataFrame:
-    cells = G.html_cells(item_pages(spark, d))
-    return G.field_rows(cells, G.SALES_LABELS, ("item_code", "description", "total_quantity")).drop("table")
+    return G.field_rows(item_pages(spark, d), ("item_code", "description", "total_quantity")).drop("table")
+
+
+@query("""SELECT document_id AS page_id, line_no + 1 AS row, item_code, description, total_weight_kg::VARCHAR AS total_weight_kg, material, shop AS warehouse FROM items""")
+def html_two_header_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Grouped columns: the second header row names what the first leaves open, or both do together."""
+    cell = lambda c: F.concat(F.lit("<td>"), F.col(c).cast("string"), F.lit("</td>"))
+    row = F.concat(F.lit("<tr>"), *map(cell, ("line_no", "item_code", "description", "total_weight_kg", "material", "shop")), F.lit("</tr>"))
+    rows = C.items(spark, d).groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", row.alias("html")))), lambda r: r["html"]), "").alias("rows"))
+    head = "<table><tr><td>NO.</td><td colspan=2>GOODS</td><td>TOTAL</td><td>MATERIAL</td><td>W.H.</td></tr><tr><td></td><td>ITEM NO</td><td>DES.</td><td>WEIGHT</td><td></td><td></td></tr>"
+    pages = rows.select(F.col("document_id").alias("page_id"), F.concat(F.lit(head), "rows", F.lit("</table>")).alias("html"))
+    return G.field_rows(pages, ("item_code", "description", "total_weight_kg", "material", "warehouse")).drop("table")
+
+
+# label, its field in manifests, its field in sales orders
+LABELS = (
+    ("U.PRICE(RMB)", "unit_price_rmb", None), ("T. AMOUNT", "total_amount_rmb", "total_amount_rmb"), ("unit  price (¥)", "unit_price_rmb", "unit_price_rmb"), ("BOX .NO", "box_no_start", None), ("DEL NO. 送货单号", None, "delivery_no"),
+    ("ITEM NO：", "item_code", "item_code"), ("客户货号 (CUS)", None, "customer_item_ref"), ("T.T.CBM 总体积", None, "total_cbm"), ("QTY pcs", None, "packaging"), ("W.H.", None, "warehouse"), ("L （cm）", None, "dim_l_cm"), ("image", "skip", None), ("colour", None, None), ("品名", "description", "product_name_local"),
+)
+
+
+@query(f"""SELECT item_id, container, sales FROM items JOIN (VALUES {', '.join(str((i, c or '', s or '')) for i, (_, c, s) in enumerate(LABELS))}) v(i, c, s) ON product_id % {len(LABELS)} = i, LATERAL (SELECT nullif(c, '') AS container, nullif(s, '') AS sales)""")
+def column_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels are resolved once each, then joined to the rows that have them."""
+    rows = C.items(spark, d).select("item_id", F.element_at(F.array(*(F.lit(x) for x, _, _ in LABELS)), (F.col("product_id") % len(LABELS) + 1).cast("int")).alias("label"))
+    fields = rows.select("label").distinct().select("label", field_of_label(F.col("label"), False).alias("container"), field_of_label(F.col("label"), True).alias("sales"))
+    return rows.join(fields, "label").drop("label")
 
 
 def manifest_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -86,14 +118,6 @@ def tail_recovery(spark: SparkSession, d: str) -> DataFrame:
     return L.anchored_tail(tails(spark, d)).select("item_id", *(F.col(f"tail_{c}").alias(c) for c in ("total_cartons", "total_quantity", "total_weight_kg")))
 
 
-@query("""SELECT item_id, total_cartons::DOUBLE AS total_cartons, (total_cartons * qty_per_carton)::DOUBLE AS total_quantity, (total_cartons * qty_per_carton * 2)::DOUBLE AS total_amount_rmb FROM items""")
-def tail_window(spark: SparkSession, d: str) -> DataFrame:
-    pieces = (F.col("total_cartons") * F.col("qty_per_carton")).cast("long")
-    numbers = [F.lit("WH-7 77"), whole("total_cartons"), whole("qty_per_carton"), pieces.cast("string"), F.lit("2"), (pieces * 2).cast("string"), F.lit("30 20 10 0.5 1"), (F.col("total_cartons") * 0.5).cast("decimal(18,1)").cast("string"), whole("total_cartons"), F.lit("88 box")]
-    rows = C.items(spark, d).select("item_id", F.array_join(F.array(F.col("description"), *numbers), " ").alias("description"))
-    return L.window_tail(rows).select("item_id", *(F.col(f"tail_{c}").alias(c) for c in ("total_cartons", "total_quantity", "total_amount_rmb")))
-
-
 @query("""SELECT document_id, sum(total_cartons)::DOUBLE AS cartons, sum(total_cbm)::DOUBLE AS cbm, sum(total_amount_rmb)::DOUBLE AS rmb FROM items GROUP BY 1""")
 def subtotal_bars(spark: SparkSession, d: str) -> DataFrame:
     sums = C.items(spark, d).groupBy("document_id").agg(F.sum("total_cartons").alias("c"), F.sum("total_cbm").alias("v"), F.sum("total_amount_rmb").alias("a"))
@@ -102,15 +126,33 @@ def subtotal_bars(spark: SparkSession, d: str) -> DataFrame:
     return L.subtotal_bars(rows).select("document_id", "cartons", "cbm", "rmb")
 
 
-@query("""SELECT document_id, count(*) AS n_lines FROM items GROUP BY 1""")
+@query("""SELECT document_id, line_no % 3 = 2 AS carried, CASE line_no % 4
+  WHEN 0 THEN marks || ' SANCARGO ' || shop || ' ' || packaging || ' ' || total_cartons::BIGINT || 'CTNS'
+  WHEN 1 THEN marks || ' SANCARGO ' || shop || ' x 1' ELSE marks || ' SANCARGO ' || shop || ' ' || packaging END AS text FROM items""")
 def fragment_lines(spark: SparkSession, d: str) -> DataFrame:
-    parts = F.array(*(F.struct(F.lit(x).alias("x"), c.cast("string").alias("text")) for x, c in ((30.0, F.col("description")), (10.0, F.col("marks")), (50.0, F.lit(" ")), (70.0, F.col("total_quantity")))))
-    fragments = C.items(spark, d).select("document_id", F.lit(1).alias("page"), (F.col("line_no") * 12.0).alias("y"), F.explode(parts).alias("p")).select("document_id", "page", "p.x", "y", "p.text")
-    found = L.fragments_to_lines(fragments)
-    return found.where(F.col("text").startswith("MS-")).groupBy("document_id").agg(F.count(F.lit(1)).alias("n_lines"))
-
-
-@query()
+    """Three items a page. Marks stand above their SANCARGO line, for the last item of a page on the page before."""
+    n, last = F.col("line_no"), F.col("line_no") % 3 == 2
+    page, top = F.floor(n / 3) + F.when(last, 1).otherwise(0), F.when(last, 950.0).otherwise(900.0 - (n % 3) * 100)
+    piece = lambda p, x, y, c: F.struct(p.cast("long").alias("page"), F.lit(x).alias("x"), y.alias("y"), c.cast("string").alias("text"))
+    # what stands below a SANCARGO line without packing is part of it
+    below = F.when(n % 4 == 0, F.concat_ws(" ", "packaging", F.concat(whole("total_cartons"), F.lit("CTNS")))).when(n % 4 == 1, F.lit("x 1")).otherwise(F.lit(" "))
+    beside = F.when(n % 4 > 1, F.col("packaging")).otherwise(F.lit(" "))
+    parts = F.array(piece(page, 60.0, top - 10, F.col("shop")), piece(F.floor(n / 3), 10.0, F.when(last, 5.0).otherwise(top), F.col("marks")), piece(page, 20.0, top - 9.5, F.lit("SANCARGO")), piece(page, 90.0, top - 10, beside), piece(page, 30.0, top - 20, below))
+    fragments = C.items(spark, d).select("document_id", F.explode(parts).alias("p")).select("document_id", "p.*")
+    joined = L.manifest_lines_joined(L.fragments_to_lines(fragments))
+    return joined.select("document_id", (F.col("row") > 230).alias("carried"), "text")
+
+
+@query("""
+, l AS (SELECT document_id, row_number() OVER w - 1 AS i, line_no * 10 + n AS line_no, n = 0 AS anchor, sum((n = 0)::INT) OVER w - (n = 0)::INT AS anchors
+  FROM items, range(4) r(n) WHERE n < CASE WHEN line_no % 2 = 0 THEN 2 ELSE 4 END WINDOW w AS (PARTITION BY document_id ORDER BY line_no * 10 + n)),
+steps AS (
+  SELECT document_id, i, 0::BIGINT AS b, 0 AS chunk FROM l WHERE i = 0
+  UNION ALL SELECT document_id, i, CASE WHEN cut THEN greatest(b, i - 2) ELSE b END, CASE WHEN cut THEN chunk + 1 ELSE chunk END
+  FROM (SELECT s.document_id, n.i, s.b, s.chunk, n.anchor AND n.i > s.b AND n.anchors - f.anchors >= 2 OR n.i - s.b >= 5 AS cut
+    FROM steps s JOIN l n ON n.document_id = s.document_id AND n.i = s.i + 1 JOIN l f ON f.document_id = s.document_id AND f.i = s.b)),
+ends AS (SELECT document_id, chunk, min(b) AS b, max(i) AS e FROM steps GROUP BY 1, 2)
+SELECT e.document_id, chunk, f.line_no AS first_line, t.line_no AS last_line FROM ends e JOIN l f ON f.document_id = e.document_id AND f.i = e.b JOIN l t ON t.document_id = e.document_id AND t.i = e.e""")
 def row_chunks(spark: SparkSession, d: str) -> DataFrame:
-    lines = manifest_lines(spark, d).withColumn("is_anchor", L.marks_token(F.col("text")))
-    return L.chunks(lines, rows=2, most=9, overlap=1).select("document_id", "chunk", "first_line", "last_line")
+    lines = manifest_lines(spark, d)
+    return L.chunks(lines, rows=2, most=5, overlap=2).select("document_id", "chunk", "first_line", "last_line")

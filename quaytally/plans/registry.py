@@ -20,7 +20,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
         key = name or f.__name__
         QUERIES[key] = lambda spark, sf_dir: plain(f(spark, sf_dir))
         if sql:
-            ORACLES[key] = f"WITH {ITEMS_SQL.strip()}, {DOCUMENTS_SQL.strip()}, {MOVEMENTS_SQL.strip()}\n{sql.strip()}"
+            ORACLES[key] = f"WITH RECURSIVE {ITEMS_SQL.strip()}, {DOCUMENTS_SQL.strip()}, {MOVEMENTS_SQL.strip()}\n{sql.strip()}"
         return f
 
     return register

@@ -120,7 +120,7 @@ def stock_dashboard(spark: SparkSession, d: str) -> DataFrame:
 
 PAYMENTS = """
 , payments AS (SELECT event_id AS payment_id, user_id AS document_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE ts::DATE END AS payment_date, value::DECIMAL(14,2) AS amount_usd,
-  CASE event_type WHEN 'purchase' THEN 'freight' WHEN 'signup' THEN 'credit' WHEN 'click' THEN 'other' WHEN 'view' THEN 'deposit' ELSE 'balance' END AS payment_type FROM events)"""
+  CASE event_type WHEN 'purchase' THEN 'freight' WHEN 'signup' THEN 'credit' WHEN 'click' THEN 'other' WHEN 'view' THEN 'deposit' ELSE 'balance' END AS payment_type, CASE event_id % 4 WHEN 0 THEN 'pivoc fee' WHEN 1 THEN ' ' WHEN 2 THEN 'misc' END AS note FROM events)"""
 
 
 def payments(spark: SparkSession, d: str) -> DataFrame:
@@ -131,6 +131,7 @@ def payments(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("event_id") % 11 != 0, F.to_date("ts")).alias("payment_date"),
         F.col("value").cast("decimal(14,2)").alias("amount_usd"),
         F.try_element_at(kinds, F.col("event_type")).alias("payment_type"),
+        F.when(F.col("event_id") % 4 == 0, "pivoc fee").when(F.col("event_id") % 4 == 1, " ").when(F.col("event_id") % 4 == 2, "misc").alias("note"),
     )
 
 
@@ -147,10 +148,10 @@ def payments_fold(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{PAYMENTS}
-SELECT payment_id, document_id, upper(payment_type) || ' ' || coalesce(strftime(payment_date, '%d/%m/%Y'), 'UNDATED') AS label FROM payments""")
+SELECT payment_id, document_id, CASE payment_type WHEN 'freight' THEN 'YIWU-MOMBASA FREIGHT' WHEN 'credit' THEN 'CREDIT SUPPORT TO MOMBASA' WHEN 'other' THEN CASE WHEN note LIKE '%pivoc%' THEN 'PIVOC' ELSE coalesce(nullif(trim(note), ''), 'Other') END
+  ELSE coalesce(strftime(payment_date, '%d/%m/%Y') || ' PAYMENT', CASE payment_type WHEN 'balance' THEN 'BALANCE PAYMENT' ELSE 'PAYMENT' END) END AS label, '$' || format('{{:,.2f}}', amount_usd::DOUBLE) || ' USD' AS value, payment_type = 'balance' AS highlight FROM payments""")
 def payment_labels(spark: SparkSession, d: str) -> DataFrame:
-    label = F.concat(F.upper("payment_type"), F.lit(" "), F.coalesce(F.date_format("payment_date", "dd/MM/yyyy"), F.lit("UNDATED")))
-    return payments(spark, d).select("payment_id", "document_id", label.alias("label"))
+    return R.payment_rows(payments(spark, d)).select("payment_id", "document_id", "label", "value", "highlight")
 
 
 @query("""SELECT p_partkey AS product_id, p_name AS name, s_name AS supplier_name FROM part LEFT JOIN supplier ON p_partkey % 120 = s_suppkey""")
@@ -179,10 +180,26 @@ def docs_referenced_latest(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{PAYMENTS}
-SELECT document_id, printed_amount::DOUBLE AS printed_amount, n_payments, paid_usd FROM docs LEFT JOIN (SELECT document_id, count(*) AS n_payments, sum(amount_usd)::DOUBLE AS paid_usd FROM payments GROUP BY 1) USING (document_id)""")
+, t AS (SELECT document_id, sum(total_cartons)::DOUBLE AS total_cartons, CASE WHEN document_id % 2 = 0 THEN sum(total_amount_rmb)::DOUBLE END AS total_amount_rmb FROM items WHERE document_id % 3 <> 0 GROUP BY 1)
+SELECT document_id, source_file_name, coalesce(total_cartons, CASE WHEN document_id % 5 <> 0 THEN (document_id % 50)::DOUBLE END) AS total_cartons, coalesce(total_amount_rmb, printed_amount::DOUBLE) AS total_amount_rmb, n_payments, paid_usd
+FROM docs LEFT JOIN t USING (document_id) LEFT JOIN (SELECT document_id, count(*) AS n_payments, sum(amount_usd)::DOUBLE AS paid_usd FROM payments GROUP BY 1) USING (document_id)""")
 def doc_bundle(spark: SparkSession, d: str) -> DataFrame:
-    paid = payments(spark, d).groupBy("document_id").agg(F.count(F.lit(1)).alias("n_payments"), F.sum("amount_usd").alias("paid_usd"))
-    return C.documents(spark, d).join(paid, "document_id", "left").select("document_id", "printed_amount", "n_payments", "paid_usd")
+    printed = F.struct(F.when(F.col("document_id") % 5 != 0, (F.col("document_id") % 50).cast("string")).otherwise("n/a").alias("total_cartons"), F.col("printed_amount").alias("total_amount_rmb"))
+    docs = C.documents(spark, d).withColumn("raw", F.to_json(F.struct(printed.alias("footer_totals"))))
+    even = F.col("document_id") % 2 == 0
+    sums = C.items(spark, d).where("document_id % 3 <> 0").groupBy("document_id").agg(F.sum("total_cartons").alias("total_cartons"), F.sum("total_cbm").alias("total_cbm"), F.sum("total_weight_kg").alias("total_weight_kg"), F.sum("total_amount_rmb").alias("amount"))
+    totals = sums.withColumn("total_amount_rmb", F.when(even, F.col("amount"))).drop("amount")
+    return R.document_bundle(docs, totals, payments(spark, d)).select("document_id", "source_file_name", "total_cartons", "total_amount_rmb", "n_payments", "paid_usd")
+
+
+@query("""SELECT p_partkey AS product_id, p_name AS name, NULL::BIGINT AS document_id, '2024-01-' || lpad((1 + p_partkey % 28)::VARCHAR, 2, '0') AS created_at FROM part WHERE p_partkey % 4 = 0
+UNION ALL SELECT product_id, description, document_id, strftime(created_at, '%Y-%m-%d') FROM items JOIN docs USING (document_id)""")
+def all_products(spark: SparkSession, d: str) -> DataFrame:
+    """Products entered by hand, and those of documents."""
+    day = F.concat(F.lit("2024-01-"), F.lpad((1 + F.col("p_partkey") % 28).cast("string"), 2, "0"))
+    manual = C.table(spark, d, "part").where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"), day.alias("created_at"))
+    linked = J.with_document(C.items(spark, d), C.documents(spark, d), "inner").select("product_id", F.col("description").alias("name"), "document_id", F.date_format("created_at", "yyyy-MM-dd").alias("created_at"))
+    return R.merged_products(manual, linked).select("product_id", "name", "document_id", "created_at")
 
 
 @query("""SELECT item_id, document_id, source_file_name, description AS name, total_weight_kg::DOUBLE::VARCHAR || 'KGS' AS weight_text FROM items LEFT JOIN docs USING (document_id)""")
@@ -229,9 +246,7 @@ def report_with_totals(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT p_partkey AS product_id, dense_rank() OVER (ORDER BY lower(p_name)) AS name_rank FROM part""")
 def name_order(spark: SparkSession, d: str) -> DataFrame:
     names = C.table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.collate("p_name", "UNICODE_CI_AI").alias("name"))
-    # distinct names are numbered, and products look theirs up
-    ranks = names.select("name").distinct().withColumn("name_rank", F.dense_rank().over(Window.orderBy("name")).cast("long"))
-    return names.join(ranks, "name").select("product_id", "name_rank")
+    return names.join(J.name_ranks(names.select("name").distinct(), "name"), "name").select("product_id", "name_rank")
 
 
 @query("""SELECT supplier_id, name FROM (SELECT s_suppkey AS supplier_id, s_name AS name FROM supplier) WHERE contains(lower(name), '12')""")

@@ -124,15 +124,20 @@ def qty_coherence(spark: SparkSession, d: str) -> DataFrame:
     return U.coherent(rough(spark, d)).select("item_id", "total_quantity", "total_amount_rmb")
 
 
-FOOTERS = ", footers AS (SELECT document_id, CASE WHEN document_id % 3 <> 0 THEN (count(*) * 3)::DOUBLE END AS footer_cartons, CASE WHEN document_id % 5 <> 0 THEN floor(sum(total_amount_rmb)::DOUBLE + (document_id % 4) * 60) END AS footer_amount FROM items GROUP BY 1)"
+FOOTERS = """, footers AS (SELECT document_id, CASE WHEN document_id % 3 <> 0 THEN (count(*) * 3)::DOUBLE END AS footer_cartons, CASE WHEN document_id % 7 <> 0 THEN sum(total_cbm)::DOUBLE + (document_id % 3) * 0.3 END AS footer_cbm,
+  CASE WHEN document_id % 4 <> 0 THEN sum(total_weight_kg)::DOUBLE + document_id % 9 END AS footer_weight, CASE WHEN document_id % 5 <> 0 THEN floor(sum(total_amount_rmb)::DOUBLE + (document_id % 4) * 60) END AS footer_amount, count(*) + (document_id % 11 = 0)::INT AS rows_read FROM items GROUP BY 1)"""
 
 
 def footers(spark: SparkSession, d: str) -> DataFrame:
-    per = C.items(spark, d).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.sum("total_amount_rmb").cast("double").alias("amount"))
+    per = C.items(spark, d).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).cast("double").alias(c) for c in U.FOOTER_METRICS.values()))
+    k = F.col("document_id")
     return per.select(
         "document_id",
-        F.when(F.col("document_id") % 3 != 0, (F.col("n") * 3).cast("double")).alias("footer_cartons"),
-        F.when(F.col("document_id") % 5 != 0, F.floor(F.col("amount") + (F.col("document_id") % 4) * 60).cast("double")).alias("footer_amount"),
+        F.when(k % 3 != 0, (F.col("n") * 3).cast("double")).alias("footer_cartons"),
+        F.when(k % 7 != 0, F.col("total_cbm") + (k % 3) * 0.3).alias("footer_cbm"),
+        F.when(k % 4 != 0, F.col("total_weight_kg") + k % 9).alias("footer_weight"),
+        F.when(k % 5 != 0, F.floor(F.col("total_amount_rmb") + (k % 4) * 60).cast("double")).alias("footer_amount"),
+        (F.col("n") + (k % 11 == 0).cast("int")).alias("rows_read"),
     )
 
 
@@ -148,20 +153,34 @@ def carton_garbage(spark: SparkSession, d: str) -> DataFrame:
     return U.carton_garbage_repaired(rough(spark, d), footers(spark, d)).select("item_id", "total_quantity", "total_cartons", "remarks")
 
 
-@query(f"""WITH_FOOTERS {FOOTERS}
-, c AS (SELECT document_id, sum(CASE WHEN section <> 'left_in_warehouse' THEN total_cartons ELSE 0 END)::DOUBLE AS cartons, sum(total_amount_rmb)::DOUBLE AS amount, count(*) FILTER (section = 'shipped') AS n_publishable FROM items GROUP BY 1)
-SELECT document_id, footer_cartons, footer_amount, cartons, amount, n_publishable, concat_ws(';', CASE WHEN abs(amount - footer_amount) > 100 THEN 'Amount mismatch' END, CASE WHEN abs(cartons - footer_cartons) > 2 THEN 'Carton count mismatch' END,
-  CASE WHEN n_publishable = 0 THEN 'No products extracted' END, CASE WHEN n_publishable < 5 THEN 'Suspiciously few rows' END) AS flags FROM footers JOIN c USING (document_id)""".replace("WITH_FOOTERS ", ""))
+@query(f"""{FOOTERS}
+, c AS (SELECT document_id, sum(CASE WHEN section <> 'left_in_warehouse' THEN total_cartons ELSE 0 END)::DOUBLE AS cartons, sum(CASE WHEN section <> 'left_in_warehouse' THEN total_cbm ELSE 0 END)::DOUBLE AS cbm,
+  sum(CASE WHEN section <> 'left_in_warehouse' THEN total_weight_kg ELSE 0 END)::DOUBLE AS weight, sum(total_amount_rmb)::DOUBLE AS amount, count(*) FILTER (section = 'shipped') AS n_publishable FROM items GROUP BY 1)
+SELECT document_id, cartons, cbm, weight, amount, n_publishable, CASE WHEN cbm > 0 THEN floor(abs(cbm - footer_cbm) * 100 + 0.5) / 100 END AS cbm_diff, concat_ws(';', CASE WHEN cbm > 0 AND abs(cbm - footer_cbm) > 0.5 THEN 'CBM mismatch' END,
+  CASE WHEN weight > 0 AND abs(weight - footer_weight) > 5 THEN 'Weight mismatch' END, CASE WHEN abs(amount - footer_amount) > 100 THEN 'Amount mismatch' END, CASE WHEN abs(cartons - footer_cartons) > 2 THEN 'Carton count mismatch' END,
+  CASE WHEN n_publishable = 0 THEN 'No products extracted' END, CASE WHEN n_publishable < 5 THEN 'Suspiciously few rows' END) AS flags FROM footers JOIN c USING (document_id)""")
 def extraction_validation(spark: SparkSession, d: str) -> DataFrame:
     found = U.extraction_validated(C.items(spark, d), footers(spark, d))
-    return found.select("document_id", "footer_cartons", "footer_amount", "cartons", "amount", "n_publishable", F.concat_ws(";", "flags").alias("flags"))
+    return found.select("document_id", *U.FOOTER_METRICS, "n_publishable", "cbm_diff", F.concat_ws(";", "flags").alias("flags"))
 
 
 @query(f"""{FOOTERS}
-, c AS (SELECT document_id, sum(total_cartons)::DOUBLE AS cartons, sum(total_amount_rmb)::DOUBLE AS amount FROM items WHERE NOT deleted GROUP BY 1)
-SELECT document_id, coalesce(abs(cartons - footer_cartons) <= 0.5, false) AS cartons_ok, coalesce(abs(amount - footer_amount) <= 5, false) AS amount_ok, footer_cartons IS NOT NULL AND footer_amount IS NOT NULL AS footers_present FROM footers JOIN c USING (document_id)""")
+, c AS (SELECT document_id, count(*) AS n, sum(total_cartons)::DOUBLE AS cartons, sum(total_cbm)::DOUBLE AS cbm, sum(total_weight_kg)::DOUBLE AS weight, sum(total_amount_rmb)::DOUBLE AS amount FROM items WHERE NOT deleted OR document_id % 2 = 0 GROUP BY 1),
+g AS (SELECT document_id, n = rows_read AS rows_ok, footer_cartons IS NOT NULL AND footer_cbm IS NOT NULL AND footer_weight IS NOT NULL AND footer_amount IS NOT NULL AS footers_present,
+  coalesce(footer_cartons, footer_cbm, footer_weight, footer_amount) IS NOT NULL AND abs(coalesce(cartons - footer_cartons, 0)) <= 0.5 AND abs(coalesce(cbm - footer_cbm, 0)) <= 0.05 AND abs(coalesce(weight - footer_weight, 0)) <= 1 AND abs(coalesce(amount - footer_amount, 0)) <= 5 AS totals_match
+  FROM footers JOIN c USING (document_id))
+SELECT *, rows_ok AND footers_present AND totals_match AS passes FROM g""")
 def import_gate(spark: SparkSession, d: str) -> DataFrame:
-    return U.import_gate(C.items(spark, d).where("not deleted"), footers(spark, d))
+    return U.import_gate(C.items(spark, d).where("not deleted or document_id % 2 = 0"), footers(spark, d))
+
+
+@query(f"""{FOOTERS}
+, p AS (SELECT document_id, sum(CASE WHEN section <> 'left_in_warehouse' THEN total_cartons ELSE 0 END)::DOUBLE AS total_cartons, sum(CASE WHEN section <> 'left_in_warehouse' THEN total_cbm ELSE 0 END)::DOUBLE AS total_cbm,
+  sum(CASE WHEN section <> 'left_in_warehouse' THEN total_weight_kg ELSE 0 END)::DOUBLE AS total_weight_kg, sum(total_amount_rmb)::DOUBLE AS total_amount_rmb FROM items GROUP BY 1)
+SELECT p.*, round(total_cartons - coalesce(footer_cartons, 0), 2) AS cartons_diff, round(total_cbm - coalesce(footer_cbm, 0), 4) AS cbm_diff, round(total_weight_kg - coalesce(footer_weight, 0), 2) AS weight_diff, round(total_amount_rmb - coalesce(footer_amount, 0), 2) AS amount_diff,
+  abs(total_cartons - coalesce(footer_cartons, 0)) <= 3 AND abs(total_cbm - coalesce(footer_cbm, 0)) <= 0.02 AND abs(total_weight_kg - coalesce(footer_weight, 0)) <= 1 AND abs(total_amount_rmb - coalesce(footer_amount, 0)) <= 1 AS totals_match FROM p JOIN footers USING (document_id)""")
+def physical_totals_match(spark: SparkSession, d: str) -> DataFrame:
+    return U.physical_totals_matched(C.items(spark, d), footers(spark, d))
 
 
 @query("""
@@ -195,11 +214,11 @@ def warehouse_zeroed(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-, x AS (SELECT *, CASE WHEN line_no % 2 = 0 THEN -2 ELSE 3 END AS delta, total_cartons::DOUBLE AS c, total_quantity::DOUBLE AS q FROM items WHERE document_id % 2 = 0),
+, x AS (SELECT *, CASE WHEN line_no % 2 = 0 THEN -2 ELSE 3 END AS delta, total_cartons::DOUBLE AS c, total_quantity::DOUBLE AS q FROM items),
 y AS (SELECT *, greatest(0, c + delta) AS a FROM x), z AS (SELECT *, CASE WHEN a <= 0 THEN 0 ELSE floor(q / c * a + 0.5) END AS nq FROM y)
 SELECT item_id, a AS total_cartons, nq::DOUBLE AS total_quantity, floor(unit_price_rmb::DOUBLE * nq * 100 + 0.5) / 100 AS total_amount_rmb, floor(total_cbm::DOUBLE / c * a * 10000 + 0.5) / 10000 AS total_cbm FROM z""")
 def carton_adjustments(spark: SparkSession, d: str) -> DataFrame:
-    items = C.items(spark, d).where("document_id % 2 = 0")
+    items = C.items(spark, d)
     deltas = items.select("item_id", F.when(F.col("line_no") % 2 == 0, -2).otherwise(3).alias("delta"))
     return U.cartons_adjusted(items, deltas)
 
@@ -302,13 +321,13 @@ def box_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-, rows AS (SELECT *, split_part(description, ' ', 1) AS w1, split_part(description, ' ', 2) AS w2, substr(regexp_replace(item_code, '-[A-Z0-9]+$', ''), 1, 5) AS stem, line_no % 3 = 0 AS bare FROM items WHERE document_id % 2 = 0),
+, rows AS (SELECT *, split_part(description, ' ', 1) AS w1, split_part(description, ' ', 2) AS w2, substr(regexp_replace(item_code, '-[A-Z0-9]+$', ''), 1, 5) AS stem, line_no % 3 = 0 AS bare FROM items),
 s AS (SELECT n.item_id, n.total_quantity, d.line_no AS donor_line, d.unit_price_rmb::DOUBLE AS price, 4 * (n.stem = d.stem)::INT + CASE WHEN (d.w1 IN (n.w1, n.w2))::INT + (d.w2 IN (n.w1, n.w2))::INT >= 2 THEN 3 ELSE 0 END
   + CASE WHEN abs(n.qty_per_carton - d.qty_per_carton) <= 2 THEN 1 ELSE 0 END AS score FROM rows n JOIN rows d USING (document_id) WHERE n.bare AND NOT d.bare)
 SELECT item_id, donor_line, score, price AS unit_price_rmb, floor(total_quantity::DOUBLE * price * 100 + 0.5) / 100 AS total_amount_rmb FROM s WHERE score >= 3 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, donor_line) = 1""")
 def price_donor(spark: SparkSession, d: str) -> DataFrame:
     bare = F.col("line_no") % 3 == 0
-    items = C.items(spark, d).where("document_id % 2 = 0")
+    items = C.items(spark, d)
     return J.price_donors(items.withColumns({"unit_price_rmb": F.when(~bare, F.col("unit_price_rmb")), "total_amount_rmb": F.when(~bare, F.col("total_amount_rmb"))}))
 
 

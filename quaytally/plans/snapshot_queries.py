@@ -9,6 +9,7 @@ from quaytally.functions import text as T
 from quaytally.operators import rules as U
 from quaytally.operators import snapshots as S
 from quaytally.plans.registry import query
+from quaytally.plans.stream_queries import shared_folder
 from quaytally.plans.rule_queries import FLAGGED_B, rough
 from quaytally.sources import canonical as C
 
@@ -87,6 +88,22 @@ def content_replace(spark: SparkSession, d: str) -> DataFrame:
 def synthetic_rows_dropped(spark: SparkSession, d: str) -> DataFrame:
     """Sentinel rows and anonymous total rows go."""
     k5, k7 = F.col("product_id") % 5 == 0, F.col("product_id") % 7 == 0
-    rows = C.items(spark, d).withColumns({"item_code": F.when(k5, "__SUBTOTAL__").when(k7, F.lit(None)).otherwise(F.col("item_code")), "description": F.when(~k7, F.col("description")), "marks": F.when(~k7, F.col("marks"))})
+    rows = C.items(spark, d).withColumns({"item_code": F.when(k5, "__SECTION_SUBTOTAL__").when(k7, F.lit(None)).otherwise(F.col("item_code")), "description": F.when(~k7, F.col("description")), "marks": F.when(~k7, F.col("marks"))})
     anonymous = (F.trim(T.text("description")) == "") & (F.trim(T.text("item_code")) == "") & (F.trim(T.text("marks")) == "") & (F.col("total_cartons") > 0)
-    return rows.where(~anonymous & ~F.coalesce(F.col("item_code").isin("__SUBTOTAL__", "__FOOTER__", "__FULL_EXTRACT_BANNER__"), F.lit(False))).select("item_id")
+    return rows.where(~anonymous & ~F.coalesce(F.col("item_code").isin("__SECTION_SUBTOTAL__", "__FOOTER__", "__FULL_EXTRACT__"), F.lit(False))).select("item_id")
+
+
+@query("""
+, d AS (SELECT *, document_id % 2 = 0 AS stored FROM docs),
+kept AS (SELECT document_id FROM d WHERE NOT stored OR NOT EXISTS (SELECT 1 FROM docs n WHERE n.document_id % 2 = 1 AND n.client_id = d.client_id AND n.priority = d.priority))
+SELECT document_id, line_no, item_code FROM (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY line_no) AS line_no, item_code FROM items WHERE product_id % 6 <> 0) JOIN kept USING (document_id)""")
+def document_set(spark: SparkSession, d: str) -> DataFrame:
+    """Two imports of documents with their rows, of which markers go; those of the second replace equal ones of the first."""
+    folder = shared_folder(spark)
+    marks = F.when(F.col("product_id") % 6 == 0, F.concat(F.lit("__SECTION_STAGE__:"), F.col("line_no"))).otherwise(F.col("marks"))
+    items = S.mapped_rows(C.items(spark, d).select("document_id", "line_no", marks.alias("marks"), "item_code"))
+    docs = C.documents(spark, d).withColumn("sha256", F.sha2(F.concat_ws("|", "client_id", "priority"), 256)).select("document_id", "sha256", "source_file_name")
+    for odd in (0, 1):
+        mine = F.col("document_id") % 2 == odd
+        S.write_document_set({"documents": docs.where(mine), "items": items.where(mine)}, folder)
+    return S.stored_table(spark, f"{folder}/items").select("document_id", "line_no", "item_code")

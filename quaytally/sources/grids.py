@@ -2,121 +2,167 @@
 
 from __future__ import annotations
 
-import html as entities
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as TY
 
 from quaytally.functions import text as T
+from quaytally.functions.columns import bound, settled
+from quaytally.functions.headers import SKIP, field_of_label
+
 
+CELL_END, RECORD_END = "\x1f", "\x1e"
 
-def delivery_notes(spark: SparkSession, path: str, columns: int = 24) -> DataFrame:
-    """CSV files of any layout: file, record, cells. Quoted cells may hold line breaks; all cells are strings.
 
-    Records are numbered by their order in the file, which a file read as one piece keeps."""
-    schema = ", ".join(f"c{i} string" for i in range(columns))
-    rows = spark.read.csv(path, schema=schema, multiLine=True, quote='"', escape='"', encoding="UTF-8", mode="PERMISSIVE", header=False)
-    cells = F.array(*(F.replace(F.replace(F.coalesce(f"c{i}", F.lit("")), F.lit("﻿"), F.lit("")), F.lit("\r"), F.lit("")) for i in range(columns)))
-    placed = rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"), cells.alias("cells"))
-    return placed.withColumn("record", F.row_number().over(Window.partitionBy("file").orderBy("place"))).drop("place")
+def delivery_notes(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files of any layout: file, record, cells. Quoted cells may hold line breaks and doubled quotes; all cells are strings.
+
+    A file is one document and is read as a whole. Between quotes its text is taken as it is; outside of
+    them commas end cells and line breaks records, however many cells a record has."""
+    parts = F.split(F.regexp_replace("value", "^\ufeff", ""), '"')
+    inside = lambda i: i % 2 == 1
+    doubled = lambda p, i: (p == "") & (i > 0) & (i < F.size(parts) - 1)
+    ends = lambda p: F.translate(p, ",\n\r", CELL_END + RECORD_END)
+    marked = F.array_join(F.transform(parts, lambda p, i: F.when(inside(i), p).when(doubled(p, i), '"').otherwise(ends(p))), "")
+    records = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(marked, RECORD_END)).alias("at", "line"))
+    return records.select("file", (F.col("at") + 1).alias("record"), F.split("line", CELL_END).alias("cells"))
 
 
 def headed_rows(records: DataFrame, known: tuple[str, ...] = ("MARKS", "MARKS / SKU", "SKU", "NAME")) -> DataFrame:
-    """Records after the first that names a known column (in a file without one, after its first record), as maps
-    from header to cell.
+    """Records after the first that names a known column, as maps from header to cell; blank records and
+    single-cell banners go. In a file without such a record, all records after its first one.
 
-    Unnamed columns are __colN; blank records and single-cell banners go."""
+    Unnamed columns are __colN; of columns of one name the last counts."""
     named = F.exists("cells", lambda c: F.upper(F.trim(c)).isin(*known))
     first = F.min(F.struct((~named).alias("other"), "record", "cells")).over(Window.partitionBy("file"))
     rows = records.withColumn("header", first).where("record > header.record")
-    names = F.transform(F.col("header.cells"), lambda c, i: F.when(F.trim(c) == "", F.concat(F.lit("__col"), i)).otherwise(F.trim(c)))
+    title = lambda c: F.trim(F.replace(c, F.lit("\n"), F.lit(" ")))
+    names = F.transform(F.col("header.cells"), lambda c, i: F.when(title(c) == "", F.concat(F.lit("__col"), i)).otherwise(title(c)))
     filled = F.size(F.filter("cells", lambda c: F.trim(c) != ""))
-    return rows.where(filled > 1).select("file", "record", F.map_from_entries(F.arrays_zip(names.alias("k"), F.col("cells").alias("v"))).alias("cells"))
+    rows = rows.where((filled > 1) | F.col("header.other")).withColumn("names", names)
+    again = lambda name, i: F.array_contains(F.slice(F.col("names"), i + 2, F.size("names")), name)
+    entries = F.filter(F.transform("names", lambda name, i: F.when(~again(name, i), F.struct(name.alias("k"), F.coalesce(F.get(F.col("cells"), i), F.lit("")).alias("v")))), lambda e: e.isNotNull())
+    return rows.select("file", "record", F.map_from_entries(entries).alias("cells"))
+
+
+# Named entities and their signs, in the order in which they are decoded.
+ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "))
+
+
+def decoded(c: Column) -> Column:
+    """Named and numeric entities as their signs."""
+    plain = c
+    for name, sign in ENTITIES:
+        c = F.replace(c, F.lit(name), F.lit(sign))
+
+    def sign_of(part: Column) -> Column:
+        number = F.regexp_extract(part, r"(?i)^(\d+|x[0-9a-f]+);", 1)
+        code = F.when(F.lower(F.substring(number, 1, 1)) == "x", F.conv(F.substring(number, 2, 16), 16, 10)).otherwise(number).try_cast("long")
+        sign = F.decode(F.unhex(F.lpad(F.hex(F.pmod(code, F.lit(65536))), 4, "0")), "UTF-16BE")
+        return F.when(code.isNull(), F.concat(F.lit("&#"), part)).otherwise(F.concat(sign, F.substring(part, F.length(number) + 2, F.length(part))))
+
+    def numbers(c: Column) -> Column:
+        return bound(F.split(c, "&#"), lambda parts: F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), sign_of), "")))
+
+    return F.when(plain.contains("&"), bound(c, lambda c: F.when(c.contains("&#"), numbers(c)).otherwise(c))).otherwise(plain)
 
 
 def cell_text(c: Column) -> Column:
-    """A cell's text: one or two small letters after a line break belong to the word before, tags go, entities are decoded."""
-    joined = F.regexp_replace(c, r"(?i)<br\s*/?>\s*(?-i)([a-z]{1,2})(?![a-z])", "$1")
-    bare = F.regexp_replace(F.regexp_replace(joined, r"(?i)<br\s*/?>", " "), "<[^>]*>", "")
-    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&yen;", "¥"), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(name), F.lit(sign))
-    return T.squeezed(bare)
+    """A cell's text without tags. A line break is a space, or nothing before one or two small letters that end a word."""
+    bare = lambda p: bound(F.regexp_replace(p, "<[^>]+>", ""), lambda p: T.squeezed(decoded(p)))
+    parts = F.filter(F.transform(F.split(c, r"(?i)<br\s*/?>"), bare), lambda p: p != "")
+    ends_word = lambda a, p: a.rlike("[a-zA-Z]$") & p.rlike("^[a-z]{1,2}$")
+    joined = F.aggregate(parts, F.lit(""), lambda a, p: F.when((a == "") | ends_word(a, p), F.concat(a, p)).otherwise(F.concat_ws(" ", a, p)))
+    return T.squeezed(joined)
 
 
 CELL = r"(?is)<t[dh]\b([^>]*>.*?)</t[dh]>"
 
 
-def _span(c: str, kind: str) -> Column:
+def _span(c: Column, kind: str) -> Column:
     found = F.regexp_extract(F.regexp_extract(c, "^([^>]*)>", 1), rf"(?i)\b{kind}\s*=\s*[\"']?(\d+)", 1)
     return F.greatest(F.coalesce(found.try_cast("int"), F.lit(1)), F.lit(1))
 
 
-def html_cells(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame:
-    """page, table, row, col, text of every cell of every table; spanned places repeat the cell."""
-    raw = (
-        pages.select(F.col(id).alias("page_id"), F.posexplode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<table\b[^>]*>(.*?)</table>"), 1)).alias("table", "body"))
-        .select("page_id", "table", F.col("body").rlike(r"(?i)\browspan\s*=").alias("spanned"), F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), 1)).alias("row", "line"))
-        .select("page_id", "table", "spanned", "row", F.posexplode(F.regexp_extract_all("line", F.lit(CELL), 1)).alias("cell", "c"))
-        .select("page_id", "table", "spanned", "row", "cell", _span("c", "colspan").alias("width"), _span("c", "rowspan").alias("height"), cell_text(F.regexp_extract("c", r"(?s)^[^>]*>(.*)$", 1)).alias("text"))
-    )
-    start = F.sum("width").over(Window.partitionBy("page_id", "table", "row").orderBy("cell")) - F.col("width")
-    plain = raw.where("not spanned").withColumn("start", start).select("page_id", "table", "row", F.explode(F.sequence("start", F.col("start") + F.col("width") - 1)).alias("col"), "text").withColumn("col", F.col("col").cast("int"))
+def html_grids(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame:
+    """page_id, table, grid: every table as rows of texts; spanned places repeat the cell. No row leaves its task."""
+    tables = pages.select(F.col(id).alias("page_id"), F.posexplode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<table\b[^>]*>(.*?)</table>"), 1)).alias("table", "body"))
+    cell = lambda c: F.struct(_span(c, "colspan").alias("width"), _span(c, "rowspan").alias("height"), cell_text(F.regexp_extract(c, r"(?s)^[^>]*>(.*)$", 1)).alias("text"))
+    lines = F.transform(F.regexp_extract_all("body", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), 1), lambda line: F.transform(F.regexp_extract_all(line, F.lit(CELL), 1), cell))
+    rows = settled(settled(tables, lines=lines).drop("body"), spanned=F.exists("lines", lambda line: F.exists(line, lambda c: c["height"] > 1)))
+    plain = F.transform("lines", lambda line: F.flatten(F.transform(line, lambda c: F.array_repeat(c["text"], c["width"]))))
     # a cell that spans rows moves the cells of later rows: such a table is laid out as a whole
-    spanned = raw.where("spanned").groupBy("page_id", "table").applyInPandas(_laid_out, "page_id long, table int, row int, col int, text string")
-    return plain.unionByName(spanned)
+    part = lambda k: F.when(F.col("spanned"), F.transform("lines", lambda line: F.transform(line, lambda c: c[k])))
+    laid_out = _laid_out(*map(part, ("width", "height", "text")))
+    return rows.select("page_id", "table", F.when(F.col("spanned"), laid_out).otherwise(plain).alias("grid"))
+
 
+@F.pandas_udf(TY.ArrayType(TY.ArrayType(TY.StringType())))
+def _laid_out(widths: pd.Series, heights: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else _table(w, h, t) for w, h, t in zip(widths, heights, texts)])
 
-def _laid_out(cells: pd.DataFrame) -> pd.DataFrame:
-    page, table = cells["page_id"].iloc[0], cells["table"].iloc[0]
+
+def _table(widths: list, heights: list, texts: list) -> list[list[str]]:
     taken: dict[tuple[int, int], str] = {}
-    for c in cells.sort_values(["row", "cell"]).itertuples():
+    for r, line in enumerate(texts):
         col = 0
-        while (c.row, col) in taken:
-            col += 1
-        for r in range(c.row, c.row + c.height):
-            for k in range(col, col + c.width):
-                taken.setdefault((r, k), c.text)
-    last = int(cells["row"].max())
-    rows = [(page, table, r, k, entities.unescape(t)) for (r, k), t in sorted(taken.items()) if r <= last]
-    return pd.DataFrame(rows, columns=["page_id", "table", "row", "col", "text"])
-
-
-# Labels of columns and the fields that they name.
-CONTAINER_LABELS = {
-    "MARKS": "marks", "SHOP#": "shop", "SHOP": "shop", "ITEM NO.": "item_code", "ITEM NO": "item_code", "DESCRIPTION OF GOODS": "description", "DESCRIPTION": "description", "PACKING": "packaging",
-    "T.CTN": "total_cartons", "T.QTY": "total_quantity", "T.CBM": "total_cbm", "UNIT WEIGHT": "unit_weight_kg", "T.WEIGHT": "total_weight_kg", "U.PRICE": "unit_price_rmb", "T.AMOUNT": "total_amount_rmb", "REMARKS": "remarks",
-}
-SALES_LABELS = {
-    "NO.": "line_no", "序号": "line_no", "DEL NO": "delivery_no", "DEL NO.": "delivery_no", "CUS NO.": "customer_item_ref", "ITEM NO": "item_code", "ITEM NO.": "item_code", "DES.": "description", "描述": "description", "CTN": "total_cartons", "QTY": "qty_per_carton",
-    "T.QTY": "total_quantity", "U/P": "unit_price_rmb", "AMOUNT": "total_amount_rmb", "金额": "total_amount_rmb", "L": "dim_l_cm", "W": "dim_w_cm", "H": "dim_h_cm", "CBM": "unit_cbm", "G.W.": "unit_weight_kg", "TTL CBM": "total_cbm", "TTL KGS": "total_weight_kg", "CODE": "barcode", "REK": "remarks", "W.H.": "warehouse",
-}
-
-
-def normal_label(label: Column) -> Column:
-    return F.upper(T.squeezed(F.regexp_replace(label, r"[:：*]", " ")))
-
-
-def resolved_labels(cells: DataFrame, labels: dict[str, str]) -> DataFrame:
-    """Cells with the field that their text names, if it names one."""
-    known = cells.sparkSession.createDataFrame(sorted(labels.items()), "label string, field string")  # the dictionary above
-    return cells.withColumn("label", normal_label(F.col("text"))).join(F.broadcast(known), "label", "left")
-
-
-def header_rows(cells: DataFrame, labels: dict[str, str], first_rows: int = 8, least: int = 3) -> DataFrame:
-    """The best header row of each table: most cells that name a field, of the first rows; of equals, the first."""
-    counts = resolved_labels(cells.where(F.col("row") < first_rows), labels).groupBy("page_id", "table", "row").agg(F.count_distinct("field").alias("score")).where(F.col("score") >= least)
-    return counts.groupBy("page_id", "table").agg(F.min_by("row", F.struct((-F.col("score")).alias("s"), "row")).alias("header_row"))
-
-
-def field_rows(cells: DataFrame, labels: dict[str, str], fields: tuple[str, ...]) -> DataFrame:
-    """Rows below the header as one column per field; columns of one field are joined."""
-    headers = header_rows(cells, labels)
-    named = resolved_labels(cells, labels).join(headers, ["page_id", "table"])
-    columns = named.where("row = header_row and field is not null").select("page_id", "table", "col", F.col("field").alias("column_field"))
-    data = cells.join(headers, ["page_id", "table"]).where("row > header_row").join(columns, ["page_id", "table", "col"])
-    joined = data.groupBy("page_id", "table", "row", "column_field").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda s: s["text"])), " ").alias("value"))
-    return joined.groupBy("page_id", "table", "row").pivot("column_field", list(fields)).agg(F.first("value"))
+        for width, height, text in zip(widths[r], heights[r], line):
+            while (r, col) in taken:
+                col += 1
+            # what a span leaves beyond the last row is no row
+            for k in range(r, min(r + height, len(texts))):
+                taken.update(((k, c), text) for c in range(col, col + width))
+            col += width
+    lengths = [0] * len(texts)
+    for r, c in taken:
+        lengths[r] = max(lengths[r], c + 1)
+    return [[taken.get((r, c), "") for c in range(n)] for r, n in enumerate(lengths)]
+
+
+def html_cells(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame:
+    """page_id, table, row, col, text of every cell of every table."""
+    rows = html_grids(pages, id, html).select("page_id", "table", F.posexplode("grid").alias("row", "cells"))
+    return rows.select("page_id", "table", "row", F.posexplode("cells").alias("col", "text"))
+
+
+def with_columns(grids: DataFrame, sales: bool, first_rows: int = 8, least: int = 3) -> DataFrame:
+    """Grids with header_row, data_row (the first below the header) and columns (their fields, null for none).
+
+    The header is that of the first rows with most cells that name a field, the first of equals. A row
+    below it that holds labels too is part of it: it names what the header leaves open, or both do together."""
+    field = lambda c: field_of_label(c, sales)
+    labels = F.transform(F.slice("grid", 1, first_rows + 1), lambda row: F.transform(row, field))
+    rows = settled(settled(grids, grid=F.col("grid")), labels=labels)
+    scores = F.transform(F.slice("labels", 1, first_rows), lambda row, i: F.struct(F.size(F.filter(row, lambda f: f.isNotNull())).alias("score"), (-i).alias("row")))
+    rows = settled(rows, best=F.array_max(scores)).where(F.col("best.score") >= least).withColumn("header_row", -F.col("best.row"))
+    below, names = (F.try_element_at(c, F.col("header_row") + 2) for c in ("grid", "labels"))
+    filled = F.size(F.filter(below, lambda c: F.trim(c) != ""))
+    hits = F.size(F.filter(names, lambda f: f != SKIP))
+    two = F.coalesce((filled > 0) & ((filled <= 8) & (hits == filled) | (hits >= F.greatest(F.lit(2), F.ceil(filled * 0.35)))), F.lit(False))
+    rows = settled(rows, two=two)
+    first, second = F.try_element_at("grid", F.col("header_row") + 1), F.when(F.col("two"), F.try_element_at("grid", F.col("header_row") + 2))
+    width = F.greatest(F.size(first), F.coalesce(F.size(second), F.lit(0)))
+
+    def column(c: Column) -> Column:
+        a, b = (F.coalesce(F.try_element_at(x, c), F.lit("")) for x in (first, second))
+        return F.coalesce(field(a), field(b), field(F.trim(F.concat_ws(" ", F.nullif(F.trim(a), F.lit("")), F.nullif(F.trim(b), F.lit(""))))))
+
+    columns = F.transform(F.sequence(F.lit(1), width), column)
+    rows = rows.select("page_id", "table", "grid", "header_row", (F.col("header_row") + F.when(F.col("two"), 2).otherwise(1)).alias("data_row"), "two")
+    return settled(rows, columns=columns).drop("two")
+
+
+def field_rows(pages: DataFrame, fields: tuple[str, ...], sales: bool = True) -> DataFrame:
+    """Rows below the header as one column per field; different texts of one field are joined."""
+    headed = with_columns(html_grids(pages), sales)
+    rows = headed.select("page_id", "table", "data_row", "columns", F.posexplode("grid").alias("row", "cells")).where("row >= data_row")
+
+    def value(f: str) -> Column:
+        own = F.filter(F.col("cells"), lambda c, i: (F.try_element_at(F.col("columns"), i + 1) == f) & (F.trim(c) != ""))
+        return F.when(F.array_contains("columns", f), F.array_join(F.array_distinct(own), " ")).alias(f)
+
+    return rows.select("page_id", "table", "row", *map(value, fields))
 
 
 def aligned_rows(rows: DataFrame, columns: list[str]) -> DataFrame:

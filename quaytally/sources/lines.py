@@ -75,21 +75,6 @@ def anchored_tail(rows: DataFrame, text: str = "description") -> DataFrame:
     return rows.withColumn("nums", nums).withColumn("nums", F.when(fits, F.col("nums"))).select(*rows.columns, *(F.try_element_at("nums", F.lit(i + 1)).alias(f"tail_{c}") for i, c in enumerate(TAIL)))
 
 
-def window_tail(rows: DataFrame, text: str = "description", most_cartons: int = 400) -> DataFrame:
-    """The best twelve numbers in a row of a text: pieces and amount agree with their factors, volume with its unit; ties go to the last."""
-    nums = F.transform(F.regexp_extract_all(T.text(text), F.lit(r"(?<![\w.-])(\d+(?:\.\d+)?)(?![\w-]|\.\d)"), 1), lambda v: v.cast("double"))
-    points = lambda ok, n: F.when(ok, n).otherwise(0)
-
-    def scored(i: Column) -> Column:
-        w = F.slice(F.col("numbers"), i, 12)
-        score = points(_near(w[0] * w[1], w[2]), 4) + points(_near(w[2] * w[3], w[4]), 4) + points(F.abs(w[0] * w[8] - w[10]) <= 0.05, 2) + points(_near(w[0] * w[9], w[11]), 2) + points((w[0] > 0) & (w[0] <= most_cartons), 1)
-        return F.struct(score.alias("score"), i.alias("i"), w.alias("w"))
-
-    best = F.array_max(F.transform(F.when(F.size("numbers") >= 12, F.sequence(F.lit(1), F.size("numbers") - 11)), scored))
-    out = rows.withColumn("numbers", nums).withColumn("best", best).withColumn("best", F.when(F.col("best.score") >= 8, F.col("best.w")))
-    return out.select(*rows.columns, *(F.try_element_at("best", F.lit(i + 1)).alias(f"tail_{c}") for i, c in enumerate(TAIL)))
-
-
 def pattern_row(cells: Column) -> list[Column]:
     """A manifest row out of cells that moved: each field is found by the form of its cells."""
     form = lambda pattern, nth=1: F.try_element_at(F.filter(cells, lambda c: F.trim(c).rlike(pattern)), F.lit(nth))
@@ -110,30 +95,69 @@ def subtotal_bars(lines: DataFrame) -> DataFrame:
     return found.where((some >= 3) & (words < 5) & ~F.col("text").rlike(r"(?i)pcs\s*/\s*ctn"))
 
 
-def chunks(lines: DataFrame, rows: int = 120, most: int = 1400, overlap: int = 20) -> DataFrame:
-    """Pieces of a document: a piece ends at a row anchor (`is_anchor`) after `rows` anchors or `most` lines; the next repeats `overlap` lines.
+# How lines begin that open a row.
+ROW_ANCHORS = r"(?i)^MS-\d{2,4}-\d{1,4}\b|^\d{1,4}[.)]\s|^ITEM\s*NO\.?|^[A-Z0-9]{2,6}-[A-Z0-9]{1,6}-\d{1,5}\b"
+
+
+def chunks(lines: DataFrame, rows: int = 120, most: int = 1400, overlap: int = 40) -> DataFrame:
+    """Pieces of a document's lines that are not blank. A piece ends before a row anchor once it has `rows` anchors,
+    and before any line once it has `most` lines; the next one repeats its last `overlap` lines, anchors included.
 
     Where a piece ends depends on the piece before, so each document is cut line by line."""
 
     def cut(group: pd.DataFrame) -> pd.DataFrame:
         own = group.sort_values("line_no").reset_index(drop=True)
-        out, begin, anchors, number = [], 0, 0, 0
+        before = [0, *own["is_anchor"].cumsum()]
+        ends, begin = [], 0
         for i, anchor in enumerate(own["is_anchor"]):
-            if anchor and i > begin and (anchors >= rows or i - begin >= most):
-                out.append((number, max(0, begin - (overlap if number else 0)), i))
-                number, begin, anchors = number + 1, i, 0
-            anchors += int(anchor)
-        out.append((number, max(0, begin - (overlap if number else 0)), len(own)))
-        return pd.DataFrame([(own["document_id"].iloc[0], n, int(own["line_no"].iloc[a]), int(own["line_no"].iloc[b - 1]), "\n".join(own["text"].iloc[a:b])) for n, a, b in out], columns=["document_id", "chunk", "first_line", "last_line", "text"])
+            full = lambda: i - begin >= most
+            if anchor and i > begin and (before[i] - before[begin] >= rows or full()):
+                ends.append((begin, i))
+                begin = max(begin, i - overlap)
+            if full():
+                ends.append((begin, i))
+                begin = max(begin, i - overlap)
+        ends.append((begin, len(own)))
+        return pd.DataFrame([(own["document_id"].iloc[0], n, int(own["line_no"].iloc[a]), int(own["line_no"].iloc[b - 1]), "\n".join(own["text"].iloc[a:b])) for n, (a, b) in enumerate(ends)], columns=["document_id", "chunk", "first_line", "last_line", "text"])
+
+    text = F.trim("text")
+    own = lines.where(text != "").select("document_id", "line_no", text.alias("text"), text.rlike(ROW_ANCHORS).alias("is_anchor"))
+    return own.groupBy("document_id").applyInPandas(cut, "document_id long, chunk int, first_line long, last_line long, text string")
+
+
+def fragments_to_lines(fragments: DataFrame, bucket: float = 4.0) -> DataFrame:
+    """Positional fragments (document_id, page, x, y, text) to lines, left to right: document_id, page, row, text.
+
+    y grows upwards, so a page's first line is the one with the largest row."""
+    row = F.floor(F.col("y") / bucket + 0.5).cast("long")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", F.trim("text").alias("text")))), lambda s: s["text"]), " ")
+    return fragments.where(F.trim("text") != "").groupBy("document_id", "page", row.alias("row")).agg(T.squeezed(text).alias("text"))
 
-    return lines.select("document_id", "line_no", "text", "is_anchor").groupBy("document_id").applyInPandas(cut, "document_id long, chunk int, first_line long, last_line long, text string")
 
+PACKED = r"(?i)\d+\s*[A-Za-z]+\s*/\s*ctn"
 
-def fragments_to_lines(fragments: DataFrame, bucket: float = 3.0) -> DataFrame:
-    """Positional fragments (document_id, page, x, y, text) to lines, top to bottom, left to right."""
-    row = F.round(F.col("y") / bucket).cast("long")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda s: s["text"]), " ")
-    return fragments.where(F.trim("text") != "").groupBy("document_id", "page", row.alias("row")).agg(T.squeezed(text).alias("text"))
+
+def manifest_lines_joined(lines: DataFrame) -> DataFrame:
+    """Lines (document_id, page, row, text) whose parts stood at slightly different heights, as one line.
+
+    A line of marks alone joins the SANCARGO line after it, also over a page's end. A SANCARGO line without
+    packing then takes the next line of its page, if that is no row of its own."""
+    shipped = lambda c: F.coalesce(c.rlike(r"(?i)\bSANCARGO\b"), F.lit(False))
+    starts = lambda c: F.coalesce(c.rlike(r"(?i)^\s*SANCARGO\b"), F.lit(False))
+    marks = lambda c: F.coalesce(T.valid_marks(c), F.lit(False))
+    order = Window.partitionBy("document_id").orderBy("page", F.desc("row"))
+    before, text = F.lag("text").over(order), F.col("text")
+    opens = lambda c: marks(c) & ~shipped(c)
+    rows = lines.withColumn("before", before).withColumn("after", F.lead("text").over(order))
+    rows = rows.where(~(opens(text) & starts(F.col("after"))))
+    rows = rows.withColumn("text", F.when(opens(F.col("before")) & starts(text), F.concat_ws(" ", "before", "text")).otherwise(text)).drop("before", "after")
+    page = Window.partitionBy("document_id", "page").orderBy(F.desc("row"))
+    rows = rows.withColumn("before", F.lag("text").over(page)).withColumn("after", F.lead("text").over(page))
+    short = lambda c: shipped(c) & ~c.rlike(PACKED)
+    loose = lambda c: F.coalesce(~marks(F.regexp_extract(c, r"^\s*(\S*)", 1)) & ~shipped(c), F.lit(False))
+    taken = short(F.col("before")) & loose(text)
+    extended = F.when(short(text) & loose(F.col("after")), F.concat_ws(" ", "text", "after")).otherwise(text)
+    return rows.withColumn("gone", taken).withColumn("text", extended).where("not gone").drop("before", "after", "gone")
 
 
 #: Twelve numbers, a barcode and a warehouse at the end of a sales row.
@@ -163,29 +187,88 @@ def extracted(rows: DataFrame, body: str) -> DataFrame:
     return parsed.withColumns(text | number | {"section": T.storage_section(F.col("p.section"), F.lit(""))}).drop("p", body)
 
 
-# Where a document's text names its facts.
-FACTS = {
-    "total_cartons": r"(?i)TOTAL\s+CARTONS?\s*:?\s*([\d,]+)",
-    "total_cbm": r"(?i)TOTAL\s+CBM\s*:?\s*([\d,.]+)",
-    "total_rmb": r"(?i)TOTAL\s+COST\s*:?\s*[¥￥]?\s*([\d,.]+)",
-    "rate": r"(?i)EXCHANGE\s+RATE\s*:?\s*([\d.]+)",
+# Where a document's text names its facts; of several forms the first that is found counts.
+NAMES = {
+    "container_no": (r"(?i)CONTAINER\s+NO\.?\s*[:\s]+([A-Z]{4}\d{7,})", r"(?i)CONT(?:AINER)?\s*#?\s*[:\s]+([A-Z0-9]{9,})"),
+    "client_id": (r"(?i)CLIENT\s+DETAILS\s*[:\s]+([^\n\r]{2,80}?)(?:\s+CONTAINER|\s{2,}|$)", r"(?i)CLIENT\s*(?:DETAILS|ID|NAME|NO)?\.?\s*[:\s]+([^\n\r,]{2,80})", r"客户[：:]\s*([^\s,，]{2,40})"),
+    "doc_number": (r"(?i)(?:ORDER\s*NO|MANIFEST\s*NO|REF\s*NO|DOC\s*NO)\.?\s*[:\s]+([A-Z0-9-]+)", r"\bNO[:\s]+([A-Z][A-Z0-9]*\d+-\d+)\b"),
+    "document_date": (r"(?i)DATE\s*[:\s]+(\d{4}[-/]\d{1,2}[-/]\d{1,2})", r"销售日期[：:]\s*(\d{4}-\d{2}-\d{2})", r"(\d{4}[-/]\d{2}[-/]\d{2})"),
+}
+SALES_TOTALS = r"(?i)TOTAL[:\s]+(\d+)\s+(\d+)\s+([\d.]+)\s+([\d.]+)\s+([\d.]+)"
+#: Forms in the whole text, the form in the line of totals, and the place among the five numbers of a sales order.
+TOTALS = {
+    "total_cartons": ((r"(?i)TOTAL\s+CARTONS?\s*[:\s]*([\d,]+)",), r"(?i)(\d+(?:\.\d+)?)\s*CTNS?", 1),
+    "total_cbm": ((r"(?i)TOTAL\s+CBM\s*[:\s]*([\d.]+)",), r"(?i)(\d+(?:\.\d+)?)\s*CBM", 4),
+    "total_weight_kg": ((r"(?i)TOTAL\s+WEIGHT\s*[:\s]*([\d,]+)",), r"(?i)(\d+(?:\.\d+)?)\s*KGS?", 5),
+    "total_amount_rmb": ((r"(?i)TOTAL\s+COST\s*[:\s]*RMB\s*([\d,]+)", r"(?i)TOTAL\s+COST[^\d]{0,24}([\d,]{4,})"), r"[¥￥]([\d.]+)", 3),
 }
+AMOUNTS = {
+    "exchange_rate": r"(?i)(?:EXCHANGE\s+RATE|RATE)\s*[:\s]+([\d.]+)",
+    "freight_usd": r"(?i)FREIGHT.*?USD\s+([\d.]+)",
+    "total_balance_usd": r"(?i)(?:TOTAL\s+BALANCE|BALANCE\s+TOTAL).*?USD\s+([\d.]+)",
+}
+DOLLARS = r"(?i)\$\s*([\d.]+)|USD\s*[:-]?\s*([\d.]+)"
+FREIGHT_PAYMENT, LATER_PAYMENT = r"(?i)\b(?:FREIGHT\s+PAYMENT|PAYMENT\s+FOR\s+FREIGHT|PAYMENT[^\n]{0,32}FREIGHT)\b", r"(?i)BALANCE|SECOND|REMAINING"
+FLAT_PAYMENT = r"(?i)(\d{1,2}[/-]\d{1,2}[/-]\d{4}|\d{4}[/-]\d{1,2}[/-]\d{1,2})\s*PAYMENT[\s\S]{0,60}?\$\s*([\d,]+(?:\.\d+)?)"
+LEAST_TOTAL_USD = 1000
+
+
+def _found(c: Column, pattern: str, group: int = 1) -> Column:
+    return F.nullif(F.trim(F.regexp_extract(c, pattern, group)), F.lit(""))
+
+
+def _amount(c: Column) -> Column:
+    return prefix_number(F.replace(c, F.lit(","), F.lit("")))
+
+
+def dollars_near(c: Column, anchor: str, reach: int) -> Column:
+    """The first amount of dollars within `reach` characters from the anchor on."""
+    at = F.locate(anchor, F.upper(c))
+    near = F.replace(F.when(at > 0, F.substring(c, at, F.lit(reach))), F.lit(","), F.lit(""))
+    amount = F.coalesce(_amount(_found(near, DOLLARS)), _amount(_found(near, DOLLARS, 2)))
+    return F.when(amount > 0, amount)
+
+
+def printed_date(c: Column) -> Column:
+    """yyyy-mm-dd of a date in a text: year first or day first, of this century, with a possible month and day."""
+    forms = ((r"\b(\d{4})[/-](\d{1,2})[/-](\d{1,2})\b", (1, 2, 3)), (r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{4})\b", (3, 2, 1)))
+
+    def one(pattern: str, order: tuple[int, int, int]) -> Column:
+        y, m, d = (_found(c, pattern, i).cast("int") for i in order)
+        return F.when((y >= 2000) & m.between(1, 12) & d.between(1, 31), F.format_string("%d-%02d-%02d", y, m, d))
+
+    return F.coalesce(*(one(*f) for f in forms))
 
 
 def document_facts(documents: DataFrame, text: str) -> DataFrame:
-    number = lambda p: prefix_number(F.replace(F.regexp_extract(text, p, 1), F.lit(","), F.lit("")))
-    return documents.select("document_id", *(number(p).alias(c) for c, p in FACTS.items()), F.nullif(F.regexp_extract(text, r"(?i)CONTAINER\s+NO\.?\s*:?\s*([A-Z0-9-]+)", 1), F.lit("")).alias("container_no"))
-
-
-def anchored_cells(rows: DataFrame) -> DataFrame:
-    """Headerless sales rows (`cells`): the last barcode cell is the anchor, and the twelve numbers and the
-    description stand at fixed places before it, remark and warehouse after it. A row whose cartons, pieces
-    a carton and quantity do not agree has lost or gained a cell and gets no numbers."""
-    found = F.transform("cells", lambda c, i: F.when(F.trim(c).rlike(r"^\d{8,14}$"), i + 1))
-    anchor = F.array_max(found)
-    at = lambda k: F.try_element_at("cells", F.nullif(F.greatest(F.col("anchor") + k, F.lit(0)), F.lit(0)))
-    placed = rows.withColumn("anchor", anchor)
-    numbers = {c: prefix_number(F.replace(F.regexp_replace(at(i - 12), "[¥￥ ]", ""), F.lit(","), F.lit(""))) for i, c in enumerate(TAIL)}
-    placed = placed.withColumns({"barcode": at(0), "description": at(-13), "item_code": at(-14), "remarks": F.nullif(F.trim(at(1)), F.lit("")), "warehouse": F.nullif(F.trim(at(2)), F.lit("")), **numbers})
-    fits = F.coalesce(_near(F.col("total_cartons") * F.col("qty_per_carton"), F.col("total_quantity")), F.lit(False))
-    return placed.withColumn("fits", fits).withColumns({c: F.when(F.col("fits"), F.col(c)) for c in TAIL}).drop("anchor", "cells", "fits")
+    """What a document's text says about the document: names, printed totals, amounts in dollars."""
+    flat = T.squeezed(T.text(text))
+    clean = F.replace(flat, F.lit(","), F.lit(""))
+    lines = F.split(T.text(text), "\n")
+    metric = lambda x: x.rlike("(?i)CTN|CBM|KGS")
+    totals_line = F.coalesce(F.try_element_at(F.filter(lines, lambda x: x.rlike("(?i)TOTAL") & metric(x)), F.lit(1)), F.try_element_at(F.filter(lines, metric), F.lit(1)), F.lit(""))
+    names = {c: F.coalesce(*(_found(flat, p) for p in patterns)) for c, patterns in NAMES.items()}
+    names["document_date"] = F.replace(names["document_date"], F.lit("/"), F.lit("-"))
+    totals = {
+        c: F.coalesce(*(_amount(_found(clean if c == "total_amount_rmb" else flat, p)) for p in patterns), _amount(_found(F.replace(totals_line, F.lit(","), F.lit("")) if c == "total_amount_rmb" else totals_line, own)), F.nullif(_amount(_found(clean, SALES_TOTALS, i)), F.lit(0.0)))
+        for c, (patterns, own, i) in TOTALS.items()
+    }
+    near = F.filter(F.transform(F.filter(lines, lambda x: x.rlike(r"(?i)TOTAL\s+COST") & x.rlike("(?i)USD")), lambda x: dollars_near(F.replace(x, F.lit(","), F.lit(" ")), "TOTAL COST", 90)), lambda v: v >= LEAST_TOTAL_USD)
+    anywhere = dollars_near(flat, "TOTAL COST", 140)
+    dollars = {"total_amount_usd": F.coalesce(F.try_element_at(near, F.lit(1)), F.when(anywhere >= LEAST_TOTAL_USD, anywhere))}
+    amounts = {c: _amount(_found(flat if c == "exchange_rate" else clean, p)) for c, p in AMOUNTS.items()}
+    return documents.select("document_id", *(v.alias(c) for c, v in (names | totals | dollars | amounts).items()))
+
+
+def document_payments(documents: DataFrame, text: str) -> DataFrame:
+    """document_id, n, payment_date, amount_usd, payment_type: lines that tell of a payment; where none does, dated payments anywhere."""
+    entry = lambda date, amount, kind: F.struct(date.alias("payment_date"), amount.alias("amount_usd"), kind.alias("payment_type"))
+    kind = lambda x: F.when(x.rlike(FREIGHT_PAYMENT), "freight").when(x.rlike(LATER_PAYMENT), "balance").otherwise("deposit")
+    paid = lambda rows: F.filter(rows, lambda r: r["amount_usd"] > 0)
+    lines = F.filter(F.split(T.text(text), "\n"), lambda x: x.rlike(r"(?i)\bPAYMENT\b"))
+    by_line = paid(F.transform(lines, lambda x: entry(printed_date(x), dollars_near(x, "PAYMENT", 60), kind(x))))
+    flat = T.squeezed(T.text(text))
+    dated = F.arrays_zip(F.regexp_extract_all(flat, F.lit(FLAT_PAYMENT), 1).alias("d"), F.regexp_extract_all(flat, F.lit(FLAT_PAYMENT), 2).alias("a"))
+    anywhere = paid(F.transform(dated, lambda z: entry(printed_date(z["d"]), _amount(z["a"]), F.lit("deposit"))))
+    rows = documents.select("document_id", by_line.alias("lines"), anywhere.alias("anywhere"))
+    return rows.select("document_id", F.posexplode(F.when(F.size("lines") > 0, F.col("lines")).otherwise(F.col("anywhere"))).alias("n", "p")).select("document_id", "n", "p.*")

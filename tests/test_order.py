@@ -51,28 +51,41 @@ def test_overflow_skips_what_is_too_large(spark):
 
 
 def test_continuations_fold_into_the_merged_row(spark):
-    rows = [(1, 1, 1, "K", "cup", 5.0, None), (1, 2, 2, "K", "red", None, 7.0), (1, 3, 3, "K", "big", None, 9.0), (1, 4, 4, "L", "pan", 1.0, 1.0), (2, 5, 1, None, "x", None, None), (2, 6, 2, None, "y", None, None)]
-    df = spark.createDataFrame(rows, "document_id long, item_id long, line_no long, item_key string, description string, total_quantity double, total_amount_rmb double")
-    got = [(r.item_id, r.description, r.total_quantity, r.total_amount_rmb) for r in order.continuations_merged(df).orderBy("item_id").collect()]
-    assert got == [(1, "cup red big", 5.0, 7.0), (4, "pan", 1.0, 1.0), (5, "x", None, None), (6, "y", None, None)]
-
-
-def test_chunks_overlap(spark):
-    rows = [(1, i, f"l{i}", i % 3 == 0) for i in range(20)]
-    df = spark.createDataFrame(rows, "document_id long, line_no long, text string, is_anchor boolean")
-    got = [(r.chunk, r.first_line, r.last_line) for r in lines.chunks(df, rows=2, most=100, overlap=1).orderBy("chunk").collect()]
-    assert got == [(0, 0, 5), (1, 5, 11), (2, 11, 17), (3, 17, 19)]
+    rows = [
+        (1, 1, 1, "M", "K 1", "steel cup large", None, None, None, None), (1, 2, 2, "", "k1", "22", 5.0, 2.0, 10.0, "r"), (1, 3, 3, "M", "K1", "", 7.0, None, None, None), (1, 4, 4, "X", "K1", "33", 1.0, None, None, None), (1, 5, 5, "X", "K1", "long title text", None, 3.0, None, None),
+        (2, 6, 1, None, "__FOOTER__", "", None, None, None, None), (2, 7, 2, None, "__FOOTER__", "longer text", 1.0, 1.0, 1.0, None), (2, 8, 3, None, None, "x", None, None, None, None), (2, 9, 4, None, None, "y y y y y", None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "document_id long, item_id long, line_no long, marks string, item_code string, description string, total_quantity double, unit_price_rmb double, total_amount_rmb double, remarks string")
+    got = [tuple(r)[1:] for r in order.continuations_merged(df).drop("line_no").orderBy("item_id").collect()]
+    tag = order.MERGED_TAG
+    assert got == [
+        (1, "M", "K 1", "steel cup large", 5.0, 2.0, 10.0, f"r;{tag}"), (3, "M", "K1", "", 7.0, None, None, None), (4, "X", "K1", "33 long title text", 1.0, 3.0, None, tag),
+        (6, None, "__FOOTER__", "", None, None, None, None), (7, None, "__FOOTER__", "longer text", 1.0, 1.0, 1.0, None), (8, None, None, "x", None, None, None, None), (9, None, None, "y y y y y", None, None, None, None),
+    ]
+
+
+def test_chunks(spark):
+    def got(table, **sizes):
+        df = spark.createDataFrame(table, "document_id long, line_no long, text string")
+        return [(r.chunk, r.first_line, r.last_line) for r in lines.chunks(df, **sizes).orderBy("chunk").collect()]
+
+    anchored = [(1, i, f"MS-101-{i}" if i % 3 == 0 else " " if i % 3 == 1 else "x") for i in range(30)]
+    # blank lines go, and anchors among the repeated lines count
+    assert got(anchored, rows=2, most=100, overlap=1) == [(0, 0, 5), (1, 5, 11), (2, 11, 17), (3, 17, 23), (4, 23, 29)]
+    assert got(anchored, rows=2, most=100, overlap=2) == [(0, 0, 5), (1, 3, 8), (2, 6, 11), (3, 9, 14), (4, 12, 17), (5, 15, 20), (6, 18, 23), (7, 21, 26), (8, 24, 29)]
+    # without anchors a piece still ends
+    assert got([(1, i, "x") for i in range(50)], rows=2, most=10, overlap=0) == [(k, 10 * k, 10 * k + 9) for k in range(5)]
 
 
 def test_rowspan_moves_later_cells(spark):
     page = "<table><tr><td rowspan=2>A</td><td>b</td></tr><tr><td colspan='2'>c&amp;d<br>e</td></tr><tr><td>f<br>rs x</td></tr></table>"
     got = {(r.row, r.col): r.text for r in grids.html_cells(spark.createDataFrame([(1, page), (2, None), (3, "<p>none</p>")], "page_id long, html string")).collect()}
-    assert got == {(0, 0): "A", (0, 1): "b", (1, 0): "A", (1, 1): "c&de", (1, 2): "c&de", (2, 0): "frs x"}
+    assert got == {(0, 0): "A", (0, 1): "b", (1, 0): "A", (1, 1): "c&de", (1, 2): "c&de", (2, 0): "f rs x"}
 
 
 def test_delivery_note_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text('﻿title,,,\n"MARKS / SKU",QTY,"A ""x""",\nm-1,"2\nlines",3,4\n,,,\nbanner,,,\nm-2,5,6,\n', encoding="utf-8")
-    rows = grids.headed_rows(grids.delivery_notes(spark, str(tmp_path / "a.csv"), 4)).orderBy("record").collect()
+    rows = grids.headed_rows(grids.delivery_notes(spark, str(tmp_path / "a.csv"))).orderBy("record").collect()
     assert [dict(r.cells) for r in rows] == [{"MARKS / SKU": "m-1", "QTY": "2\nlines", 'A "x"': "3", "__col3": "4"}, {"MARKS / SKU": "m-2", "QTY": "5", 'A "x"': "6", "__col3": ""}]
 
 
