@@ -53,23 +53,23 @@ def first_rows(rows: DataFrame, *group: str) -> DataFrame:
     return rows.groupBy(*group).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("first")).select("first.__row")
 
 
-#: Tasks that a hot key's rows are dealt over, and the share of all rows (one in so many) that makes a key hot.
-PARTS, HOT = 256, 1000
+#: Tasks that a hot key's rows are dealt over, the share of all rows (one in so many) that makes a key hot, and
+#: the number of narrow rows below which one task may take them all.
+PARTS, HOT, DEAL_FROM = 256, 1000, 1_000_000
 
 
-def hot_from(total: int) -> int:
-    """Rows of a key that make it hot. Fewer than HOT keys can have more, so a list of them may be broadcast."""
-    return max(PARTS, total // HOT)
+def dealt_join(many: DataFrame, one: DataFrame, keys: list[str], spread: Column, total: int, least: int = DEAL_FROM) -> DataFrame:
+    """many (`total` rows) joined to one, which has a row for each key and in __many the key's number of rows in `many`.
 
-
-def dealt_join(many: DataFrame, one: DataFrame, keys: list[str], spread: Column, most: int, how: str = "inner") -> DataFrame:
-    """many joined to one, which has a row for each key and in __many the key's number of rows in `many`.
-
-    The rows of a key with more than `most` of them (see hot_from) go to several tasks, by `spread`."""
+    The rows of a key that holds more than a thousandth of them go to several tasks, by `spread`. Fewer than HOT
+    keys can be so hot, so a list of them may be broadcast. With fewer rows than `least` it is a plain join."""
+    if total < least:
+        return many.join(one.drop("__many"), keys)
+    most = max(PARTS, total // HOT)
     hot = F.broadcast(one.where(F.col("__many") > most).select(*keys, F.lit(True).alias("__hot")))
     dealt = many.join(hot, keys, "left").withColumn("__part", F.when(F.col("__hot"), F.pmod(spread, F.lit(PARTS)).cast("int")).otherwise(0)).drop("__hot")
     copies = one.withColumn("__part", F.explode(F.when(F.col("__many") > most, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))))).drop("__many")
-    return dealt.join(copies, [*keys, "__part"], how).drop("__part")
+    return dealt.join(copies, [*keys, "__part"]).drop("__part")
 
 
 def texts(docs: DataFrame, *more: str | Column, text: str = "text") -> DataFrame:

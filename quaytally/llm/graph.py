@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaytally.llm.common import dealt_join, hot_from, written
+from quaytally.llm.common import dealt_join, written
 
 
-def _linked(edges: DataFrame, low: DataFrame, most: int) -> DataFrame:
+def _linked(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
     """Each edge's far end with the smallest neighbour of its near end; a node with very many edges is dealt out."""
-    return dealt_join(edges, low, ["u"], F.xxhash64("v"), most).select(F.col("v").alias("u"), F.col("low").alias("v"))
+    return dealt_join(edges, low, ["u"], F.xxhash64("v"), total).select(F.col("v").alias("u"), F.col("low").alias("v"))
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -29,13 +29,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if _are_stars(now):
             break
-        most = hot_from(now.count())
+        total = 2 * now.count()
         edges = F.count(F.lit(1)).alias("__many")
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("low"), edges).select("u", F.least("u", "low").alias("low"), "__many")
-        large = _linked(both.where("v > u"), low, most).unionByName(low.where("low < u").select("u", F.col("low").alias("v"))).where("u <> v")
+        large = _linked(both.where("v > u"), low, total).unionByName(low.where("low < u").select("u", F.col("low").alias("v"))).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("low"), edges)
-        small = _linked(large, least, most).where("u <> v").unionByName(least.select("u", F.col("low").alias("v")))
+        small = _linked(large, least, total).where("u <> v").unionByName(least.select("u", F.col("low").alias("v")))
         now = written(small.distinct(), "edges")
     else:
         raise RuntimeError(f"no end after {rounds} rounds")

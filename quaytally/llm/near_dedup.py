@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaytally.llm.common import chunks, dealt_join, first_rows, hot_from, mixed, numbered, written
+from quaytally.llm.common import chunks, dealt_join, first_rows, mixed, numbered, written
 from quaytally.llm.graph import components
 from quaytally.llm.words import words_of
 
@@ -148,7 +148,7 @@ def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     counts = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("__many"))
     left = bodies.join(counts, bodies["node"] == counts["u"]).select("u", F.col("raw").alias("raw_u"), "__many")
     right = bodies.select(F.col("node").alias("v"), F.col("raw").alias("raw_v"))
-    both = dealt_join(pairs.join(right, "v"), left, ["u"], F.xxhash64("v"), hot_from(pairs.count()))
+    both = dealt_join(pairs.join(right, "v"), left, ["u"], F.xxhash64("v"), pairs.count(), least=0)
     return both.select("u", "v", "raw_u", "raw_v").mapInArrow(check, "u long, v long")
 
 
@@ -184,8 +184,8 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     buckets = own.select(F.explode("bands").alias("band"), "node", F.col("n_shingles").alias("n"))
     shared = buckets.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("least <> last").drop("last")
     shared = written(shared.withColumn("__many", F.col("size")), "shared")
-    most = hot_from(own.count() * BANDS)
-    members = written(dealt_join(buckets, shared, ["band"], F.xxhash64("node"), most), "buckets")
+    total = own.count() * BANDS
+    members = written(dealt_join(buckets, shared, ["band"], F.xxhash64("node"), total), "buckets")
     # the node that shares most bands with others is the nearest to all of them
     degrees = members.groupBy("node").agg(F.sum("size").alias("degree"))
     central = members.join(degrees, "node").groupBy("band").agg(F.max(F.struct("degree", "node")).alias("best"), F.count(F.lit(1)).alias("__many")).select("band", F.col("best.node").alias("central"), "__many")
@@ -204,7 +204,7 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
             pairs = pairs.where(F.coalesce("cu", "u") != F.coalesce("cv", "v"))
         return written(verified(pairs.join(sizes, "u").where(_fits(F.col("n"), F.col("nu"))), bodies), "links")
 
-    edges = star(dealt_join(members, central, ["band"], F.xxhash64("node"), most).select(F.col("central").alias("u"), F.col("node").alias("v"), "n"))
+    edges = star(dealt_join(members, central, ["band"], F.xxhash64("node"), total).select(F.col("central").alias("u"), F.col("node").alias("v"), "n"))
     labels = components(edges)
     second = star(members.where("size > 2").select(F.col("least").alias("u"), F.col("node").alias("v"), "n"), labels)
     if not second.isEmpty():
@@ -218,7 +218,7 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
         more = verified(_rest(rest, bodies), bodies)
         labels = components(edges.unionByName(more))
 
-    placed = dealt_join(some.select("doc_id", "n_shingles", "set_a", "set_b"), own.select("set_a", "set_b", "node", "__many"), ["set_a", "set_b"], F.xxhash64("doc_id"), hot_from(some.count()))
+    placed = dealt_join(some.select("doc_id", "n_shingles", "set_a", "set_b"), own.select("set_a", "set_b", "node", "__many"), ["set_a", "set_b"], F.xxhash64("doc_id"), some.count())
     # empty sets and null ids are linked with nothing
     alone = all_sketches.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     grouped = placed.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id")).unionByName(alone)

@@ -2,8 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quaytally.llm import near_dedup
+from quaytally.llm.common import dealt_join
 from quaytally.llm.graph import components
 
 
@@ -105,3 +107,12 @@ def test_components(spark, edges):
             if u != v:
                 expected[u] = expected[v] = min(expected[u], expected[v])
     assert found == expected
+
+
+@pytest.mark.parametrize("total", [0, 10**7, 4000])
+def test_hot_keys_are_dealt_without_loss(spark, total):
+    many = spark.range(3000).select(F.when(F.col("id") < 1500, 7).otherwise(F.col("id") % 40).alias("k"), "id")
+    one = many.groupBy("k").agg(F.count(F.lit(1)).alias("__many")).withColumn("name", F.concat(F.lit("n"), "k")).where("k <> 3")
+    found = dealt_join(many, one, ["k"], F.xxhash64("id"), total, least=1)
+    assert found.columns == ["k", "id", "name"]
+    assert sorted((r.id, r.name) for r in found.collect()) == sorted((i, f"n{k}") for i in range(3000) if (k := 7 if i < 1500 else i % 40) != 3)
