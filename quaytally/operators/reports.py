@@ -227,3 +227,21 @@ def compiled_blocks(rows: DataFrame, key: str = "document_id", repacked: str = "
 def merged_products(manual: DataFrame, linked: DataFrame) -> DataFrame:
     """Products entered by hand and those of documents, oldest first."""
     return manual.unionByName(linked, allowMissingColumns=True).orderBy("created_at", "product_id")
+
+
+# Labels of the printed table, the metric of each and what stands around it.
+LABELLED = {
+    "T.CTN": ("total_cartons", "", "CTNS"), "T.QTY": ("total_quantity", "", "pcs"), "UNIT CBM": ("unit_cbm", "", "CBM"), "T.CBM": ("total_cbm", "", "CBM"), "UNIT WEIGHT": ("unit_weight_kg", "", "KGS"), "T.WEIGHT": ("total_weight_kg", "", "KGS"),
+    "U.PRICE (RMB)": ("unit_price_rmb", "¥", ""), "T.AMOUNT": ("total_amount_rmb", "¥", ""),
+}
+
+
+def labelled_rows(items: DataFrame, *keep: str) -> DataFrame:
+    """Items as the printed table has them, units and all; rows kept for review go. `keep`: columns to carry along."""
+    shown = lambda c: F.regexp_replace(F.col(c).cast("double").cast("string"), r"\.0$", "")
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    texts = {"MARKS": F.coalesce("marks", "item_code", F.lit("")), "SHOP#": blank("shop"), "ITEM NO.": blank("line_no"), "DESCRIPTION OF GOODS": blank("description"), "PACKING": blank("packaging")}
+    metrics = {k: F.coalesce(F.concat(F.lit(a), shown(c), F.lit(b)), F.lit("")) for k, (c, a, b) in LABELLED.items()}
+    tags = {"__section": F.coalesce("section", F.lit("shipped")), "__section_label": T.section_label(F.col("remarks")), "REMARKS": blank("remarks")}
+    rows = items.where(~F.coalesce(F.col("item_code").isin(*SENTINELS), F.lit(False)))
+    return rows.select(*keep, *(v.alias(k) for k, v in (texts | metrics | tags).items()))

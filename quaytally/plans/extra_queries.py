@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +24,31 @@ def sales_lines(spark: SparkSession, d: str) -> DataFrame:
     return L.sales_rows(lines).select("document_id", "line_no", "item_code", "description", "total_cartons", "total_quantity", "total_amount_rmb", "warehouse")
 
 
-@query("""SELECT item_id, CASE WHEN product_id % 3 = 0 THEN NULL ELSE description END AS description, total_quantity::DOUBLE AS total_quantity, total_amount_rmb::DOUBLE AS total_amount_rmb, CASE WHEN product_id % 3 = 0 THEN 'shipped' ELSE section END AS section FROM items""")
+@query("""SELECT item_id, line_no, CASE WHEN product_id % 3 <> 0 THEN description END AS description, CASE WHEN product_id % 3 = 0 THEN 'W-' || product_id ELSE item_code END AS item_code, total_quantity::DOUBLE AS total_quantity, total_amount_rmb::DOUBLE AS total_amount_rmb,
+  CASE WHEN product_id % 3 <> 0 THEN total_cbm::DOUBLE END AS total_cbm, CASE WHEN product_id % 3 = 0 THEN 'shipped' ELSE section END AS section, CASE WHEN product_id % 3 <> 0 THEN marks END AS cell FROM items""")
 def extractor_json(spark: SparkSession, d: str) -> DataFrame:
     odd = F.col("product_id") % 3 == 0
-    body = F.to_json(F.struct(F.when(odd, "null").otherwise(F.col("description")).alias("description"), F.concat(whole("total_quantity"), F.lit(" pcs")).alias("total_qty"), F.concat(F.lit("¥"), F.col("total_amount_rmb")).alias("total_amount_rmb"), F.when(~odd, F.col("section")).alias("section")))
-    rows = C.items(spark, d).select("item_id", body.alias("body"))
-    return L.extracted(rows, "body").select("item_id", "description", "total_quantity", "total_amount_rmb", "section")
+    fields = {
+        "line_no": F.col("line_no").cast("string"), "description": F.when(odd, "null").otherwise(F.col("description")), "source_item_no": F.when(odd, F.concat(F.lit("W-"), F.col("product_id"))), "item_code": F.when(odd, F.lit("26C707-6083")).otherwise(F.col("item_code")),
+        "total_qty": F.concat(whole("total_quantity"), F.lit(" pcs")), "total_amount_rmb": F.concat(F.lit("¥"), F.format_number("total_amount_rmb", 2)), "total_cbm": F.when(odd, "undefined").otherwise(F.col("total_cbm").cast("string")), "section": F.when(~odd, F.col("section")),
+        "source_cells": F.create_map(F.lit("MARKS"), F.when(odd, " ").otherwise(F.col("marks"))),
+    }
+    rows = C.items(spark, d).select("item_id", F.to_json(F.struct(*(v.alias(k) for k, v in fields.items()))).alias("body"))
+    return L.extracted(rows, "body").select("item_id", "line_no", "description", "item_code", "total_quantity", "total_amount_rmb", "total_cbm", "section", F.col("source_cells")["MARKS"].alias("cell"))
+
+
+@query("""SELECT document_id, client_id::VARCHAR AS client_id, CASE document_id % 3 WHEN 0 THEN 'container_manifest' WHEN 1 THEN 'sales_order' ELSE 'unknown' END AS document_type, printed_amount::DOUBLE AS total_amount_rmb, CASE WHEN document_id % 2 = 0 THEN 6.8 END::DOUBLE AS exchange_rate,
+  1 + (document_id % 2 = 0)::INT AS n_payments, 1200.5 + CASE WHEN document_id % 2 = 0 THEN 7 ELSE 0 END::DOUBLE AS paid_usd, CASE WHEN document_id % 2 = 0 THEN 'other' END AS second_type FROM docs""")
+def extractor_documents(spark: SparkSession, d: str) -> DataFrame:
+    even = F.col("document_id") % 2 == 0
+    pay = lambda date, amount, kind: F.struct(F.lit(date).alias("payment_date"), amount.alias("amount_usd"), F.lit(kind).alias("payment_type"))
+    payments = F.array(pay("2026-02-13", F.lit("1,200.50"), "deposit"), pay("null", F.when(even, "7"), "wire"))
+    kind = F.when(F.col("document_id") % 3 == 0, "packing_list").when(F.col("document_id") % 3 == 1, "sales_order").otherwise("list")
+    totals = F.struct(F.concat(F.lit("¥"), F.format_number("printed_amount", 2)).alias("total_amount_rmb"), F.when(even, "6.80").otherwise("undefined").alias("exchange_rate"))
+    body = F.to_json(F.struct(F.concat(F.lit(" "), "client_id").alias("client_id"), kind.alias("document_type"), totals.alias("footer_totals"), payments.alias("payments")))
+    found = L.extracted_documents(C.documents(spark, d).select("document_id", body.alias("body")), "body")
+    paid = F.aggregate("payments", F.lit(0.0), lambda a, p: a + p["amount_usd"])
+    return found.select("document_id", "client_id", "document_type", "total_amount_rmb", "exchange_rate", F.size("payments").alias("n_payments"), paid.alias("paid_usd"), F.get("payments", F.lit(1))["payment_type"].alias("second_type"))
 
 
 @query("""SELECT document_id, count(*) AS n_cells, bool_or(product_id % 4 = 0) AS has_price FROM items, (VALUES ('MARKS'), ('T.QTY'), ('PRICE')) k(key) WHERE key <> 'PRICE' OR product_id % 4 = 0 GROUP BY 1""")
@@ -87,10 +108,25 @@ def totals_sync(spark: SparkSession, d: str) -> DataFrame:
     return R.totals_synced(stored, C.items(spark, d).where("section = 'shipped'"))
 
 
-@query("""SELECT item_id, total_cartons::BIGINT || 'CTNS' AS t_ctn, total_quantity::BIGINT || 'pcs' AS t_qty, '¥' || unit_price_rmb AS u_price FROM items""")
+@query(r"""SELECT item_id, marks, shop, line_no::VARCHAR AS item_no, description AS description_of_goods, packaging AS packing, total_cartons::BIGINT || 'CTNS' AS t_ctn, total_quantity::BIGINT || 'pcs' AS t_qty, '' AS unit_cbm, regexp_replace(total_cbm::DOUBLE::VARCHAR, '\.0$', '') || 'CBM' AS t_cbm,
+  '' AS unit_weight, regexp_replace(total_weight_kg::DOUBLE::VARCHAR, '\.0$', '') || 'KGS' AS t_weight, '¥' || regexp_replace(unit_price_rmb::DOUBLE::VARCHAR, '\.0$', '') AS u_price_rmb, '¥' || regexp_replace(total_amount_rmb::DOUBLE::VARCHAR, '\.0$', '') AS t_amount, section, coalesce(remarks, '') AS remarks
+  FROM items WHERE product_id % 8 <> 0""")
 def labelled_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Rows with units as the printed table has them."""
-    return C.items(spark, d).select("item_id", F.concat(whole("total_cartons"), F.lit("CTNS")).alias("t_ctn"), F.concat(whole("total_quantity"), F.lit("pcs")).alias("t_qty"), F.concat(F.lit("¥"), F.col("unit_price_rmb").cast("string")).alias("u_price"))
+    """Rows with units as the printed table has them; the labels as plain names."""
+    none = F.lit(None).cast("double")
+    items = C.items(spark, d).withColumns({"unit_cbm": none, "unit_weight_kg": none, "item_code": F.when(F.col("product_id") % 8 == 0, R.SENTINELS[1]).otherwise(F.col("item_code"))})
+    rows = R.labelled_rows(items, "item_id")
+    return rows.toDF(*(re.sub("[^a-z]+", "_", c.lower()).strip("_") for c in rows.columns)).drop("section_label")
+
+
+@query("""SELECT item_id, '12pcs/ctn' AS packing, CASE WHEN product_id % 4 = 3 THEN '' ELSE product_id::VARCHAR END AS item_no, CASE WHEN product_id % 4 = 3 THEN '' ELSE description END AS description, CASE product_id % 4 WHEN 0 THEN '不锈钢' WHEN 1 THEN '壶 大' WHEN 2 THEN '壶 x/y' ELSE '12-a' END AS detail FROM items""")
+def merged_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Item number, name and detail in cells of their own, in one cell, in the lines of the packing cell, or missing."""
+    k, p = F.col("product_id") % 4, F.col("product_id").cast("string")
+    own = F.when(k == 0, F.array(p, F.col("description"), F.lit("不锈钢"), F.lit("12pcs/ctn"))).when(k == 1, F.array(F.concat_ws(" ", p, "description", F.lit("壶 大")), F.lit("12pcs/ctn")))
+    other = F.when(k == 2, F.array(F.lit(""), F.concat(p, F.lit("\n"), "description", F.lit("\n壶\nx/y 12 pcs / ctn")))).otherwise(F.array(F.lit("12-a"), F.lit("12pcs/ctn")))
+    cells = F.concat(F.array(F.col("marks"), F.col("shop")), F.coalesce(own, other), F.array(F.lit("3CTNS"), F.lit("36pcs")))
+    return L.merged_cells(C.items(spark, d).select("item_id", cells.alias("cells")))
 
 
 @query("""SELECT client_id, min(document_id) AS first_document, min_by(priority, document_id) AS priority FROM docs WHERE status <> 'P' GROUP BY 1""")
@@ -122,11 +158,19 @@ def aligned_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("item_id", F.col("cells")[0].alias("first"), F.col("cells")[1].alias("description"), F.element_at("cells", -1).alias("last"))
 
 
-@query("""SELECT document_id, item_id, description FROM items UNION ALL SELECT document_id, -document_id - 1, 'outlier ' || max(line_no) FROM items GROUP BY 1 HAVING NOT bool_or(description LIKE '%ring%')""")
+@query("""
+, has AS (SELECT document_id, bool_or(product_id % 9 = 0) AS priced FROM items GROUP BY 1)
+SELECT document_id, CASE WHEN product_id % 9 = 0 THEN 'MAG-512-1' ELSE marks END AS marks, item_code, description, total_quantity::DOUBLE AS total_quantity, total_amount_rmb::DOUBLE AS total_amount_rmb FROM items
+UNION ALL SELECT document_id, 'MAG-512-' || n || ' SANCARGO', (77 + n)::VARCHAR, 'Food warmer FW-' || n, 30.0 + n, 1250.5 * n FROM has, (VALUES (1), (2)) v(n) WHERE NOT priced""")
 def recovered_rows(spark: SparkSession, d: str) -> DataFrame:
-    items = C.items(spark, d).select("document_id", "item_id", "description", "line_no")
-    recovered = items.groupBy("document_id").agg(F.max("line_no").alias("line_no")).select("document_id", (-F.col("document_id") - 1).alias("item_id"), F.concat(F.lit("outlier "), "line_no").alias("description"), "line_no")
-    return J.appended_if_none(items, recovered, F.col("description").contains("ring")).drop("line_no")
+    """Priced rows of a document's flat text, for documents that have none."""
+    items = C.items(spark, d).withColumn("marks", F.when(F.col("product_id") % 9 == 0, "MAG-512-1").otherwise(F.col("marks")))
+    row = "MAG-512-{0} SANCARGO shop {0} {1} Food warmer FW-{0} {2}pcs 3CTNS ¥ 41 ¥ {3} "
+    text = "NEW ORDER " + "".join(row.format(n, 77 + n, 30 + n, f"{1250.5 * n:,.2f}") for n in (1, 2))
+    found = L.priced_rows(items.select("document_id").distinct().withColumn("text", F.lit(text)))
+    columns = ("document_id", "marks", "item_code", "description", "total_quantity", "total_amount_rmb")
+    plain = items.select("document_id", "marks", "item_code", "description", *(F.col(c).cast("double").alias(c) for c in columns[4:]))
+    return J.appended_if_none(plain, found.select(*columns), F.trim("marks").rlike(L.PRICED_MARKS) & (F.col("total_amount_rmb") > 0))
 
 
 @query("""SELECT document_id, line_no, item_code, description FROM items UNION ALL

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaytally.functions import text as T
-from quaytally.functions.numbers import prefix_number
+from quaytally.functions.columns import settled
+from quaytally.functions.numbers import finite, integer, prefix_number
 
 # Words that look like marks but are not.
 NO_TOKENS = ("MARKS", "PACKING", "ITEM", "SHOP", "CLIENT", "CONTAINER", "TOTAL", "GOODS", "CBM", "KGS", "CTN", "PCS", "SANCARGO", "DESCRIPTION", "UNIT", "WEIGHT", "PRICE", "AMOUNT", "QUANTITY", "DATE", "QTY", "SETS", "NOS", "PRS")
@@ -85,6 +86,50 @@ def pattern_row(cells: Column) -> list[Column]:
     ]
 
 
+# Forms of the cells of a manifest row, and of a cell that holds number, name and detail.
+PACKING_TOKEN, PACKING_CELL = r"(?i)\d+\s*[A-Za-z]+\s*/\s*ctn", r"(?i)^\s*\d+\s*[A-Za-z]+\s*/\s*ctn\s*$"
+DATA_CELL = r"(?i)^\s*(?:\d+\s*CTNS?|\d+\s*pcs|[\d.]+\s*(?:CBM|KGS)|[¥￥]\s*[\d,]+(?:\.\d+)?)\s*$"
+ENGLISH_CELL, MERGED_CELL = r"^[A-Za-z][A-Za-z0-9\s.()/-]*$", r"(?s)^(\d+)?\s*([A-Za-z][A-Za-z0-9\s.()/-]*?)?\s*([\x{4e00}-\x{9fff}].*)?$"
+
+
+def merged_cells(rows: DataFrame) -> DataFrame:
+    """item_no, description and detail of manifest rows (`cells`) out of the cells before their data, and packing.
+
+    A packing cell of several lines gives its other lines to these. A cell may hold number, English name and
+    Chinese detail in one; each is taken the first time, further detail is joined."""
+    rows = settled(rows, cells=F.transform("cells", lambda c: F.trim(T.text(c))))
+    places = F.sequence(F.lit(2), F.size("cells") - 1)
+    at = lambda i: F.get(F.col("cells"), i)
+    packing = F.array_min(F.filter(places, lambda i: at(i).rlike(PACKING_TOKEN)))
+    rows = settled(rows, packing_at=packing, data_at=F.coalesce(F.array_min(F.filter(places, lambda i: at(i).rlike(DATA_CELL) | at(i).rlike(PACKING_TOKEN))), F.size("cells")))
+    blob = F.coalesce(F.get("cells", "packing_at"), F.lit(""))
+    lines = F.filter(F.transform(F.split(blob, r"[\n\r]+"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = settled(rows, blob=blob, lines=lines)
+    own = F.coalesce(F.try_element_at(F.filter("lines", lambda x: x.rlike(PACKING_TOKEN)), F.lit(1)), F.lit(""))
+    rows = settled(rows, own=own, mixed=(F.col("blob") != "") & ~F.col("blob").rlike(PACKING_CELL))
+    prefix = F.trim(F.regexp_replace("own", PACKING_TOKEN, ""))
+    more = F.when(F.col("mixed"), F.concat(F.filter("lines", lambda x: x != F.col("own")), F.filter(F.array(prefix), lambda x: x != ""))).otherwise(F.array().cast("array<string>"))
+    before = F.filter(F.slice("cells", F.lit(3), F.greatest(F.col("data_at") - 2, F.lit(0))), lambda c: c != "")
+    start = F.struct(F.lit("").alias("item_no"), F.lit("").alias("description"), F.lit("").alias("detail"))
+    joined = lambda a, c: F.when(a == "", c).otherwise(F.concat_ws(" ", a, c))
+
+    def take(acc: Column, c: Column) -> Column:
+        parts = [F.trim(F.regexp_extract(c, MERGED_CELL, i)) for i in (1, 2, 3)]
+        number = (acc["item_no"] == "") & c.rlike(r"^\s*\d+\s*$")
+        name = ~number & (acc["description"] == "") & c.rlike(ENGLISH_CELL)
+        several = ~number & ~name & (sum(((p != "").cast("int") for p in parts), F.lit(0)) >= 2)
+        kept = lambda old, part: F.when(several & (old == "") & (part != ""), part).otherwise(old)
+        return F.struct(
+            F.when(number, F.trim(c)).otherwise(kept(acc["item_no"], parts[0])).alias("item_no"),
+            F.when(name, c).otherwise(kept(acc["description"], parts[1])).alias("description"),
+            F.when(number | name | (several & (parts[2] == "")), acc["detail"]).when(several, joined(acc["detail"], parts[2])).otherwise(joined(acc["detail"], c)).alias("detail"),
+        )
+
+    token = F.regexp_replace(F.regexp_extract("own", PACKING_TOKEN, 0), r"\s+", "")
+    rows = settled(rows, packing=F.when(F.col("mixed"), token).otherwise(F.col("blob")), found=F.aggregate(F.concat(before, more), start, take))
+    return rows.select(*(c for c in rows.columns if c not in ("cells", "packing_at", "data_at", "blob", "lines", "own", "mixed", "found")), "found.*")
+
+
 def subtotal_bars(lines: DataFrame) -> DataFrame:
     """Lines of the form nCTN nCBM nKGS ¥n, as subtotals."""
     bar = F.regexp_replace("text", ",", "")
@@ -176,15 +221,58 @@ def sales_rows(lines: DataFrame) -> DataFrame:
     )
 
 
+# What an extractor's JSON says of a product and of a document.
+PRODUCT_TEXTS = ("marks", "shop", "description", "packaging", "barcode", "warehouse", "remarks", "delivery_no", "customer_item_ref", "unit", "product_name_local", "material")
+PRODUCT_NUMBERS = ("qty_per_carton", "total_cartons", "total_qty", "unit_price_rmb", "total_amount_rmb", "dim_l_cm", "dim_w_cm", "dim_h_cm", "unit_cbm", "total_cbm", "unit_weight_kg", "total_weight_kg")
+PRODUCT_INTEGERS = ("line_no", "box_no_start", "box_no_end")
+DOCUMENT_TEXTS = ("doc_number", "client_id", "container_no", "document_date")
+DOCUMENT_NUMBERS = ("total_cartons", "total_cbm", "total_weight_kg", "total_amount_rmb", "total_amount_usd", "exchange_rate", "goods_balance_usd", "freight_usd", "total_balance_usd")
+DOCUMENT_TYPES = {"sales_order": "sales_order", "container_manifest": "container_manifest", "packing_list": "container_manifest"}
+PAYMENT_TYPES = ("deposit", "balance", "freight", "credit", "other")
+
+
+def _number(c: Column) -> Column:
+    return finite(F.regexp_replace(c, "[¥￥,%]", ""))
+
+
 def extracted(rows: DataFrame, body: str) -> DataFrame:
-    """Extractor JSON (all values read as text) to typed columns."""
-    from quaytally.functions.numbers import cell
-
-    fields = ("description", "item_code", "marks", "total_qty", "total_cartons", "unit_price_rmb", "total_amount_rmb", "section")
-    parsed = rows.withColumn("p", F.from_json(body, ", ".join(f"{f} string" for f in fields)))
-    text = {c: T.clean(F.col(f"p.{c}")) for c in ("description", "item_code", "marks")}
-    number = {"total_quantity": cell(F.col("p.total_qty")), **{c: cell(F.col(f"p.{c}")) for c in ("total_cartons", "unit_price_rmb", "total_amount_rmb")}}
-    return parsed.withColumns(text | number | {"section": T.storage_section(F.col("p.section"), F.lit(""))}).drop("p", body)
+    """A product's extractor JSON (all values read as text) as typed columns; empty, null and odd values are null."""
+    names = (*PRODUCT_TEXTS, *PRODUCT_NUMBERS, *PRODUCT_INTEGERS, "source_item_no", "item_code", "section")
+    parsed = rows.withColumn("p", F.from_json(body, ", ".join(f"{f} string" for f in names) + ", source_cells map<string,string>"))
+    text = {c: T.clean(F.col(f"p.{c}")) for c in PRODUCT_TEXTS}
+    number = {"total_quantity" if c == "total_qty" else c: _number(F.col(f"p.{c}")) for c in PRODUCT_NUMBERS}
+    whole = {c: integer(F.col(f"p.{c}")) for c in PRODUCT_INTEGERS}
+    sku = T.sku_fields(T.clean(F.col("p.source_item_no")), T.clean(F.col("p.item_code")))
+    cells = F.map_filter(F.transform_values("p.source_cells", lambda k, v: T.clean(v)), lambda k, v: v.isNotNull())
+    other = {"item_code": sku["item_code"], "source_item_no": sku["source_item_no"], "section": F.coalesce(T.clean(F.col("p.section")), F.lit("shipped")), "source_cells": F.when(F.size(cells) > 0, cells)}
+    return parsed.withColumns(text | number | whole | other).drop("p", body)
+
+
+def extracted_documents(rows: DataFrame, body: str) -> DataFrame:
+    """A document's extractor JSON as typed columns, printed totals among them, and its payments as an array; payments without an amount go."""
+    totals = ", ".join(f"{f}: string" for f in DOCUMENT_NUMBERS)
+    schema = ", ".join(f"{f} string" for f in (*DOCUMENT_TEXTS, "document_type")) + f", footer_totals struct<{totals}>, payments array<struct<payment_date: string, amount_usd: string, payment_type: string>>"
+    parsed = rows.withColumn("p", F.from_json(body, schema))
+    kind = F.coalesce(*(F.when(F.col("p.document_type") == k, v) for k, v in DOCUMENT_TYPES.items()), F.lit("unknown"))
+    payment = lambda x: F.struct(T.clean(x["payment_date"]).alias("payment_date"), _number(x["amount_usd"]).alias("amount_usd"), F.when(x["payment_type"].isin(*PAYMENT_TYPES), x["payment_type"]).otherwise("other").alias("payment_type"))
+    payments = F.filter(F.transform(F.coalesce("p.payments", F.array()), payment), lambda x: x["amount_usd"].isNotNull())
+    columns = {c: T.clean(F.col(f"p.{c}")) for c in DOCUMENT_TEXTS} | {"document_type": kind} | {c: _number(F.col(f"p.footer_totals.{c}")) for c in DOCUMENT_NUMBERS} | {"payments": payments}
+    return parsed.withColumns(columns).drop("p", body)
+
+
+# A priced row in a manifest's flat text, and the marks of such rows.
+PRICED_ROW = r"(?i)(MAG-512-\d+)\s+SANCARGO\s+(.+?)\s+(\d+)\s+(Food\s+warmer\s+[A-Z0-9-]+)\s+(\d+)\s*pcs[\s\S]{0,80}?[¥￥]\s*([\d,]+(?:\.\d+)?)\s+[¥￥]\s*([\d,]+(?:\.\d+)?)"
+PRICED_MARKS = r"(?i)^MAG-512-\d+\b"
+
+
+def priced_rows(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Priced rows in documents' flat texts: document_id, n, marks, shop, item_code, description, total_quantity, unit_price_rmb, total_amount_rmb."""
+    flat = T.squeezed(T.text(text))
+    parts = F.arrays_zip(*(F.regexp_extract_all(flat, F.lit(PRICED_ROW), i).alias(f"g{i}") for i in range(1, 8)))
+    rows = texts.select("document_id", F.posexplode(parts).alias("n", "p"))
+    number = lambda i: prefix_number(F.replace(F.col(f"p.g{i}"), F.lit(","), F.lit("")))
+    name = lambda i: F.nullif(F.trim(f"p.g{i}"), F.lit(""))
+    return rows.select("document_id", "n", F.concat("p.g1", F.lit(" SANCARGO")).alias("marks"), name(2).alias("shop"), name(3).alias("item_code"), name(4).alias("description"), number(5).alias("total_quantity"), number(6).alias("unit_price_rmb"), number(7).alias("total_amount_rmb")).where("total_quantity > 0")
 
 
 # Where a document's text names its facts; of several forms the first that is found counts.
