@@ -126,6 +126,21 @@ def subtotal_bars(spark: SparkSession, d: str) -> DataFrame:
     return L.subtotal_bars(rows).select("document_id", "cartons", "cbm", "rmb")
 
 
+@query("""
+, extra AS (SELECT DISTINCT document_id FROM items)
+SELECT document_id, line_no * 10 AS line_no, NULL::VARCHAR AS stage_total FROM items WHERE line_no <= CASE WHEN document_id % 3 = 2 THEN 999 ELSE 4 END
+UNION ALL SELECT document_id, 31, '12CTNS 3.5CBM 45KGS ¥1,200' FROM extra WHERE document_id % 2 = 0 UNION ALL SELECT document_id, 32, NULL FROM extra WHERE document_id % 2 = 0
+UNION ALL SELECT document_id, 33, '7CTN 1CBM 2KGS' FROM extra WHERE document_id % 2 = 1""")
+def stage_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Product lines with a printed total on one line or two, and a header over two lines, a banner, or no end."""
+    items = C.items(spark, d)
+    rows = items.select("document_id", (F.col("line_no") * 10).alias("line_no"), F.concat_ws(" ", "marks", F.lit("SANCARGO"), "description", "packaging").alias("text"))
+    kind = F.col("document_id") % 3
+    more = {31: F.when(F.col("document_id") % 2 == 0, "12CTNS  3.5 CBM"), 32: F.when(F.col("document_id") % 2 == 0, "45 KGS ¥ 1,200"), 33: F.when(F.col("document_id") % 2 == 1, "7 ctn 1CBM 2KGS"), 41: F.when(kind == 0, "Goods left in").when(kind == 1, "9 CTN goods stuffed into this container"), 42: F.when(kind == 0, "SANCARGO warehouse")}
+    added = items.select("document_id").distinct().select("document_id", F.explode(F.array(*(F.struct(F.lit(n).cast("long").alias("line_no"), t.alias("text")) for n, t in more.items()))).alias("e")).select("document_id", "e.*").where("text is not null")
+    return L.stage_lines(rows.unionByName(added)).select("document_id", "line_no", "stage_total")
+
+
 @query("""SELECT document_id, line_no % 3 = 2 AS carried, CASE line_no % 4
   WHEN 0 THEN marks || ' SANCARGO ' || shop || ' ' || packaging || ' ' || total_cartons::BIGINT || 'CTNS'
   WHEN 1 THEN marks || ' SANCARGO ' || shop || ' x 1' ELSE marks || ' SANCARGO ' || shop || ' ' || packaging END AS text FROM items""")

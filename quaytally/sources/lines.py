@@ -140,6 +140,28 @@ def subtotal_bars(lines: DataFrame) -> DataFrame:
     return found.where((some >= 3) & (words < 5) & ~F.col("text").rlike(r"(?i)pcs\s*/\s*ctn"))
 
 
+# A section's printed total, the banner of stuffed goods, and words of lines that are no totals.
+STAGE_TOTAL = r"(?i)(\d+\s*CTNS?).*?([\d.]+\s*CBM).*?([\d.]+\s*KGS)(?:.*?([¥￥]\s*[\d,]+(?:\.\d+)?))?"
+STUFFED_BANNER = r"(?i)GOODS\s+STUFFED\s+INTO\s+THIS\s+CONTAINER"
+LABELLED_LINES = ("MARKS", "DESCRIPTION OF GOODS", "CLIENT DETAILS", "CONTAINER NO", "CUSTOMER CARE", "COMPLAINTS LINE", "NEW ORDER", "GOODS LEFT IN SANCARGO", "GOODS BALANCE", "TOTAL WEIGHT", "TOTAL CBM", "TOTAL CARTON", "TOTAL COST", "BALANCE PAYMENT", "PAGE:", "PAYMENT", "USD", "RMB", "EXCHANGE RATE")
+
+
+def stage_lines(lines: DataFrame) -> DataFrame:
+    """Lines (document_id, line_no, text) of the goods shipped, with stage_total where a line, or it and the next one,
+    prints a section's total.
+
+    The banner of stuffed goods or the header of goods left, which may go on in the next line, ends them."""
+    order = Window.partitionBy("document_id").orderBy("line_no")
+    rows = lines.withColumn("after", T.squeezed(F.concat_ws(" ", "text", F.lead("text").over(order))))
+    left = lambda c: T.header_kind(c) == "goods_left"
+    ends = F.col("text").rlike(STUFFED_BANNER) | F.coalesce(left(F.col("text")), F.lit(False)) | F.coalesce(left(F.col("after")), F.lit(False))
+    rows = settled(rows, ends=ends).withColumn("past", F.max(F.col("ends").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("past = 0")
+    part = lambda c, i: F.regexp_replace(F.regexp_extract(c, STAGE_TOTAL, i), r"\s+", "")
+    total = lambda c: F.when(c.rlike(STAGE_TOTAL), F.concat_ws(" ", *(F.upper(part(c, i)) for i in (1, 2, 3)), F.nullif(part(c, 4), F.lit(""))))
+    open_ = ~F.col("text").rlike(r"(?i)\bSANCARGO\b") & ~T.any_of([F.upper("text").contains(w) for w in LABELLED_LINES])
+    return rows.withColumn("stage_total", F.when(open_, F.coalesce(total(F.col("text")), total(F.col("after"))))).drop("after", "ends", "past")
+
+
 # How lines begin that open a row.
 ROW_ANCHORS = r"(?i)^MS-\d{2,4}-\d{1,4}\b|^\d{1,4}[.)]\s|^ITEM\s*NO\.?|^[A-Z0-9]{2,6}-[A-Z0-9]{1,6}-\d{1,5}\b"
 
