@@ -24,6 +24,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,13 +168,23 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", t
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     shingle = min(shingle, size)
     own = texts(docs, F.col(id).alias("doc_id"), text=text)
-    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("binary").alias("raw")).where("item is not null and raw is not null")
+    items = benchmark_items(benchmark, item, item_text)
+    index = small_index(own, items, size, shingle, block_bytes)
+    return own.mapInArrow(_searcher(index), DIGEST) if index else _joined(own, items, size, shingle)
+
+
+def benchmark_items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    return benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("binary").alias("raw")).where("item is not null and raw is not null")
+
+
+def small_index(own: DataFrame, items: DataFrame, size: int, shingle: int, block_bytes: int):
+    """The broadcast index of a benchmark of at most block_bytes of text; None for a larger one."""
     if (items.agg(F.sum(F.length("raw"))).first()[0] or 0) > block_bytes:
-        return _joined(own, items, size, shingle)
+        return None
     windows = Windows.of([(r["item"], bytes(r["raw"])) for r in items.collect()], size)  # block_bytes of text at most
-    context = docs.sparkSession.sparkContext
+    context = own.sparkSession.sparkContext
     counts = shingle_counts(own, context.broadcast(windows), shingle) if windows.items else {}
-    return own.mapInArrow(_searcher(context.broadcast(Index.of(windows, counts, shingle))), DIGEST)
+    return context.broadcast(Index.of(windows, counts, shingle))
 
 
 #: Bits of the filter that keeps shingles of no window from being sent anywhere.
@@ -269,10 +280,20 @@ def _verifier(size: int, shingle: int):
     return verify
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs without any window of the benchmark, with all their columns."""
+def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs without any window of the benchmark, with all their columns. Each row is judged by itself, whatever its id."""
+    shingle = min(SHINGLE, SIZE)
+    index = small_index(texts(docs, text=text), benchmark_items(benchmark, item, item_text), SIZE, shingle, block_bytes)
+    if index:
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, raws in chunks(batches, text):
+                hit = _searched(index.value, part.column(0), raws).column(5)
+                yield part.filter(pc.invert(hit))
+
+        return docs.mapInArrow(choose, docs.schema)
     own = numbered(docs)  # by row, as an id may be null or repeated
-    hit = decontamination(own.select("__row", F.col(text).alias("text")), benchmark, "__row", item=item, item_text=item_text).where("contaminated").select(F.col("doc_id").alias("__row"))
+    hit = decontamination(own.select("__row", F.col(text).alias("text")), benchmark, "__row", item=item, item_text=item_text, block_bytes=block_bytes).where("contaminated").select(F.col("doc_id").alias("__row"))
     return own.join(hit, "__row", "left_anti").select(docs.columns)
 
 

@@ -36,9 +36,10 @@ def test_near_dedup_keeps_one_row_of_a_group(docs_frame, rows, kept):
     assert sorted(either, key=str) == sorted(kept, key=str)
 
 
-def test_clean_drops_contaminated_rows_alone(docs_frame, spark):
+@pytest.mark.parametrize("block_bytes", [1 << 20, 1])
+def test_clean_drops_contaminated_rows_alone(docs_frame, spark, block_bytes):
     benchmark = spark.createDataFrame([(1, LONG)], "item_id long, text string")
     rows = [(None, NEAR), (None, OTHER), (2, "so " + LONG), (2, OTHER), (None, None)]
     docs = docs_frame(rows)
-    found = decontaminate.clean(docs, benchmark)
+    found = decontaminate.clean(docs, benchmark, block_bytes=block_bytes)
     assert found.columns == docs.columns and got(found) == sorted([(None, OTHER), (2, OTHER), (None, None)], key=str)
