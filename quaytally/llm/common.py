@@ -58,15 +58,18 @@ def first_rows(rows: DataFrame, *group: str) -> DataFrame:
 PARTS, HOT, DEAL_FROM = 256, 1000, 1_000_000
 
 
-def dealt_join(many: DataFrame, one: DataFrame, keys: list[str], spread: Column, total: int, least: int = DEAL_FROM) -> DataFrame:
-    """many (`total` rows) joined to one, which has a row for each key and in __many the key's number of rows in `many`.
+def dealt_join(many: DataFrame, one: DataFrame, keys: list[str], spread: Column, total: int, least: int = DEAL_FROM, counts: DataFrame | None = None) -> DataFrame:
+    """many (`total` rows) joined to one, which has a row for each key and in __many the key's number of rows in `many`
+    (`counts` has these numbers alone, where they cost less).
 
     The rows of a key that holds more than a thousandth of them go to several tasks, by `spread`. Fewer than HOT
-    keys can be so hot, so a list of them may be broadcast. With fewer rows than `least` it is a plain join."""
-    if total < least:
-        return many.join(one.drop("__many"), keys)
+    keys can be so hot, so a list of them may be broadcast. With fewer rows than `least`, or no hot key, it is a plain join."""
     most = max(PARTS, total // HOT)
-    hot = F.broadcast(one.where(F.col("__many") > most).select(*keys, F.lit(True).alias("__hot")))
+    known = [] if total < least else (one if counts is None else counts).where(F.col("__many") > most).select(*keys).collect()  # fewer than HOT rows
+    if not known:
+        return many.join(one.drop("__many"), keys)
+    types = dict(many.dtypes)
+    hot = F.broadcast(many.sparkSession.createDataFrame(known, ", ".join(f"{k} {types[k]}" for k in keys)).withColumn("__hot", F.lit(True)))
     dealt = many.join(hot, keys, "left").withColumn("__part", F.when(F.col("__hot"), F.pmod(spread, F.lit(PARTS)).cast("int")).otherwise(0)).drop("__hot")
     copies = one.withColumn("__part", F.explode(F.when(F.col("__many") > most, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0))))).drop("__many")
     return dealt.join(copies, [*keys, "__part"]).drop("__part")

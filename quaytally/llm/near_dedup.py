@@ -148,7 +148,7 @@ def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     counts = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("__many"))
     left = bodies.join(counts, bodies["node"] == counts["u"]).select("u", F.col("raw").alias("raw_u"), "__many")
     right = bodies.select(F.col("node").alias("v"), F.col("raw").alias("raw_v"))
-    both = dealt_join(pairs.join(right, "v"), left, ["u"], F.xxhash64("v"), pairs.count(), least=0)
+    both = dealt_join(pairs.join(right, "v"), left, ["u"], F.xxhash64("v"), pairs.count(), least=0, counts=counts)
     return both.select("u", "v", "raw_u", "raw_v").mapInArrow(check, "u long, v long")
 
 
