@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,30 +28,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _own_folders: dict[str, str] = {}
 
 
+_tables: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, from the session; one of our own only where it is unset (tests)."""
-    application = spark.sparkContext.applicationId
-    found = spark.conf.get("spark.checkpoint.dir", None) or _own_folders.get(application)
+    """The cluster's shared folder, from the session; one of our own only where it is unset and Spark runs in
+    one process (tests). A cluster's executors would not see a local folder of the driver."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own_folders.get(context.applicationId)
     if not found:
-        found = _own_folders[application] = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = _own_folders[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
     return found
 
 
+def new_path(spark: SparkSession, what: str) -> str:
+    """A path of its own in the shared folder."""
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, and outlives any executor."""
-    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, __row, that stays: ids may be null or repeated, these are not."""
-    return written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+def clear(spark: SparkSession) -> int:
+    """Deletes what the operators of this application have written to the shared folder, once their results have been
+    read or stored; gives the number of paths."""
+    paths = _tables.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+    return len(paths)
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """The name, lengthened until no column in `taken` has it, whatever the case."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
 
 
-def first_rows(rows: DataFrame, *group: str) -> DataFrame:
-    """__row of one row of each group, that with the smallest id (a null one last); rows: __row, id and the groups."""
-    return rows.groupBy(*group).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__row")).alias("first")).select("first.__row")
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row that stays, and the column's name: ids may be null or repeated, these are not."""
+    name = unused("__row", docs.columns)
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
 #: Tasks that a hot key's rows are dealt over, the share of all rows (one in so many) that makes a key hot, and

@@ -259,7 +259,7 @@ def _joined(own: DataFrame, items: DataFrame, size: int, shingle: int) -> DataFr
             found = np.unique(np.stack([np.concatenate(rows).astype(np.uint64), np.concatenate(codes)]), axis=1) if kinds else np.zeros((2, 0), np.uint64)
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found[0].astype(np.int64))), pa.array(found[1].view(np.int64))], names=["__row", "code"])
 
-    own = numbered(own)
+    own, _ = numbered(own)  # doc_id, raw and __row
     codes = written(own.select("__row", "raw").mapInArrow(known, "__row long, code long"), "codes")
     counts = codes.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
     rarest = windows.select("item", "raw", F.explode("codes").alias("code")).join(counts, "code").groupBy("item", "raw").agg(F.min_by("code", F.struct("n", "code")).alias("code"))
@@ -292,9 +292,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
                 yield part.filter(pc.invert(hit))
 
         return docs.mapInArrow(choose, docs.schema)
-    own = numbered(docs)  # by row, as an id may be null or repeated
-    hit = decontamination(own.select("__row", F.col(text).alias("text")), benchmark, "__row", item=item, item_text=item_text, block_bytes=block_bytes).where("contaminated").select(F.col("doc_id").alias("__row"))
-    return own.join(hit, "__row", "left_anti").select(docs.columns)
+    own, row = numbered(docs)  # by row, as an id may be null or repeated
+    hit = decontamination(own.select(row, F.col(text).alias("text")), benchmark, row, item=item, item_text=item_text, block_bytes=block_bytes).where("contaminated").select(F.col("doc_id").alias(row))
+    return own.join(hit, row, "left_anti").select(docs.columns)
 
 
 def _searcher(index):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaytally.llm import decontaminate, exact_dedup, licenses, near_dedup, packing, quality, secrets, substring_dedup, toxicity, url_filter
+from quaytally.llm import decontaminate, divergence, exact_dedup, licenses, near_dedup, packing, quality, secrets, substring_dedup, toxicity, url_filter, warc, whitening
 from quaytally.llm.common import table
 
 
@@ -52,6 +52,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_digest(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -64,6 +76,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_near_dedup": op9_near_dedup,
         "op10_decontamination": op10_decontamination,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_whitening": op12_whitening,
+        "op13_warc": op13_warc,
     }
 
 
@@ -71,4 +86,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_exact_dedup": exact_dedup.ORACLE,
         "op7_url_filter": url_filter.ORACLE,
+        "op11_source_divergence": divergence.ORACLE,
+        "op13_warc": warc.ORACLE,
     }

@@ -15,10 +15,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaytally.llm.common import first_rows, numbered
+from quaytally.llm.common import unused
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -46,11 +46,14 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", hash12
 
 
 def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns: one row of each text, whatever the ids."""
-    own = numbered(docs)
+    """The rows of docs that stay, with all their columns: one row of each text, whatever the ids.
+
+    Each task first drops all but its own best row of a text, so a hot text sends one row a task."""
+    md5, sha256, place = (unused(name, docs.columns) for name in ("__md5", "__sha256", "__place"))
     body = normalised(F.col(text))
-    rows = own.select("__row", F.col(id).alias("id"), F.unhex(F.md5(body)).alias("md5"), F.unhex(F.sha2(body, 256)).alias("sha256"))
-    return own.join(first_rows(rows, "md5", "sha256"), "__row", "left_semi").drop("__row")
+    best = Window.partitionBy(md5, sha256).orderBy(F.col(id).isNull(), id)
+    rows = docs.withColumns({md5: F.unhex(F.md5(body)), sha256: F.unhex(F.sha2(body, 256))})
+    return rows.withColumn(place, F.row_number().over(best)).where(F.col(place) <= 1).select(docs.columns)
 
 
 ORACLE = r"""

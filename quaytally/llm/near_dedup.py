@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaytally.llm.common import chunks, dealt_join, first_rows, mixed, numbered, written
+from quaytally.llm.common import chunks, dealt_join, mixed, numbered, written
 from quaytally.llm.graph import components
 from quaytally.llm.words import words_of
 
@@ -228,7 +228,8 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
 def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay: one row of each group, with all their columns. Rows are told apart by their
     number, so null and repeated ids are grouped like any other."""
-    own = numbered(docs)
-    groups = near_groups(own, "__row", text).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("component"))
-    rows = own.select("__row", F.col(id).alias("id")).join(groups, "__row")
-    return own.join(first_rows(rows, "component"), "__row", "left_semi").drop("__row")
+    own, row = numbered(docs)
+    groups = near_groups(own, row, text).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")  # a null id comes last
+    stays = own.select(F.col(row).alias("row"), F.col(id).alias("id")).join(groups, "row").groupBy("component").agg(first).select(F.col("first.row").alias(row))
+    return own.join(stays, row, "left_semi").select(docs.columns)

@@ -43,3 +43,23 @@ def test_clean_drops_contaminated_rows_alone(docs_frame, spark, block_bytes):
     docs = docs_frame(rows)
     found = decontaminate.clean(docs, benchmark, block_bytes=block_bytes)
     assert found.columns == docs.columns and got(found) == sorted([(None, OTHER), (2, OTHER), (None, None)], key=str)
+
+
+@pytest.mark.parametrize("stage", [exact_dedup.exact_dedup, near_dedup.near_dedup, lambda d: decontaminate.clean(d, d.sparkSession.createDataFrame([(1, OTHER)], "item_id long, text string"), block_bytes=1)])
+def test_stages_keep_a_clashing_column_and_take_hard_rows(spark, hard_rows, stage):
+    schema = "doc_id long, text string, __row string, __ROW_ int, __place int, row int, id int, component int, code int"
+    docs = spark.createDataFrame([(i, t, f"r{n}", n, n, n, n, n, n) for n, (i, t) in enumerate(hard_rows)], schema)
+    found = stage(docs)
+    assert found.columns == docs.columns
+    rows = found.collect()
+    assert rows and all(r["__row"] == f"r{r['id']}" and (r.doc_id, r.text) == hard_rows[r["id"]] for r in rows)
+    empty = stage(docs.limit(0))
+    assert empty.columns == docs.columns and empty.collect() == []
+
+
+def test_what_was_written_can_be_cleared(docs_frame, spark):
+    from quaytally.llm import common
+
+    common.clear(spark)
+    near_dedup.near_dedup(docs_frame([(1, LONG), (2, NEAR)])).collect()
+    assert common.clear(spark) > 3 and common.clear(spark) == 0
