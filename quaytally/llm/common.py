@@ -67,6 +67,15 @@ def clear(spark: SparkSession) -> int:
     return len(paths)
 
 
+#: Rows of one or two numbers that go to every task (some 50 MB as a hash table).
+FEW = 1_000_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """rows (one or two numbers each), for a join: broadcast if a count shows that they are at most FEW, else as they are."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def unused(name: str, taken: list[str]) -> str:
     """The name, lengthened until no column in `taken` has it, whatever the case."""
     known = {c.lower() for c in taken}

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaytally.llm.common import chunks, dealt_join, mixed, numbered, written
+from quaytally.llm.common import chunks, dealt_join, few, mixed, numbered, written
 from quaytally.llm.graph import components
 from quaytally.llm.words import words_of
 
@@ -192,7 +192,7 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     central = written(central, "central")
 
     found = docs.select(F.col(id).alias("node"), F.col(text).cast("binary").alias("raw"))
-    bodies = written(found.join(members.select("node").distinct(), "node"), "bodies")
+    bodies = written(found.join(few(written(members.select("node").distinct(), "named")), "node"), "bodies")
     sizes = members.select(F.col("node").alias("u"), F.col("n").alias("nu")).distinct()
 
     def star(centres: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -231,5 +231,8 @@ def near_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     own, row = numbered(docs)
     groups = near_groups(own, row, text).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")  # a null id comes last
-    stays = own.select(F.col(row).alias("row"), F.col(id).alias("id")).join(groups, "row").groupBy("component").agg(first).select(F.col("first.row").alias(row))
-    return own.join(stays, row, "left_semi").select(docs.columns)
+    placed = written(own.select(F.col(row).alias("row"), F.col(id).alias("id")).join(groups, "row"), "placed")
+    several = placed.groupBy("component").agg(first, F.count(F.lit(1)).alias("__many")).where("__many > 1").select("component", F.col("first.row").alias("stays"), "__many")
+    several = written(several, "several")
+    gone = dealt_join(placed, several, ["component"], F.xxhash64("row"), placed.count()).where("row <> stays").select(F.col("row").alias(row))
+    return own.join(few(written(gone, "gone")), row, "left_anti").select(docs.columns)
