@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaytally.llm.common import chunks, dealt_join, written
+from quaytally.llm.common import chunks, few, written
 
 LEAST_DOCUMENTS, RANKS, SCALE = 10, 10, 10**9
 #: Cells (group, term) of a block, and cells a source that it has at least, so that few blocks report a pair.
@@ -188,12 +188,11 @@ def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     sizes = written(sizes, "groups")
     # a language's number of blocks follows from its cells; a block of many sources is larger
     room = F.greatest(F.lit(cells_a_block), CELLS_A_SOURCE * F.count(F.lit(1)))
-    languages = sizes.groupBy("lang").agg(F.sum("terms").alias("kept"), F.greatest(F.lit(1), F.ceil(F.sum("cells") / room)).alias("blocks"), F.sum("cells").alias("__many"))
+    languages = sizes.groupBy("lang").agg(F.sum("terms").alias("kept"), F.greatest(F.lit(1), F.ceil(F.sum("cells") / room)).alias("blocks"))
     languages = written(languages, "languages")
     groups = sizes.join(languages, "lang").select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "source", "total", "kept")
     own = cells.where(F.col("term").isNotNull()).select("lang", "source", "term", "n")
-    placed = dealt_join(own, languages.select("lang", "blocks", "__many"), ["lang"], F.xxhash64("term"), own.count())
-    placed = placed.select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"), F.col("source").cast("binary").alias("source"), "term", "n")
+    placed = own.join(few(languages.select("lang", "blocks")), "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"), F.col("source").cast("binary").alias("source"), "term", "n")
     groups = groups.withColumn("source", F.col("source").cast("binary"))
     found = placed.groupBy("lang", "block").cogroup(groups.groupBy("lang", "block")).applyInArrow(_report, REPORT)
     found = written(found, "report")
