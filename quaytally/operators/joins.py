@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quaytally.functions import text as T
 from quaytally.functions.numbers import half_up
+from quaytally.sources.shared import written
 
 #: Rows of a dimension that is sent to every task at most; a larger one is joined by shuffle.
 MAX_DIMENSION = 200_000
@@ -89,19 +90,46 @@ def tokens(description: Column) -> Column:
     return F.filter(words, lambda t: F.length(t) >= 3)
 
 
+# Points for an equal code stem, for two words in common, for pieces a carton that are near, the least
+# points of a donor, and how near pieces a carton are.
+STEM_POINTS, WORD_POINTS, PIECES_POINTS, LEAST_POINTS, NEAR_PIECES = 4, 3, 1, 3, 2
+
+
+def _word_pairs(words: Column, twice: Column) -> Column:
+    """Pairs of different words, smaller first, and (w, w) of the words in `twice`."""
+    distinct = F.array_sort(F.array_distinct(words))
+    pairs = F.flatten(F.transform(distinct, lambda a, i: F.transform(F.slice(distinct, i + 2, F.size(distinct)), lambda b: F.concat_ws(" ", a, b))))
+    return F.concat(pairs, F.transform(twice, lambda w: F.concat_ws(" ", w, w)))
+
+
 def price_donors(items: DataFrame) -> DataFrame:
     """Rows without a price borrow it from the best-scoring priced row of their document.
 
-    Code stem 4, two words in common 3, pieces a carton within 2: 1; three points at least; of equals,
-    the first line. A document's lines are few, so the join stays inside it."""
-    rows = items.withColumns({"stem": code_stem(F.col("item_code")), "words": tokens(F.col("description")), "per": F.coalesce(F.col("qty_per_carton").cast("double"), F.lit(0.0))})
+    Code stem 4, two words in common 3 (a word that the donor has twice is two), pieces a carton within 2: 1; three points
+    at least; of equals, the first line. Rows never meet in pairs: donors are filed under their stem, their
+    word pairs and both together, and of each key and number of pieces the first line stays. A row looks its own keys up;
+    the key with most points that leads to a donor is the one that its score is made of."""
+    rows = items.withColumns({"stem": F.nullif(code_stem(F.col("item_code")), F.lit("")), "words": tokens(F.col("description")), "per": F.coalesce(F.col("qty_per_carton").cast("double"), F.lit(0.0))})
     needs = rows.where((F.coalesce("unit_price_rmb", F.lit(0)) <= 0) & (F.col("total_quantity") > 0) & (F.coalesce("total_amount_rmb", F.lit(0)) <= 0))
-    donors = rows.where((F.col("unit_price_rmb") > 0) & (F.col("total_quantity") > 0)).select("document_id", F.col("line_no").alias("donor_line"), F.col("stem").alias("donor_stem"), F.col("words").alias("donor_words"), F.col("per").alias("donor_per"), F.col("unit_price_rmb").alias("donor_price"))
-    common = F.size(F.filter("donor_words", lambda t: F.array_contains("words", t)))
-    score = F.when((F.col("stem") != "") & (F.col("stem") == F.col("donor_stem")), 4).otherwise(0) + F.when(common >= 2, 3).otherwise(0) + F.when((F.col("per") > 0) & (F.col("donor_per") > 0) & (F.abs(F.col("per") - F.col("donor_per")) <= 2), 1).otherwise(0)
-    best = needs.join(donors, "document_id").withColumn("score", score).where("score >= 3").groupBy("item_id").agg(F.min_by(F.struct("donor_price", "donor_line", "score"), F.struct((-F.col("score")).alias("s"), "donor_line")).alias("best"), F.first("total_quantity").alias("total_quantity"))
-    price = F.col("best.donor_price").cast("double")
-    return best.select("item_id", "best.donor_line", "best.score", price.alias("unit_price_rmb"), (half_up(F.col("total_quantity").cast("double") * price * 100) / 100).alias("total_amount_rmb"))
+    donors = rows.where((F.col("unit_price_rmb") > 0) & (F.col("total_quantity") > 0))
+
+    def keyed(side: DataFrame, twice: Column, *columns: str) -> DataFrame:
+        """A row for each key: document_id, points, key, per and the columns."""
+        pairs = _word_pairs(F.col("words"), twice)
+        key = lambda points, *parts: F.struct(F.lit(points).alias("points"), F.concat_ws("|", *parts).alias("key"))
+        stem = F.when(F.col("stem").isNotNull(), F.array(key(STEM_POINTS, F.col("stem"))))
+        both = F.when(F.col("stem").isNotNull(), F.transform("pairs", lambda p: key(STEM_POINTS + WORD_POINTS, F.col("stem"), p)))
+        keys = F.flatten(F.array_compact(F.array(stem, F.transform("pairs", lambda p: key(WORD_POINTS, p)), both)))
+        return side.withColumn("pairs", pairs).select("document_id", "per", *columns, F.explode(keys).alias("k")).select("document_id", "k.points", "k.key", "per", *columns)
+
+    several = F.filter(F.array_distinct("words"), lambda w: F.size(F.filter("words", lambda x: x == w)) > 1)
+    filed = keyed(donors, several, "line_no", "unit_price_rmb").groupBy("document_id", "points", "key", F.col("per").alias("donor_per")).agg(F.min(F.struct("line_no", "unit_price_rmb")).alias("donor"))
+    found = keyed(needs, F.array_distinct("words"), "item_id", "total_quantity").join(filed, ["document_id", "points", "key"])
+    near = (F.col("per") > 0) & (F.col("donor_per") > 0) & (F.abs(F.col("per") - F.col("donor_per")) <= NEAR_PIECES)
+    score = F.col("points") + F.when(near, PIECES_POINTS).otherwise(0)
+    best = found.withColumn("score", score).where(F.col("score") >= LEAST_POINTS).groupBy("item_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "donor")).alias("best"), F.first("total_quantity").alias("total_quantity"))
+    price = F.col("best.donor.unit_price_rmb").cast("double")
+    return best.select("item_id", F.col("best.donor.line_no").alias("donor_line"), (-F.col("best.minus")).alias("score"), price.alias("unit_price_rmb"), (half_up(F.col("total_quantity").cast("double") * price * 100) / 100).alias("total_amount_rmb"))
 
 
 # Words of footer lines that a list query looks for.
@@ -137,12 +165,14 @@ def full_extract(products: DataFrame, other_lines: DataFrame) -> DataFrame:
     return products.select("document_id", "line_no", "item_code", "description").unionByName(rows)
 
 
-def name_ranks(names: DataFrame, name: str, letters: int = 2) -> DataFrame:
-    """Distinct names with their place in order (name_rank, from 1).
+def name_ranks(names: DataFrame, name: str) -> DataFrame:
+    """Distinct names with their place in order (name_rank, from 1), by the order of the column, collated ones too.
 
-    Names are numbered among those of the same first letters; only these beginnings, which are few, are counted through in one task."""
-    rows = names.withColumn("__start", F.substring(name, 1, letters))
-    counts = rows.groupBy("__start").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("__start", (F.sum("n").over(Window.orderBy("__start")) - F.col("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("__start").orderBy(name))
-    return rows.withColumn("own", own).join(before, "__start").select(name, (F.col("before") + F.col("own")).cast("long").alias("name_rank"))
+    Names are dealt over tasks by range and numbered there; the ranges' sizes, a row for each task, are added up."""
+    ranged = names.select(name).repartitionByRange(name).sortWithinPartitions(name)
+    # the number says the task (above 33 bits) and the place in it
+    placed = written(ranged.withColumn("__place", F.monotonically_increasing_id()), "names")
+    task, place = F.shiftright("__place", 33), F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(task.alias("__task")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("__task", (F.sum("n").over(Window.orderBy("__task")) - F.col("n")).alias("before"))
+    return placed.withColumn("__task", task).join(F.broadcast(before), "__task").select(name, (F.col("before") + place + 1).cast("long").alias("name_rank"))

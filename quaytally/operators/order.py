@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +37,12 @@ def section_filled(rows: DataFrame) -> DataFrame:
 
 
 def marks_filled(rows: DataFrame) -> DataFrame:
-    """Marks carried down inside a block; a header or subtotal (`is_reset`) starts a new one."""
+    """Marks carried down inside a block; a header or subtotal (`is_reset`) starts a new one. Rows of anonymous parts
+    (`is_anonymous`, where there is such a column) take none."""
     block = F.sum(F.col("is_reset").cast("int")).over(up_to_here("document_id"))
+    keeps = F.col("is_reset") | F.coalesce("is_anonymous", F.lit(False)) if "is_anonymous" in rows.columns else F.col("is_reset")
     filled = F.last(F.nullif("marks", F.lit("")), ignorenulls=True).over(up_to_here("document_id", "block"))
-    return rows.withColumn("block", block).withColumn("marks", F.when(F.col("is_reset"), F.col("marks")).otherwise(filled)).drop("block")
+    return rows.withColumn("block", block).withColumn("marks", F.when(keeps, F.col("marks")).otherwise(filled)).drop("block")
 
 
 def same_line(a: Column, b: Column, keys: tuple[str, ...]) -> Column:
@@ -111,17 +114,25 @@ def overflow_reconciled(items: DataFrame, footers: DataFrame, least_pieces: int
     whole = half_up(share).cast("double")
     good = (cartons > 0) & (qty > 0) & (per >= least_pieces) & (whole > 0) & (F.abs(share - whole) <= 0.02) & (cartons - whole >= least_reduction)
     rows = items.select("document_id", "item_id", "line_no", cartons.alias("cartons"), whole.alias("whole"), good.alias("good"))
-    entry = F.struct((F.col("whole") - F.col("cartons")).alias("order1"), (-F.col("line_no")).alias("order2"), "item_id", "whole", (F.col("cartons") - F.col("whole")).alias("reduction"))
-    per_doc = rows.groupBy("document_id").agg(F.sum("cartons").alias("cartons"), F.array_sort(F.collect_list(F.when(F.col("good"), entry))).alias("candidates"))
-    per_doc = per_doc.join(footers, "document_id").where(F.col("footer_cartons") > 0).withColumn("overflow", F.col("cartons") - F.col("footer_cartons")).where("overflow > 0")
-    start = F.struct(F.col("overflow").alias("left"), F.array().cast("array<struct<item_id:bigint,whole:double>>").alias("taken"))
-
-    def take(acc: Column, c: Column) -> Column:
-        fits = c["reduction"] <= acc["left"]
-        return F.struct(F.when(fits, acc["left"] - c["reduction"]).otherwise(acc["left"]).alias("left"), F.when(fits, F.concat(acc["taken"], F.array(F.struct(c["item_id"].cast("long").alias("item_id"), c["whole"].alias("whole"))))).otherwise(acc["taken"]).alias("taken"))
-
-    taken = per_doc.select("document_id", F.explode(F.aggregate("candidates", start, take)["taken"]).alias("t"))
-    return taken.select("document_id", "t.item_id", F.col("t.whole").alias("new_cartons"))
+    per_doc = rows.groupBy("document_id").agg(F.sum("cartons").alias("cartons")).join(footers, "document_id").where(F.col("footer_cartons") > 0)
+    over = per_doc.select("document_id", (F.col("cartons") - F.col("footer_cartons")).alias("overflow")).where("overflow > 0")
+    candidates = rows.where("good").withColumn("reduction", F.col("cartons") - F.col("whole")).join(over, "document_id").select("document_id", "item_id", "line_no", "whole", "reduction", "overflow")
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidates of one document after another, in order: those that fit into what is left of its overflow."""
+        document, left = None, 0.0
+        for batch in batches:
+            fits = []
+            for own, reduction, overflow in zip(*(batch.column(i).to_pylist() for i in (0, 4, 5))):
+                if own != document:
+                    document, left = own, overflow
+                fits.append(reduction <= left)
+                left -= reduction if reduction <= left else 0.0
+            yield batch.select(["document_id", "item_id", "whole"]).filter(pa.array(fits, pa.bool_()))
+
+    order = candidates.repartition("document_id").sortWithinPartitions("document_id", F.desc("reduction"), F.desc("line_no"), "item_id")
+    types = dict(candidates.dtypes)
+    return order.mapInArrow(take, f"document_id {types['document_id']}, item_id {types['item_id']}, whole double").withColumnRenamed("whole", "new_cartons")
 
 
 def running_stock(movements: DataFrame) -> DataFrame:
@@ -167,7 +178,7 @@ def until_boundary(rows: DataFrame) -> DataFrame:
 
 # The columns of a sales row that a continuation completes, and the remark that says so.
 JOINED = ("description", "product_name_local")
-NAMED = ("delivery_no", "customer_item_ref", "unit")
+NAMED = ("delivery_no", "customer_item_ref", "unit", "material")
 KEPT = ("packaging", "barcode", "warehouse", "shop", "source_cells")
 NUMBERS = ("qty_per_carton", "total_cartons", "total_quantity", "unit_price_rmb", "total_amount_rmb", "dim_l_cm", "dim_w_cm", "dim_h_cm", "unit_cbm", "total_cbm", "unit_weight_kg", "total_weight_kg")
 MERGED_TAG = "repair:merged_continuation_row"

@@ -127,7 +127,7 @@ def parsed_rows_repaired(rows: DataFrame, rules=(*MANIFEST_RULES, quantity_in_di
     for own in rules:
         row = F.transform(F.array(row), own)[0]
     rest = [c for c in rows.columns if c not in ROW_FIELDS]
-    return rows.select(*rest, row.alias("row")).select(*rest, "row.*")
+    return rows.select(*rest, row.alias("__repaired")).select(*rest, "__repaired.*")
 
 
 def carryover_amounts_dropped(items: DataFrame, before_goods: Column) -> DataFrame:

@@ -24,9 +24,9 @@ def section_fill(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 , b AS (SELECT *, sum(r::INT) OVER (PARTITION BY document_id ORDER BY line_no) AS block FROM (SELECT *, line_no % 6 = 0 AS r, CASE WHEN product_id % 2 = 0 THEN marks ELSE '' END AS m FROM items))
-SELECT item_id, CASE WHEN r THEN m ELSE last_value(nullif(m, '') IGNORE NULLS) OVER (PARTITION BY document_id, block ORDER BY line_no) END AS marks FROM b""")
+SELECT item_id, CASE WHEN r OR line_no % 7 = 3 THEN m ELSE last_value(nullif(m, '') IGNORE NULLS) OVER (PARTITION BY document_id, block ORDER BY line_no) END AS marks FROM b""")
 def marks_fill(spark: SparkSession, d: str) -> DataFrame:
-    rows = C.items(spark, d).withColumns({"is_reset": F.col("line_no") % 6 == 0, "marks": F.when(F.col("product_id") % 2 == 0, F.col("marks")).otherwise("")})
+    rows = C.items(spark, d).withColumns({"is_reset": F.col("line_no") % 6 == 0, "is_anonymous": F.col("line_no") % 7 == 3, "marks": F.when(F.col("product_id") % 2 == 0, F.col("marks")).otherwise("")})
     return O.marks_filled(rows).select("item_id", "marks")
 
 
@@ -159,17 +159,17 @@ def overflow_reconcile(spark: SparkSession, d: str) -> DataFrame:
 CONTINUATIONS = r"""
 , r AS (SELECT document_id, item_id, line_no, CASE supplier_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'M1' ELSE 'M' END AS marks, 'K ' || supplier_id % 2 AS item_code,
   CASE (product_id + line_no) % 6 WHEN 0 THEN NULL WHEN 1 THEN '22' WHEN 2 THEN '[ ] []' WHEN 3 THEN 'ab' ELSE description END AS description,
-  CASE WHEN line_no % 3 <> 1 THEN total_quantity::DOUBLE END AS total_quantity, CASE WHEN line_no % 4 <> 2 THEN unit_price_rmb::DOUBLE END AS unit_price_rmb, CASE WHEN line_no % 5 <> 3 THEN total_amount_rmb::DOUBLE END AS total_amount_rmb, remarks FROM items),
+  CASE WHEN line_no % 3 <> 1 THEN total_quantity::DOUBLE END AS total_quantity, CASE WHEN line_no % 4 <> 2 THEN unit_price_rmb::DOUBLE END AS unit_price_rmb, CASE WHEN line_no % 5 <> 3 THEN total_amount_rmb::DOUBLE END AS total_amount_rmb, remarks, CASE WHEN line_no % 2 = 0 THEN material END AS material FROM items),
 noise AS (SELECT *, trim(coalesce(description, '')) AS d, regexp_full_match(trim(coalesce(description, '')), '\d{1,15}|(\[\s*\]\s*)*') AS noise, greatest(coalesce(total_quantity, 0), coalesce(unit_price_rmb, 0), coalesce(total_amount_rmb, 0)) > 0 AS brings FROM r),
 steps AS (
-  SELECT document_id, line_no, 0 AS g, item_id, marks, item_code, d, noise, brings, total_quantity, unit_price_rmb, total_amount_rmb, remarks FROM noise WHERE line_no = 1
+  SELECT document_id, line_no, 0 AS g, item_id, marks, item_code, d, noise, brings, total_quantity, unit_price_rmb, total_amount_rmb, remarks, material FROM noise WHERE line_no = 1
   UNION ALL
   SELECT document_id, line_no, CASE WHEN m THEN g ELSE g + 1 END, CASE WHEN m THEN item_id ELSE item_id2 END, CASE WHEN m THEN marks ELSE marks2 END, CASE WHEN m THEN item_code ELSE item_code2 END,
     CASE WHEN NOT m THEN d2 ELSE joined END, CASE WHEN NOT m THEN noise2 ELSE regexp_full_match(joined, '\d{1,15}|(\[\s*\]\s*)*') END, CASE WHEN m THEN brings OR brings2 ELSE brings2 END,
     CASE WHEN m THEN coalesce(total_quantity, q2) ELSE q2 END, CASE WHEN m THEN coalesce(unit_price_rmb, p2) ELSE p2 END, CASE WHEN m THEN coalesce(total_amount_rmb, a2) ELSE a2 END,
-    CASE WHEN m THEN coalesce(remarks || ';', r2 || ';', '') || 'repair:merged_continuation_row' ELSE r2 END
+    CASE WHEN m THEN coalesce(remarks || ';', r2 || ';', '') || 'repair:merged_continuation_row' ELSE r2 END, CASE WHEN m THEN coalesce(material, m2) ELSE m2 END
   FROM (
-    SELECT s.* EXCLUDE (line_no), n.line_no, n.item_id AS item_id2, n.marks AS marks2, n.item_code AS item_code2, n.d AS d2, n.noise AS noise2, n.brings AS brings2, n.total_quantity AS q2, n.unit_price_rmb AS p2, n.total_amount_rmb AS a2, n.remarks AS r2,
+    SELECT s.* EXCLUDE (line_no), n.line_no, n.item_id AS item_id2, n.marks AS marks2, n.item_code AS item_code2, n.d AS d2, n.noise AS noise2, n.brings AS brings2, n.total_quantity AS q2, n.unit_price_rmb AS p2, n.total_amount_rmb AS a2, n.remarks AS r2, n.material AS m2,
       CASE WHEN n.noise OR contains(s.d, left(n.d, 24)) THEN s.d WHEN s.d = '' THEN n.d ELSE s.d || ' ' || n.d END AS joined,
       s.item_code = n.item_code AND (s.marks = '' OR n.marks = '' OR s.marks = n.marks) AND CASE
         WHEN n.d <> '' AND n.noise AND n.brings AND s.total_quantity > 0 AND s.unit_price_rmb > 0 AND s.total_amount_rmb > 0 AND length(s.d) >= 4 THEN false
@@ -178,7 +178,7 @@ steps AS (
         ELSE length(s.d) >= 6 AND NOT s.brings AND n.brings AND (n.noise OR length(n.d) < 4) END AS m
     FROM steps s JOIN noise n ON n.document_id = s.document_id AND n.line_no = s.line_no + 1)),
 last AS (SELECT document_id, g, max(line_no) AS line_no FROM steps GROUP BY 1, 2)
-SELECT item_id, nullif(d, '') AS description, total_quantity, unit_price_rmb, total_amount_rmb, remarks FROM steps JOIN last USING (document_id, g, line_no)"""
+SELECT item_id, nullif(d, '') AS description, total_quantity, unit_price_rmb, total_amount_rmb, material, remarks FROM steps JOIN last USING (document_id, g, line_no)"""
 
 
 @query(CONTINUATIONS)
@@ -188,7 +188,7 @@ def continuation_merge(spark: SparkSession, d: str) -> DataFrame:
     rows = C.items(spark, d).select(
         "document_id", "item_id", "line_no", F.when(supplier % 5 == 0, "").when(supplier % 5 == 1, "M1").otherwise("M").alias("marks"), F.concat(F.lit("K "), supplier % 2).alias("item_code"),
         F.when(kind == 1, "22").when(kind == 2, "[ ] []").when(kind == 3, "ab").when(kind > 3, F.col("description")).alias("description"),
-        F.when(n % 3 != 1, F.col("total_quantity")).alias("total_quantity"), F.when(n % 4 != 2, F.col("unit_price_rmb")).alias("unit_price_rmb"), F.when(n % 5 != 3, F.col("total_amount_rmb")).alias("total_amount_rmb"), "remarks",
+        F.when(n % 3 != 1, F.col("total_quantity")).alias("total_quantity"), F.when(n % 4 != 2, F.col("unit_price_rmb")).alias("unit_price_rmb"), F.when(n % 5 != 3, F.col("total_amount_rmb")).alias("total_amount_rmb"), "remarks", F.when(n % 2 == 0, F.col("material")).alias("material"),
     )
     # an empty description is none
-    return O.continuations_merged(rows).select("item_id", F.nullif(F.trim("description"), F.lit("")).alias("description"), "total_quantity", "unit_price_rmb", "total_amount_rmb", "remarks")
+    return O.continuations_merged(rows).select("item_id", F.nullif(F.trim("description"), F.lit("")).alias("description"), "total_quantity", "unit_price_rmb", "total_amount_rmb", "material", "remarks")

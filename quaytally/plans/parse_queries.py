@@ -10,6 +10,7 @@ from quaytally.plans.registry import query
 from quaytally.sources import canonical as C
 from quaytally.sources import grids as G
 from quaytally.sources import lines as L
+from quaytally.sources import sales as X
 
 
 def as_text(c: str) -> F.Column:
@@ -107,15 +108,33 @@ def cell_pattern_rows(spark: SparkSession, d: str) -> DataFrame:
     return C.items(spark, d).select("item_id", moved.alias("cells")).select("item_id", *L.pattern_row(F.col("cells")))
 
 
-def tails(spark: SparkSession, d: str) -> DataFrame:
-    full = F.col("line_no") % 4 != 0
-    numbers = [whole("total_cartons"), whole("qty_per_carton"), F.when(full, (F.col("total_cartons") * F.col("qty_per_carton")).cast("long").cast("string")).otherwise("999999"), F.lit("2.5"), F.lit("7.5"), F.lit("30"), F.lit("20"), F.lit("10"), F.lit("0.006"), F.lit("1.5"), F.lit("0.01"), F.lit("3")]
-    return C.items(spark, d).select("item_id", F.array_join(F.array(F.col("description"), *numbers), " ").alias("description"))
+TAILS = ("dim_l_cm", "dim_w_cm", "dim_h_cm", "unit_cbm", "unit_weight_kg", "total_cbm", "total_weight_kg")
 
 
-@query("""SELECT item_id, CASE WHEN line_no % 4 <> 0 THEN total_cartons::DOUBLE END AS total_cartons, CASE WHEN line_no % 4 <> 0 THEN (total_cartons * qty_per_carton)::DOUBLE END AS total_quantity, CASE WHEN line_no % 4 <> 0 THEN 3.0::DOUBLE END AS total_weight_kg FROM items""")
+@query("""
+, r AS (SELECT *, line_no % 7 AS k, document_id % 4 <> 3 AS sales, total_cartons::DOUBLE + 1 AS c, qty_per_carton::DOUBLE AS p FROM items),
+n AS (SELECT *, sales AND (k IN (0, 1) OR k = 2 AND c <= 600 AND p <= 200) AS found FROM r)
+SELECT item_id, CASE WHEN sales AND k IN (0, 4) THEN 'SAN' || product_id ELSE CASE WHEN k = 6 THEN marks ELSE '' END END AS marks,
+  CASE WHEN sales AND k = 5 THEN '浦江仓' WHEN k = 5 THEN '浦江仓  PCS' WHEN found AND k = 0 THEN '12仓' WHEN found AND k = 2 THEN '东阳仓' WHEN found THEN '浙江仓' END AS warehouse,
+  CASE WHEN found THEN c WHEN k = 3 AND sales THEN round(c * p / p, 3) WHEN k = 3 THEN c * p + 1 WHEN k = 6 AND NOT sales THEN 50001.0 END AS total_cartons,
+  CASE WHEN found OR k = 3 THEN c * p END AS total_quantity, CASE WHEN found THEN 2.5 WHEN k = 5 THEN 400000.0 WHEN k = 6 AND NOT sales THEN 500001.0 END AS unit_price_rmb, CASE WHEN found THEN c * p * 2.5 END AS total_amount_rmb, CASE WHEN found THEN 30.0 END AS dim_l_cm, CASE WHEN found THEN 37.5 END AS total_weight_kg FROM n""")
 def tail_recovery(spark: SparkSession, d: str) -> DataFrame:
-    return L.anchored_tail(tails(spark, d)).select("item_id", *(F.col(f"tail_{c}").alias(c) for c in ("total_cartons", "total_quantity", "total_weight_kg")))
+    """Stored sales rows: twelve numbers before the warehouse, with others behind it; behind the warehouse alone; and in rows
+    that can't be mended (a wrong amount). Codes as marks, units in the warehouse, too many cartons, absurd numbers."""
+    k = F.col("line_no") % 7
+    c, p = F.col("total_cartons").cast("long") + 1, F.col("qty_per_carton").cast("long")
+    amount = F.when(k == 4, F.lit("999999999")).otherwise((c * p * 2.5).cast("decimal(18,1)").cast("string"))
+    numbers = F.concat_ws(" ", c, p, c * p, F.lit("2.5"), amount, F.lit("30 20 10 0.25 12.5 0.75 37.5"))
+    text = F.when(k == 0, F.concat_ws(" ", F.lit("pan 3x40"), numbers, F.lit("12仓 PCS 7 8 9"))).when(k == 1, F.concat_ws("/", F.split(numbers, " ")[0], F.array_join(F.slice(F.split(numbers, " "), 2, 11), "cm "), F.lit("浙江仓")))
+    text = text.when(k == 2, F.concat_ws(" ", F.lit("lid 5 东阳仓"), numbers)).when(k == 4, F.concat_ws(" ", numbers, F.lit("12仓")))
+    none = lambda t="double": F.lit(None).cast(t)
+    columns = {x: none() for x in TAILS} | {
+        "marks": F.when(k == 6, F.col("marks")).otherwise(""), "item_code": F.when(k.isin(0, 4), F.concat(F.lit("san"), "product_id")).otherwise(F.col("item_code")), "warehouse": F.when(k == 5, "浦江仓  PCS"), "description": text,
+        "total_cartons": F.when(k == 3, c * p + 1).when(k == 6, 50_001), "qty_per_carton": F.when(k == 3, p), "total_quantity": F.when(k == 3, c * p), "unit_price_rmb": F.when(k == 5, 400_000).when(k == 6, 500_001), "total_amount_rmb": none(),
+    }
+    rows = C.items(spark, d).select("item_id", "document_id", *(v.alias(x) for x, v in columns.items()))
+    found = X.stored_rows_normalised(rows, F.col("document_id") % 4 != 3)
+    return found.select("item_id", "marks", "warehouse", "total_cartons", "total_quantity", "unit_price_rmb", "total_amount_rmb", "dim_l_cm", "total_weight_kg")
 
 
 @query("""SELECT document_id, sum(total_cartons)::DOUBLE AS cartons, sum(total_cbm)::DOUBLE AS cbm, sum(total_amount_rmb)::DOUBLE AS rmb FROM items GROUP BY 1""")

@@ -163,6 +163,9 @@ def supplier_products(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT movement_id, product_id, movement_type, quantity::DOUBLE AS quantity, p_name AS name FROM movements LEFT JOIN part ON product_id = p_partkey ORDER BY created_at DESC, movement_id DESC LIMIT 500""")
 def movements_latest(spark: SparkSession, d: str) -> DataFrame:
+    """Names that begin with an accented letter, composed or not, stand where the plain letter does."""
+    k = F.col("p_partkey") % 6
+    accented = F.when(k == 0, "é").when(k == 3, "e\u0301").when(k == 1, "Å").when(k == 4, "a").otherwise("")
     names = C.table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"))
     latest = C.movements(spark, d).orderBy(F.desc("created_at"), F.desc("movement_id")).limit(500)
     return latest.join(names, "product_id", "left").select("movement_id", "product_id", "movement_type", "quantity", "name")
@@ -243,9 +246,12 @@ def report_with_totals(spark: SparkSession, d: str) -> DataFrame:
     return J.with_totals_row(rows, "section", ("total_cartons",), "row_kind")
 
 
-@query("""SELECT p_partkey AS product_id, dense_rank() OVER (ORDER BY lower(p_name)) AS name_rank FROM part""")
+@query("""SELECT p_partkey AS product_id, dense_rank() OVER (ORDER BY lower(CASE WHEN p_partkey % 3 = 0 THEN 'e' || p_name WHEN p_partkey % 3 = 1 THEN 'a' || p_name ELSE p_name END)) AS name_rank FROM part""")
 def name_order(spark: SparkSession, d: str) -> DataFrame:
-    names = C.table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.collate("p_name", "UNICODE_CI_AI").alias("name"))
+    """Names that begin with an accented letter, composed or not, stand where the plain letter does."""
+    k = F.col("p_partkey") % 6
+    accented = F.when(k == 0, "é").when(k == 3, "e\u0301").when(k == 1, "Å").when(k == 4, "a").otherwise("")
+    names = C.table(spark, d, "part").select(F.col("p_partkey").alias("product_id"), F.collate(F.concat(accented, F.col("p_name")), "UNICODE_CI_AI").alias("name"))
     return names.join(J.name_ranks(names.select("name").distinct(), "name"), "name").select("product_id", "name_rank")
 
 

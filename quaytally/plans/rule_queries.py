@@ -322,7 +322,7 @@ def box_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 , rows AS (SELECT *, split_part(description, ' ', 1) AS w1, split_part(description, ' ', 2) AS w2, substr(regexp_replace(item_code, '-[A-Z0-9]+$', ''), 1, 5) AS stem, line_no % 3 = 0 AS bare FROM items),
-s AS (SELECT n.item_id, n.total_quantity, d.line_no AS donor_line, d.unit_price_rmb::DOUBLE AS price, 4 * (n.stem = d.stem)::INT + CASE WHEN (d.w1 IN (n.w1, n.w2))::INT + (d.w2 IN (n.w1, n.w2))::INT >= 2 THEN 3 ELSE 0 END
+s AS (SELECT n.item_id, n.total_quantity, d.line_no AS donor_line, d.unit_price_rmb::DOUBLE AS price, 4 * (n.stem = d.stem)::INT + CASE WHEN (length(d.w1) >= 3 AND d.w1 IN (n.w1, n.w2))::INT + (length(d.w2) >= 3 AND d.w2 IN (n.w1, n.w2))::INT >= 2 THEN 3 ELSE 0 END
   + CASE WHEN abs(n.qty_per_carton - d.qty_per_carton) <= 2 THEN 1 ELSE 0 END AS score FROM rows n JOIN rows d USING (document_id) WHERE n.bare AND NOT d.bare)
 SELECT item_id, donor_line, score, price AS unit_price_rmb, floor(total_quantity::DOUBLE * price * 100 + 0.5) / 100 AS total_amount_rmb FROM s WHERE score >= 3 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, donor_line) = 1""")
 def price_donor(spark: SparkSession, d: str) -> DataFrame:

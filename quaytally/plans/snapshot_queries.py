@@ -9,9 +9,9 @@ from quaytally.functions import text as T
 from quaytally.operators import rules as U
 from quaytally.operators import snapshots as S
 from quaytally.plans.registry import query
-from quaytally.plans.stream_queries import shared_folder
 from quaytally.plans.rule_queries import FLAGGED_B, rough
 from quaytally.sources import canonical as C
+from quaytally.sources.shared import shared_folder
 
 
 @query("""SELECT document_id, count(*) AS n_items, sum(total_amount_rmb)::DOUBLE AS amount FROM items WHERE document_id NOT IN (SELECT document_id FROM docs WHERE status = 'P') GROUP BY 1""")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+from collections.abc import Iterator
+from itertools import count
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
-from quaytally.functions import text as T
-from quaytally.functions.columns import bound, settled
+from quaytally.functions.columns import settled
 from quaytally.functions.headers import SKIP, field_of_label
 
 
@@ -48,76 +51,119 @@ def headed_rows(records: DataFrame, known: tuple[str, ...] = ("MARKS", "MARKS /
 
 # Named entities and their signs, in the order in which they are decoded.
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "))
+WHITE = re.compile("[ \t\n\x0b\f\r\xa0\u3000]+")
+TABLE, ROW = re.compile(r"<table\b[^>]*>.*?</table>", re.I | re.S), re.compile(r"<tr\b[^>]*>(.*?)</tr>", re.I | re.S)
+CELL = re.compile(r"<t[dh]\b([^>]*)>(.*?)</t[dh]>", re.I | re.S)
+SPAN = re.compile(r"\b(col|row)span\s*=\s*[\"']?(\d+)", re.I)
+BREAK, TAG, NUMBERED = re.compile(r"<br\s*/?>", re.I), re.compile("<[^>]+>"), re.compile("&#([0-9]+|x[0-9a-f]+);", re.I)
+#: Cells of a batch of grids, about.
+BATCH_CELLS = 100_000
+
+
+def _squeezed(text: str) -> str:
+    return WHITE.sub(" ", text).strip(" ")
+
 
+def _sign(found: re.Match) -> str:
+    """A numeric entity as its sign, a UTF-16 unit; a number beyond 64 bits is text."""
+    code = int(found[1][1:], 16) if found[1][0] in "xX" else int(found[1])
+    return found[0] if code >= 1 << 63 else chr(code % 65536)
 
-def decoded(c: Column) -> Column:
+
+def decoded(text: str) -> str:
     """Named and numeric entities as their signs."""
-    plain = c
+    if "&" not in text:
+        return text
     for name, sign in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(sign))
+        text = text.replace(name, sign)
+    return NUMBERED.sub(_sign, text).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace") if "&#" in text else text
 
-    def sign_of(part: Column) -> Column:
-        number = F.regexp_extract(part, r"(?i)^(\d+|x[0-9a-f]+);", 1)
-        code = F.when(F.lower(F.substring(number, 1, 1)) == "x", F.conv(F.substring(number, 2, 16), 16, 10)).otherwise(number).try_cast("long")
-        sign = F.decode(F.unhex(F.lpad(F.hex(F.pmod(code, F.lit(65536))), 4, "0")), "UTF-16BE")
-        return F.when(code.isNull(), F.concat(F.lit("&#"), part)).otherwise(F.concat(sign, F.substring(part, F.length(number) + 2, F.length(part))))
 
-    def numbers(c: Column) -> Column:
-        return bound(F.split(c, "&#"), lambda parts: F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), sign_of), "")))
+def cell_text(html: str) -> str:
+    """A cell's text without tags. A line break is a space, or nothing before one or two small letters that end a word."""
+    if "<" not in html:
+        return _squeezed(decoded(html))
+    whole = ""
+    for part in BREAK.split(html):
+        part = _squeezed(decoded(TAG.sub("", part)))
+        if part:
+            ends_word = not whole or (re.search("[a-zA-Z]$", whole) and re.fullmatch("[a-z]{1,2}", part))
+            whole += part if ends_word else " " + part
+    return _squeezed(whole)
+
+
+def grid_of(table: str) -> list[list[str]]:
+    """A table as rows of equally many texts; spanned places repeat the cell, missing ones are empty."""
+    taken: dict[tuple[int, int], str] = {}
+    rows = ROW.findall(table)
+    lengths = [0] * len(rows)
+    for r, line in enumerate(rows):
+        col = 0
+        for attributes, html in CELL.findall(line):
+            while (r, col) in taken:
+                col += 1
+            spans = {kind.lower(): max(1, int(n)) for kind, n in SPAN.findall(attributes)} if attributes else {}
+            width, text = min(spans.get("col", 1), MOST_COLUMNS), cell_text(html)
+            # what a span leaves beyond the last row is no row
+            for k in range(r, min(r + spans.get("row", 1), len(rows))):
+                lengths[k] = max(lengths[k], col + width)
+                for c in range(col, col + width):
+                    taken[k, c] = text
+            col += width
+    most = max(lengths, default=0)
+    return [[taken.get((r, c), "") for c in range(most)] for r in range(len(rows))]
 
-    return F.when(plain.contains("&"), bound(c, lambda c: F.when(c.contains("&#"), numbers(c)).otherwise(c))).otherwise(plain)
 
+#: Columns that one cell may span, as in HTML.
+MOST_COLUMNS = 1000
 
-def cell_text(c: Column) -> Column:
-    """A cell's text without tags. A line break is a space, or nothing before one or two small letters that end a word."""
-    bare = lambda p: bound(F.regexp_replace(p, "<[^>]+>", ""), lambda p: T.squeezed(decoded(p)))
-    parts = F.filter(F.transform(F.split(c, r"(?i)<br\s*/?>"), bare), lambda p: p != "")
-    ends_word = lambda a, p: a.rlike("[a-zA-Z]$") & p.rlike("^[a-z]{1,2}$")
-    joined = F.aggregate(parts, F.lit(""), lambda a, p: F.when((a == "") | ends_word(a, p), F.concat(a, p)).otherwise(F.concat_ws(" ", a, p)))
-    return T.squeezed(joined)
 
+def pieces_of(html: str | None) -> list[tuple[str | None, list[list[str]] | None]]:
+    """The texts and tables of a page in their order: (text, None) or (None, grid); blank texts go."""
+    out: list[tuple[str | None, list[list[str]] | None]] = []
+    at, html = 0, html or ""
+    for found in TABLE.finditer(html):
+        out += [(_squeezed(TAG.sub(" ", html[at : found.start()])), None), (None, grid_of(found[0]))]
+        at = found.end()
+    out.append((_squeezed(TAG.sub(" ", html[at:])), None))
+    return [p for p in out if p[0] != ""]
 
-CELL = r"(?is)<t[dh]\b([^>]*>.*?)</t[dh]>"
 
+GRID = pa.list_(pa.list_(pa.string()))
 
-def _span(c: Column, kind: str) -> Column:
-    found = F.regexp_extract(F.regexp_extract(c, "^([^>]*)>", 1), rf"(?i)\b{kind}\s*=\s*[\"']?(\d+)", 1)
-    return F.greatest(F.coalesce(found.try_cast("int"), F.lit(1)), F.lit(1))
 
+def html_pieces(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
+    """keys, piece, table, text, grid: the texts and tables of each page in their order, tables with their number
+    from 0 (null for texts). No row leaves its task."""
 
-def html_grids(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame:
-    """page_id, table, grid: every table as rows of texts; spanned places repeat the cell. No row leaves its task."""
-    tables = pages.select(F.col(id).alias("page_id"), F.posexplode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<table\b[^>]*>(.*?)</table>"), 1)).alias("table", "body"))
-    cell = lambda c: F.struct(_span(c, "colspan").alias("width"), _span(c, "rowspan").alias("height"), cell_text(F.regexp_extract(c, r"(?s)^[^>]*>(.*)$", 1)).alias("text"))
-    lines = F.transform(F.regexp_extract_all("body", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), 1), lambda line: F.transform(F.regexp_extract_all(line, F.lit(CELL), 1), cell))
-    rows = settled(settled(tables, lines=lines).drop("body"), spanned=F.exists("lines", lambda line: F.exists(line, lambda c: c["height"] > 1)))
-    plain = F.transform("lines", lambda line: F.flatten(F.transform(line, lambda c: F.array_repeat(c["text"], c["width"]))))
-    # a cell that spans rows moves the cells of later rows: such a table is laid out as a whole
-    part = lambda k: F.when(F.col("spanned"), F.transform("lines", lambda line: F.transform(line, lambda c: c[k])))
-    laid_out = _laid_out(*map(part, ("width", "height", "text")))
-    return rows.select("page_id", "table", F.when(F.col("spanned"), laid_out).otherwise(plain).alias("grid"))
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, cells = [], 0
 
+            def made() -> pa.RecordBatch:
+                at, number, table, text, grid = zip(*rows)
+                own = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:-1]]
+                return pa.RecordBatch.from_arrays([*own, pa.array(number, pa.int32()), pa.array(table, pa.int32()), pa.array(text, pa.string()), pa.array(grid, GRID)], names=[*keys, "piece", "table", "text", "grid"])
 
-@F.pandas_udf(TY.ArrayType(TY.ArrayType(TY.StringType())))
-def _laid_out(widths: pd.Series, heights: pd.Series, texts: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else _table(w, h, t) for w, h, t in zip(widths, heights, texts)])
+            for i, page in enumerate(batch.columns[-1]):
+                tables = count()
+                for number, (text, grid) in enumerate(pieces_of(page.as_py())):
+                    rows.append((i, number, None if grid is None else next(tables), text, grid))
+                    cells += sum(map(len, grid or ()))
+                if cells > BATCH_CELLS:
+                    yield made()
+                    rows, cells = [], 0
+            if rows:
+                yield made()
 
+    schema = TY.StructType([*(pages.schema[k] for k in keys), TY.StructField("piece", TY.IntegerType()), TY.StructField("table", TY.IntegerType()), TY.StructField("text", TY.StringType()), TY.StructField("grid", TY.ArrayType(TY.ArrayType(TY.StringType())))])
+    return pages.select(*keys, html).mapInArrow(parse, schema)
 
-def _table(widths: list, heights: list, texts: list) -> list[list[str]]:
-    taken: dict[tuple[int, int], str] = {}
-    for r, line in enumerate(texts):
-        col = 0
-        for width, height, text in zip(widths[r], heights[r], line):
-            while (r, col) in taken:
-                col += 1
-            # what a span leaves beyond the last row is no row
-            for k in range(r, min(r + height, len(texts))):
-                taken.update(((k, c), text) for c in range(col, col + width))
-            col += width
-    lengths = [0] * len(texts)
-    for r, c in taken:
-        lengths[r] = max(lengths[r], c + 1)
-    return [[taken.get((r, c), "") for c in range(n)] for r, n in enumerate(lengths)]
+
+def html_grids(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame:
+    """page_id, table, grid: every table of a page, by number from 0, as rows of equally many texts."""
+    own = pages.select(F.col(id).alias("page_id"), F.col(html).alias("html"))
+    return html_pieces(own, ["page_id"]).where("grid is not null").select("page_id", "table", "grid")
 
 
 def html_cells(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame:
@@ -126,16 +172,18 @@ def html_cells(pages: DataFrame, id: str = "page_id", html: str = "html") -> Dat
     return rows.select("page_id", "table", "row", F.posexplode("cells").alias("col", "text"))
 
 
-def with_columns(grids: DataFrame, sales: bool, first_rows: int = 8, least: int = 3) -> DataFrame:
-    """Grids with header_row, data_row (the first below the header) and columns (their fields, null for none).
+def headed(grids: DataFrame, sales: bool, first_rows: int = 8) -> DataFrame:
+    """Grids with score (labels in the header row), header_row, data_row (the first below the header), columns (their
+    fields, null for none) and first_columns (the fields that the header's first row names by itself).
 
     The header is that of the first rows with most cells that name a field, the first of equals. A row
     below it that holds labels too is part of it: it names what the header leaves open, or both do together."""
     field = lambda c: field_of_label(c, sales)
+    kept = [c for c in grids.columns if c != "grid"]
     labels = F.transform(F.slice("grid", 1, first_rows + 1), lambda row: F.transform(row, field))
     rows = settled(settled(grids, grid=F.col("grid")), labels=labels)
     scores = F.transform(F.slice("labels", 1, first_rows), lambda row, i: F.struct(F.size(F.filter(row, lambda f: f.isNotNull())).alias("score"), (-i).alias("row")))
-    rows = settled(rows, best=F.array_max(scores)).where(F.col("best.score") >= least).withColumn("header_row", -F.col("best.row"))
+    rows = settled(rows, best=F.array_max(scores)).withColumn("header_row", -F.col("best.row"))
     below, names = (F.try_element_at(c, F.col("header_row") + 2) for c in ("grid", "labels"))
     filled = F.size(F.filter(below, lambda c: F.trim(c) != ""))
     hits = F.size(F.filter(names, lambda f: f != SKIP))
@@ -148,9 +196,17 @@ def with_columns(grids: DataFrame, sales: bool, first_rows: int = 8, least: int
         a, b = (F.coalesce(F.try_element_at(x, c), F.lit("")) for x in (first, second))
         return F.coalesce(field(a), field(b), field(F.trim(F.concat_ws(" ", F.nullif(F.trim(a), F.lit("")), F.nullif(F.trim(b), F.lit(""))))))
 
-    columns = F.transform(F.sequence(F.lit(1), width), column)
-    rows = rows.select("page_id", "table", "grid", "header_row", (F.col("header_row") + F.when(F.col("two"), 2).otherwise(1)).alias("data_row"), "two")
-    return settled(rows, columns=columns).drop("two")
+    # a header's own labels are known by now; only a second row needs another look
+    alone = F.try_element_at("labels", F.col("header_row") + 1)
+    columns = F.when(F.col("two"), F.transform(F.sequence(F.lit(1), width), column)).otherwise(alone)
+    data_row = F.col("header_row") + F.when(F.col("two"), 2).otherwise(1)
+    rows = rows.select(*kept, "grid", F.coalesce("best.score", F.lit(0)).alias("score"), "header_row", data_row.alias("data_row"), alone.alias("first_columns"), columns.alias("columns"))
+    return settled(rows, columns=F.col("columns"))
+
+
+def with_columns(grids: DataFrame, sales: bool, first_rows: int = 8, least: int = 3) -> DataFrame:
+    """The grids of `headed` whose header names `least` fields or more."""
+    return headed(grids, sales, first_rows).where(F.col("score") >= least).drop("score", "first_columns")
 
 
 def field_rows(pages: DataFrame, fields: tuple[str, ...], sales: bool = True) -> DataFrame:
@@ -165,16 +221,34 @@ def field_rows(pages: DataFrame, fields: tuple[str, ...], sales: bool = True) ->
     return rows.select("page_id", "table", "row", *map(value, fields))
 
 
-def aligned_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of cells (`cells`) with as many cells as there are columns: fields by position, of which neighbours may both be "description".
-
-    What a row has too much is joined to its description; what it lacks of a spread description is left blank."""
-    first = columns.index("description")
-    span = next((i for i, c in enumerate(columns[first:]) if c != "description"), len(columns) - first)
-    n, more = len(columns), F.size("cells") - len(columns)
-    at = first + 1  # of the description, from 1
-    joined = F.array_join(F.filter(F.slice("cells", F.lit(at), more + 1), lambda c: F.trim(c) != ""), " ")
-    merged = F.concat(F.slice("cells", 1, first), F.array(joined), F.slice("cells", F.lit(at) + more + 1, F.lit(n - at)))
-    spread = F.concat(F.slice("cells", 1, at), F.array_repeat(F.lit(""), -more), F.slice("cells", F.lit(at + 1), F.greatest(F.size("cells") - at, F.lit(0))))
-    cells = F.when((more > 0) & F.lit(span == 1), merged).when((more < 0) & (-more < span), spread).otherwise(F.col("cells"))
-    return rows.withColumn("cells", cells)
+# Cells at the end of a sales row that are no part of its description.
+WAREHOUSE_CELL, UNIT_CELL, CHINESE = "(?i)仓|WAREHOUSE", "(?i)^(PCS|SET|DCS|PS|PCS/SE)$", "[\u4e00-\u9fff]"
+#: Cells from the end in which a sales row shows that it ends with such cells.
+TAIL_CELLS = 6
+
+
+def aligned(cells: Column, columns: Column, sales: bool) -> Column:
+    """Cells with as many places as columns are known: fields by position, null for unknown ones.
+
+    What a row has too much is joined to its description, unless the header spreads that over neighbours too; what it
+    lacks of a spread description is left blank. A sales row that ends with a warehouse, a unit or Chinese
+    words has its surplus there, and stays. So does a row without a description column."""
+    last = F.array_max(F.filter(F.transform(columns, lambda f, i: F.when(f.isNotNull(), i)), lambda i: i.isNotNull()))
+    first = F.array_position(columns, "description").cast("int")  # from 1, 0 for none
+    run = F.coalesce(F.array_min(F.filter(F.transform(columns, lambda f, i: F.when((i >= first) & ((f != "description") | f.isNull()), i)), lambda i: i.isNotNull())), F.size(columns)) - first + 1
+    more = F.size(cells) - (last + 1)
+    joined = F.array_join(F.filter(F.slice(cells, F.greatest(first, F.lit(1)), F.greatest(more, F.lit(0)) + 1), lambda c: F.trim(c) != ""), " ")
+    merged = F.concat(F.slice(cells, F.lit(1), F.greatest(first - 1, F.lit(0))), F.array(joined), F.slice(cells, F.greatest(first + more + 1, F.lit(1)), F.size(cells)))
+    spread = F.concat(F.slice(cells, F.lit(1), F.greatest(first, F.lit(0))), F.array_repeat(F.lit(""), -more), F.slice(cells, F.greatest(first + 1, F.lit(1)), F.size(cells)))
+    kept = F.lit(False)
+    if sales:
+        tail = lambda c: F.trim(c).rlike(WAREHOUSE_CELL) | F.trim(c).rlike(UNIT_CELL) | c.rlike(CHINESE)
+        ends = F.filter(cells, lambda c, i: (i > last) | (i >= F.size(cells) - TAIL_CELLS))
+        kept = F.coalesce(F.get(cells, last).rlike(WAREHOUSE_CELL), F.lit(False)) | F.exists(ends, tail)
+    return F.when((more > 0) & (first > 0) & (run == 1) & ~kept, merged).when((more < 0) & (first > 0) & (-more < run), spread).otherwise(cells)
+
+
+def aligned_rows(rows: DataFrame, columns: list[str | None], sales: bool = False) -> DataFrame:
+    """Rows of cells (`cells`) aligned to the columns, as `aligned` does."""
+    known = F.array(*(F.lit(c) for c in columns)).cast("array<string>")
+    return settled(rows, cells=F.col("cells")).withColumn("cells", aligned(F.col("cells"), known, sales))

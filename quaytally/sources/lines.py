@@ -62,20 +62,6 @@ def flat_manifest_rows(texts: DataFrame) -> DataFrame:
 TAIL = ("total_cartons", "qty_per_carton", "total_quantity", "unit_price_rmb", "total_amount_rmb", "dim_l_cm", "dim_w_cm", "dim_h_cm", "unit_cbm", "unit_weight_kg", "total_cbm", "total_weight_kg")
 
 
-def _near(a: Column, b: Column) -> Column:
-    return F.abs(a - b) <= F.greatest(F.abs(b) * 0.02, F.lit(0.5))
-
-
-def anchored_tail(rows: DataFrame, text: str = "description") -> DataFrame:
-    """The last twelve tokens of a text as numbers, if they all are and cartons and pieces agree."""
-    tokens = F.split(T.squeezed(T.text(text)), " ")
-    last = F.when(F.size(tokens) >= 12, F.slice(tokens, -12, 12))
-    good = F.coalesce(F.forall(last, lambda t: t.rlike(r"^\d+(?:\.\d+)?$")), F.lit(False))
-    nums = F.when(good, F.transform(last, lambda t: t.try_cast("double")))
-    fits = _near(F.col("nums")[0] * F.col("nums")[1], F.col("nums")[2])
-    return rows.withColumn("nums", nums).withColumn("nums", F.when(fits, F.col("nums"))).select(*rows.columns, *(F.try_element_at("nums", F.lit(i + 1)).alias(f"tail_{c}") for i, c in enumerate(TAIL)))
-
-
 def pattern_row(cells: Column) -> list[Column]:
     """A manifest row out of cells that moved: each field is found by the form of its cells."""
     form = lambda pattern, nth=1: F.try_element_at(F.filter(cells, lambda c: F.trim(c).rlike(pattern)), F.lit(nth))

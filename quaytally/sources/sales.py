@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quaytally.functions import text as T
 from quaytally.functions.columns import settled
 from quaytally.functions.numbers import half_up, prefix_number
+from quaytally.operators.rules import MAX_AMOUNT, MAX_CARTONS, MAX_PER_CARTON, MAX_QUANTITY, SQL_MAX_PRICE
 from quaytally.sources.lines import TAIL
 
 # What cells of a sales row look like, and the largest numbers of a row.
@@ -235,3 +236,57 @@ def collapsed_metrics(rows: DataFrame) -> DataFrame:
 def continuation_metrics(rows: DataFrame) -> DataFrame:
     """Second pass: numbers anywhere in the description, for rows that still lack quantity or amount."""
     return _recovered(rows, T.squeezed(T.text("description")), F.col("total_quantity").isNull() | F.col("total_amount_rmb").isNull(), SECOND_PASS_CARTONS, True, CONTINUATION_TAG)
+
+
+# What the normaliser of stored sales rows takes for order codes, warehouses and sound numbers.
+CODE_AS_MARKS = r"(?i)^SAN[0-9A-Z-]+$|^[0-9]{2}[A-Z][0-9]{3}-[0-9A-Z]+$|^[A-Z][0-9]{2}-[0-9]{4,}$"
+STORED_UNIT, STORED_WAREHOUSE = r"(?i)\s+(PCS|SET|DCS|PS|PCS/SE)\s*$", "(?i)(浦江仓|浙江仓|东阳仓|[0-9]+仓|刀叉勺)"
+AMOUNT_SHARE, AMOUNT_LEAST = 0.06, 2
+BELOW = {"dim_l_cm": 300, "dim_w_cm": 300, "dim_h_cm": 300, "unit_cbm": 5, "total_cbm": 30, "total_weight_kg": 5000}
+BELOW_TOO, UP_TO_TOO = {"unit_weight_kg": 500}, {"qty_per_carton": 200, "total_cartons": 600}
+
+
+def _last_twelve(c: Column) -> Column:
+    """The last twelve numbers of a text, taken apart at anything but digits and dots; null for what is no number."""
+    parts = F.split(F.trim(F.regexp_replace(c, "[^0-9.]+", " ")), r"\s+")
+    number = lambda t: F.when(t.rlike(r"^(\d+\.?\d*|\.\d+)$"), t.try_cast("double"))
+    return F.when(F.size(parts) >= len(TAIL), F.transform(F.slice(parts, -len(TAIL), len(TAIL)), number))
+
+
+def stored_rows_normalised(rows: DataFrame, is_sales: Column) -> DataFrame:
+    """Rows of sales orders as they are stored: absurd numbers go, an order code is marks too, the unit leaves the
+    warehouse, and missing numbers come out of the description, by the last twelve numbers before the warehouse, then by
+    the last twelve of all. Cartons that are missing, or more than the pieces, are pieces by pieces a carton."""
+    fields = (*TAIL, "marks", "item_code", "warehouse", "description")
+    own = settled(rows.withColumn("__sales", F.coalesce(is_sales, F.lit(False))), **{c: F.col(c).cast("double") for c in TAIL})
+    capped_ = {c: F.when(F.col(c).between(0, most), F.col(c)) for c, most in {"total_quantity": MAX_QUANTITY, "qty_per_carton": MAX_PER_CARTON, "unit_price_rmb": SQL_MAX_PRICE, "total_amount_rmb": MAX_AMOUNT, "total_cartons": MAX_CARTONS}.items()}
+    marks = F.when((T.text(F.trim("marks")) == "") & F.col("item_code").rlike(CODE_AS_MARKS), F.upper("item_code")).otherwise(F.col("marks"))
+    unitless = F.when(T.text(F.trim("warehouse")) != "", F.regexp_replace(F.regexp_replace("warehouse", r"\s+", " "), STORED_UNIT, "")).otherwise(F.col("warehouse"))
+    new = settled(own.where("__sales"), **capped_, marks=marks, warehouse=unitless)
+    text = T.text("description")
+    found = F.nullif(F.regexp_extract(text, STORED_WAREHOUSE, 1), F.lit(""))
+    lacking = T.any_of([F.col(c).isNull() for c in (*TAIL, "warehouse") if c not in ("unit_price_rmb", "unit_cbm", "unit_weight_kg")]) & (text != "")
+    before = F.regexp_replace(text, "(?is)" + STORED_WAREHOUSE[4:] + ".*$", "")
+    new = settled(new, __found=found, __lacking=lacking, __n=F.when(lacking & found.isNotNull(), _last_twelve(before)), __all=F.when(lacking, _last_twelve(text)))
+
+    def sound(n: Column, strict: bool) -> Column:
+        v = {c: n[i] for i, c in enumerate(TAIL)}
+        fits = [F.abs(v["total_quantity"] * v["unit_price_rmb"] - v["total_amount_rmb"]) <= F.greatest(F.lit(AMOUNT_LEAST), v["total_amount_rmb"] * AMOUNT_SHARE)]
+        fits += [v[c] > 0 for c in ("total_quantity", "unit_price_rmb", "total_amount_rmb")]
+        fits += [(v[c] > 0) & (v[c] < most) for c, most in (BELOW | (BELOW_TOO if strict else {})).items()]
+        fits += [(v[c] > 0) & (v[c] <= most) for c, most in UP_TO_TOO.items()] if strict else []
+        return F.coalesce(reduce_and(fits), F.lit(False))
+
+    new = settled(new, __good=sound(F.col("__n"), False))
+    taken = lambda n, i, c: F.when(n[i] > 0, n[i]) if c in UP_TO_TOO else n[i]
+    first = {c: F.coalesce(F.col(c), F.when(F.col("__good"), taken(F.col("__n"), i, c))) for i, c in enumerate(TAIL)}
+    new = settled(new, **first, warehouse=F.coalesce("warehouse", F.when(F.col("__good"), F.col("__found"))))
+    again = F.col("__lacking") & (F.col("total_quantity").isNull() | F.col("total_amount_rmb").isNull()) & (F.trim(text) != "")
+    new = settled(new, __good=again & sound(F.col("__all"), True))
+    second = {c: F.coalesce(F.col(c), F.when(F.col("__good"), F.col("__all")[i])) for i, c in enumerate(TAIL)}
+    new = settled(new, **second, warehouse=F.coalesce("warehouse", F.when(F.col("__good"), F.col("__found"))))
+    ratio = F.round(F.col("total_quantity") / F.col("qty_per_carton"), 3)
+    short = (F.col("qty_per_carton") > 0) & F.col("total_quantity").isNotNull() & (F.col("total_cartons").isNull() | (F.col("total_cartons") > F.col("total_quantity")))
+    new = settled(new, total_cartons=F.when(short, ratio).otherwise(F.col("total_cartons")))
+    others = [c for c in rows.columns if c not in fields]
+    return new.select(*others, *fields).unionByName(own.where("not __sales").select(*others, *fields))
