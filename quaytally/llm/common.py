@@ -71,9 +71,9 @@ def clear(spark: SparkSession) -> int:
 FEW = 1_000_000
 
 
-def few(rows: DataFrame) -> DataFrame:
-    """rows (one or two numbers each), for a join: broadcast if a count shows that they are at most FEW, else as they are."""
-    return F.broadcast(rows) if rows.count() <= FEW else rows
+def few(rows: DataFrame, most: int = FEW) -> DataFrame:
+    """rows (one or two numbers each), for a join: broadcast if a count shows that they are at most `most`, else as they are."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def unused(name: str, taken: list[str]) -> str:

@@ -18,7 +18,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaytally.llm.common import unused
+from quaytally.llm.common import few, unused, written
+
+#: Pairs of hashes that go to every task (some 50 MB as a hash table).
+FEW_HASHES = 300_000
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -48,12 +51,16 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", hash12
 def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns: one row of each text, whatever the ids.
 
-    Each task first drops all but its own best row of a text, so a hot text sends one row a task."""
-    md5, sha256, place = (unused(name, docs.columns) for name in ("__md5", "__sha256", "__place"))
+    Hashes are counted first; rows whose text stands alone stay where they are. Of the others each task drops
+    all but its own best row of a text before they move, so a hot text sends one row a task."""
+    md5, sha256, place, several = (unused(name, docs.columns) for name in ("__md5", "__sha256", "__place", "__several"))
     body = normalised(F.col(text))
-    best = Window.partitionBy(md5, sha256).orderBy(F.col(id).isNull(), id)
     rows = docs.withColumns({md5: F.unhex(F.md5(body)), sha256: F.unhex(F.sha2(body, 256))})
-    return rows.withColumn(place, F.row_number().over(best)).where(F.col(place) <= 1).select(docs.columns)
+    repeated = rows.groupBy(md5, sha256).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(md5, sha256, F.lit(True).alias(several))
+    marked = rows.join(few(written(repeated, "repeated"), FEW_HASHES), [md5, sha256], "left")
+    best = Window.partitionBy(md5, sha256).orderBy(F.col(id).isNull(), id)
+    first = marked.where(F.col(several)).withColumn(place, F.row_number().over(best)).where(F.col(place) <= 1)
+    return marked.where(F.col(several).isNull()).select(docs.columns).unionByName(first.select(docs.columns))
 
 
 ORACLE = r"""
