@@ -152,6 +152,7 @@ def pieces(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "tex
                     sums.append(zlib.crc32(own[4 * start : 4 * (start + length)]))
                     totals.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, starts, lengths, sums, totals)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        ids.forget()  # a worker's next tasks may be another operator's
 
     return texts(docs, F.col(id).alias("doc_id"), text=text).mapInArrow(cut, PIECES)
 
