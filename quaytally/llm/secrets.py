@@ -6,7 +6,8 @@ where no part of a run is novel by itself, the whole run is looked at. Its
 novelty is the number of bytes that it adds to the Zstandard frame of the surrounding text, whose
 compressor is primed with a dictionary of identifiers (a short fixed list, and the commonest of the
 documents themselves, counted in a pass of their own), as a share of what the same bytes add out of order. Words and names that the dictionary or the surroundings know add much less; random keys
-add as much. What adds few bytes for its length is not novel at all.
+add as much. What repeats itself adds fewer bytes than its letters hold by their shares alone, and what has next to no
+different letters holds few: neither is novel. Long keys of few letters (hex, digits) are, as they cost what they hold.
 
 Nulls and empty texts have no spans (their base_sha256 is that of the empty string). Texts of any
 length are scanned whole, each by itself. Repeated rows give repeated results, a null id stays null,
@@ -40,7 +41,9 @@ HEX = re.compile(rf"[0-9a-f]{{{HEX_LEAST},}}")
 #: Words that make the text shortly after them sensitive.
 CONTEXT = re.compile(r"pass(?:word|wd|phrase)|secret|token|api_?key|credential|authori[sz]ation|bearer|private|access_?key|client_?id|signature|session|cookie|login", re.IGNORECASE | re.ASCII)
 CONTEXT_WORDS = (b"passw", b"passphrase", b"secret", b"token", b"apikey", b"api_key", b"credential", b"authori", b"bearer", b"private", b"accesskey", b"access_key", b"clientid", b"client_id", b"signature", b"session", b"cookie", b"login")
-CANDIDATE_LEAST, CONTEXT_REACH, AROUND, NOVELTY, LEAST_COST, LEVEL = 20, 48, 256, 0.9, 0.66, 12
+CANDIDATE_LEAST, CONTEXT_REACH, AROUND, NOVELTY, LEVEL = 20, 48, 256, 0.94, 12
+#: Bytes that the letters of a string of CANDIDATE_LEAST characters hold at least, by their shares alone, and the share of what they hold that it must cost.
+LEAST_BYTES, LEAST_SHARE = 6.0, 0.9
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{CANDIDATE_LEAST},}}")
 NAMED = re.compile(r"[A-Za-z0-9+/_.-]+=+(?=[A-Za-z0-9+/_.-])")
 PART = re.compile(rf"[A-Za-z0-9+/_.-]{{{CANDIDATE_LEAST},}}=*")
@@ -86,6 +89,12 @@ def corpus_identifiers(docs: DataFrame, text: str = "text", most: int = MOST_IDE
     return " ".join(reversed(words)).encode()  # the commonest stand nearest to what is compressed
 
 
+def letters_hold(own: bytes) -> float:
+    """Bytes that the letters of a string cost by their shares in it, whatever their order."""
+    counts = np.array([*Counter(own).values()], float)
+    return float((counts * np.log2(len(own) / counts)).sum() / 8)
+
+
 class Novelty:
     """Bytes that a string adds to its compressed surroundings, as a share of what its mixed bytes add."""
 
@@ -99,7 +108,8 @@ class Novelty:
         own = candidate.encode()
         least = len(self.compressor.compress(around))
         cost = len(self.compressor.compress(around + own)) - least
-        if cost < LEAST_COST * len(own):
+        alone = letters_hold(own)
+        if alone < LEAST_BYTES or cost < LEAST_SHARE * alone:
             return 0.0
         # the same bytes without their order: what they cost if nothing is known of them
         mixed = np.random.default_rng(len(own)).permutation(np.frombuffer(own, np.uint8)).tobytes()

@@ -272,6 +272,25 @@ def test_novelty_finds_keys_and_leaves_names(docs_frame):
     assert recall >= 0.9 and wrong <= 0.02, (recall, wrong)
 
 
+@pytest.mark.parametrize("letters", ["0123456789", "0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_keys_of_any_length_and_alphabet_are_novel(letters):
+    import random
+
+    rng, novelty = random.Random(7), secrets.Novelty()
+    for size in (20, 24, 40, 64, 128, 256, 512):
+        keys = ["".join(rng.choice(letters) for _ in range(size)) for _ in range(40)]
+        texts = [f"some words, then private access_key: {k} and other text" for k in keys]
+        found = sum([t[a:b] for a, b, _ in secrets.novel_spans(t, t.encode(), novelty)] == [k] for t, k in zip(texts, keys))
+        assert found >= 36, (size, found)
+
+
+def test_what_repeats_itself_is_not_novel():
+    novelty = secrets.Novelty()
+    for value in ("a" * 40, "ab" * 30, "-" * 30, "0123456789" * 5, "=-" * 20, "abcdefghijklmnopqrstuvwxyz", "x" * 20 + "y" * 20, "0f1e" * 64):
+        text = f"the session token is {value} and more"
+        assert secrets.novel_spans(text, text.encode(), novelty) == [], value
+
+
 def test_copied_keys_do_not_become_known_words(docs_frame):
     import random
 
