@@ -116,15 +116,18 @@ def largest(value: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return best
 
 
-def window_hashes(code: np.ndarray, window: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Twice 64 bits for the words of each window."""
-    a, b = np.zeros(len(window), np.uint64), np.zeros(len(window), np.uint64)
+def window_hash(code: np.ndarray, window: np.ndarray, size: int, factor: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """64 bits for the words of each window."""
+    total = np.zeros(len(window), np.uint64)
     with np.errstate(over="ignore"):
-        other = mixed(code, np.uint64(7))
         for j in range(size):
-            a = a * np.uint64(0x9E3779B97F4A7C15) + code[window + j]
-            b = b * np.uint64(0xC2B2AE3D27D4EB4F) + other[window + j]
-    return mixed(a, np.uint64(3)), mixed(b, np.uint64(5))
+            total = total * np.uint64(factor) + code[window + j]
+    return mixed(total, np.uint64(3))
+
+
+def window_hashes(words: Words, window: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Twice 64 bits for the words of each window, from independent hashes of the words."""
+    return window_hash(words.code, window, size), window_hash(words.second, window, size, 0xC2B2AE3D27D4EB4F)
 
 
 def starts(words: Words, size: int) -> np.ndarray:
@@ -159,7 +162,7 @@ def anchored(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     at = np.flatnonzero(new)
     name = np.empty(len(at), np.uint64)
     lonely = place[at] < 0
-    name[lonely] = window_hashes(words.code, window[at[lonely]], size)[0]
+    name[lonely] = window_hash(words.code, window[at[lonely]], size)
     p = place[at[~lonely]]
     named = mixed(s.name[p], np.uint64(9))
     for j in range(1, side + 1):
@@ -183,6 +186,9 @@ def follows(words: Words, size: int) -> np.ndarray:
     n = len(words.code)
     same = np.zeros(n, np.int64)
     same[1:] = (words.code[1:] == words.code[:-1]) & (words.text[1:] == words.text[:-1])
+    if same.any():
+        second = words.second
+        same[1:] &= second[1:] == second[:-1]
     total = np.concatenate([[0], np.cumsum(same)])
     at = np.arange(1, max(1, n - size + 1))
     return at[total[at + size] - total[at] == size] if n >= size else at[:0]
@@ -245,7 +251,7 @@ def windows(found: DataFrame, size: int) -> DataFrame:
         for part, raws in chunks(batches):
             words = words_of([r if b else b"" for r, b in zip(raws, part.column(2).is_valid().to_pylist())])
             window, of = _windows(part, words, size)
-            a, b = window_hashes(words.code, window, size)
+            a, b = window_hashes(words, window, size)
             at = _firsts(of, a, b)
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[at])), pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int64))], names=["doc_id", "a", "b"])
 
@@ -262,6 +268,21 @@ def _firsts(*columns: np.ndarray) -> np.ndarray:
     return order[new]
 
 
+def _among(own: tuple[np.ndarray, ...], known: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Whether each row of own, of which no two are equal, is a row of known (likewise)."""
+    columns = [np.concatenate([o, k]) for o, k in zip(own, known)]
+    order = np.lexsort(columns[::-1])
+    twice = np.ones(len(order), bool)
+    twice[:1] = False
+    for c in columns:
+        twice[1:] &= c[order][1:] == c[order][:-1]
+    either = twice.copy()
+    either[:-1] |= twice[1:]
+    found = np.zeros(len(order), bool)
+    found[order] = either
+    return found[: len(own[0])]
+
+
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -270,14 +291,14 @@ def _kept(size: int, whole: bool):
         for part, raws in chunks(batches):
             words = words_of(raws)
             window, of = _windows(part, words, size)
-            a, _ = window_hashes(words.code, window, size)
+            a, b = window_hashes(words, window, size)
             # a window stays where its document is the first to have it, and has it for the first time
             firsts = part.column(3)
             first_of = np.repeat(np.arange(len(raws)), np.asarray(firsts.value_lengths().fill_null(0)))
-            known = mixed(firsts.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), first_of.astype(np.uint64))
+            both = [firsts.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in (0, 1)]
             stays = np.zeros(len(window), bool)
-            at = _firsts(of, a)
-            stays[at] = np.isin(mixed(a[at], of[at].astype(np.uint64)), known)
+            at = _firsts(of, a, b)
+            stays[at] = _among((of[at], a[at], b[at]), (first_of, *both))
             in_runs = follows(words, size)
             in_runs = in_runs[part.column(0).is_valid().to_numpy(zero_copy_only=False)[words.text[in_runs]]]
             gone = np.zeros(len(words.code) + 1, np.int64)
@@ -306,8 +327,8 @@ def substring_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     known = own.where("doc_id is not null")
     by_doc = written(shared_blocks(known, size), "anchors")
     texts = known.join(by_doc, "doc_id", "left").select("doc_id", "raw", "blocks")
-    first = windows(texts, size).groupBy("a", "b").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("a").alias("firsts"))
+    first = windows(texts, size).groupBy("a", "b").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("firsts"))
     judged = texts.join(first, "doc_id", "left").select("doc_id", "raw", "blocks", "firsts")
     # null ids need no company, and must not meet in one task
-    others = own.where("doc_id is null").select("doc_id", "raw", *(F.lit(None).cast("array<long>").alias(x) for x in ("blocks", "firsts")))
+    others = own.where("doc_id is null").select("doc_id", "raw", F.lit(None).cast("array<long>").alias("blocks"), F.lit(None).cast("array<struct<a:long,b:long>>").alias("firsts"))
     return judged.unionByName(others).mapInArrow(_kept(size, whole), RESULT.replace("kept_sha256", "kept_text") if whole else RESULT)

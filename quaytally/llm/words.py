@@ -30,6 +30,11 @@ class Words:
         """The first word of each text."""
         return np.cumsum(self.size) - self.size
 
+    @property
+    def second(self) -> np.ndarray:
+        """Another 64-bit hash of each word, independent of `code`."""
+        return _codes(self.joined, self.start, self.end - self.start, 0x2545F4914F6CDD1D)
+
     @property
     def text(self) -> np.ndarray:
         """The text of each word."""
@@ -51,16 +56,16 @@ def words_of(raws: list[bytes], lower: bool = False) -> Words:
     return Words(joined, start, end, np.diff(np.searchsorted(start, borders)), _codes(joined, start, end - start))
 
 
-def _codes(joined: bytes, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+def _codes(joined: bytes, start: np.ndarray, length: np.ndarray, salt: int = 0) -> np.ndarray:
     """A hash of each word: eight bytes at a time are mixed in, so equal hashes of different words are chance."""
     lanes = np.ndarray((len(joined) - 7,), "<u8", joined, strides=(1,))
-    code = mixed(lanes[start] & _MASKS[np.minimum(length, 8)], length.astype(np.uint64))
+    code = mixed(lanes[start] & _MASKS[np.minimum(length, 8)], length.astype(np.uint64), salt)
     more, at = np.flatnonzero(length > 8), 8
     while more.size and at < _LANED:
         left = length[more] - at
-        code[more] = mixed(code[more], lanes[start[more] + at] & _MASKS[np.minimum(left, 8)])
+        code[more] = mixed(code[more], lanes[start[more] + at] & _MASKS[np.minimum(left, 8)], salt)
         more, at = more[left > 8], at + 8
     if more.size:
-        rest = np.array([hash64(joined[s + at : s + n]) for s, n in zip(start[more].tolist(), length[more].tolist())], np.uint64)
+        rest = np.array([hash64(joined[s + at : s + n] + b" " * bool(salt)) for s, n in zip(start[more].tolist(), length[more].tolist())], np.uint64)
         code[more] = mixed(code[more], rest)
     return code
