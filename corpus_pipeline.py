@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quaytally.llm import decontaminate, exact_dedup, near_dedup, packing, quality
-from quaytally.llm.common import table, written
+from quaytally.llm.common import sized_for_texts, table, written
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +21,13 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the smallest id."""
+    sized_for_texts(spark)
     return exact_dedup.exact_dedup(docs)
 
 
 def different_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, one document."""
+    sized_for_texts(spark)
     return near_dedup.near_dedup(docs)
 
 
@@ -36,6 +38,7 @@ def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens, packed into sequences."""
+    sized_for_texts(spark)
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -21,7 +21,19 @@ CACHE_WORDS = 500_000
 TRAIN_WORDS = 2_500_000
 
 
+#: Rows that Spark's reader and its way to Python hold at a time. Of long texts the usual 4,096 and 10,000 are too many.
+ROWS_AT_ONCE = {"spark.sql.parquet.columnarReaderBatchSize": 512, "spark.sql.execution.arrow.maxRecordsPerBatch": 2000}
+
+
+def sized_for_texts(spark: SparkSession) -> None:
+    """Sets ROWS_AT_ONCE in the session, where it has more."""
+    for name, most in ROWS_AT_ONCE.items():
+        if int(spark.conf.get(name)) > most:
+            spark.conf.set(name, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    sized_for_texts(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
