@@ -222,33 +222,40 @@ def field_rows(pages: DataFrame, fields: tuple[str, ...], sales: bool = True) ->
 
 
 # Cells at the end of a sales row that are no part of its description.
-WAREHOUSE_CELL, UNIT_CELL, CHINESE = "(?i)仓|WAREHOUSE", "(?i)^(PCS|SET|DCS|PS|PCS/SE)$", "[\u4e00-\u9fff]"
+WAREHOUSE_CELL = re.compile("仓|WAREHOUSE", re.I)
+TAIL_CELL = re.compile("仓|WAREHOUSE|^\\s*(?:PCS|SET|DCS|PS|PCS/SE)\\s*$|[\u4e00-\u9fff]", re.I)
 #: Cells from the end in which a sales row shows that it ends with such cells.
 TAIL_CELLS = 6
 
 
-def aligned(cells: Column, columns: Column, sales: bool) -> Column:
-    """Cells with as many places as columns are known: fields by position, null for unknown ones.
+def aligned(cells: list[str], columns: list[str | None], sales: bool) -> list[str]:
+    """Cells with as many places as columns are known: fields by position, None for unknown ones.
 
     What a row has too much is joined to its description, unless the header spreads that over neighbours too; what it
     lacks of a spread description is left blank. A sales row that ends with a warehouse, a unit or Chinese
     words has its surplus there, and stays. So does a row without a description column."""
-    last = F.array_max(F.filter(F.transform(columns, lambda f, i: F.when(f.isNotNull(), i)), lambda i: i.isNotNull()))
-    first = F.array_position(columns, "description").cast("int")  # from 1, 0 for none
-    run = F.coalesce(F.array_min(F.filter(F.transform(columns, lambda f, i: F.when((i >= first) & ((f != "description") | f.isNull()), i)), lambda i: i.isNotNull())), F.size(columns)) - first + 1
-    more = F.size(cells) - (last + 1)
-    joined = F.array_join(F.filter(F.slice(cells, F.greatest(first, F.lit(1)), F.greatest(more, F.lit(0)) + 1), lambda c: F.trim(c) != ""), " ")
-    merged = F.concat(F.slice(cells, F.lit(1), F.greatest(first - 1, F.lit(0))), F.array(joined), F.slice(cells, F.greatest(first + more + 1, F.lit(1)), F.size(cells)))
-    spread = F.concat(F.slice(cells, F.lit(1), F.greatest(first, F.lit(0))), F.array_repeat(F.lit(""), -more), F.slice(cells, F.greatest(first + 1, F.lit(1)), F.size(cells)))
-    kept = F.lit(False)
-    if sales:
-        tail = lambda c: F.trim(c).rlike(WAREHOUSE_CELL) | F.trim(c).rlike(UNIT_CELL) | c.rlike(CHINESE)
-        ends = F.filter(cells, lambda c, i: (i > last) | (i >= F.size(cells) - TAIL_CELLS))
-        kept = F.coalesce(F.get(cells, last).rlike(WAREHOUSE_CELL), F.lit(False)) | F.exists(ends, tail)
-    return F.when((more > 0) & (first > 0) & (run == 1) & ~kept, merged).when((more < 0) & (first > 0) & (-more < run), spread).otherwise(cells)
+    last = max((i for i, f in enumerate(columns) if f is not None), default=None)
+    if last is None or "description" not in columns:
+        return cells
+    first, more = columns.index("description"), len(cells) - (last + 1)
+    after = next((i for i, f in enumerate(columns[first:]) if f != "description"), len(columns) - first)
+    if more > 0 and after == 1:
+        if sales and (WAREHOUSE_CELL.search(cells[last]) or any(map(TAIL_CELL.search, cells[last + 1 :] + cells[-TAIL_CELLS:]))):
+            return cells
+        joined = " ".join(c for c in cells[first : first + more + 1] if c.strip())
+        return [*cells[:first], joined, *cells[first + more + 1 :]]
+    if more < 0 and -more < after:
+        return [*cells[: first + 1], *[""] * -more, *cells[first + 1 :]]
+    return cells
 
 
 def aligned_rows(rows: DataFrame, columns: list[str | None], sales: bool = False) -> DataFrame:
     """Rows of cells (`cells`) aligned to the columns, as `aligned` does."""
-    known = F.array(*(F.lit(c) for c in columns)).cast("array<string>")
-    return settled(rows, cells=F.col("cells")).withColumn("cells", aligned(F.col("cells"), known, sales))
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("cells")
+            new = pa.array([c and aligned(c, columns, sales) for c in batch.column(at).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return rows.mapInArrow(align, rows.schema)

@@ -6,6 +6,9 @@ a table. Nothing is partitioned by more than a document."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,22 +60,59 @@ def product_like(label: Column) -> Column:
     return priced | (F.length(label) >= PRODUCT_LIKE_LABEL) | coded
 
 
-def _last_run(field: str) -> Column:
-    """Where a table's columns name the field: places (from 0) of the last stretch that no other field interrupts."""
-    of = lambda x: x["field"]
-    opens = F.array_max(F.transform("mapped", lambda x, j: F.when((of(x) == field) & ((j == 0) | (of(F.get(F.col("mapped"), j - 1)) != field)), j)))
-    return F.transform(F.filter("mapped", lambda x, j: (of(x) == field) & (j >= opens)), lambda x: x["at"])
+def _last_runs(columns: list[str | None]) -> dict[str, list[int]]:
+    """Where columns name each field: places of the last stretch that no other field interrupts; unnamed columns don't."""
+    runs: dict[str, list[int]] = {}
+    before = None
+    for i, field in enumerate(columns):
+        if field is not None:
+            runs[field] = [*runs[field], i] if field == before else [i]
+            before = field
+    return runs
+
+
+def _joined(cells: list[str]) -> str:
+    """Neighbouring cells of one field as one text; a cell equal to what stands before it counts once."""
+    whole = ""
+    for c in map(str.strip, cells):
+        whole = f"{whole} {c}" if c and whole and c != whole else whole or c
+    return whole
+
+
+ROWS = [pa.field("row", pa.int32()), pa.field("cells", pa.list_(pa.string())), pa.field("mapped", pa.bool_()), *(pa.field(f"r_{f}", pa.string()) for f in FIELDS)]
+
+
+def _fields_of_rows(sales: bool):
+    """Tables (keys, piece, columns, first_row, grid) to their rows that are not blank, with r_<field> (see table_rows)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, first_rows, grids_ = (batch.column(i).to_pylist() for i in (3, 4, 5))
+            at: list[int] = []
+            out: list[tuple] = []
+            for i, (names, first, grid) in enumerate(zip(columns, first_rows, grids_)):
+                runs = _last_runs(names or [])
+                for row, cells in enumerate(grid):
+                    if row >= first and any(c.strip() for c in cells):
+                        own = grids.aligned(cells, names, sales) if names else []
+                        texts = [_joined([own[k] for k in runs[f] if k < len(own)]) if f in runs else None for f in FIELDS]
+                        at.append(i)
+                        out.append((row, cells, names is not None, *texts))
+                if len(out) >= BATCH_ROWS or i + 1 == batch.num_rows:
+                    own = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(3)]
+                    new = [pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(ROWS), ROWS)]
+                    yield pa.RecordBatch.from_arrays([*own, *new], names=["document_id", "chunk", "piece", *(f.name for f in ROWS)])
+                    at, out = [], []
+
+    return read
 
 
-def _raw(field: str) -> Column:
-    """The row's text for a field: neighbouring cells joined, equal ones once; null if the table has no such column."""
-    cells = F.transform(F.col(f"at_{field}"), lambda i: F.trim(F.coalesce(F.get(F.col("own"), i), F.lit(""))))
-    joined = F.aggregate(cells, F.lit(""), lambda a, b: F.when((b == "") | (a == b), a).when(a == "", b).otherwise(F.concat_ws(" ", a, b)))
-    return F.when(F.size(F.col(f"at_{field}")) > 0, joined)
+#: Rows of a batch, about.
+BATCH_ROWS = 10_000
 
 
 def table_rows(chunks: DataFrame, sales: bool, html: str = "html") -> DataFrame:
-    """document_id, chunk, piece, row, cells (as printed), r_<field> (null without columns), text (of pieces that are no
+    """document_id, chunk, piece, row, cells (as printed), r_<field> (null where the table has no such column), text (of pieces that are no
     table), alone (whether the chunk has no table), mapped (whether the table's columns are known).
 
     A table without a header takes the columns of the one before it in its chunk, if it looks like more of its rows."""
@@ -90,13 +130,9 @@ def table_rows(chunks: DataFrame, sales: bool, html: str = "html") -> DataFrame:
     known = F.when(own, F.col("columns")).when(F.col("before").isNotNull(), F.col("before"))
     enough = (F.size("grid") >= 2) | F.col("before").isNotNull()
     tables = settled(tables.where(enough), columns=known, first_row=F.when(own, F.col("data_row")).otherwise(0))
-    entries = F.filter(F.transform("columns", lambda f, i: F.struct(i.alias("at"), f.alias("field"))), lambda x: x["field"].isNotNull())
-    tables = settled(tables, mapped=F.coalesce(entries, F.array().cast("array<struct<at:int,field:string>>")))
-    tables = settled(tables, **{f"at_{f}": _last_run(f) for f in FIELDS})
-    rows = tables.select(*keys, "piece", "columns", "first_row", *(f"at_{f}" for f in FIELDS), F.posexplode("grid").alias("row", "cells")).where("row >= first_row")
-    rows = rows.where(F.exists("cells", lambda c: F.trim(c) != ""))
-    rows = settled(rows, own=F.when(F.col("columns").isNotNull(), grids.aligned(F.col("cells"), F.col("columns"), sales)))
-    rows = rows.select(*keys, "piece", "row", "cells", "own", F.col("columns").isNotNull().alias("mapped"), *(_raw(f).alias(f"r_{f}") for f in FIELDS))
+    types = dict(chunks.dtypes)
+    schema = f"document_id {types['document_id']}, chunk {types['chunk']}, piece int, row int, cells array<string>, mapped boolean, " + ", ".join(f"r_{f} string" for f in FIELDS)
+    rows = tables.select(*keys, "piece", "columns", "first_row", "grid").mapInArrow(_fields_of_rows(sales), schema)
     return rows.unionByName(texts, allowMissingColumns=True)
 
 
