@@ -9,6 +9,7 @@ from quaytally.plans.parse_queries import as_text, whole
 from quaytally.plans.registry import query
 from quaytally.sources import canonical as C
 from quaytally.sources import grids as G
+from quaytally.sources import imports as I
 from quaytally.sources import pages as P
 
 # Lines go in fours: the first stands below NEW ORDER, the second below goods from before (or left, by document), the
@@ -75,3 +76,38 @@ def html_ragged_rows(spark: SparkSession, d: str) -> DataFrame:
     row = F.concat(F.lit("<tr><td>"), "item_code", F.when(F.col("line_no") % 3 == 0, "").otherwise(F.concat(F.lit("</td><td>"), "marks")), F.lit("</td></tr>"))
     rows = C.items(spark, d).groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", row.alias("html")))), lambda r: r["html"]), "\n").alias("rows"))
     return G.html_cells(rows.select(F.col("document_id").alias("page_id"), F.concat(F.lit("<table>"), "rows", F.lit("</table>")).alias("html"))).drop("table")
+
+
+# Imports by document: every third a sales order, every third a packing list, the others plain exports.
+@query("""
+, r AS (SELECT *, document_id % 3 AS layout, line_no % 4 AS k, total_cartons::DOUBLE AS c, total_quantity::DOUBLE AS q, total_amount_rmb::DOUBLE AS a FROM items),
+m AS (SELECT document_id, line_no, CASE layout WHEN 0 THEN marks WHEN 1 THEN CASE WHEN k = 3 AND line_no = 3 THEN '__SECTION_STAGE__:37 goods stuffed into this container' ELSE marks END ELSE item_code END AS sku,
+  CASE WHEN layout = 1 AND line_no = 3 THEN '37 goods stuffed into this container' WHEN layout = 1 AND k = 2 THEN '壶 ' || description ELSE description END AS name,
+  CASE WHEN layout = 2 THEN NULL WHEN layout = 1 AND (line_no = 3 OR k = 2) THEN NULL WHEN layout = 0 AND k = 1 AND (q / c) = floor(q / c) THEN (q / c)::BIGINT || 'pcs/ctn' WHEN layout = 0 AND k = 1 THEN NULL ELSE packaging END AS packing,
+  CASE WHEN layout = 2 THEN NULL WHEN layout = 1 AND line_no = 3 THEN 0 ELSE c END AS cartons, CASE WHEN layout = 1 AND line_no = 3 THEN 0 ELSE q END AS quantity,
+  CASE WHEN layout = 1 AND line_no = 3 THEN 0 WHEN layout = 0 AND k = 2 THEN floor(a / q * 10000 + 0.5) / 10000 WHEN layout = 1 AND k = 1 THEN floor(a / q * 100 + 0.5) / 100 ELSE unit_price_rmb::DOUBLE END AS cost_price,
+  CASE WHEN layout = 2 OR layout = 1 AND line_no = 3 THEN NULL WHEN layout = 0 AND k = 3 THEN floor(q * unit_price_rmb::DOUBLE * 100 + 0.5) / 100 ELSE a END AS total_amount_rmb,
+  CASE WHEN layout = 0 AND k = 1 THEN CASE WHEN (q / c) = floor(q / c) THEN 'repair:packing_from_qty_cartons' ELSE 'repair:drop_non_numeric_packing' END WHEN layout = 0 AND k = 2 THEN 'repair:price_from_amount' WHEN layout = 0 AND k = 3 THEN 'repair:amount_from_qty_price' END AS remarks
+  FROM r WHERE NOT (layout = 1 AND (line_no = 5 OR line_no >= 7)))
+SELECT * FROM m""")
+def imported_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Keys under other names, cells that don't read as a price, names in the packing column, markers, and the header of repacked goods."""
+    n, k, layout = F.col("line_no"), F.col("line_no") % 4, F.col("document_id") % 3
+    money = F.format_number("total_amount_rmb", 2)
+    price = F.col("unit_price_rmb").cast("string")
+    cell = lambda key, value: F.struct(F.lit(key).alias("k"), value.alias("v"))
+    sales = [
+        cell("item_code", F.col("marks")), cell("DESCRIPTION OF GOODS", F.col("description")), cell("PACKING", F.when(k == 1, "box").otherwise(F.col("packaging"))), cell("CTN", F.concat(whole("total_cartons"), F.lit(" CTNS"))), cell("T.QTY", whole("total_quantity")),
+        cell("U/P", F.lit("see below")), cell("PRICE", F.when(k == 2, "-").otherwise(F.concat(F.lit("¥"), price))), cell("AMOUNT", F.when(k == 3, "").otherwise(money)),
+    ]
+    marks = F.when(n == 3, "__SECTION_STAGE__:37 goods stuffed into this container").when(n == 5, "GOODS LEFT IN SANCARGO").when(n == 7, "9 CTN STUFFED INTO THIS CONTAINER (REPACKED GOODS)").otherwise(F.col("marks"))
+    name = F.when(k == 2, F.concat(F.lit("壶 "), F.col("description")))
+    packing = [
+        cell("MARKS", marks), cell("DESCRIPTION OF GOODS", F.when(k == 2, "壶").otherwise("壶")), cell("__col6", F.when(k == 2, "").otherwise(F.col("description"))), cell("PACKING", F.coalesce(name, F.col("packaging"))), cell("T.CTN", whole("total_cartons")), cell("T.QTY", whole("total_quantity")),
+        cell("U.PRICE(RMB)", F.when(k == 1, "").otherwise(price)), cell("T.AMOUNT", money),
+    ]
+    plain = [cell("SKU", F.col("item_code")), cell("Name", F.col("description")), cell("Quantity", whole("total_quantity")), cell("Cost Price", price), cell("other", F.lit("x"))]
+    cells = F.map_from_entries(F.when(layout == 0, F.array(*sales)).when(layout == 1, F.array(*packing)).otherwise(F.array(*plain)))
+    rows = C.items(spark, d).select(F.col("document_id").alias("file"), n.alias("record"), cells.alias("cells"))
+    found = I.imported_rows(rows, F.col("file") % 3 == 0)
+    return found.select(F.col("file").alias("document_id"), F.col("record").alias("line_no"), "sku", "name", "packing", "cartons", "quantity", "cost_price", "total_amount_rmb", "remarks")
