@@ -129,13 +129,6 @@ def merged_cells(spark: SparkSession, d: str) -> DataFrame:
     return L.merged_cells(C.items(spark, d).select("item_id", cells.alias("cells")))
 
 
-@query("""SELECT client_id, min(document_id) AS first_document, min_by(priority, document_id) AS priority FROM docs WHERE status <> 'P' GROUP BY 1""")
-def order_context(spark: SparkSession, d: str) -> DataFrame:
-    """The first value that any row gives, by key."""
-    docs = C.documents(spark, d).withColumn("priority", F.when(F.col("status") != "P", F.col("priority")))
-    return docs.where(F.col("priority").isNotNull()).groupBy("client_id").agg(F.min("document_id").alias("first_document"), F.min_by("priority", "document_id").alias("priority"))
-
-
 @query("""SELECT item_id, CASE item_id % 6 WHEN 0 THEN 'NEW ORDERS' WHEN 1 THEN 'BEFORE GOODS MAG-' || line_no WHEN 2 THEN 'LOT ' || shop WHEN 3 THEN '37-T-1 18 CTN GOODS STUFFED INTO THIS CONTAINER' WHEN 4 THEN 'cups pans ' || line_no || ' lids' ELSE 'Shipped' END AS label FROM items""")
 def shown_labels(spark: SparkSession, d: str) -> DataFrame:
     k, n = F.col("item_id") % 6, F.col("line_no")

@@ -10,6 +10,7 @@ from quaytally.plans.registry import query
 from quaytally.sources import canonical as C
 from quaytally.sources import grids as G
 from quaytally.sources import imports as I
+from quaytally.sources import lines as L
 from quaytally.sources import pages as P
 
 # Lines go in fours: the first stands below NEW ORDER, the second below goods from before (or left, by document), the
@@ -111,3 +112,32 @@ def imported_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = C.items(spark, d).select(F.col("document_id").alias("file"), n.alias("record"), cells.alias("cells"))
     found = I.imported_rows(rows, F.col("file") % 3 == 0)
     return found.select(F.col("file").alias("document_id"), F.col("record").alias("line_no"), "sku", "name", "packing", "cartons", "quantity", "cost_price", "total_amount_rmb", "remarks")
+
+
+@query("""
+, r AS (SELECT *, nullif(CASE line_no % 3 WHEN 1 THEN '' WHEN 2 THEN marks ELSE item_code END, '') AS order_no, CASE WHEN line_no >= 3 THEN 'C-' || line_no END AS customer_no FROM items),
+f AS (SELECT document_id, min(line_no) FILTER (order_no IS NOT NULL) AS l1, min(line_no) FILTER (customer_no IS NOT NULL) AS l2 FROM r GROUP BY 1)
+SELECT f.document_id, a.order_no, b.customer_no, 'dock ' || f.document_id % 7 AS delivery_address, CASE WHEN f.document_id % 2 = 0 THEN '2026-03-15' END AS document_date
+FROM f LEFT JOIN r a ON a.document_id = f.document_id AND a.line_no = l1 LEFT JOIN r b ON b.document_id = f.document_id AND b.line_no = l2""")
+def order_context(spark: SparkSession, d: str) -> DataFrame:
+    """What rows say about their order: under the first key or the second, blank at first, in several rows, and a date that is none."""
+    n = F.col("line_no")
+    cell = lambda key, value: F.struct(F.lit(key).alias("k"), value.cast("string").alias("v"))
+    entries = [
+        cell("ORD NO.", F.when(n % 3 == 2, F.col("marks")).otherwise(" ")), cell("order_no", F.when(n % 3 == 0, F.col("item_code")).otherwise("")), cell("customer_no", F.when(n >= 3, F.concat(F.lit("C-"), n)).otherwise("")),
+        cell("delivery_address", F.concat(F.lit("late "), n)), cell("送货地址", F.concat(F.lit("dock "), F.col("document_id") % 7)), cell("DATE", F.when(F.col("document_id") % 2 == 0, "15/03/2026").otherwise("March")),
+    ]
+    rows = C.items(spark, d).select(F.col("document_id").alias("file"), n.alias("record"), F.map_from_entries(F.array(*entries)).alias("cells"))
+    return I.order_context(rows).withColumnRenamed("file", "document_id")
+
+
+@query("""SELECT document_id, 'ABCD' || (1000000 + document_id) AS container_no, CASE WHEN document_id % 2 = 0 THEN '2026-03-15' ELSE '2001-01-01' END AS document_date, (5 + document_id % 7)::DOUBLE AS total_cartons, 70.125::DOUBLE AS total_cbm, 23183.0::DOUBLE AS total_weight_kg, (1000 + document_id)::DOUBLE AS total_amount_rmb FROM docs""")
+def part_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in parts: other dates and other lines of totals in header, table and footer."""
+    n = F.col("document_id")
+    head = F.concat(F.lit("CONTAINER NO.: ABCD"), F.lit(1_000_000) + n, F.lit(" 9 CTN 9 CBM 9 KGS ¥9 "), F.when(n % 2 == 0, "DATE: 2026/03/15").otherwise("no day"))
+    table = F.lit("<table><tr><td>2019-12-31</td><td>TOTAL 8 CTN 8 CBM 8 KGS ¥8</td></tr></table>")
+    foot = F.concat(F.lit("TOTAL "), 5 + n % 7, F.lit(" CTNS 70.125 CBM 23183 KGS ¥"), F.format_number(F.lit(1000) + n, 0), F.lit(" DATE: 2001-01-01"))
+    chunks = C.documents(spark, d).select("document_id", F.posexplode(F.array(head, table, foot)).alias("chunk", "html"))
+    facts = L.document_facts(L.document_parts(chunks), "text", "header", "footer")
+    return facts.select("document_id", "container_no", "document_date", "total_cartons", "total_cbm", "total_weight_kg", "total_amount_rmb")

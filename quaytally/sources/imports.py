@@ -161,3 +161,16 @@ def imported_rows(rows: DataFrame, is_sales: Column, key: str = "file", at: str
     parts = [f(laid_out.where(F.col("layout") == layout), key, at) for layout, f in ((SALES, sales_rows), (PACKING, packing_rows), (PLAIN, plain_rows))]
     both = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return rules.manifest_repaired(both).select(key, at, *TEXTS, *NUMBERS)
+
+
+# The keys of what all rows of an order say about the order.
+ORDER_KEYS = {"order_no": ("ORD NO.", "order_no"), "customer_no": ("CUS NO.", "customer_no"), "delivery_address": ("送货地址", "DELIVERY ADDRESS", "delivery_address"), "document_date": ("DATE", "date")}
+
+
+def order_context(rows: DataFrame, key: str = "file", at: str = "record") -> DataFrame:
+    """key and ORDER_KEYS of each import: the first value that is not blank, by row, then by the order of the keys; a date
+    that is none is null."""
+    cell = lambda k: F.nullif(F.trim(F.try_element_at("cells", F.lit(k))), F.lit(""))
+    own = {c: F.coalesce(*map(cell, keys)) for c, keys in ORDER_KEYS.items()}
+    found = rows.groupBy(key).agg(*(F.min_by(v, F.when(v.isNotNull(), F.col(at))).alias(c) for c, v in own.items()))
+    return found.withColumn("document_date", N.iso_date(F.col("document_date")))

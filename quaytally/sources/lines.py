@@ -336,14 +336,32 @@ def printed_date(c: Column) -> Column:
     return F.coalesce(*(one(*f) for f in forms))
 
 
-def document_facts(documents: DataFrame, text: str) -> DataFrame:
-    """What a document's text says about the document: names, printed totals, amounts in dollars."""
+def document_parts(chunks: DataFrame, html: str = "html") -> DataFrame:
+    """document_id, header (the texts above the first table), footer (those below it) and text (header, footer, then all
+    chunks without tags, tables too) of documents (document_id, chunk, html), a line for each chunk."""
+    plain = T.squeezed(F.regexp_replace(T.text(html), "<[^>]+>", " "))
+    rows = chunks.select("document_id", "chunk", plain.alias("plain"), F.coalesce(F.col(html).rlike(r"(?i)<table[\s>]"), F.lit(False)).alias("is_table"))
+    found = rows.where("plain <> '' or is_table").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "plain", "is_table"))).alias("parts"), F.min(F.when(F.col("is_table"), F.col("chunk"))).alias("first"))
+    joined = lambda keep: F.array_join(F.transform(F.filter("parts", lambda p: keep(p) & (p["plain"] != "")), lambda p: p["plain"]), "\n")
+    above = lambda p: F.coalesce(p["chunk"] < F.col("first"), F.lit(True))
+    found = found.select("document_id", joined(lambda p: ~p["is_table"] & above(p)).alias("header"), joined(lambda p: ~p["is_table"] & ~above(p)).alias("footer"), joined(lambda p: F.lit(True)).alias("all"))
+    return found.select("document_id", "header", "footer", F.concat_ws("\n", *(F.nullif(c, F.lit("")) for c in ("header", "footer", "all"))).alias("text"))
+
+
+def document_facts(documents: DataFrame, text: str, header: str | None = None, footer: str | None = None) -> DataFrame:
+    """What a document's text says about the document: names, printed totals, amounts in dollars.
+
+    Where the document is in parts (see document_parts), its labelled date comes from the header and its line of totals from the footer."""
     flat = T.squeezed(T.text(text))
     clean = F.replace(flat, F.lit(","), F.lit(""))
     lines = F.split(T.text(text), "\n")
+    last_lines = F.split(T.text(footer or text), "\n")
     metric = lambda x: x.rlike("(?i)CTN|CBM|KGS")
-    totals_line = F.coalesce(F.try_element_at(F.filter(lines, lambda x: x.rlike("(?i)TOTAL") & metric(x)), F.lit(1)), F.try_element_at(F.filter(lines, metric), F.lit(1)), F.lit(""))
+    totals_line = F.coalesce(F.try_element_at(F.filter(last_lines, lambda x: x.rlike("(?i)TOTAL") & metric(x)), F.lit(1)), F.try_element_at(F.filter(last_lines, metric), F.lit(1)), F.lit(""))
     names = {c: F.coalesce(*(_found(flat, p) for p in patterns)) for c, patterns in NAMES.items()}
+    if header:
+        labelled, *others = NAMES["document_date"]
+        names["document_date"] = F.coalesce(_found(T.text(header), labelled), *(_found(flat, p) for p in others))
     names["document_date"] = F.replace(names["document_date"], F.lit("/"), F.lit("-"))
     totals = {
         c: F.coalesce(*(_amount(_found(clean if c == "total_amount_rmb" else flat, p)) for p in patterns), _amount(_found(F.replace(totals_line, F.lit(","), F.lit("")) if c == "total_amount_rmb" else totals_line, own)), F.nullif(_amount(_found(clean, SALES_TOTALS, i)), F.lit(0.0)))
