@@ -12,6 +12,7 @@ from quaytally.sources import grids as G
 from quaytally.sources import imports as I
 from quaytally.sources import lines as L
 from quaytally.sources import pages as P
+from quaytally.sources.shared import shared_folder
 
 # Lines go in fours: the first stands below NEW ORDER, the second below goods from before (or left, by document), the
 # third and fourth below a banner of their own. The fourth has no marks and is followed by a subtotal bar.
@@ -141,3 +142,41 @@ def part_facts(spark: SparkSession, d: str) -> DataFrame:
     chunks = C.documents(spark, d).select("document_id", F.posexplode(F.array(head, table, foot)).alias("chunk", "html"))
     facts = L.document_facts(L.document_parts(chunks), "text", "header", "footer")
     return facts.select("document_id", "container_no", "document_date", "total_cartons", "total_cbm", "total_weight_kg", "total_amount_rmb")
+
+
+def note_files(spark: SparkSession, d: str) -> str:
+    """A folder with a CSV file for each supplier: a title, a header, a record for each item; some cells are quoted, with
+    commas, quotes and line breaks."""
+    quoted = F.concat(F.lit('"'), F.col("description"), F.lit(', ""best""\nof '), "shop", F.lit('"'))
+    record = F.concat_ws(",", F.concat(F.lit("#"), "item_id"), F.when(F.col("line_no") % 2 == 0, quoted).otherwise(F.col("description")), F.concat(whole("total_quantity"), F.lit("\r")))
+    rows = C.items(spark, d).groupBy("supplier_id").agg(F.array_join(F.array_sort(F.collect_list(record)), "\n").alias("records"))
+    folder = shared_folder(spark, "notes")
+    rows.select(F.concat(F.lit("notes of the week\nSKU,NAME,QTY\r\n"), "records")).write.option("maxRecordsPerFile", 1).text(folder)
+    return folder
+
+
+NOTE = """CASE WHEN line_no % 2 = 0 THEN description || ', "best"' || chr(10) || 'of ' || shop ELSE description END"""
+
+
+@query(f"""SELECT '#' || item_id AS first, {NOTE} AS second, total_quantity::BIGINT::VARCHAR AS third FROM items""")
+def csv_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records of CSV files, with commas, quotes and line breaks inside of cells."""
+    rows = G.delivery_notes(spark, note_files(spark, d)).where("size(cells) = 3 and cells[0] <> 'SKU'")
+    return rows.select(*(F.col("cells")[i].alias(c) for i, c in enumerate(("first", "second", "third"))))
+
+
+@query(f"""SELECT '#' || item_id AS sku, {NOTE} AS name, total_quantity::BIGINT::VARCHAR AS qty FROM items""")
+def csv_headed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows below the header of their file, as maps."""
+    rows = G.headed_rows(G.delivery_notes(spark, note_files(spark, d)))
+    return rows.select(*(F.col("cells")[k].alias(k.lower()) for k in ("SKU", "NAME", "QTY")))
+
+
+@query("""SELECT item_id, 'a' || item_id AS first, CASE WHEN item_id % 2 = 0 THEN 'b,' || line_no ELSE '"' || line_no END AS second FROM items""")
+def csv_cells(spark: SparkSession, d: str) -> DataFrame:
+    """One record a file's line, read back by its first cell."""
+    record = F.concat(F.lit("a"), "item_id", F.when(F.col("item_id") % 2 == 0, F.concat(F.lit(',"b,'), "line_no", F.lit('"'))).otherwise(F.concat(F.lit(',""""'), "line_no")))
+    folder = shared_folder(spark, "records")
+    C.items(spark, d).select(record).write.text(folder)
+    rows = G.delivery_notes(spark, folder).where("size(cells) = 2")
+    return rows.select(F.substring(F.col("cells")[0], 2, 30).cast("long").alias("item_id"), F.col("cells")[0].alias("first"), F.col("cells")[1].alias("second"))

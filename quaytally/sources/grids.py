@@ -13,23 +13,80 @@ from pyspark.sql import types as TY
 
 from quaytally.functions.columns import settled
 from quaytally.functions.headers import SKIP, field_of_label
+from quaytally.sources.shared import written
 
 
-CELL_END, RECORD_END = "\x1f", "\x1e"
+#: Blocks of files that are sent to every task at most; more are joined by shuffle.
+MOST_BLOCKS = 200_000
+
+
+def cells_of(record: str) -> list[str]:
+    """The cells of a record: what stands between quotes is taken as it is, a quote between two quoted parts is one; elsewhere
+    commas end cells and carriage returns go."""
+    parts, cells, cell = record.split('"'), [], ""
+    for i, part in enumerate(parts):
+        if i % 2:
+            cell += part
+        elif not part and 0 < i < len(parts) - 1:
+            cell += '"'
+        else:
+            first, *others = part.replace("\r", "").split(",")
+            cell += first
+            for other in others:
+                cells.append(cell)
+                cell = other
+    return [*cells, cell]
+
+
+LINES = "file string, block long, size long, value string, place long, even long, odd long, quotes int"
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (file, block, size, value) with their place in the block, the records begun so far in it if it begins outside of
+    quotes (even) or inside (odd), and whether so far it has an odd number of quotes."""
+    own, place, even, odd, quotes = None, 0, 0, 0, 0
+    for batch in batches:
+        out = []
+        for file, block, value in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3))):
+            if (file, block) != own:
+                own, place, even, odd, quotes = (file, block), 0, 0, 0, 0
+            place, even, odd = place + 1, even + (quotes == 0), odd + quotes
+            quotes = (quotes + value.count('"')) % 2
+            out.append((place, even, odd, quotes))
+        columns = zip(*out) if out else [[]] * 4
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32())))], names=["file", "block", "size", "value", "place", "even", "odd", "quotes"])
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(cells_of, batch.column(2).to_pylist()), pa.list_(pa.string()))], names=["file", "record", "cells"])
 
 
 def delivery_notes(spark: SparkSession, path: str) -> DataFrame:
-    """CSV files of any layout: file, record, cells. Quoted cells may hold line breaks and doubled quotes; all cells are strings.
-
-    A file is one document and is read as a whole. Between quotes its text is taken as it is; outside of
-    them commas end cells and line breaks records, however many cells a record has."""
-    parts = F.split(F.regexp_replace("value", "^\ufeff", ""), '"')
-    inside = lambda i: i % 2 == 1
-    doubled = lambda p, i: (p == "") & (i > 0) & (i < F.size(parts) - 1)
-    ends = lambda p: F.translate(p, ",\n\r", CELL_END + RECORD_END)
-    marked = F.array_join(F.transform(parts, lambda p, i: F.when(inside(i), p).when(doubled(p, i), '"').otherwise(ends(p))), "")
-    records = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(marked, RECORD_END)).alias("at", "line"))
-    return records.select("file", (F.col("at") + 1).alias("record"), F.split("line", CELL_END).alias("cells"))
+    """CSV files of any layout: file, record (from 1), cells. Quoted cells may hold line breaks and doubled quotes; all cells are strings.
+
+    A file is read in blocks, by many tasks. A block counts its quotes and, for both cases, the records that begin
+    in it; sums over a file's blocks tell which case holds and number the records, and the lines of a record come
+    together, over blocks too. What stands behind the last line break is a record, if only an empty one; an empty file has none."""
+    read = spark.read.option("lineSep", "\n").text(path)
+    lines = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), "value")
+    lines = written(lines.mapInArrow(_counted, LINES), "csv")
+    last = F.max_by(F.struct("even", "odd", "quotes"), "place").alias("last")
+    blocks = lines.groupBy("file", "block").agg(last, F.max("size").alias("size"), F.sum(F.octet_length("value") + 1).alias("bytes"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("inside", F.coalesce(F.sum("last.quotes").over(before), F.lit(0)) % 2 == 1)
+    begun = F.when(F.col("inside"), F.col("last.odd")).otherwise(F.col("last.even"))
+    blocks = blocks.withColumn("before", F.coalesce(F.sum(begun).over(before), F.lit(0)))
+    # a line break at the end of a file opens one more record, or goes on with a quoted cell (a byte order mark is no text)
+    ends = blocks.groupBy("file").agg(F.max_by(F.struct((F.col("before") + begun).alias("records"), (F.col("inside") != (F.col("last.quotes") == 1)).alias("inside")), "block").alias("end"), F.max("size").alias("size"), F.sum("bytes").alias("bytes"))
+    ends = ends.where((F.col("size") - F.col("bytes")).isin(0, 3)).select("file", F.lit(1 << 62).alias("block"), F.lit(0).cast("long").alias("place"), F.lit("").alias("value"), (F.col("end.records") + F.when(F.col("end.inside"), 0).otherwise(1)).alias("record"))
+    known = blocks.select("file", "block", "inside", "before")
+    joined = lines.join(F.broadcast(known) if known.limit(MOST_BLOCKS + 1).count() <= MOST_BLOCKS else known, ["file", "block"])
+    record = F.col("before") + F.when(F.col("inside"), F.col("odd")).otherwise(F.col("even"))
+    rows = joined.select("file", "block", "place", "value", record.alias("record")).unionByName(ends)
+    texts = rows.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("block", "place", "value"))).alias("lines"))
+    whole = F.array_join(F.transform("lines", lambda x: x["value"]), "\n")
+    return texts.select("file", "record", whole.alias("text")).mapInArrow(_parsed, "file string, record long, cells array<string>")
 
 
 def headed_rows(records: DataFrame, known: tuple[str, ...] = ("MARKS", "MARKS / SKU", "SKU", "NAME")) -> DataFrame:

@@ -69,3 +69,45 @@ def test_two_header_rows(spark):
     headed = G.with_columns(G.html_grids(spark.createDataFrame([(1, page)], "page_id long, html string")), True).first()
     assert (headed.header_row, headed.data_row) == (0, 2)
     assert headed.columns == ["line_no", "item_code", "description", "total_weight_kg", "remarks", "barcode"]
+
+
+def machine(text):
+    """Records of a CSV text, one sign after another."""
+    rows, row, field, quoted, i = [], [], "", False, 0
+    text = text.removeprefix("\ufeff")
+    while i < len(text):
+        c = text[i]
+        if quoted and c == '"' and text[i + 1 : i + 2] == '"':
+            field, i = field + c, i + 1
+        elif c == '"':
+            quoted = not quoted
+        elif quoted or c not in ",\r\n":
+            field += c
+        elif c == ",":
+            row, field = [*row, field], ""
+        elif c == "\n":
+            rows, row, field = [*rows, [*row, field]], [], ""
+        i += 1
+    return [*rows, [*row, field]]
+
+
+def test_csv_in_blocks_of_any_size_equals_a_plain_machine(spark, tmp_path):
+    import random
+
+    rng, texts = random.Random(5), {}
+    for i in range(4):
+        pieces = ["a", "bc", ",", ",", "\n", "\n", "\r\n", '"', '""', "é", "\x1f", '"x,\ny"', '"q""r\n"']
+        texts[f"{i}.csv"] = "\ufeff" * (i == 3) + "x" + "".join(rng.choice(pieces) for _ in range(60)) + "\n" * (i % 2)
+        (tmp_path / f"{i}.csv").write_bytes(texts[f"{i}.csv"].encode())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (30, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            found = {}
+            for r in G.delivery_notes(spark, str(tmp_path)).orderBy("record").collect():
+                found.setdefault(r.file.rsplit("/", 1)[1], []).append(r.cells)
+            assert found == {name: machine(text) for name, text in texts.items()}, size
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
