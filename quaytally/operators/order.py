@@ -135,13 +135,33 @@ def overflow_reconciled(items: DataFrame, footers: DataFrame, least_pieces: int
     return order.mapInArrow(take, f"document_id {types['document_id']}, item_id {types['item_id']}, whole double").withColumnRenamed("whole", "new_cartons")
 
 
-def running_stock(movements: DataFrame) -> DataFrame:
-    """Quantity after each movement: in adds, out subtracts, an adjustment sets."""
-    order = Window.partitionBy("product_id").orderBy("created_at", "movement_id").rowsBetween(Window.unboundedPreceding, 0)
+#: Seconds of a product's movements that one task puts in order.
+SLICE_SECONDS = 7 * 86_400
+
+
+def running_stock(movements: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """Quantity after each movement: in adds, out subtracts, an adjustment sets.
+
+    A product's movements are cut into slices of time, so that a product with a great share of all is spread over
+    tasks. A slice is summed up as what its last adjustment sets (if it has one) and what is added since; sums over
+    slices, which start anew at those with an adjustment, say what a slice begins with."""
+    at = F.coalesce(F.floor(F.unix_seconds(F.col("created_at").cast("timestamp")) / slice_seconds), F.lit(-(1 << 62)))
+    rows = movements.withColumn("__slice", at)
+    here = Window.unboundedPreceding, Window.currentRow
+    order = Window.partitionBy("product_id", "__slice").orderBy("created_at", "movement_id").rowsBetween(*here)
     signed = F.when(F.col("movement_type") == "out", -F.col("quantity")).otherwise(F.col("quantity"))
-    segment = F.count(F.when(F.col("movement_type") == "adjustment", 1)).over(order)
-    inside = Window.partitionBy("product_id", "segment").orderBy("created_at", "movement_id").rowsBetween(Window.unboundedPreceding, 0)
-    return movements.withColumn("segment", segment).withColumn("stock", F.sum(signed).over(inside)).drop("segment")
+    rows = rows.withColumn("__segment", F.count(F.when(F.col("movement_type") == "adjustment", 1)).over(order))
+    inside = Window.partitionBy("product_id", "__slice", "__segment").orderBy("created_at", "movement_id").rowsBetween(*here)
+    rows = rows.withColumn("__own", F.sum(signed).over(inside))
+    last = F.max_by(F.struct("__segment", "__own"), F.struct("created_at", "movement_id")).alias("last")
+    slices = rows.groupBy("product_id", "__slice").agg(last)
+    over = Window.partitionBy("product_id").orderBy("__slice")
+    slices = slices.withColumn("__part", F.sum((F.col("last.__segment") > 0).cast("int")).over(over))
+    total = F.sum("last.__own").over(Window.partitionBy("product_id", "__part").orderBy("__slice").rowsBetween(*here))
+    slices = slices.withColumn("__total", total).select("product_id", "__slice", F.coalesce(F.lag("__total").over(over), F.lit(0)).alias("__before"))
+    joined = rows.join(slices.withColumnsRenamed({"product_id": "__product", "__slice": "__at"}), F.col("product_id").eqNullSafe(F.col("__product")) & (F.col("__slice") == F.col("__at")))
+    stock = F.col("__own") + F.when(F.col("__segment") == 0, F.col("__before")).otherwise(0)
+    return joined.select(*movements.columns, stock.alias("stock"))
 
 
 def version_changes(versions: DataFrame, key: str, watched: tuple[str, ...]) -> DataFrame:

@@ -80,7 +80,8 @@ def test_chunks(spark):
 def test_rowspan_moves_later_cells(spark):
     page = "<table><tr><td rowspan=2>A</td><td>b</td></tr><tr><td colspan='2'>c&amp;d<br>e</td></tr><tr><td>f<br>rs x</td></tr></table>"
     got = {(r.row, r.col): r.text for r in grids.html_cells(spark.createDataFrame([(1, page), (2, None), (3, "<p>none</p>")], "page_id long, html string")).collect()}
-    assert got == {(0, 0): "A", (0, 1): "b", (1, 0): "A", (1, 1): "c&de", (1, 2): "c&de", (2, 0): "f rs x"}
+    # rows are as wide as the table
+    assert got == {(0, 0): "A", (0, 1): "b", (0, 2): "", (1, 0): "A", (1, 1): "c&de", (1, 2): "c&de", (2, 0): "f rs x", (2, 1): "", (2, 2): ""}
 
 
 def test_delivery_note_csv(spark, tmp_path):
@@ -103,3 +104,72 @@ def test_shift_rules(spark):
     assert (one.cartons, one.quantity, one.total_amount_rmb, one.remarks) == (2.0, 2.0, 15.0, "repair:manifest_outlier_shift")
     fine = dict(description="pan", packing="24pcs/ctn", unit_weight="4KGS", total_weight="8KGS", cartons=2.0, quantity=48.0, unit_cbm=0.1, cbm=0.2, cost_price=5.0, total_amount_rmb=240.0)
     assert rules.manifest_repaired(manifest_row(spark, **fine)).first().asDict() == {c: fine.get(c) for c in rules.MANIFEST_FIELDS}
+
+
+def test_running_stock_is_the_same_in_slices_of_any_length(spark):
+    import random
+    from datetime import datetime, timedelta
+    from decimal import Decimal
+
+    rng = random.Random(3)
+    moves = [(i, rng.choice([1, 1, 1, 2, None]), rng.choice(["in", "in", "out", "adjustment" if i % 9 == 0 else "in"]), Decimal(rng.randrange(1, 50)), datetime(2026, 1, 1) + timedelta(minutes=rng.randrange(3000))) for i in range(400)]
+    moves.append((400, 1, "in", Decimal(7), None))
+    expected, stock = {}, {}
+    for i, product, kind, quantity, _ in sorted(moves, key=lambda m: (m[4] is not None, m[4] or datetime.min, m[0])):
+        stock[product] = quantity if kind == "adjustment" else stock.get(product, 0) + (-quantity if kind == "out" else quantity)
+        expected[i] = stock[product]
+    frame = spark.createDataFrame(moves, "movement_id long, product_id long, movement_type string, quantity decimal(18,2), created_at timestamp")
+    for seconds in (60, 3600, 1 << 40):
+        assert {r.movement_id: r.stock for r in order.running_stock(frame, seconds).collect()} == expected, seconds
+
+
+def test_names_are_ranked_by_their_own_order(spark):
+    from pyspark.sql import functions as F
+
+    from quaytally.operators import joins
+
+    names = ["aez", "\u00e6x", "aex2", "e\u0301z", "ea", "\u00c5ngstrom", "angstrom2", "Zed", "zeb", "\u00df", "ss1", ""]
+    frame = spark.createDataFrame([(n,) for n in names], "name string").select(F.collate("name", "UNICODE_CI_AI").alias("name")).repartition(3)
+    found = [r.name for r in joins.name_ranks(frame, "name").orderBy("name_rank").collect()]
+    assert found == [r.name for r in frame.orderBy("name").collect()]
+    assert sorted(r.name_rank for r in joins.name_ranks(frame, "name").collect()) == list(range(1, len(names) + 1))
+
+
+def test_donors_are_those_of_all_pairs(spark):
+    import random
+
+    from quaytally.operators import joins
+
+    rng = random.Random(8)
+    words = ["steel", "cup", "big", "lid", "cup", "xx", "red"]
+    rows = []
+    for i in range(160):
+        priced = i % 3 != 0
+        rows.append((i, i % 2, i, rng.choice(["AB-1", "AB-2", "CDE-9", "", None]), " ".join(rng.choice(words) for _ in range(rng.randrange(5))), rng.choice([None, 10.0, 11.0, 13.0]), 5.0, float(i) if priced else None, None))
+    items = spark.createDataFrame(rows, "item_id long, document_id long, line_no long, item_code string, description string, qty_per_carton double, total_quantity double, unit_price_rmb double, total_amount_rmb double")
+    keyed = items.select("*", joins.code_stem(items["item_code"]).alias("stem"), joins.tokens(items["description"]).alias("words")).collect()
+    expected = {}
+    for n in (r for r in keyed if not (r.unit_price_rmb or 0) > 0):
+        best = None
+        for d in (r for r in keyed if (r.unit_price_rmb or 0) > 0 and r.document_id == n.document_id):
+            score = 4 * (n.stem != "" and n.stem == d.stem) + 3 * (sum(w in n.words for w in d.words) >= 2) + (None not in (n.qty_per_carton, d.qty_per_carton) and abs(n.qty_per_carton - d.qty_per_carton) <= 2)
+            if score >= 3 and (best is None or (-score, d.line_no) < best):
+                best = (-score, d.line_no)
+        if best:
+            expected[n.item_id] = best
+    assert {r.item_id: (-r.score, r.donor_line) for r in joins.price_donors(items).collect()} == expected
+
+
+def test_compiled_products_may_round_after_each_addition(spark):
+    from decimal import Decimal
+
+    from quaytally.operators import reports
+
+    volumes = ("0.00004", "0.00004", "0.00006", "1")
+    rows = [(i, i, "shipped", "cup", "4pcs/ctn", "m", "c", Decimal(v), Decimal(1), Decimal(4), Decimal(2), Decimal(8)) for i, v in enumerate(volumes)]
+    decimals = ", ".join(f"{c} decimal(18,6)" for c in ("total_cbm", "total_cartons", "total_quantity", "total_weight_kg", "total_amount_rmb"))
+    items = spark.createDataFrame(rows, f"item_id long, line_no long, section string, description string, packaging string, marks string, item_code string, {decimals}")
+    assert float(reports.compiled_products(items).first().cbm) == 1.0001
+    assert float(reports.compiled_products(items, exact=True).first().cbm) == 1.0001
+    assert float(reports.compiled_products(items.where("item_id < 2")).first().cbm) == 0.0001
+    assert float(reports.compiled_products(items.where("item_id < 2"), exact=True).first().cbm) == 0.0
