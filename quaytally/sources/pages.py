@@ -228,8 +228,6 @@ def products(rows: DataFrame, sales: bool = False, full: bool = False) -> DataFr
     kept = F.col("kind") == "product"
     if full:
         kept = (F.col("kind") != "text") | F.col("alone")
-        if sales:  # a flattened row is a product row, with another reading
-            kept = kept & ~F.coalesce((F.col("kind") == "unmapped") & (T.squeezed("line") == ""), F.lit(False))
     doc = Window.partitionBy("document_id").orderBy("chunk", "piece", "row")
     rows = rows.where(kept).withColumn("line_no", F.row_number().over(doc))
     anonymous = T.anonymous_parts(F.col("r_marks"), F.col("r_item_code"), F.col("r_shop"), F.col("r_description"))
@@ -266,8 +264,8 @@ def _manifest_repaired(rows: DataFrame) -> DataFrame:
 def _sales_repaired(rows: DataFrame) -> DataFrame:
     """Rows whose numbers don't cohere are read by position, where they have a row's cells; then numbers out of descriptions."""
     keys = ["document_id", "chunk", "piece", "row"]
-    coherent = T.any_of([F.coalesce(F.col(c) <= 0, F.lit(True)) for c in ("total_quantity", "unit_price_rmb", "total_amount_rmb")])
-    found = X.positional_rows(rows.where(coherent).select(*keys, "cells"))
+    lacking = T.any_of([F.coalesce(F.col(c) <= 0, F.lit(True)) for c in ("total_quantity", "unit_price_rmb", "total_amount_rmb")])
+    found = X.positional_rows(rows.where(lacking).select(*keys, "cells"))
     names = [c for c in PRODUCT if c in found.columns and c not in ("marks", "remarks")]
     read = found.select(*keys, F.struct("remarks", *names).alias("read"))
     rows = rows.join(read, keys, "left")
