@@ -10,7 +10,7 @@ PREFIX = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 
 def prefix_number(c: Column) -> Column:
     """The number that the text starts with, else null."""
-    return F.nullif(F.regexp_extract(c, PREFIX, 0), F.lit("")).try_cast("double")
+    return F.regexp_extract(c, PREFIX, 0).try_cast("double")
 
 
 def finite(c: Column) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quaytally.functions.columns import bound
+
 #: White space as the rules know it, with the no-break and the ideographic space.
 SPACE = r"[\s\x{00A0}\x{3000}]"
 
@@ -76,8 +78,10 @@ def canonical_section(section: Column) -> Column:
 def section_label(remarks: Column) -> Column:
     """The label in remarks, percent-decoded."""
     tags = F.filter(F.transform(F.split(text(remarks), ";"), lambda s: F.trim(s)), lambda s: s.startswith("section_label:"))
-    encoded = F.substring_index(F.try_element_at(tags, F.lit(1)), "section_label:", -1)
-    return F.nullif(F.trim(F.coalesce(F.try_url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B"))), encoded)), F.lit(""))
+    # a label without a percent sign is as it is
+    plain = lambda encoded: F.when(encoded.contains("%"), F.coalesce(F.try_url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B"))), encoded)).otherwise(encoded)
+    label = bound(F.substring_index(F.try_element_at(tags, F.lit(1)), "section_label:", -1), plain)
+    return bound(F.trim(label), lambda found: F.when(found != "", found))
 
 
 def section_label_tag(label: Column) -> Column:
@@ -97,18 +101,32 @@ def storage_section(section: Column, remarks: Column) -> Column:
 
 
 def stuffed_header(raw: Column) -> Column:
-    upper = F.upper(raw)
-    compact = F.regexp_replace(upper, "[^A-Z0-9]", "")
     # fixed values: the banner's words as printed and as glued together
-    return any_of([upper.contains("STUFFED INTO THIS CO"), upper.rlike(r"\bGOODS\s+LOAD\s+IN\s+THIS\s+CONTAI?NIER?\b"), *(compact.contains(x) for x in ("GOODSHASBEENSTUFFEDINTOTHISCO", "GOODSLOADINTHISCONTAINER", "GOODSLOADINTHISCONTANIER", "MMBGOODSLOAD"))])
+    glued = lambda compact: any_of([compact.contains(x) for x in ("GOODSHASBEENSTUFFEDINTOTHISCO", "GOODSLOADINTHISCONTAINER", "GOODSLOADINTHISCONTANIER", "MMBGOODSLOAD")])
+    return bound(F.upper(raw), lambda upper: any_of([upper.contains("STUFFED INTO THIS CO"), upper.rlike(r"\bGOODS\s+LOAD\s+IN\s+THIS\s+CONTAI?NIER?\b"), bound(F.regexp_replace(upper, "[^A-Z0-9]", ""), glued)]))
 
 
 def header_kind(raw: Column) -> Column:
     """new_order, before_goods, goods_left, repacked, stuffed, unknown, or null for no section header."""
-    line = squeezed(text(raw))
-    upper = F.upper(line)
+    return bound(squeezed(text(raw)), lambda line: bound(F.upper(line), lambda upper: _kind_of_line(line, upper)))
+
+
+def goods_left(line: Column, upper: Column) -> Column:
+    return any_of([F.replace(upper, F.lit(" "), F.lit("")).contains("GOODSLEFTINSANCARGO"), line.rlike(r"\bGOODS\s+LEFT\b") & upper.rlike(r"\bSANCARGO\b"), upper.rlike(r"\bLEFT\s+IN\s+WAREHOUSE\b")])
+
+
+def opens_goods_left(raw: Column) -> Column:
+    """Whether header_kind is goods_left, for many lines that are no headers."""
+
+    def kind(line: Column, upper: Column) -> Column:
+        return upper.contains("LEFT") & goods_left(line, upper) & (_kind_of_line(line, upper) == "goods_left")
+
+    return bound(squeezed(text(raw)), lambda line: bound(F.upper(line), lambda upper: kind(line, upper)))
+
+
+def _kind_of_line(line: Column, upper: Column) -> Column:
     new_order = upper.rlike(r"\bNEW\s+ORDERS?\b") & (F.regexp_replace(F.regexp_replace(upper, r"\bNEW\s+ORDERS?\b", ""), r"[\s.:—_-]", "") == "")
-    left = any_of([F.replace(upper, F.lit(" "), F.lit("")).contains("GOODSLEFTINSANCARGO"), line.rlike(r"\bGOODS\s+LEFT\b") & upper.rlike(r"\bSANCARGO\b"), upper.rlike(r"\bLEFT\s+IN\s+WAREHOUSE\b")])
+    left = goods_left(line, upper)
     repacked = stuffed_header(line) & upper.rlike(r"REPACKAGED GOODS|REPACKED GOODS|\bREPACK(?:ED|AGED)?\b")
     yen = line.rlike("[¥￥]")
     priced = yen & (upper.rlike(r"\b(?:CBM|KGS)\b") | line.rlike(r"\d+\s*-\s*\d+\s*$"))
@@ -125,8 +143,8 @@ NO_MARKS = ("MARKS", "PACKING", "ITEM", "SHOP", "CLIENT DETAILS", "CONTAINER NO"
 
 
 def valid_marks(raw: Column) -> Column:
-    first = F.trim(F.substring_index(text(raw), "\n", 1))
-    return (F.length(first) >= 3) & ~first.rlike(rf"{SPACE}|[¥￥\\/]") & ~any_of([F.upper(first).contains(w) for w in NO_MARKS])
+    free = lambda first: bound(F.upper(first), lambda upper: ~any_of([upper.contains(w) for w in NO_MARKS]))
+    return bound(F.trim(F.substring_index(text(raw), "\n", 1)), lambda first: (F.length(first) >= 3) & ~first.rlike(rf"{SPACE}|[¥￥\\/]") & free(first))
 
 
 # Patterns of printed footer lines.
@@ -217,18 +235,24 @@ def resolved_kind(body: Column, name: Column) -> Column:
 
 def without_repeats(label: Column) -> Column:
     """A label whose words are one phrase of two words or more, again and again, is that phrase; else equal words in a row are one."""
-    words = F.split(squeezed(label), " ")
+    return bound(squeezed(label), lambda line: bound(F.split(line, " "), lambda words: _phrase(line, words)))
+
+
+def _phrase(line: Column, words: Column) -> Column:
     n = F.size(words)
     same = lambda p: F.forall(F.sequence(F.lit(1), n), lambda i: F.try_element_at(words, i) == F.try_element_at(words, F.pmod(i - 1, p) + 1))
     period = F.array_min(F.filter(F.sequence(F.lit(2), F.greatest(F.lit(2), F.floor(n / 2).cast("int"))), lambda p: (p * 2 <= n) & (n % p == 0) & same(p)))
     once = F.filter(words, lambda w, i: (i == 0) | (w != F.try_element_at(words, F.greatest(i, F.lit(1)))))
-    return F.when(n < 6, squeezed(label)).when(period.isNotNull(), F.array_join(F.slice(words, F.lit(1), period), " ")).otherwise(F.array_join(once, " "))
+    repeated = bound(period, lambda p: F.when(p.isNotNull(), F.array_join(F.slice(words, F.lit(1), p), " ")).otherwise(F.array_join(once, " ")))
+    return F.when(n < 6, line).otherwise(repeated)
 
 
 def clean_label(label: Column) -> Column:
     """A section's label under its usual name, without repeats."""
-    line = squeezed(text(label))
-    upper = F.upper(line)
+    return bound(squeezed(text(label)), lambda line: bound(F.upper(line), lambda upper: _clean_line(line, upper)))
+
+
+def _clean_line(line: Column, upper: Column) -> Column:
     counted = F.regexp_extract(line, r"(?i)([A-Z0-9-]+\s+\d+\s*CTN\S*)\s+GOODS\s+STUFFED\s+INTO\s+THIS\s+CO", 1)
     return (
         F.when(upper.rlike(r"\bNEW\s+ORDERS?\b"), "NEW ORDERS")
@@ -241,8 +265,10 @@ def clean_label(label: Column) -> Column:
 
 def spurious_label(label: Column) -> Column:
     """Whether a label is a product row that was taken for a banner."""
-    line = squeezed(text(label))
-    upper = F.upper(line)
+    return bound(squeezed(text(label)), lambda line: bound(F.upper(line), lambda upper: _product_line(line, upper)))
+
+
+def _product_line(line: Column, upper: Column) -> Column:
     known = upper.rlike(r"\bNEW\s+ORDERS?\b|\bBEFORE\s+GOODS\b|\bGOODS\s+(?:LEFT|STUFFED|LOAD)\b|\bSTUFFED\s+INTO\s+THIS\s+CO|\bLOAD\s+IN\s+THIS\s+CONTA|\bREPACK|^SHEET\s*\d+\b")
     yen = line.rlike("[¥￥]")
     heading = F.size(F.split(line, " ")).between(2, 14) & ~yen & ~line.rlike(r"\d+\.\d{2,}")
@@ -252,7 +278,10 @@ def spurious_label(label: Column) -> Column:
 
 
 def shown_label(section: Column, remarks: Column) -> Column:
-    own = section_label(remarks)
+    return bound(section_label(remarks), lambda own: _shown(section, own))
+
+
+def _shown(section: Column, own: Column) -> Column:
     return F.when(own.isNotNull() & ~spurious_label(own), clean_label(own)).when(section == "shipped", "Shipped").when(section == "left_in_warehouse", "Left in Warehouse").when(section == "repacked", "Repacked").otherwise(F.replace(section, F.lit("_"), F.lit(" ")))
 
 
@@ -272,8 +301,8 @@ def rolled_totals(line: Column) -> Column:
 
 def subtotal_line(cells: Column) -> Column:
     """Whether a row of cells is a section's subtotal bar."""
-    line = squeezed(F.array_join(F.filter(cells, lambda c: text(c) != ""), " "))
-    return (line != "") & (line.rlike(r"(?i)\bSUB\s*TOTAL\b|\bSECTION\s+TOTAL\b") | rolled_totals(line))
+    whole = squeezed(F.array_join(F.filter(cells, lambda c: text(c) != ""), " "))
+    return bound(whole, lambda line: (line != "") & (line.rlike(r"(?i)\bSUB\s*TOTAL\b|\bSECTION\s+TOTAL\b") | rolled_totals(line)))
 
 
 def subtotal_fields(description: Column, item_code: Column, cartons: Column, quantity: Column, amount: Column) -> Column:
@@ -287,8 +316,7 @@ def subtotal_fields(description: Column, item_code: Column, cartons: Column, qua
 
 def totals_blob(row_text: Column, *fields: Column) -> Column:
     """Whether a printed total went into the text fields of a mapped row."""
-    line = squeezed(F.concat_ws(" ", row_text, *fields))
-    return (F.length(line) >= 12) & rolled_totals(line)
+    return bound(squeezed(F.concat_ws(" ", row_text, *fields)), lambda line: (F.length(line) >= 12) & rolled_totals(line))
 
 
 def banner_noise(*fields: Column) -> Column:

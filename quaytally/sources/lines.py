@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaytally.functions import text as T
-from quaytally.functions.columns import settled
+from quaytally.functions.columns import bound, joined_in_order, settled
 from quaytally.functions.numbers import finite, integer, prefix_number
 
 # Words that look like marks but are not.
@@ -310,7 +312,7 @@ LEAST_TOTAL_USD = 1000
 
 
 def _found(c: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(c, pattern, group)), F.lit(""))
+    return bound(F.trim(F.regexp_extract(c, pattern, group)), lambda found: F.when(found != "", found))
 
 
 def _amount(c: Column) -> Column:
@@ -319,10 +321,9 @@ def _amount(c: Column) -> Column:
 
 def dollars_near(c: Column, anchor: str, reach: int) -> Column:
     """The first amount of dollars within `reach` characters from the anchor on."""
-    at = F.locate(anchor, F.upper(c))
-    near = F.replace(F.when(at > 0, F.substring(c, at, F.lit(reach))), F.lit(","), F.lit(""))
-    amount = F.coalesce(_amount(_found(near, DOLLARS)), _amount(_found(near, DOLLARS, 2)))
-    return F.when(amount > 0, amount)
+    near = bound(F.locate(anchor, F.upper(c)), lambda at: F.replace(F.when(at > 0, F.substring(c, at, F.lit(reach))), F.lit(","), F.lit("")))
+    amount = bound(near, lambda x: F.coalesce(_amount(_found(x, DOLLARS)), _amount(_found(x, DOLLARS, 2))))
+    return bound(amount, lambda x: F.when(x > 0, x))
 
 
 def printed_date(c: Column) -> Column:
@@ -341,7 +342,7 @@ def document_parts(chunks: DataFrame, html: str = "html") -> DataFrame:
     chunks without tags, tables too) of documents (document_id, chunk, html), a line for each chunk."""
     plain = T.squeezed(F.regexp_replace(T.text(html), "<[^>]+>", " "))
     rows = chunks.select("document_id", "chunk", plain.alias("plain"), F.coalesce(F.col(html).rlike(r"(?i)<table[\s>]"), F.lit(False)).alias("is_table"))
-    found = rows.where("plain <> '' or is_table").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "plain", "is_table"))).alias("parts"), F.min(F.when(F.col("is_table"), F.col("chunk"))).alias("first"))
+    found = rows.where("plain <> '' or is_table").groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "plain", "is_table"))).alias("parts"), F.min(F.when(F.col("is_table"), F.col("chunk"))).alias("first"))
     joined = lambda keep: F.array_join(F.transform(F.filter("parts", lambda p: keep(p) & (p["plain"] != "")), lambda p: p["plain"]), "\n")
     above = lambda p: F.coalesce(p["chunk"] < F.col("first"), F.lit(True))
     found = found.select("document_id", joined(lambda p: ~p["is_table"] & above(p)).alias("header"), joined(lambda p: ~p["is_table"] & ~above(p)).alias("footer"), joined(lambda p: F.lit(True)).alias("all"))
@@ -352,26 +353,29 @@ def document_facts(documents: DataFrame, text: str, header: str | None = None, f
     """What a document's text says about the document: names, printed totals, amounts in dollars.
 
     Where the document is in parts (see document_parts), its labelled date comes from the header and its line of totals from the footer."""
-    flat = T.squeezed(T.text(text))
-    clean = F.replace(flat, F.lit(","), F.lit(""))
-    lines = F.split(T.text(text), "\n")
-    last_lines = F.split(T.text(footer or text), "\n")
+    parts = {"flat": T.squeezed(T.text(text)), "lines": F.split(T.text(text), "\n"), "last_lines": F.split(T.text(footer or text), "\n"), "head": T.text(header or text)}
+    # a file's rows are dealt over all tasks: texts cost much more than their shuffle
+    rows = settled(documents.select("document_id", *dict.fromkeys((text, header or text, footer or text))).repartition("document_id"), **parts).select("document_id", *parts)
+    flat, lines, last_lines = F.col("flat"), F.col("lines"), F.col("last_lines")
     metric = lambda x: x.rlike("(?i)CTN|CBM|KGS")
     totals_line = F.coalesce(F.try_element_at(F.filter(last_lines, lambda x: x.rlike("(?i)TOTAL") & metric(x)), F.lit(1)), F.try_element_at(F.filter(last_lines, metric), F.lit(1)), F.lit(""))
     names = {c: F.coalesce(*(_found(flat, p) for p in patterns)) for c, patterns in NAMES.items()}
     if header:
         labelled, *others = NAMES["document_date"]
-        names["document_date"] = F.coalesce(_found(T.text(header), labelled), *(_found(flat, p) for p in others))
+        names["document_date"] = F.coalesce(_found(F.col("head"), labelled), *(_found(flat, p) for p in others))
     names["document_date"] = F.replace(names["document_date"], F.lit("/"), F.lit("-"))
     totals = {
-        c: F.coalesce(*(_amount(_found(clean if c == "total_amount_rmb" else flat, p)) for p in patterns), _amount(_found(F.replace(totals_line, F.lit(","), F.lit("")) if c == "total_amount_rmb" else totals_line, own)), F.nullif(_amount(_found(clean, SALES_TOTALS, i)), F.lit(0.0)))
+    rows = settled(rows, clean=F.replace(flat, F.lit(","), F.lit("")), totals_line=totals_line)
+    rows = settled(rows, totals_clean=F.replace("totals_line", F.lit(","), F.lit("")))
+    clean, own_line = F.col("clean"), lambda c: F.col("totals_clean" if c == "total_amount_rmb" else "totals_line")
+        c: F.coalesce(*(_amount(_found(clean if c == "total_amount_rmb" else flat, p)) for p in patterns), _amount(_found(own_line(c), own)), bound(_amount(_found(clean, SALES_TOTALS, i)), lambda x: F.when(x != 0, x)))
         for c, (patterns, own, i) in TOTALS.items()
     }
     near = F.filter(F.transform(F.filter(lines, lambda x: x.rlike(r"(?i)TOTAL\s+COST") & x.rlike("(?i)USD")), lambda x: dollars_near(F.replace(x, F.lit(","), F.lit(" ")), "TOTAL COST", 90)), lambda v: v >= LEAST_TOTAL_USD)
-    anywhere = dollars_near(flat, "TOTAL COST", 140)
-    dollars = {"total_amount_usd": F.coalesce(F.try_element_at(near, F.lit(1)), F.when(anywhere >= LEAST_TOTAL_USD, anywhere))}
+    anywhere = bound(dollars_near(flat, "TOTAL COST", 140), lambda x: F.when(x >= LEAST_TOTAL_USD, x))
+    dollars = {"total_amount_usd": F.coalesce(F.try_element_at(near, F.lit(1)), anywhere)}
     amounts = {c: _amount(_found(flat if c == "exchange_rate" else clean, p)) for c, p in AMOUNTS.items()}
-    return documents.select("document_id", *(v.alias(c) for c, v in (names | totals | dollars | amounts).items()))
+    return rows.select("document_id", *(v.alias(c) for c, v in (names | totals | dollars | amounts).items()))
 
 
 def document_payments(documents: DataFrame, text: str) -> DataFrame:
