@@ -141,8 +141,8 @@ def stage_lines(lines: DataFrame) -> DataFrame:
     The banner of stuffed goods or the header of goods left, which may go on in the next line, ends them."""
     order = Window.partitionBy("document_id").orderBy("line_no")
     rows = lines.withColumn("after", T.squeezed(F.concat_ws(" ", "text", F.lead("text").over(order))))
-    left = lambda c: T.header_kind(c) == "goods_left"
-    ends = F.col("text").rlike(STUFFED_BANNER) | F.coalesce(left(F.col("text")), F.lit(False)) | F.coalesce(left(F.col("after")), F.lit(False))
+    left = lambda c: F.coalesce(T.opens_goods_left(c), F.lit(False))
+    ends = F.col("text").rlike(STUFFED_BANNER) | left(F.col("text")) | left(F.col("after"))
     rows = settled(rows, ends=ends).withColumn("past", F.max(F.col("ends").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("past = 0")
     part = lambda c, i: F.regexp_replace(F.regexp_extract(c, STAGE_TOTAL, i), r"\s+", "")
     total = lambda c: F.when(c.rlike(STAGE_TOTAL), F.concat_ws(" ", *(F.upper(part(c, i)) for i in (1, 2, 3)), F.nullif(part(c, 4), F.lit(""))))
