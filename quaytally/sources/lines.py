@@ -26,7 +26,7 @@ def blocks(lines: DataFrame, starts: Column) -> DataFrame:
     """document_id, block, first_line, text: the lines from each start to the next, joined by spaces."""
     window = Window.partitionBy("document_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     numbered = lines.withColumn("block", F.sum(starts.cast("int")).over(window)).where("block > 0")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]), " ")
+    text = joined_in_order("line_no", F.col("text"), " ")
     return numbered.groupBy("document_id", "block").agg(F.min("line_no").alias("first_line"), T.squeezed(text).alias("text"))
 
 
@@ -158,26 +158,32 @@ def chunks(lines: DataFrame, rows: int = 120, most: int = 1400, overlap: int = 4
     """Pieces of a document's lines that are not blank. A piece ends before a row anchor once it has `rows` anchors,
     and before any line once it has `most` lines; the next one repeats its last `overlap` lines, anchors included.
 
-    Where a piece ends depends on the piece before, so each document is cut line by line."""
+    Where a piece ends depends on the piece before, so each document is cut line by line, many documents a batch."""
 
-    def cut(group: pd.DataFrame) -> pd.DataFrame:
-        own = group.sort_values("line_no").reset_index(drop=True)
-        before = [0, *own["is_anchor"].cumsum()]
-        ends, begin = [], 0
-        for i, anchor in enumerate(own["is_anchor"]):
-            full = lambda: i - begin >= most
-            if anchor and i > begin and (before[i] - before[begin] >= rows or full()):
-                ends.append((begin, i))
+    def ends(anchors: list[bool]) -> list[tuple[int, int]]:
+        before = [0, *accumulate(anchors)]
+        out, begin = [], 0
+        for i, anchor in enumerate(anchors):
+            if anchor and i > begin and (before[i] - before[begin] >= rows or i - begin >= most):
+                out.append((begin, i))
                 begin = max(begin, i - overlap)
             if full():
                 ends.append((begin, i))
                 begin = max(begin, i - overlap)
-        ends.append((begin, len(own)))
-        return pd.DataFrame([(own["document_id"].iloc[0], n, int(own["line_no"].iloc[a]), int(own["line_no"].iloc[b - 1]), "\n".join(own["text"].iloc[a:b])) for n, (a, b) in enumerate(ends)], columns=["document_id", "chunk", "first_line", "last_line", "text"])
+        return [*out, (begin, len(anchors))]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for document, numbers, anchors, texts in zip(*(c.to_pylist() for c in batch.columns)):
+                out += [(document, n, numbers[a], numbers[b - 1], "\n".join(texts[a:b])) for n, (a, b) in enumerate(ends(anchors))]
+            columns = zip(*out) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()))], names=["document_id", "chunk", "first_line", "last_line", "text"])
 
     text = F.trim("text")
-    own = lines.where(text != "").select("document_id", "line_no", text.alias("text"), text.rlike(ROW_ANCHORS).alias("is_anchor"))
-    return own.groupBy("document_id").applyInPandas(cut, "document_id long, chunk int, first_line long, last_line long, text string")
+    own = lines.where(text != "").select(F.col("document_id").cast("long"), F.struct(F.col("line_no").cast("long").alias("line_no"), text.rlike(ROW_ANCHORS).alias("is_anchor"), text.alias("text")).alias("line"))
+    documents = own.groupBy("document_id").agg(F.sort_array(F.collect_list("line")).alias("l")).select("document_id", *(F.col("l")[c].alias(c) for c in ("line_no", "is_anchor", "text")))
+    return documents.mapInArrow(cut, "document_id long, chunk int, first_line long, last_line long, text string")
 
 
 def fragments_to_lines(fragments: DataFrame, bucket: float = 4.0) -> DataFrame:
@@ -185,7 +191,7 @@ def fragments_to_lines(fragments: DataFrame, bucket: float = 4.0) -> DataFrame:
 
     y grows upwards, so a page's first line is the one with the largest row."""
     row = F.floor(F.col("y") / bucket + 0.5).cast("long")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", F.trim("text").alias("text")))), lambda s: s["text"]), " ")
+    text = joined_in_order("x", F.trim("text"), " ")
     return fragments.where(F.trim("text") != "").groupBy("document_id", "page", row.alias("row")).agg(T.squeezed(text).alias("text"))
 
 
