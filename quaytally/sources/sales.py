@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaytally.functions import text as T
-from quaytally.functions.columns import settled
+from quaytally.functions.columns import bound, settled
 from quaytally.functions.numbers import half_up, prefix_number
 from quaytally.operators.rules import MAX_AMOUNT, MAX_CARTONS, MAX_PER_CARTON, MAX_QUANTITY, SQL_MAX_PRICE
 from quaytally.sources.lines import TAIL
@@ -139,38 +139,40 @@ def flattened_rows(rows: DataFrame, text: str = "text") -> DataFrame:
     """Rows that are one text: line number, order reference, item code, and the rest as description.
 
     A barcode at the end goes; numbers in the rest are recovered."""
-    flat = T.squeezed(T.text(text))
+    flat = F.col("__flat")
+    rows = settled(rows, __flat=T.squeezed(T.text(text)))
     part = lambda i: F.regexp_extract(flat, FLAT_ROW, i)
     rest = F.trim(F.regexp_replace(part(4), r"\s+\d{8,}\s*[\x{4e00}-\x{9fff}A-Za-z]{0,12}\s*$", ""))
-    found = rows.where(flat.rlike(FLAT_ROW)).withColumns({"marks": F.regexp_replace(part(2), r"\s*-\s*", "-"), "item_code": part(3), "description": rest})
+    found = settled(rows.where(flat.rlike(FLAT_ROW)), marks=F.regexp_replace(part(2), r"\s*-\s*", "-"), item_code=part(3), description=rest).drop("__flat")
     empty = {c: F.lit(None).cast("double") for c in TAIL} | {"packaging": F.lit(None).cast("string"), "warehouse": F.lit(None).cast("string"), "remarks": F.lit(FLAT_TAG)}
     return continuation_metrics(collapsed_metrics(found.where("description <> ''").withColumns(empty)))
 
 
 def _tail(nums: Column, most_cartons: int, strict: bool) -> Column:
     """struct(first, values): the twelve numbers of a row among the numbers of a text; missing ones at the beginning are null."""
-    sizes = lambda w: reduce_and([(w[i] > 0) & (w[i] < m) for i, m in ((5, 300), (6, 300), (7, 300), (8, 5), (9, 500), (10, 30), (11, 5000))])
-    money = lambda w: (w[2] > 0) & (w[3] > 0) & (w[4] > 0) & (w[2] <= MOST_QUANTITY) & (w[3] <= MOST_PRICE) & (w[4] <= MOST_AMOUNT)
-    off = lambda w: F.abs(w[2] * w[3] - w[4])
-    agrees = lambda w: off(w) <= F.greatest(F.lit(2.0), w[4] * 0.06)
-    packed = lambda w: (w[1] > 0) & (w[1] <= MOST_PER_CARTON)
+    # w(k) is a number of the row, read where it stands: a slice for each of them costs more than the row
+    sizes = lambda w: reduce_and([(w(i) > 0) & (w(i) < m) for i, m in ((5, 300), (6, 300), (7, 300), (8, 5), (9, 500), (10, 30), (11, 5000))])
+    money = lambda w: (w(2) > 0) & (w(3) > 0) & (w(4) > 0) & (w(2) <= MOST_QUANTITY) & (w(3) <= MOST_PRICE) & (w(4) <= MOST_AMOUNT)
+    off = lambda w: F.abs(w(2) * w(3) - w(4))
+    agrees = lambda w: off(w) <= F.greatest(F.lit(2.0), w(4) * 0.06)
+    packed = lambda w: (w(1) > 0) & (w(1) <= MOST_PER_CARTON)
     n = F.size(nums)
 
     def scored(i: Column) -> Column:
-        w = F.slice(nums, i, 12)
-        share = w[2] / F.nullif(w[1], F.lit(0.0))
-        score = 1000 - off(w) * 10 - F.abs(w[0] - share) * 20 - F.abs(share - half_up(share)) * 5 - (i - 1) * 0.1
-        fits = money(w) & packed(w) & (w[0] > 0) & (w[0] <= most_cartons) & sizes(w) & agrees(w)
-        return F.when(fits, F.struct(score.alias("score"), (-i).alias("i"), w.alias("w")))
+        w = lambda k: F.get(nums, i + (k - 1))
+        score = lambda share: 1000 - off(w) * 10 - F.abs(w(0) - share) * 20 - F.abs(share - half_up(share)) * 5 - (i - 1) * 0.1
+        fits = money(w) & packed(w) & (w(0) > 0) & (w(0) <= most_cartons) & sizes(w) & agrees(w)
+        return F.when(fits, F.struct(bound(w(2) / F.nullif(w(1), F.lit(0.0)), score).alias("score"), (-i).alias("i")))
 
     best = F.array_max(F.transform(F.when(n >= 12, F.sequence(F.lit(1), n - 11)), scored))
 
     def last(many: int, condition) -> Column:
-        w = F.concat(F.array(*([F.lit(None).cast("double")] * (12 - many))), F.slice(nums, F.greatest(n - many + 1, F.lit(1)), many))
+        w = lambda k: F.get(nums, n + (k - 12)) if k >= 12 - many else F.lit(None).cast("double")
         exact = n >= many if strict or many == 12 else n == many
-        return F.when(F.coalesce(exact & condition(w), F.lit(False)), F.struct((n - many).alias("first"), w.alias("values")))
+        values = F.concat(F.array(*([F.lit(None).cast("double")] * (12 - many))), F.slice(nums, F.greatest(n - many + 1, F.lit(1)), many))
+        return F.when(F.coalesce(exact & condition(w), F.lit(False)), F.struct((n - many).alias("first"), values.alias("values")))
 
-    found = F.when(best.isNotNull(), F.struct((-best["i"] - 1).alias("first"), best["w"].alias("values")))
+    found = bound(best, lambda b: F.when(b.isNotNull(), F.struct((-b["i"] - 1).alias("first"), F.slice(nums, -b["i"], 12).alias("values"))))
     if strict:
         return F.coalesce(found, last(11, lambda w: money(w) & packed(w) & sizes(w) & agrees(w)), last(10, lambda w: money(w) & sizes(w) & agrees(w)))
     return F.coalesce(found, last(12, money), last(11, lambda w: money(w) & packed(w)), last(10, money))
@@ -188,7 +190,8 @@ def _unswapped(nums: Column) -> Column:
     n = F.size(nums)
     agree = lambda i: (F.get(nums, i) > 0) & (F.get(nums, i) <= 100_000) & (F.get(nums, i + 2) > 0) & (F.get(nums, i + 2) < 500) & (F.get(nums, i + 1) > 0) & (F.get(nums, i + 1) < 10_000_000) & (F.abs(F.get(nums, i) * F.get(nums, i + 2) - F.get(nums, i + 1)) <= F.greatest(F.lit(2.0), F.get(nums, i + 1) * 0.06))
     first = F.array_min(F.filter(F.when(n >= 3, F.sequence(F.lit(0), n - 3)), agree))
-    return F.when(first.isNull(), nums).otherwise(F.transform(nums, lambda v, i: F.when(i == first + 1, F.get(nums, i + 1)).when(i == first + 2, F.get(nums, i - 1)).otherwise(v)))
+    # the place is found once, not once for each number
+    return bound(first, lambda at: F.when(at.isNull(), nums).otherwise(F.transform(nums, lambda v, i: F.when(i == at + 1, F.get(nums, i + 1)).when(i == at + 2, F.get(nums, i - 1)).otherwise(v))))
 
 
 def _recovered(rows: DataFrame, text: Column, some: Column, most_cartons: int, strict: bool, tag: str) -> DataFrame:
@@ -203,6 +206,7 @@ def _recovered(rows: DataFrame, text: Column, some: Column, most_cartons: int, s
     use = F.coalesce((F.size("nums") >= 10) & F.col("tail").isNotNull() & ~F.coalesce(v(2) < v(0), F.lit(False)), F.lit(False))
     rows = settled(rows, use=use)
     gaps = F.split("t", NUMBER)
+    # only of rows that take numbers over
     before = F.array_join(F.transform(F.slice(gaps, F.lit(1), F.col("tail.first") + 1), lambda g, i: F.concat(g, F.when(i < F.col("tail.first"), F.get(F.col("raw"), i)).otherwise(""))), "")
     token = F.nullif(T.squeezed(F.regexp_extract(T.squeezed(T.text("description")), WAREHOUSE_IN_TEXT, 1)), F.lit(""))
     new = {}
@@ -225,12 +229,14 @@ def _recovered(rows: DataFrame, text: Column, some: Column, most_cartons: int, s
 
 def collapsed_metrics(rows: DataFrame) -> DataFrame:
     """First pass: numbers before the warehouse in the description, for rows that lack four values or say so there."""
-    text = T.squeezed(T.text("description"))
+    columns = rows.columns
+    rows = settled(rows, __text=T.squeezed(T.text("description")))
+    text = F.col("__text")
     stored = text.rlike(WAREHOUSE_IN_TEXT)
     before = F.trim(F.split(text, WAREHOUSE_IN_TEXT, 2)[0])
     checked = [F.col(c).isNull().cast("int") for c in TAIL if c not in ("unit_cbm", "unit_weight_kg")] + [T.text("warehouse").isin("").cast("int")]
     lacking = sum(checked, F.lit(0)) >= 4
-    return _recovered(rows, before, lacking | stored, FIRST_PASS_CARTONS, False, COLLAPSED_TAG)
+    return _recovered(rows, before, lacking | stored, FIRST_PASS_CARTONS, False, COLLAPSED_TAG).select(columns)
 
 
 def continuation_metrics(rows: DataFrame) -> DataFrame:
