@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -127,3 +128,30 @@ def field_of_label(label: Column, sales: bool) -> Column:
         return bound(normal_label(label), lambda key: _entry(key, CONTAINER_LABELS))
     entries = {label: field for field, own in SALES_LABELS.items() for label in own}
     return bound(normal_label(label), lambda key: F.coalesce(_entry(key, entries), *(F.when(key.rlike(pattern), field) for field, pattern in SALES_PATTERNS)))
+
+
+_SPACES = re.compile("[ \t\n\x0b\f\r\xa0\u3000]+")
+_SPELLINGS = tuple((re.compile(p, re.A), usual.replace("$", "\\")) for p, usual in SPELLINGS)
+_SALES_FIELDS = {label: field for field, own in SALES_LABELS.items() for label in own}
+_SALES_PATTERNS = tuple((field, re.compile(p, re.A)) for field, p in SALES_PATTERNS)
+#: Labels that a task keeps with their fields, and the longest of these.
+KEPT_LABELS, LONGEST_KEPT = 50_000, 80
+
+
+def _named(label: str, sales: bool) -> str | None:
+    key = _SPACES.sub(" ", label.upper()).strip(" ").replace(":", " ").replace("：", " ")
+    key = key.replace("（", "(").replace("）", ")").strip(" ")
+    for pattern, usual in _SPELLINGS:
+        key = pattern.sub(usual, key)
+    key = _SPACES.sub(" ", key).strip(" ")
+    if not sales:
+        return CONTAINER_LABELS.get(key)
+    return _SALES_FIELDS.get(key) or next((field for field, pattern in _SALES_PATTERNS if pattern.search(key)), None)
+
+
+_kept = lru_cache(KEPT_LABELS)(_named)
+
+
+def field_named(label: str, sales: bool) -> str | None:
+    """As field_of_label, inside a task: labels come again and again, so a task keeps what they name."""
+    return (_kept if len(label) <= LONGEST_KEPT else _named)(label, sales)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaytally.functions.columns import joined_in_order
 from quaytally.functions.headers import field_of_label
 from quaytally.plans.registry import query
 from quaytally.sources import canonical as C
@@ -31,7 +32,7 @@ def item_pages(spark: SparkSession, d: str, spans: bool = False) -> DataFrame:
     shop = F.concat(F.lit("<td rowspan='"), 2 + F.col("document_id") % 2, F.lit("'>"), F.col("shop"), F.lit("</td>"))
     opens = F.when((F.col("line_no") - 1) % (2 + F.col("document_id") % 2) == 0, shop).otherwise("") if spans else F.lit("")
     row = F.concat(F.lit("<tr>"), opens, F.lit("<td>"), F.col("line_no"), F.lit("</td><td>"), F.col("item_code"), F.lit("</td><td>"), F.col("description"), F.lit(MARKUP + "</td><td><b>"), whole("total_quantity"), F.lit("</b>&nbsp;</td></tr>"))
-    rows = C.items(spark, d).groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", row.alias("html")))), lambda r: r["html"]), "\n").alias("rows"))
+    rows = C.items(spark, d).groupBy("document_id").agg(joined_in_order("line_no", row, "\n").alias("rows"))
     head = f"<p>list</p><TABLE border=1><tr><td colspan={4 + spans}>order &amp; goods</td></tr><tr>{'<th>SHOP</th>' * spans}<th>No.:</th><th>ITEM NO</th><th>DES.</th><th>T.QTY</th></tr>"
     return rows.select(F.col("document_id").alias("page_id"), F.concat(F.lit(head), "rows", F.lit("</TABLE>")).alias("html"))
 
@@ -61,7 +62,7 @@ def html_two_header_rows(spark: SparkSession, d: str) -> DataFrame:
     """Grouped columns: the second header row names what the first leaves open, or both do together."""
     cell = lambda c: F.concat(F.lit("<td>"), F.col(c).cast("string"), F.lit("</td>"))
     row = F.concat(F.lit("<tr>"), *map(cell, ("line_no", "item_code", "description", "total_weight_kg", "material", "shop")), F.lit("</tr>"))
-    rows = C.items(spark, d).groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", row.alias("html")))), lambda r: r["html"]), "").alias("rows"))
+    rows = C.items(spark, d).groupBy("document_id").agg(joined_in_order("line_no", row, "").alias("rows"))
     head = "<table><tr><td>NO.</td><td colspan=2>GOODS</td><td>TOTAL</td><td>MATERIAL</td><td>W.H.</td></tr><tr><td></td><td>ITEM NO</td><td>DES.</td><td>WEIGHT</td><td></td><td></td></tr>"
     pages = rows.select(F.col("document_id").alias("page_id"), F.concat(F.lit(head), "rows", F.lit("</table>")).alias("html"))
     return G.field_rows(pages, ("item_code", "description", "total_weight_kg", "material", "warehouse")).drop("table")
@@ -97,7 +98,7 @@ def line_blocks(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT document_id, marks, total_cartons::DOUBLE AS total_cartons, total_cbm::DOUBLE AS total_cbm FROM items""")
 def flat_manifest(spark: SparkSession, d: str) -> DataFrame:
     row = F.concat(F.col("marks"), F.lit(" SANCARGO x "), whole("total_cartons"), F.lit("CTNS 0.001CBM "), as_text("total_cbm"), F.lit("CBM "))
-    flat = C.items(spark, d).groupBy("document_id").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", row.alias("t")))), lambda r: r["t"]), ""), F.lit("TOTAL WEIGHT 9KGS")).alias("text"))
+    flat = C.items(spark, d).groupBy("document_id").agg(F.concat(joined_in_order("line_no", row, ""), F.lit("TOTAL WEIGHT 9KGS")).alias("text"))
     return L.flat_manifest_rows(flat).select("document_id", "marks", "total_cartons", "total_cbm")
 
 

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, zip_longest
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
-from quaytally.functions.columns import settled
-from quaytally.functions.headers import SKIP, field_of_label
+from quaytally.functions.headers import SKIP, field_named
 from quaytally.sources.shared import written
 
 
@@ -84,7 +84,7 @@ def delivery_notes(spark: SparkSession, path: str) -> DataFrame:
     joined = lines.join(F.broadcast(known) if known.limit(MOST_BLOCKS + 1).count() <= MOST_BLOCKS else known, ["file", "block"])
     record = F.col("before") + F.when(F.col("inside"), F.col("odd")).otherwise(F.col("even"))
     rows = joined.select("file", "block", "place", "value", record.alias("record")).unionByName(ends)
-    texts = rows.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("block", "place", "value"))).alias("lines"))
+    texts = rows.groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("block", "place", "value"))).alias("lines"))
     whole = F.array_join(F.transform("lines", lambda x: x["value"]), "\n")
     return texts.select("file", "record", whole.alias("text")).mapInArrow(_parsed, "file string, record long, cells array<string>")
 
@@ -235,30 +235,38 @@ def headed(grids: DataFrame, sales: bool, first_rows: int = 8) -> DataFrame:
 
     The header is that of the first rows with most cells that name a field, the first of equals. A row
     below it that holds labels too is part of it: it names what the header leaves open, or both do together."""
-    field = lambda c: field_of_label(c, sales)
     kept = [c for c in grids.columns if c != "grid"]
-    labels = F.transform(F.slice("grid", 1, first_rows + 1), lambda row: F.transform(row, field))
-    rows = settled(settled(grids, grid=F.col("grid")), labels=labels)
-    scores = F.transform(F.slice("labels", 1, first_rows), lambda row, i: F.struct(F.size(F.filter(row, lambda f: f.isNotNull())).alias("score"), (-i).alias("row")))
-    rows = settled(rows, best=F.array_max(scores)).withColumn("header_row", -F.col("best.row"))
-    below, names = (F.try_element_at(c, F.col("header_row") + 2) for c in ("grid", "labels"))
-    filled = F.size(F.filter(below, lambda c: F.trim(c) != ""))
-    hits = F.size(F.filter(names, lambda f: f != SKIP))
-    two = F.coalesce((filled > 0) & ((filled <= 8) & (hits == filled) | (hits >= F.greatest(F.lit(2), F.ceil(filled * 0.35)))), F.lit(False))
-    rows = settled(rows, two=two)
-    first, second = F.try_element_at("grid", F.col("header_row") + 1), F.when(F.col("two"), F.try_element_at("grid", F.col("header_row") + 2))
-    width = F.greatest(F.size(first), F.coalesce(F.size(second), F.lit(0)))
-
-    def column(c: Column) -> Column:
-        a, b = (F.coalesce(F.try_element_at(x, c), F.lit("")) for x in (first, second))
-        return F.coalesce(field(a), field(b), field(F.trim(F.concat_ws(" ", F.nullif(F.trim(a), F.lit("")), F.nullif(F.trim(b), F.lit(""))))))
-
-    # a header's own labels are known by now; only a second row needs another look
-    alone = F.try_element_at("labels", F.col("header_row") + 1)
-    columns = F.when(F.col("two"), F.transform(F.sequence(F.lit(1), width), column)).otherwise(alone)
-    data_row = F.col("header_row") + F.when(F.col("two"), 2).otherwise(1)
-    rows = rows.select(*kept, "grid", F.coalesce("best.score", F.lit(0)).alias("score"), "header_row", data_row.alias("data_row"), alone.alias("first_columns"), columns.alias("columns"))
-    return settled(rows, columns=F.col("columns"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [header_of(grid, sales, first_rows) for grid in batch.column(len(kept)).to_pylist()]
+            new = [pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * len(HEADER), HEADER.values())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*kept, "grid", *HEADER])
+
+    names = TY.ArrayType(TY.StringType())
+    types = {"score": TY.IntegerType(), "header_row": TY.IntegerType(), "data_row": TY.IntegerType(), "first_columns": names, "columns": names}
+    rows = grids.select(*kept, "grid")
+    return rows.mapInArrow(read, TY.StructType([*rows.schema, *(TY.StructField(c, t) for c, t in types.items())]))
+
+
+HEADER = {"score": pa.int32(), "header_row": pa.int32(), "data_row": pa.int32(), "first_columns": pa.list_(pa.string()), "columns": pa.list_(pa.string())}
+
+
+def header_of(grid: list[list[str]], sales: bool, first_rows: int) -> tuple:
+    """A grid's HEADER (see `headed`)."""
+    labels = [[field_named(c or "", sales) for c in row] for row in grid[: first_rows + 1]]
+    if not labels:
+        return 0, None, None, None, None
+    scores = [len(row) - row.count(None) for row in labels[:first_rows]]
+    at = scores.index(max(scores))
+    first, second = grid[at], grid[at + 1] if at + 1 < len(grid) else []
+    filled = sum(bool(c and c.strip(" ")) for c in second)
+    hits = sum(f not in (None, SKIP) for f in labels[at + 1]) if second else 0
+    if not filled or not (filled <= 8 and hits == filled or hits >= max(2, math.ceil(filled * 0.35))):
+        return scores[at], at, at + 1, labels[at], labels[at]
+    pairs = zip_longest(first, second, fillvalue="")
+    columns = [field_named(a, sales) or field_named(b, sales) or field_named(f"{a.strip(' ')} {b.strip(' ')}".strip(" "), sales) for a, b in pairs]
+    return scores[at], at, at + 2, labels[at], columns
 
 
 def with_columns(grids: DataFrame, sales: bool, first_rows: int = 8, least: int = 3) -> DataFrame:
