@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaytally.functions.columns import joined_in_order
 from quaytally.plans.parse_queries import as_text, whole
 from quaytally.plans.registry import query
 from quaytally.sources import canonical as C
@@ -35,7 +36,7 @@ def manifest_pages(spark: SparkSession, d: str) -> DataFrame:
     # every eighth line opens another table, below a text
     opens = F.when((n > 1) & (n % 8 == 1), F.lit(f"</table><p>see also</p>{head}")).otherwise("")
     html = F.concat(opens, F.coalesce(alone(banner), F.lit("")), row, F.coalesce(bar, F.lit("")))
-    rows = C.items(spark, d).groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", html.alias("html")))), lambda r: r["html"]), "").alias("rows"))
+    rows = C.items(spark, d).groupBy("document_id").agg(joined_in_order("line_no", html, "").alias("rows"))
     parts = F.array(F.lit("CLIENT DETAILS: x"), F.concat(F.lit(head), "rows", alone("TOTAL WEIGHT 9 KGS"), F.lit("</table>")), F.lit("TOTAL CARTON 7 CTNS"))
     return rows.select("document_id", F.posexplode(parts).alias("chunk", "html"))
 
@@ -76,7 +77,7 @@ def page_review_rows(spark: SparkSession, d: str) -> DataFrame:
 def html_ragged_rows(spark: SparkSession, d: str) -> DataFrame:
     """Rows of one cell and of two: all are as wide as the widest."""
     row = F.concat(F.lit("<tr><td>"), "item_code", F.when(F.col("line_no") % 3 == 0, "").otherwise(F.concat(F.lit("</td><td>"), "marks")), F.lit("</td></tr>"))
-    rows = C.items(spark, d).groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", row.alias("html")))), lambda r: r["html"]), "\n").alias("rows"))
+    rows = C.items(spark, d).groupBy("document_id").agg(joined_in_order("line_no", row, "\n").alias("rows"))
     return G.html_cells(rows.select(F.col("document_id").alias("page_id"), F.concat(F.lit("<table>"), "rows", F.lit("</table>")).alias("html"))).drop("table")
 
 
@@ -149,7 +150,7 @@ def note_files(spark: SparkSession, d: str) -> str:
     commas, quotes and line breaks."""
     quoted = F.concat(F.lit('"'), F.col("description"), F.lit(', ""best""\nof '), "shop", F.lit('"'))
     record = F.concat_ws(",", F.concat(F.lit("#"), "item_id"), F.when(F.col("line_no") % 2 == 0, quoted).otherwise(F.col("description")), F.concat(whole("total_quantity"), F.lit("\r")))
-    rows = C.items(spark, d).groupBy("supplier_id").agg(F.array_join(F.array_sort(F.collect_list(record)), "\n").alias("records"))
+    rows = C.items(spark, d).groupBy("supplier_id").agg(F.array_join(F.sort_array(F.collect_list(record)), "\n").alias("records"))
     folder = shared_folder(spark, "notes")
     rows.select(F.concat(F.lit("notes of the week\nSKU,NAME,QTY\r\n"), "records")).write.option("maxRecordsPerFile", 1).text(folder)
     return folder

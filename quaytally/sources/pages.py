@@ -6,6 +6,7 @@ a table. Nothing is partitioned by more than a document."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quaytally.functions import numbers as N
 from quaytally.functions import text as T
-from quaytally.functions.columns import settled
+from quaytally.functions.columns import bound, settled
 from quaytally.functions.headers import CONTAINER_LABELS, SALES_LABELS, SKIP
 from quaytally.operators import order, rules, shifts
 from quaytally.sources import grids, sales as X
@@ -31,7 +32,8 @@ REMARKS = {"new_order": "new_order", "before_goods": "before_goods", "goods_left
 SECTIONS = {"new_order": "shipped", "before_goods": "left_in_warehouse", "goods_left": "left_in_warehouse", "repacked": "repacked", "stuffed": "shipped"}
 BEFORE_GOODS_REMARK = "carryover:before_goods"
 TOTAL_LABELS = r"(?i)^(GRAND\s+)?TOTAL\s*[:\s]*$", "^(小计|合计|总计)"
-HEADLESS_CELLS, HEADLESS = 8, r"(?i)\bSANCARGO\b|\bRGO\b|\bMS-[A-Z0-9-]+\b|\b\d+-T-[A-Z0-9-]+\b"
+HEADLESS_CELLS, HEADLESS_CELL = 8, re.compile(r"\bSANCARGO\b|\bRGO\b|\bMS-[A-Z0-9-]+\b|\b[0-9]+-T-[A-Z0-9-]+\b", re.I)
+HEADER_ROWS = 8
 # Marks that stand in another cell, and what a cell with marks never holds.
 MARKS_ALONE = r"(?i)\bMS-[A-Z0-9]+(?:-[A-Z0-9]+)+\s+SANCARGO\b|\b\d+-T-[A-Z0-9]+-\d+\s+SANCARGO\b|^VICHAS$|^M\s+DUSS\b"
 MARKS_NAMED, CARTONS_IN_CELL = r"(?i)^\s*MOSES\b", r"(?i)\d+\s*CTNS?\b"
@@ -79,61 +81,67 @@ def _joined(cells: list[str]) -> str:
     return whole
 
 
-ROWS = [pa.field("row", pa.int32()), pa.field("cells", pa.list_(pa.string())), pa.field("mapped", pa.bool_()), *(pa.field(f"r_{f}", pa.string()) for f in FIELDS)]
+ROWS = [pa.field("piece", pa.int32()), pa.field("row", pa.int32()), pa.field("cells", pa.list_(pa.string())), pa.field("mapped", pa.bool_()), pa.field("text", pa.string()), pa.field("alone", pa.bool_()), *(pa.field(f"r_{f}", pa.string()) for f in FIELDS)]
+NO_FIELDS = (None,) * len(FIELDS)
+#: Rows of a batch, about.
+BATCH_ROWS = 10_000
+
 
+def _more_rows(grid: list[list[str]]) -> bool:
+    """Whether a table without a header looks like more rows of the table before it."""
+    top = grid[0] if grid else []
+    return sum(c != "" for c in top) >= HEADLESS_CELLS and any(map(HEADLESS_CELL.search, top))
+
+
+def _rows_of_chunk(html: str | None, sales: bool) -> Iterator[tuple]:
+    """ROWS of a chunk: its texts, and the rows of its tables that are not blank, with r_<field> (see table_rows)."""
+    pieces = grids.pieces_of(html)
+    alone = all(grid is None for _, grid in pieces)
+    before = None
+    for piece, (text, grid) in enumerate(pieces):
+        if grid is None:
+            yield piece, -1, None, None, text, alone, *NO_FIELDS
+            continue
+        score, _, first, own, names = grids.header_of(grid, sales, HEADER_ROWS)
+        if score >= LEAST_SCORE:
+            before = own
+        else:
+            first, names = 0, before if _more_rows(grid) else None
+            if len(grid) < 2 and names is None:
+                continue
+        if len(grid) < 2 and score >= LEAST_SCORE:
+            continue
+        runs = _last_runs(names or [])
+        for row, cells in enumerate(grid):
+            if row >= first and any(c.strip() for c in cells):
+                aligned = grids.aligned(cells, names, sales) if names else []
+                yield piece, row, cells, names is not None, None, None, *(_joined([aligned[k] for k in runs[f] if k < len(aligned)]) if f in runs else None for f in FIELDS)
+
+
+def table_rows(chunks: DataFrame, sales: bool, html: str = "html") -> DataFrame:
+    """document_id, chunk, piece, row, cells (as printed), r_<field> (null where the table has no such column), text (of pieces that are no
+    table), alone (whether the chunk has no table), mapped (whether the table's columns are known).
 
-def _fields_of_rows(sales: bool):
-    """Tables (keys, piece, columns, first_row, grid) to their rows that are not blank, with r_<field> (see table_rows)."""
+    A table without a header takes the columns of the one before it in its chunk, if it looks like more of its rows.
+    A chunk is read in one go, so no row is shuffled here."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns, first_rows, grids_ = (batch.column(i).to_pylist() for i in (3, 4, 5))
             at: list[int] = []
             out: list[tuple] = []
-            for i, (names, first, grid) in enumerate(zip(columns, first_rows, grids_)):
-                runs = _last_runs(names or [])
-                for row, cells in enumerate(grid):
-                    if row >= first and any(c.strip() for c in cells):
-                        own = grids.aligned(cells, names, sales) if names else []
-                        texts = [_joined([own[k] for k in runs[f] if k < len(own)]) if f in runs else None for f in FIELDS]
-                        at.append(i)
-                        out.append((row, cells, names is not None, *texts))
+            for i, page in enumerate(batch.column(2)):
+                found = list(_rows_of_chunk(page.as_py(), sales))
+                at += [i] * len(found)
+                out += found
                 if len(out) >= BATCH_ROWS or i + 1 == batch.num_rows:
-                    own = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(3)]
+                    own = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(2)]
                     new = [pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(ROWS), ROWS)]
-                    yield pa.RecordBatch.from_arrays([*own, *new], names=["document_id", "chunk", "piece", *(f.name for f in ROWS)])
+                    yield pa.RecordBatch.from_arrays([*own, *new], names=["document_id", "chunk", *(f.name for f in ROWS)])
                     at, out = [], []
 
-    return read
-
-
-#: Rows of a batch, about.
-BATCH_ROWS = 10_000
-
-
-def table_rows(chunks: DataFrame, sales: bool, html: str = "html") -> DataFrame:
-    """document_id, chunk, piece, row, cells (as printed), r_<field> (null where the table has no such column), text (of pieces that are no
-    table), alone (whether the chunk has no table), mapped (whether the table's columns are known).
-
-    A table without a header takes the columns of the one before it in its chunk, if it looks like more of its rows."""
-    keys = ["document_id", "chunk"]
-    pieces = grids.html_pieces(chunks, keys, html)
-    in_chunk = Window.partitionBy(*keys)
-    pieces = pieces.withColumn("alone", ~F.max(F.col("table").isNotNull()).over(in_chunk))
-    texts = pieces.where("text is not null").select(*keys, "piece", F.lit(-1).alias("row"), "text", "alone")
-    tables = grids.headed(pieces.where("grid is not null").select(*keys, "piece", "grid"), sales)
-    own = F.col("score") >= LEAST_SCORE
-    before = F.last(F.when(own, F.col("first_columns")), ignorenulls=True).over(in_chunk.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
-    top = F.coalesce(F.get(F.col("grid"), F.lit(0)), F.array().cast("array<string>"))
-    more = (F.size(F.filter(top, lambda c: c != "")) >= HEADLESS_CELLS) & F.exists(top, lambda c: c.rlike(HEADLESS))
-    tables = settled(tables.withColumn("before", before), before=F.when(~own & more, F.col("before")))
-    known = F.when(own, F.col("columns")).when(F.col("before").isNotNull(), F.col("before"))
-    enough = (F.size("grid") >= 2) | F.col("before").isNotNull()
-    tables = settled(tables.where(enough), columns=known, first_row=F.when(own, F.col("data_row")).otherwise(0))
     types = dict(chunks.dtypes)
-    schema = f"document_id {types['document_id']}, chunk {types['chunk']}, piece int, row int, cells array<string>, mapped boolean, " + ", ".join(f"r_{f} string" for f in FIELDS)
-    rows = tables.select(*keys, "piece", "columns", "first_row", "grid").mapInArrow(_fields_of_rows(sales), schema)
-    return rows.unionByName(texts, allowMissingColumns=True)
+    schema = f"document_id {types['document_id']}, chunk {types['chunk']}, piece int, row int, cells array<string>, mapped boolean, text string, alone boolean, " + ", ".join(f"r_{f} string" for f in FIELDS)
+    return chunks.select("document_id", "chunk", html).mapInArrow(read, schema)
 
 
 def _kinds(rows: DataFrame) -> DataFrame:
@@ -155,8 +163,8 @@ def _kinds(rows: DataFrame) -> DataFrame:
 
 def _footer(c: Column) -> Column:
     """Whether a table's row is a line of the document's footer: as for printed lines, but a date makes none."""
-    upper = F.upper(T.squeezed(c))
-    return T.any_of([upper.rlike(p) for p in T.FOOTER_PATTERNS]) | (upper.rlike(r"\bPAYMENT\b") & upper.contains("USD") & ~upper.rlike(r"\bPCS/CTN\b"))
+    paid = lambda upper: upper.contains("PAYMENT") & upper.rlike(r"\bPAYMENT\b") & upper.contains("USD") & ~upper.rlike(r"\bPCS/CTN\b")
+    return bound(F.upper(T.squeezed(c)), lambda upper: T.any_of([upper.rlike(p) for p in T.FOOTER_PATTERNS]) | paid(upper))
 
 
 def walked(chunks: DataFrame, sales: bool = False, html: str = "html") -> DataFrame:
@@ -166,7 +174,8 @@ def walked(chunks: DataFrame, sales: bool = False, html: str = "html") -> DataFr
     The last header at or above a row decides its section, over tables and chunks; an unknown banner opens a
     section of its own. Label and carried-over flag end with their table. Marks go down inside a block; headers and
     subtotals end it. The first block of a table starts with the marks that the last table with open marks ended with."""
-    rows = _kinds(table_rows(chunks, sales, html))
+    # all windows below are by document or finer: one shuffle serves them
+    rows = _kinds(table_rows(chunks, sales, html).repartition("document_id"))
     doc = Window.partitionBy("document_id").orderBy("chunk", "piece", "row")
     here = Window.unboundedPreceding, Window.currentRow
     table = Window.partitionBy("document_id", "chunk", "piece").orderBy("row").rowsBetween(*here)
