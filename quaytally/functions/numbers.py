@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quaytally.functions.columns import bound
-
 PREFIX = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 
 
 def prefix_number(c: Column) -> Column:
     """The number that the text starts with, else null."""
-    # a cast of no text would raise an error inside, which costs more than all the rest
-    return bound(F.regexp_extract(c, PREFIX, 0), lambda found: F.when(found != "", found).try_cast("double"))
+    # null for no match, as a cast of no text would raise an error inside; no lambda, as what stands in one is never generated code
+    return F.try_element_at(F.regexp_extract_all(c, F.lit(PREFIX), F.lit(0)), F.lit(1)).try_cast("double")
 
 
 def finite(c: Column) -> Column:

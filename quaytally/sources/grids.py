@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from itertools import count, zip_longest
+from itertools import count, groupby, zip_longest
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -38,23 +38,63 @@ def cells_of(record: str) -> list[str]:
     return [*cells, cell]
 
 
-LINES = "file string, block long, size long, value string, place long, even long, odd long, quotes int"
+BLOCKS = "file string, block long, size long, even long, odd long, quotes int, bytes long"
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[str]]]:
+    """The blocks of lines (value, then what a block's lines have in common) in their order, each with its texts."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    for own, block in groupby(rows, lambda row: row[1:]):
+        yield own, (row[0] for row in block)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines (file, block, size, value) with their place in the block, the records begun so far in it if it begins outside of
-    quotes (even) or inside (odd), and whether so far it has an odd number of quotes."""
-    own, place, even, odd, quotes = None, 0, 0, 0, 0
-    for batch in batches:
-        out = []
-        for file, block, value in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3))):
-            if (file, block) != own:
-                own, place, even, odd, quotes = (file, block), 0, 0, 0, 0
-            place, even, odd = place + 1, even + (quotes == 0), odd + quotes
+    """A row for each block (value, file, block, size): the records begun in it if it begins outside of quotes (even) or
+    inside (odd), whether it has an odd number of quotes, and its bytes."""
+    for own, values in _by_block(batches):
+        even, odd, quotes, size = 0, 0, 0, 0
+        for value in values:
+            even, odd, size = even + (quotes == 0), odd + quotes, size + len(value.encode()) + 1
             quotes = (quotes + value.count('"')) % 2
-            out.append((place, even, odd, quotes))
-        columns = zip(*out) if out else [[]] * 4
-        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32())))], names=["file", "block", "size", "value", "place", "even", "odd", "quotes"])
+        yield pa.RecordBatch.from_pydict({"file": [own[0]], "block": [own[1]], "size": [own[2]], "even": [even], "odd": [odd], "quotes": pa.array([quotes], pa.int32()), "bytes": [size]})
+
+
+def _recorded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of blocks (value, file, block, size, parted, inside, before) as cells; in a parted file, what may go on in
+    the block before or behind is a text without cells, for `delivery_notes` to put together."""
+    out, signs = [], 0
+
+    def made() -> pa.RecordBatch:
+        columns = zip(*out)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string())))], names=["file", "record", "block", "text", "cells"])
+
+    for (file, block, size, parted, inside, before), values in _by_block(batches):
+        record, lines, bytes_, quoted, cut = before, [], 0, inside, inside
+        for value in values:
+            bytes_ += 0 if parted else len(value.encode()) + 1
+            if not quoted and lines:
+                text = "\n".join(lines)
+                out.append((file, record, block, text, None) if cut else (file, record, block, None, cells_of(text)))
+                signs += len(text)
+                lines, cut = [], False
+            if not lines and not quoted:
+                record += 1
+            lines.append(value)
+            quoted ^= value.count('"') % 2 == 1
+            if signs > BATCH_SIGNS:
+                yield made()
+                out, signs = [], 0
+        ended = not parted and size - bytes_ in (0, 3)  # a line break ends the file (a byte order mark is no text)
+        text = "\n".join([*lines, ""] if ended and quoted else lines)
+        out.append((file, record, block, text, None) if cut or parted and quoted else (file, record, block, None, cells_of(text)))
+        if ended and not quoted:
+            out.append((file, record + 1, block, None, [""]))
+    if out:
+        yield made()
+
+
+#: Signs of a batch of records, about.
+BATCH_SIGNS = 1_000_000
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,28 +105,34 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def delivery_notes(spark: SparkSession, path: str) -> DataFrame:
     """CSV files of any layout: file, record (from 1), cells. Quoted cells may hold line breaks and doubled quotes; all cells are strings.
 
-    A file is read in blocks, by many tasks. A block counts its quotes and, for both cases, the records that begin
-    in it; sums over a file's blocks tell which case holds and number the records, and the lines of a record come
-    together, over blocks too. What stands behind the last line break is a record, if only an empty one; an empty file has none."""
+    A file is read in blocks, by many tasks, and records that lie in one block never leave its task. Of a file in several blocks,
+    each counts its quotes and, for both cases, the records that begin in it; sums over the blocks tell which case holds and
+    number the records. Only records that go over the end of a block are brought together.
+    What stands behind the last line break is a record, if only an empty one; an empty file has none."""
     read = spark.read.option("lineSep", "\n").text(path)
-    lines = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), "value")
-    lines = written(lines.mapInArrow(_counted, LINES), "csv")
-    last = F.max_by(F.struct("even", "odd", "quotes"), "place").alias("last")
-    blocks = lines.groupBy("file", "block").agg(last, F.max("size").alias("size"), F.sum(F.octet_length("value") + 1).alias("bytes"))
+    place = {"file": "file_path", "block": "file_block_start", "size": "file_size"}
+    parted = F.col("_metadata.file_block_length") < F.col("_metadata.file_size")
+    lines = read.select("value", *(F.col(f"_metadata.{m}").alias(c) for c, m in place.items()), parted.alias("parted"))
+    blocks = written(lines.where("parted").drop("parted").mapInArrow(_counted, BLOCKS), "csv")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("inside", F.coalesce(F.sum("last.quotes").over(before), F.lit(0)) % 2 == 1)
-    begun = F.when(F.col("inside"), F.col("last.odd")).otherwise(F.col("last.even"))
+    blocks = blocks.withColumn("inside", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1)
+    begun = F.when(F.col("inside"), F.col("odd")).otherwise(F.col("even"))
     blocks = blocks.withColumn("before", F.coalesce(F.sum(begun).over(before), F.lit(0)))
     # a line break at the end of a file opens one more record, or goes on with a quoted cell (a byte order mark is no text)
-    ends = blocks.groupBy("file").agg(F.max_by(F.struct((F.col("before") + begun).alias("records"), (F.col("inside") != (F.col("last.quotes") == 1)).alias("inside")), "block").alias("end"), F.max("size").alias("size"), F.sum("bytes").alias("bytes"))
-    ends = ends.where((F.col("size") - F.col("bytes")).isin(0, 3)).select("file", F.lit(1 << 62).alias("block"), F.lit(0).cast("long").alias("place"), F.lit("").alias("value"), (F.col("end.records") + F.when(F.col("end.inside"), 0).otherwise(1)).alias("record"))
+    ends = blocks.groupBy("file").agg(F.max_by(F.struct((F.col("before") + begun).alias("records"), (F.col("inside") != (F.col("quotes") == 1)).alias("inside")), "block").alias("end"), F.max("size").alias("size"), F.sum("bytes").alias("bytes"))
+    ends = ends.where((F.col("size") - F.col("bytes")).isin(0, 3)).select("file", (F.col("end.records") + F.when(F.col("end.inside"), 0).otherwise(1)).alias("record"), F.lit(1 << 62).alias("block"), F.lit("").alias("text"))
     known = blocks.select("file", "block", "inside", "before")
-    joined = lines.join(F.broadcast(known) if known.limit(MOST_BLOCKS + 1).count() <= MOST_BLOCKS else known, ["file", "block"])
-    record = F.col("before") + F.when(F.col("inside"), F.col("odd")).otherwise(F.col("even"))
-    rows = joined.select("file", "block", "place", "value", record.alias("record")).unionByName(ends)
-    texts = rows.groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("block", "place", "value"))).alias("lines"))
-    whole = F.array_join(F.transform("lines", lambda x: x["value"]), "\n")
-    return texts.select("file", "record", whole.alias("text")).mapInArrow(_parsed, "file string, record long, cells array<string>")
+    if known.limit(MOST_BLOCKS + 1).count() <= MOST_BLOCKS:
+        placed = lines.join(F.broadcast(known), ["file", "block"], "left")
+    else:
+        numbered = lines.withColumn("place", F.monotonically_increasing_id()).join(known, ["file", "block"], "left")
+        placed = numbered.repartition("file", "block").sortWithinPartitions("file", "block", "place")
+    placed = placed.select("value", "file", "block", "size", "parted", F.coalesce("inside", F.lit(False)).alias("inside"), F.coalesce("before", F.lit(0)).cast("long").alias("before"))
+    records = lambda rows: rows.mapInArrow(_recorded, "file string, record long, block long, text string, cells array<string>")
+    pieces = records(placed.where("parted")).where("cells is null").select("file", "record", "block", "text").unionByName(ends)
+    texts = pieces.groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("block", "text"))).alias("pieces"))
+    rest = texts.select("file", "record", F.array_join("pieces.text", "\n").alias("text")).mapInArrow(_parsed, "file string, record long, cells array<string>")
+    return records(placed).where("cells is not null").select("file", "record", "cells").unionByName(rest)
 
 
 def headed_rows(records: DataFrame, known: tuple[str, ...] = ("MARKS", "MARKS / SKU", "SKU", "NAME")) -> DataFrame:
