@@ -143,28 +143,41 @@ def headed_rows(records: DataFrame, known: tuple[str, ...] = ("MARKS", "MARKS /
     named = F.exists("cells", lambda c: F.upper(F.trim(c)).isin(*known))
     first = F.min(F.struct((~named).alias("other"), "record", "cells")).over(Window.partitionBy("file"))
     rows = records.withColumn("header", first).where("record > header.record")
-    title = lambda c: F.trim(F.replace(c, F.lit("\n"), F.lit(" ")))
-    names = F.transform(F.col("header.cells"), lambda c, i: F.when(title(c) == "", F.concat(F.lit("__col"), i)).otherwise(title(c)))
-    filled = F.size(F.filter("cells", lambda c: F.trim(c) != ""))
-    rows = rows.where((filled > 1) | F.col("header.other")).withColumn("names", names)
-    again = lambda name, i: F.array_contains(F.slice(F.col("names"), i + 2, F.size("names")), name)
-    entries = F.filter(F.transform("names", lambda name, i: F.when(~again(name, i), F.struct(name.alias("k"), F.coalesce(F.get(F.col("cells"), i), F.lit("")).alias("v")))), lambda e: e.isNotNull())
-    return rows.select("file", "record", F.map_from_entries(entries).alias("cells"))
+    return rows.select("file", "record", "cells", "header.other", F.col("header.cells").alias("header")).mapInArrow(_mapped, "file string, record long, cells map<string,string>")
+
+
+def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (file, record, cells, other, header) as maps; the names of a header are made once for all rows below it."""
+    own, places = None, {}
+    for batch in batches:
+        kept, maps = [], []
+        for i, (cells, other, header) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))):
+            if header != own:
+                titles = [c.replace("\n", " ").strip(" ") for c in header]
+                own, places = header, {title or f"__col{at}": at for at, title in enumerate(titles)}
+            if other or sum(c.strip(" ") != "" for c in cells) > 1:
+                kept.append(i)
+                maps.append([(name, cells[at] if at < len(cells) else "") for name, at in places.items()])
+        at = pa.array(kept, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(maps, pa.map_(pa.string(), pa.string()))], names=["file", "record", "cells"])
 
 
 # Named entities and their signs, in the order in which they are decoded.
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "))
 WHITE = re.compile("[ \t\n\x0b\f\r\xa0\u3000]+")
+#: White space that is more than a space.
+WIDE = re.compile("  |[\t\n\x0b\f\r\xa0\u3000]")
 TABLE, ROW = re.compile(r"<table\b[^>]*>.*?</table>", re.I | re.S), re.compile(r"<tr\b[^>]*>(.*?)</tr>", re.I | re.S)
 CELL = re.compile(r"<t[dh]\b([^>]*)>(.*?)</t[dh]>", re.I | re.S)
 SPAN = re.compile(r"\b(col|row)span\s*=\s*[\"']?(\d+)", re.I)
+HALF, ENDS_SMALL, SMALL = re.compile("[\ud800-\udfff]"), re.compile("[a-zA-Z]$"), re.compile("[a-z]{1,2}")
 BREAK, TAG, NUMBERED = re.compile(r"<br\s*/?>", re.I), re.compile("<[^>]+>"), re.compile("&#([0-9]+|x[0-9a-f]+);", re.I)
 #: Cells of a batch of grids, about.
 BATCH_CELLS = 100_000
 
 
 def _squeezed(text: str) -> str:
-    return WHITE.sub(" ", text).strip(" ")
+    return WHITE.sub(" ", text).strip(" ") if WIDE.search(text) else text.strip(" ")
 
 
 def _sign(found: re.Match) -> str:
@@ -179,36 +192,51 @@ def decoded(text: str) -> str:
         return text
     for name, sign in ENTITIES:
         text = text.replace(name, sign)
-    return NUMBERED.sub(_sign, text).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace") if "&#" in text else text
+    if "&#" in text:
+        text = NUMBERED.sub(_sign, text)
+        if HALF.search(text):  # two halves of a sign are one
+            text = text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+    return text
 
 
 def cell_text(html: str) -> str:
     """A cell's text without tags. A line break is a space, or nothing before one or two small letters that end a word."""
     if "<" not in html:
         return _squeezed(decoded(html))
+    if not BREAK.search(html):
+        return _squeezed(decoded(TAG.sub("", html)))
     whole = ""
     for part in BREAK.split(html):
-        part = _squeezed(decoded(TAG.sub("", part)))
+        part = _squeezed(decoded(TAG.sub("", part) if "<" in part else part))
         if part:
-            ends_word = not whole or (re.search("[a-zA-Z]$", whole) and re.fullmatch("[a-z]{1,2}", part))
+            ends_word = not whole or (SMALL.fullmatch(part) and ENDS_SMALL.search(whole))
             whole += part if ends_word else " " + part
     return _squeezed(whole)
 
 
+def _spans(attributes: str) -> tuple[int, int]:
+    """The columns and rows that a cell spans."""
+    spans = {kind.lower(): max(1, int(n)) for kind, n in SPAN.findall(attributes)}
+    return min(spans.get("col", 1), MOST_COLUMNS), spans.get("row", 1)
+
+
 def grid_of(table: str) -> list[list[str]]:
     """A table as rows of equally many texts; spanned places repeat the cell, missing ones are empty."""
-    taken: dict[tuple[int, int], str] = {}
     rows = ROW.findall(table)
+    if "rowspan" not in table.casefold():  # rows stand for themselves
+        alone = [[text for attributes, html in CELL.findall(line) for text in [cell_text(html)] * (_spans(attributes)[0] if attributes else 1)] for line in rows]
+        most = max(map(len, alone), default=0)
+        return [row + [""] * (most - len(row)) for row in alone]
+    taken: dict[tuple[int, int], str] = {}
     lengths = [0] * len(rows)
     for r, line in enumerate(rows):
         col = 0
         for attributes, html in CELL.findall(line):
             while (r, col) in taken:
                 col += 1
-            spans = {kind.lower(): max(1, int(n)) for kind, n in SPAN.findall(attributes)} if attributes else {}
-            width, text = min(spans.get("col", 1), MOST_COLUMNS), cell_text(html)
+            (width, height), text = _spans(attributes) if attributes else (1, 1), cell_text(html)
             # what a span leaves beyond the last row is no row
-            for k in range(r, min(r + spans.get("row", 1), len(rows))):
+            for k in range(r, min(r + height, len(rows))):
                 lengths[k] = max(lengths[k], col + width)
                 for c in range(col, col + width):
                     taken[k, c] = text
