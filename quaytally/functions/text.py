@@ -18,7 +18,8 @@ def text(c: str | Column) -> Column:
 
 
 def squeezed(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+    # a space alone is left as it is, as to replace each would cost the most
+    return F.trim(F.regexp_replace(c, rf"[\t\n\x0B\f\r\x{{00A0}}\x{{3000}}]{SPACE}*| {SPACE}+", " "))
 
 
 def any_of(conditions: list[Column]) -> Column:
@@ -103,7 +104,7 @@ def storage_section(section: Column, remarks: Column) -> Column:
 def stuffed_header(raw: Column) -> Column:
     # fixed values: the banner's words as printed and as glued together
     glued = lambda compact: any_of([compact.contains(x) for x in ("GOODSHASBEENSTUFFEDINTOTHISCO", "GOODSLOADINTHISCONTAINER", "GOODSLOADINTHISCONTANIER", "MMBGOODSLOAD")])
-    return bound(F.upper(raw), lambda upper: any_of([upper.contains("STUFFED INTO THIS CO"), upper.rlike(r"\bGOODS\s+LOAD\s+IN\s+THIS\s+CONTAI?NIER?\b"), bound(F.regexp_replace(upper, "[^A-Z0-9]", ""), glued)]))
+    return bound(F.upper(raw), lambda upper: any_of([upper.contains("STUFFED INTO THIS CO"), upper.rlike(r"\bGOODS\s+LOAD\s+IN\s+THIS\s+CONTAI?NIER?\b"), bound(F.regexp_replace(upper, "[^A-Z0-9]+", ""), glued)]))
 
 
 def header_kind(raw: Column) -> Column:
@@ -295,8 +296,10 @@ NEW_ORDER = "NEW ORDER"
 def rolled_totals(line: Column) -> Column:
     """Three of cartons, volume, weight and amount in a line with few words and without packing."""
     few = F.size(F.filter(F.split(F.regexp_replace(line, r"[\d.,¥￥\s/:%_-]", " "), " "), lambda w: w.rlike("^[A-Za-z]{3,}"))) < 5
-    signs = sum((line.rlike(p).cast("int") for p in TOTAL_SIGNS), F.lit(0))
-    return (signs >= 3) & few & ~line.rlike(r"(?i)\d+\s*pcs/ctn")
+    cartons, volume, amount, weight = (line.rlike(p) for p in TOTAL_SIGNS)
+    # most lines have neither of the first two, and need no more patterns
+    three = (cartons | volume) & ((cartons & volume & (amount | weight)) | (amount & weight))
+    return three & few & ~line.rlike(r"(?i)\d+\s*pcs/ctn")
 
 
 def subtotal_line(cells: Column) -> Column:
@@ -331,7 +334,7 @@ def anonymous_parts(marks: Column, item_code: Column, shop: Column, description:
 
 def stuffed_banner(text_: Column, *metrics: Column) -> Column:
     """Whether a row is the banner of stuffed goods: its text, and no positive number."""
-    return stuffed_header(text(text_)) & ~any_of([F.coalesce(m > 0, F.lit(False)) for m in metrics])
+    return ~any_of([F.coalesce(m > 0, F.lit(False)) for m in metrics]) & stuffed_header(text(text_))
 
 
 def section_divider(sku: Column) -> Column:
