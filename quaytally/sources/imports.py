@@ -157,8 +157,9 @@ def imported_rows(rows: DataFrame, is_sales: Column, key: str = "file", at: str
     """Typed rows (key, at, TEXTS, NUMBERS) of imports: rows are maps from header to cell (`cells`), as headed_rows gives them.
 
     The layout of an import decides how its rows are mapped; then the chain of shift rules runs over all, twice."""
-    laid_out = layouts(rows, is_sales, key)
-    parts = [f(laid_out.where(F.col("layout") == layout), key, at) for layout, f in ((SALES, sales_rows), (PACKING, packing_rows), (PLAIN, plain_rows))]
+    sold = F.coalesce(is_sales, F.lit(False))
+    laid_out = layouts(rows.where(~sold), F.lit(False), key)  # sales rows need no look at their import
+    parts = [sales_rows(rows.where(sold), key, at), *(f(laid_out.where(F.col("layout") == layout), key, at) for layout, f in ((PACKING, packing_rows), (PLAIN, plain_rows)))]
     both = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return rules.manifest_repaired(both).select(key, at, *TEXTS, *NUMBERS)
 
