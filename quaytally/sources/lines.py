@@ -114,7 +114,7 @@ def merged_cells(rows: DataFrame) -> DataFrame:
         )
 
     token = F.regexp_replace(F.regexp_extract("own", PACKING_TOKEN, 0), r"\s+", "")
-    rows = settled(rows, packing=F.when(F.col("mixed"), token).otherwise(F.col("blob")), found=F.aggregate(F.concat(before, more), start, take))
+    rows = settled(rows, packing=F.when(F.col("mixed"), token).otherwise(F.col("blob")), found=F.aggregate(F.transform(F.concat(before, more), told), start, take))
     return rows.select(*(c for c in rows.columns if c not in ("cells", "packing_at", "data_at", "blob", "lines", "own", "mixed", "found")), "found.*")
 
 
@@ -318,7 +318,11 @@ LEAST_TOTAL_USD = 1000
 
 
 def _found(c: Column, pattern: str, group: int = 1) -> Column:
-    return bound(F.trim(F.regexp_extract(c, pattern, group)), lambda found: F.when(found != "", found))
+    return F.nullif(_part(c, pattern, group), F.lit(""))
+
+
+def _part(c: Column, pattern: str, group: int = 1) -> Column:
+    return F.trim(F.regexp_extract(c, pattern, group))
 
 
 def _amount(c: Column) -> Column:
