@@ -31,9 +31,10 @@ def tagged(remarks: Column, tag: str) -> Column:
 
 
 def rule(r: Column, condition: Column, tag: str, new: dict[str, Column]) -> Column:
-    """The row with new values and the remark where the condition, worked out once, holds."""
+    """The row with new values and the remark where the condition, worked out once, holds; else the row as it is."""
     new = new | {"remarks": tagged(r["remarks"], tag)}
-    return F.transform(F.array(F.coalesce(condition, F.lit(False))), lambda c: F.struct(*(F.when(c, new[f]).otherwise(r[f]).alias(f) if f in new else r[f].alias(f) for f in ROW_FIELDS)))[0]
+    types = {f: "string" if f in TEXT_FIELDS else "double" for f in ROW_FIELDS}
+    return F.when(condition, F.struct(*((new[f].cast(t) if f in new else r[f]).alias(f) for f, t in types.items()))).otherwise(r)
 
 
 def zero(c: Column) -> Column:
@@ -62,9 +63,10 @@ def classic(r: Column) -> Column:
     leaks = amount.between(0, BOX_LEAK)
     compact = leaks & zero(r["total_cbm"]).between(*MOVED_CBM) & zero(r["total_weight_kg"]).between(*MOVED_WEIGHT)
     paired = (cartons <= PAIRED_CARTONS) & qty.between(*PAIRED_DIMENSIONS) & (F.abs(cartons - qty) <= PAIRED_GAP) & leaks & (zero(r["unit_cbm"]) > 0) & (zero(r["unit_cbm"]) <= 2) & zero(r["total_cbm"]).between(*MOVED_CBM)
-    some = packed.isNotNull() & pieces_of(r["description"]).isNotNull() & (cartons > 0) & (qty > 0) & (price >= LEAST_MOVED_PRICE)
+    # numbers first, here and in the rules below: texts are read only in rows whose numbers allow the rule
+    some = (cartons > 0) & (qty > 0) & (price >= LEAST_MOVED_PRICE)
     some = some & ((cartons >= LEAST_MOVED_CARTONS) | (cartons > qty * 2) | paired) & (qty.between(*DIMENSIONS) | compact) & (((zero(r["dim_l_cm"]) > 0) & (zero(r["dim_l_cm"]) < 2)) | compact)
-    some = some & ~((amount >= 1000) & (amount < price * 0.1))
+    some = some & ~((amount >= 1000) & (amount < price * 0.1)) & packed.isNotNull() & pieces_of(r["description"]).isNotNull()
     trailing = T.trailing_packing(T.text(r["description"]))
     new = moved_by_one(r) | {
         "packaging": F.coalesce(trailing, r["packaging"]), "description": F.when(trailing.isNotNull(), T.without_trailing_packing(r["description"])).otherwise(r["description"]),
@@ -76,7 +78,7 @@ def classic(r: Column) -> Column:
 def parts(r: Column) -> Column:
     """Parts without a price whose volume and weight moved."""
     packed, trailing = T.packing_cartons(T.text(r["packaging"])), T.trailing_packing(T.text(r["description"]))
-    some = packed.isNotNull() & trailing.isNotNull() & T.text(r["description"]).rlike(r"(?i)FOOD\s+WARMER\s+PARTS") & (zero(r["total_cbm"]) >= 5) & (zero(r["unit_cbm"]) > 0) & (zero(r["total_weight_kg"]) == 0)
+    some = (zero(r["total_cbm"]) >= 5) & (zero(r["unit_cbm"]) > 0) & (zero(r["total_weight_kg"]) == 0) & packed.isNotNull() & trailing.isNotNull() & T.text(r["description"]).rlike(r"(?i)FOOD\s+WARMER\s+PARTS")
     counted = (packed > 0) & (pieces_of(trailing) > 0) & (zero(r["total_quantity"]) < 80)
     new = {
         "packaging": trailing, "description": F.coalesce(T.without_trailing_packing(r["description"]), r["description"]), "total_cartons": packed, "total_quantity": F.when(counted, packed * pieces_of(trailing)).otherwise(r["total_quantity"]),
@@ -88,7 +90,7 @@ def parts(r: Column) -> Column:
 def carton_only(r: Column) -> Column:
     """Packing holds the cartons and the description no packing: pieces a carton come from the quantity."""
     packed = T.packing_cartons(T.text(r["packaging"]))
-    some = (packed > 0) & (zero(r["total_cartons"]) >= CARTON_ONLY) & (zero(r["unit_price_rmb"]) >= CARTON_ONLY_PRICE) & (zero(r["total_amount_rmb"]) <= 0) & zero(r["total_quantity"]).between(*PAIRED_DIMENSIONS)
+    some = (zero(r["total_cartons"]) >= CARTON_ONLY) & (zero(r["unit_price_rmb"]) >= CARTON_ONLY_PRICE) & (zero(r["total_amount_rmb"]) <= 0) & zero(r["total_quantity"]).between(*PAIRED_DIMENSIONS) & (packed > 0)
     per = half_up(r["total_cartons"] / F.nullif(packed, F.lit(0.0)))
     new = moved_by_one(r) | {"total_cartons": packed, "qty_per_carton": F.when(per > 0, per.cast("double")).otherwise(r["qty_per_carton"]), "packaging": F.when(per > 0, F.concat(per.cast("long"), F.lit("pcs/ctn"))).otherwise(r["packaging"])}
     return rule(r, some, "repair:shifted_manifest_carton_only_row", new)
@@ -98,7 +100,7 @@ def ctn_packed(r: Column) -> Column:
     """As carton_only, for small counts with a unit volume among the dimensions."""
     packed = T.packing_cartons(T.text(r["packaging"]))
     length, unit = zero(r["dim_l_cm"]), zero(r["unit_cbm"])
-    some = (packed > 0) & zero(r["total_quantity"]).between(*PAIRED_DIMENSIONS) & (length > 0) & (length < 1) & (unit > 0) & (unit <= 2) & (zero(r["total_cbm"]) >= 5) & (zero(r["unit_weight_kg"]) >= 5) & (zero(r["total_amount_rmb"]) <= 0)
+    some = zero(r["total_quantity"]).between(*PAIRED_DIMENSIONS) & (length > 0) & (length < 1) & (unit > 0) & (unit <= 2) & (zero(r["total_cbm"]) >= 5) & (zero(r["unit_weight_kg"]) >= 5) & (zero(r["total_amount_rmb"]) <= 0) & (packed > 0)
     kept = {c: v for c, v in moved_by_one(r).items() if c not in ("total_amount_rmb", "unit_price_rmb")}
     price = F.when((zero(r["unit_price_rmb"]) <= 0) & (zero(r["total_weight_kg"]) > 0), r["total_weight_kg"]).otherwise(r["unit_price_rmb"])
     return rule(r, some, "repair:ctn_packed_shifted_row", kept | {"total_cartons": packed, "unit_price_rmb": price})
@@ -107,7 +109,7 @@ def ctn_packed(r: Column) -> Column:
 def cartons_from_packing(r: Column) -> Column:
     """The quantity stands in the carton column as well."""
     packed, per = T.packing_cartons(T.text(r["packaging"])), pieces_of(r["description"])
-    some = (packed > 0) & (per > 0) & (zero(r["total_cartons"]) == packed * per) & (zero(r["total_quantity"]) == zero(r["total_cartons"]))
+    some = (zero(r["total_cartons"]) > 0) & (zero(r["total_quantity"]) == zero(r["total_cartons"])) & (packed > 0) & (per > 0) & (zero(r["total_cartons"]) == packed * per)
     return rule(r, some, "repair:cartons_from_pack_when_qty_correct", {"total_cartons": packed})
 
 
