@@ -101,10 +101,13 @@ def merged_cells(rows: DataFrame) -> DataFrame:
     start = F.struct(F.lit("").alias("item_no"), F.lit("").alias("description"), F.lit("").alias("detail"))
     joined = lambda a, c: F.when(a == "", c).otherwise(F.concat_ws(" ", a, c))
 
-    def take(acc: Column, c: Column) -> Column:
-        parts = [F.trim(F.regexp_extract(c, MERGED_CELL, i)) for i in (1, 2, 3)]
-        number = (acc["item_no"] == "") & c.rlike(r"^\s*\d+\s*$")
-        name = ~number & (acc["description"] == "") & c.rlike(ENGLISH_CELL)
+    # what a cell may be is told once, not again for each use in a lambda
+    told = lambda c: F.struct(c.alias("text"), c.rlike(r"^\s*\d+\s*$").alias("number"), c.rlike(ENGLISH_CELL).alias("name"), *(F.trim(F.regexp_extract(c, MERGED_CELL, i)).alias(f"part{i}") for i in (1, 2, 3)))
+
+    def take(acc: Column, cell: Column) -> Column:
+        c, parts = cell["text"], [cell[f"part{i}"] for i in (1, 2, 3)]
+        number = (acc["item_no"] == "") & cell["number"]
+        name = ~number & (acc["description"] == "") & cell["name"]
         several = ~number & ~name & (sum(((p != "").cast("int") for p in parts), F.lit(0)) >= 2)
         kept = lambda old, part: F.when(several & (old == "") & (part != ""), part).otherwise(old)
         return F.struct(
@@ -228,12 +231,14 @@ SALES_TAIL = r"^(.*?)((?:\s+\d+(?:\.\d+)?){12})\s+(\S+)\s+(\S+)$"
 def sales_rows(lines: DataFrame) -> DataFrame:
     """Sales rows out of text lines: a row goes from "n yyyy-mm-dd" to the next."""
     found = blocks(lines, F.col("text").rlike(r"^\d{1,4}\s+\d{4}-\d{2}-\d{2}$"))
-    part = lambda i: F.regexp_extract(F.regexp_replace("text", r"^(\d+)\s+\S+\s+", ""), SALES_TAIL, i)
-    numbers = F.transform(F.split(F.trim(part(2)), r"\s+"), lambda n: n.try_cast("double"))
-    head = F.regexp_extract(part(1), r"^(\S+)\s+(\S+)\s*(.*)$", 2), F.regexp_extract(part(1), r"^(\S+)\s+(\S+)\s*(.*)$", 3)
+    # one match gives all parts, apart by line breaks: a squeezed text has none
+    found = settled(found, parts=F.split(F.regexp_replace(F.regexp_replace("text", r"^(\d+)\s+\S+\s+", ""), SALES_TAIL, "$1\n$2\n$3\n$4"), "\n"))
+    part = lambda i: F.when(F.size("parts") == 4, F.col("parts")[i - 1]).otherwise("")
+    found = settled(found, head=part(1), numbers=F.split(F.trim(part(2)), r"\s+"))
+    head = F.regexp_extract("head", r"^(\S+)\s+(\S+)\s*(.*)$", 2), F.regexp_extract("head", r"^(\S+)\s+(\S+)\s*(.*)$", 3)
     return found.select(
-        "document_id", F.regexp_extract("text", r"^(\d+)", 1).cast("long").alias("line_no"), F.regexp_extract(part(1), r"^(\S+)", 1).alias("delivery_no"), head[0].alias("item_code"), head[1].alias("description"),
-        *(F.try_element_at(numbers, F.lit(i + 1)).alias(c) for i, c in enumerate(TAIL)), part(3).alias("barcode"), part(4).alias("warehouse"),
+        "document_id", F.regexp_extract("text", r"^(\d+)", 1).cast("long").alias("line_no"), F.regexp_extract("head", r"^(\S+)", 1).alias("delivery_no"), head[0].alias("item_code"), head[1].alias("description"),
+        *(F.try_element_at("numbers", F.lit(i + 1)).try_cast("double").alias(c) for i, c in enumerate(TAIL)), part(3).alias("barcode"), part(4).alias("warehouse"),
     )
 
 
