@@ -260,11 +260,13 @@ def kilograms(c: Column) -> Column:
 
 #: A manifest row: strings, then doubles.
 MANIFEST_FIELDS = ("sku", "description", "packing", "unit_weight", "total_weight", "remarks", "cartons", "quantity", "dim_l_cm", "dim_w_cm", "dim_h_cm", "unit_cbm", "cbm", "cost_price", "total_amount_rmb")
+TEXT_FIELDS = MANIFEST_FIELDS[:6]
 
 
 def replaced(r: Column, condition: Column, new: dict[str, Column]) -> Column:
-    """The row with new values where the condition, worked out once, holds."""
-    return F.transform(F.array(condition), lambda c: F.struct(*(F.when(c, new[f]).otherwise(r[f]).alias(f) if f in new else r[f].alias(f) for f in MANIFEST_FIELDS)))[0]
+    """The row with new values where the condition, worked out once, holds; else the row as it is."""
+    types = {f: "string" if f in TEXT_FIELDS else "double" for f in MANIFEST_FIELDS}
+    return F.when(condition, F.struct(*((new[f].cast(t) if f in new else r[f]).alias(f) for f, t in types.items()))).otherwise(r)
 
 
 def shift_repaired(r: Column) -> Column:
@@ -273,13 +275,13 @@ def shift_repaired(r: Column) -> Column:
     A row (MANIFEST_FIELDS) is repaired from its values as they came."""
     zero_ = lambda c: F.coalesce(r[c], F.lit(0.0))
     cartons_in_packing, trailing = T.packing_cartons(T.text(r["packing"])), T.trailing_packing(T.text(r["description"]))
-    moved = cartons_in_packing.isNotNull() & trailing.isNotNull() & (zero_("cartons") > 0) & (zero_("quantity") > 0)
     classic = (
-        moved & ((r["cartons"] >= 100) | (r["cartons"] > r["quantity"] * 2)) & r["quantity"].between(20, 200) & (zero_("dim_l_cm") > 0) & (zero_("dim_l_cm") < 2) & (zero_("cost_price") >= 500)
+        ((r["cartons"] >= 100) | (r["cartons"] > r["quantity"] * 2)) & r["quantity"].between(20, 200) & (zero_("dim_l_cm") > 0) & (zero_("dim_l_cm") < 2) & (zero_("cost_price") >= 500)
         & (zero_("total_amount_rmb") >= 0) & (zero_("total_amount_rmb") < 1000)
     )
-    parts = moved & ((zero_("cbm") >= 5) | F.coalesce(weight(r["unit_weight"]) >= 200, F.lit(False))) & (zero_("total_amount_rmb") > 0) & (zero_("total_amount_rmb") < 1000)
-    some = F.coalesce(classic | parts, F.lit(False))
+    parts = (zero_("total_amount_rmb") > 0) & (zero_("total_amount_rmb") < 1000) & ((zero_("cbm") >= 5) | F.coalesce(weight(r["unit_weight"]) >= 200, F.lit(False)))
+    # numbers first, here and in the rules below: texts are read only in rows whose numbers allow the rule
+    some = F.coalesce((zero_("cartons") > 0) & (zero_("quantity") > 0) & (classic | parts) & cartons_in_packing.isNotNull() & trailing.isNotNull(), F.lit(False))
     price = F.coalesce(loose_or_null(r["total_weight"]), F.lit(0.0))
     unpriced = (T.text(r["sku"]) == "") & T.text(r["description"]).rlike(r"(?i)FOOD\s+WARMER\s+PARTS")
     amount = F.when(unpriced | ((price <= 0) & (zero_("total_amount_rmb") > 0)), F.lit(None)).otherwise(r["cost_price"])
@@ -293,7 +295,7 @@ def shift_repaired(r: Column) -> Column:
 def no_packing_repaired(r: Column) -> Column:
     """Rows without packing whose quantity, price and amount each stand one column early."""
     price = F.coalesce(loose_or_null(r["total_weight"]), F.lit(0.0))
-    some = F.coalesce((F.trim(T.text(r["packing"])) == "") & (r["cartons"] > 0) & (r["quantity"] <= 0) & price.between(50, 1000) & (r["cost_price"] >= 1000) & r["total_amount_rmb"].between(100, 500), F.lit(False))
+    some = F.coalesce((r["cartons"] > 0) & (r["quantity"] <= 0) & (r["cost_price"] >= 1000) & r["total_amount_rmb"].between(100, 500) & (F.trim(T.text(r["packing"])) == "") & price.between(50, 1000), F.lit(False))
     new = {"cartons": F.lit(None).cast("double"), "quantity": r["cartons"], "cost_price": price, "total_amount_rmb": r["cost_price"], "remarks": T.with_remark(r["remarks"], "repair:no_packing_amount_row")}
     return replaced(r, some, new)
 
@@ -303,10 +305,10 @@ def compact_repaired(r: Column) -> Column:
     packed, pieces, trailing = T.packing_cartons(T.text(r["packing"])), T.packing_pieces(T.text(r["packing"])), T.trailing_packing(T.text(r["description"]))
     had, qty, unit, price = (F.coalesce(r[c], F.lit(0.0)) for c in ("cartons", "quantity", "unit_cbm", "cost_price"))
     total_weight, amount = loose_or_null(r["total_weight"]), r["total_amount_rmb"]
-    compact = packed.isNotNull() & trailing.isNotNull() & (had > 0) & (qty > 0) & (qty < 5) & r["unit_cbm"].isNull() & amount.isNull() & (price >= 100)
+    compact = (had > 0) & (qty > 0) & (qty < 5) & r["unit_cbm"].isNull() & amount.isNull() & (price >= 100) & packed.isNotNull() & trailing.isNotNull()
     early = (
-        (F.coalesce(had > F.greatest(F.lit(20.0), packed * 2), F.lit(False)) | (pieces.isNotNull() & (had > 0) & (had <= 20)))
-        & (qty > 0) & (qty <= 200) & (unit > 0) & (unit <= 5) & (F.coalesce(amount, F.lit(0.0)) <= 100) & ((price >= 500) | F.coalesce(total_weight.between(20, 600), F.lit(False)))
+        (qty > 0) & (qty <= 200) & (unit > 0) & (unit <= 5) & (F.coalesce(amount, F.lit(0.0)) <= 100) & ((price >= 500) | F.coalesce(total_weight.between(20, 600), F.lit(False)))
+        & (F.coalesce(had > F.greatest(F.lit(20.0), packed * 2), F.lit(False)) | ((had > 0) & (had <= 20) & pieces.isNotNull()))
     )
     cartons = F.coalesce(packed, r["cartons"])
     quantity = F.when(pieces.isNotNull() & (cartons > 0), half_up(cartons * pieces).cast("double")).otherwise(had)
@@ -328,9 +330,9 @@ def outliers_repaired(r: Column) -> Column:
     packed = T.packing_cartons(T.text(r["packing"]))
     cartons, qty, cbm, price = (F.coalesce(r[c], F.lit(0.0)) for c in ("cartons", "quantity", "cbm", "cost_price"))
     unit_weight, total_weight = loose_or_null(r["unit_weight"]), loose_or_null(r["total_weight"])
-    base = (packed > 0) & qty.between(20, 220) & (cbm >= 5) & r["total_amount_rmb"].isNull()
-    moved = F.coalesce(base & (cartons > F.greatest(F.lit(20.0), packed * 2)) & (price >= 500), F.lit(False))
-    single = F.coalesce(base & (cartons > 0) & (cartons <= 6) & (price > 0) & (F.abs(total_weight - price) <= 0.01), F.lit(False))
+    base = qty.between(20, 220) & (cbm >= 5) & r["total_amount_rmb"].isNull()
+    moved = F.coalesce(base & (price >= 500) & (packed > 0) & (cartons > F.greatest(F.lit(20.0), packed * 2)), F.lit(False))
+    single = F.coalesce(base & (cartons > 0) & (cartons <= 6) & (price > 0) & (packed > 0) & (F.abs(total_weight - price) <= 0.01), F.lit(False))
     some = moved | single
     volume = F.coalesce(r["unit_cbm"], r["cbm"])
     new = {
@@ -345,7 +347,7 @@ def manifest_repaired(rows: DataFrame) -> DataFrame:
     """The chain of shift rules, run twice as imports do.
 
     Each rule sees the row as one value, so that a rule's result is worked out once."""
-    row = F.struct(*MANIFEST_FIELDS)
+    row = F.struct(*(F.col(f).cast("string" if f in TEXT_FIELDS else "double").alias(f) for f in MANIFEST_FIELDS))
     for rule in (shift_repaired, no_packing_repaired, compact_repaired, outliers_repaired) * 2:
         row = F.transform(F.array(row), rule)[0]
     rest = [c for c in rows.columns if c not in MANIFEST_FIELDS]
