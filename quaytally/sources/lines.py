@@ -19,7 +19,8 @@ NO_TOKENS = ("MARKS", "PACKING", "ITEM", "SHOP", "CLIENT", "CONTAINER", "TOTAL",
 
 def marks_token(c: Column) -> Column:
     t = F.trim(T.text(c))
-    return (F.length(t) >= 3) & ~t.contains(" ") & ~t.rlike(r"^[\d.]+$") & ~F.upper(t).isin(*NO_TOKENS) & t.rlike("[A-Za-z]") & (t.rlike(r"\d") | t.contains("-"))
+    # NO_TOKENS, which have neither digits nor hyphens, need no look
+    return (F.length(t) >= 3) & ~t.contains(" ") & (t.contains("-") | t.rlike(r"\d")) & t.rlike("[A-Za-z]")
 
 
 def blocks(lines: DataFrame, starts: Column) -> DataFrame:
@@ -37,8 +38,8 @@ def number_before(c: Column, unit: str, nth: int = 1) -> Column:
 
 def manifest_rows(lines: DataFrame) -> DataFrame:
     """Manifest rows out of text lines: a row goes from its marks to the next, on one line or many."""
-    found = blocks(lines, marks_token(F.col("text")))
-    c = F.regexp_replace("text", r"^\S+\s+(?:SANCARGO\s+)?", "")
+    found = settled(blocks(lines, marks_token(F.col("text"))), rest=F.regexp_replace("text", r"^\S+\s+(?:SANCARGO\s+)?", ""))
+    c = F.col("rest")
     packing = F.lower(F.regexp_replace(F.regexp_extract(c, r"(?i)\d+\s*[a-z]+\s*/\s*ctn", 0), r"\s", ""))
     amounts = F.regexp_extract_all(c, F.lit(r"[¥￥]\s*([\d,]+(?:\.\d+)?)"), 1)
     money = lambda i: prefix_number(F.replace(F.try_element_at(amounts, F.lit(i)), F.lit(","), F.lit("")))
