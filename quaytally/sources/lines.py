@@ -338,7 +338,7 @@ def _amount(c: Column) -> Column:
 def dollars_near(c: Column, anchor: str, reach: int) -> Column:
     """The first amount of dollars within `reach` characters from the anchor on."""
     near = bound(F.locate(anchor, F.upper(c)), lambda at: F.replace(F.when(at > 0, F.substring(c, at, F.lit(reach))), F.lit(","), F.lit("")))
-    amount = bound(near, lambda x: F.coalesce(_amount(_found(x, DOLLARS)), _amount(_found(x, DOLLARS, 2))))
+    amount = bound(near, lambda x: F.coalesce(_amount(_part(x, DOLLARS)), _amount(_part(x, DOLLARS, 2))))
     return bound(amount, lambda x: F.when(x > 0, x))
 
 
@@ -357,7 +357,7 @@ def document_parts(chunks: DataFrame, html: str = "html") -> DataFrame:
     """document_id, header (the texts above the first table), footer (those below it) and text (header, footer, then all
     chunks without tags, tables too) of documents (document_id, chunk, html), a line for each chunk."""
     plain = T.squeezed(F.regexp_replace(T.text(html), "<[^>]+>", " "))
-    rows = chunks.select("document_id", "chunk", plain.alias("plain"), F.coalesce(F.col(html).rlike(r"(?i)<table[\s>]"), F.lit(False)).alias("is_table"))
+    rows = settled(chunks.select("document_id", "chunk", html), plain=plain, is_table=F.coalesce(F.col(html).rlike(r"(?i)<table[\s>]"), F.lit(False)))
     found = rows.where("plain <> '' or is_table").groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("chunk", "plain", "is_table"))).alias("parts"), F.min(F.when(F.col("is_table"), F.col("chunk"))).alias("first"))
     joined = lambda keep: F.array_join(F.transform(F.filter("parts", lambda p: keep(p) & (p["plain"] != "")), lambda p: p["plain"]), "\n")
     above = lambda p: F.coalesce(p["chunk"] < F.col("first"), F.lit(True))
@@ -384,13 +384,13 @@ def document_facts(documents: DataFrame, text: str, header: str | None = None, f
         names["document_date"] = F.coalesce(_found(F.col("head"), labelled), *(_found(flat, p) for p in others))
     names["document_date"] = F.replace(names["document_date"], F.lit("/"), F.lit("-"))
     totals = {
-        c: F.coalesce(*(_amount(_found(clean if c == "total_amount_rmb" else flat, p)) for p in patterns), _amount(_found(own_line(c), own)), bound(_amount(_found(clean, SALES_TOTALS, i)), lambda x: F.when(x != 0, x)))
+        c: F.coalesce(*(_amount(_part(clean if c == "total_amount_rmb" else flat, p)) for p in patterns), _amount(_part(own_line(c), own)), bound(_amount(_part(clean, SALES_TOTALS, i)), lambda x: F.when(x != 0, x)))
         for c, (patterns, own, i) in TOTALS.items()
     }
     near = F.filter(F.transform(F.filter(lines, lambda x: x.rlike(r"(?i)TOTAL\s+COST") & x.rlike("(?i)USD")), lambda x: dollars_near(F.replace(x, F.lit(","), F.lit(" ")), "TOTAL COST", 90)), lambda v: v >= LEAST_TOTAL_USD)
     anywhere = bound(dollars_near(flat, "TOTAL COST", 140), lambda x: F.when(x >= LEAST_TOTAL_USD, x))
     dollars = {"total_amount_usd": F.coalesce(F.try_element_at(near, F.lit(1)), anywhere)}
-    amounts = {c: _amount(_found(flat if c == "exchange_rate" else clean, p)) for c, p in AMOUNTS.items()}
+    amounts = {c: _amount(_part(flat if c == "exchange_rate" else clean, p)) for c, p in AMOUNTS.items()}
     return rows.select("document_id", *(v.alias(c) for c, v in (names | totals | dollars | amounts).items()))
 
 
