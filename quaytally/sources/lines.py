@@ -13,13 +13,9 @@ from quaytally.functions import text as T
 from quaytally.functions.columns import bound, joined_in_order, settled
 from quaytally.functions.numbers import finite, integer, prefix_number
 
-# Words that look like marks but are not.
-NO_TOKENS = ("MARKS", "PACKING", "ITEM", "SHOP", "CLIENT", "CONTAINER", "TOTAL", "GOODS", "CBM", "KGS", "CTN", "PCS", "SANCARGO", "DESCRIPTION", "UNIT", "WEIGHT", "PRICE", "AMOUNT", "QUANTITY", "DATE", "QTY", "SETS", "NOS", "PRS")
-
-
 def marks_token(c: Column) -> Column:
     t = F.trim(T.text(c))
-    # NO_TOKENS, which have neither digits nor hyphens, need no look
+    # words such as TOTAL or CTN have neither digits nor hyphens
     return (F.length(t) >= 3) & ~t.contains(" ") & (t.contains("-") | t.rlike(r"\d")) & t.rlike("[A-Za-z]")
 
 
@@ -195,6 +191,8 @@ def fragments_to_lines(fragments: DataFrame, bucket: float = 4.0) -> DataFrame:
 
     y grows upwards, so a page's first line is the one with the largest row."""
     row = F.floor(F.col("y") / bucket + 0.5).cast("long")
+    # one shuffle by document serves the lines and all that is done along a document's lines
+    fragments = fragments.repartition("document_id")
     text = joined_in_order("x", F.trim("text"), " ")
     return fragments.where(F.trim("text") != "").groupBy("document_id", "page", row.alias("row")).agg(T.squeezed(text).alias("text"))
 
