@@ -106,7 +106,7 @@ def flat_manifest(spark: SparkSession, d: str) -> DataFrame:
 def cell_pattern_rows(spark: SparkSession, d: str) -> DataFrame:
     cells = [F.col("marks"), F.col("description"), F.col("packaging"), F.concat(whole("total_cartons"), F.lit("CTNS")), F.concat(whole("total_quantity"), F.lit("pcs")), F.lit("0.001CBM"), F.concat(as_text("total_cbm"), F.lit("CBM")), F.lit("1KGS"), F.concat(as_text("total_weight_kg"), F.lit("KGS")), F.concat(F.lit("¥"), F.col("unit_price_rmb")), F.concat(F.lit("¥"), F.col("total_amount_rmb"))]
     moved = F.when(F.col("line_no") % 2 == 0, F.concat(F.array(F.lit("")), F.array(*cells))).otherwise(F.array(*cells))
-    return C.items(spark, d).select("item_id", moved.alias("cells")).select("item_id", *L.pattern_row(F.col("cells")))
+    return L.pattern_rows(C.items(spark, d).select("item_id", moved.alias("cells")))
 
 
 TAILS = ("dim_l_cm", "dim_w_cm", "dim_h_cm", "unit_cbm", "unit_weight_kg", "total_cbm", "total_weight_kg")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import pyarrow as pa
@@ -61,14 +62,34 @@ def flat_manifest_rows(texts: DataFrame) -> DataFrame:
 TAIL = ("total_cartons", "qty_per_carton", "total_quantity", "unit_price_rmb", "total_amount_rmb", "dim_l_cm", "dim_w_cm", "dim_h_cm", "unit_cbm", "unit_weight_kg", "total_cbm", "total_weight_kg")
 
 
-def pattern_row(cells: Column) -> list[Column]:
-    """A manifest row out of cells that moved: each field is found by the form of its cells."""
-    form = lambda pattern, nth=1: F.try_element_at(F.filter(cells, lambda c: F.trim(c).rlike(pattern)), F.lit(nth))
-    number = lambda c: prefix_number(F.replace(F.regexp_replace(c, "[¥￥ ]", ""), F.lit(","), F.lit("")))
-    return [
-        form(r"(?i)^\d+\s*[a-z]+\s*/\s*ctn$").alias("packaging"), number(form(r"(?i)^\d+\s*CTNS?$")).alias("total_cartons"), number(form(r"(?i)^\d+\s*pcs$")).alias("total_quantity"), number(F.coalesce(form(r"(?i)^[\d.]+\s*CBM$", 2), form(r"(?i)^[\d.]+\s*CBM$"))).alias("total_cbm"),
-        number(F.coalesce(form(r"(?i)^[\d.]+\s*KGS?$", 2), form(r"(?i)^[\d.]+\s*KGS?$"))).alias("total_weight_kg"), number(form(r"^[¥￥]", 1)).alias("unit_price_rmb"), number(form(r"^[¥￥]", 2)).alias("total_amount_rmb"),
-    ]
+# Forms of the cells of a manifest row, each with its unit as it is mostly written.
+CELL_FORMS = {"packing": ("/ctn", r"(?i)^\d+\s*[a-z]+\s*/\s*ctn$"), "weight": ("KGS", r"(?i)^[\d.]+\s*KGS?$"), "volume": ("CBM", r"(?i)^[\d.]+\s*CBM$"), "cartons": ("CTNS", r"(?i)^\d+\s*CTNS?$"), "pieces": ("pcs", r"(?i)^\d+\s*pcs$")}
+
+
+def cell_form(c: Column) -> Column:
+    """The form of a trimmed cell, which has one at most. Patterns cost the most: that of the unit in it comes first."""
+    found = F.when(c.startswith("¥") | c.startswith("￥"), "money").when((c < ".") | (c >= ":"), None)
+    for form, (unit, pattern) in CELL_FORMS.items():
+        found = found.when(c.contains(unit) & c.rlike(pattern), form)
+    for form, (_, pattern) in CELL_FORMS.items():
+        found = found.when(c.rlike(pattern), form)
+    return found
+
+
+def pattern_rows(rows: DataFrame) -> DataFrame:
+    """Manifest rows out of `cells` that moved: each field is found by the form of its cells."""
+    # told once for each cell, not again for each field
+    rows = settled(rows, cells=F.col("cells"), forms=F.transform(F.transform("cells", lambda c: F.trim(c)), cell_form))
+    first = lambda form: F.array_position("forms", form)
+    second = lambda form: F.array_position(F.slice("forms", first(form) + 1, F.size("forms")), form)
+    places = {
+        "packaging": first("packing"), "total_cartons": first("cartons"), "total_quantity": first("pieces"), "total_cbm": first("volume") + second("volume"), "total_weight_kg": first("weight") + second("weight"),
+        "unit_price_rmb": first("money"), "total_amount_rmb": F.when(second("money") > 0, first("money") + second("money")),
+    }
+    rows = settled(rows, **{c: F.get("cells", at - 1) for c, at in places.items()}).drop("cells", "forms")
+    # other forms start with their number
+    bare = lambda c: reduce(lambda x, sign: F.replace(x, F.lit(sign), F.lit("")), "¥￥ ,", F.col(c)) if c.endswith("_rmb") else F.trim(c)
+    return rows.select(*(prefix_number(bare(c)).alias(c) if c in places and c != "packaging" else c for c in rows.columns))
 
 
 # Forms of the cells of a manifest row, and of a cell that holds number, name and detail.

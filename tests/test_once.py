@@ -8,6 +8,7 @@ from quaytally.functions.numbers import prefix_number
 from quaytally.operators import snapshots as S
 from quaytally.plans.catalog import QUERIES
 from quaytally.sources import grids as G
+from quaytally.sources import lines as L
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -60,3 +61,28 @@ def test_new_rows_of_a_table_are_worked_out_once(spark, tmp_path):
     S.replace_rows(f"{tmp_path}/t", rows, spark.range(5).select(F.col("id").alias("document_id")))
     assert seen.value == 10
     assert sorted((r.document_id, r.v) for r in S.stored_table(spark, f"{tmp_path}/t").collect()) == [(i, i) for i in range(10)]
+
+
+def test_forms_of_cells_are_told_once(spark):
+    found = plan(QUERIES["cell_pattern_rows"](spark, SMALL))
+    assert found.count("filter(") == 0 and found.count("CBM$") <= 2
+
+
+FIELDS = ("packaging", "total_cartons", "total_quantity", "total_cbm", "total_weight_kg", "unit_price_rmb", "total_amount_rmb")
+
+
+# cells of a row, its fields in the order above
+@pytest.mark.parametrize(
+    ("cells", "fields"),
+    [
+        ([], (None,) * 7),
+        (None, (None,) * 7),
+        ([None, "", "MS-1-2", "5 goods", "CTN", "1.5pcs", "1.5CBM/ctn", "5KGN", "-5CTNS", "\t5CTN", "5CTN \n", "1/ctn", "KGS", "5\xa5"], (None,) * 7),
+        ([" 12 PCS / CTN ", "7cTn", "9CTNS", "8 Pcs\n", "1.2.3cbm", "..CBM", "4KG", "￥ -1,234.5e1", " ¥ x"], (" 12 PCS / CTN ", 7.0, 8.0, None, 4.0, -12345.0, None)),
+        (["¥1", None, "¥2", "¥3", "1CBM", "2CBM", "3CBM", "1.KGS", ".5kgs\r\n", "6kg/ctn", "5ctns\u2028"], ("6kg/ctn", 5.0, None, 2.0, 0.5, 1.0, 2.0)),
+    ],
+)
+def test_fields_are_found_by_the_form_of_cells(spark, cells, fields):
+    rows = L.pattern_rows(spark.createDataFrame([(1, cells)], "id int, cells array<string>"))
+    assert rows.columns == ["id", *FIELDS]
+    assert tuple(rows.first()) == (1, *fields)
