@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,15 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 def joined_in_order(order: str, value: Column, separator: str) -> Column:
     """An aggregate: a group's values by order, joined."""
     return F.array_join(F.sort_array(F.collect_list(F.struct(F.col(order), value.alias("value"))))["value"], separator)
+
+
+#: The largest method, in bytes, that HotSpot compiles; Spark's own limit lets larger ones be interpreted, row by row.
+LARGEST_METHOD = 8000
+
+
+def compiled(spark: SparkSession) -> None:
+    """Sets LARGEST_METHOD in the session, where it has more: steps of many large expressions then run operator by operator, each in methods of
+    the size that HotSpot compiles."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(name)) > LARGEST_METHOD:
+        spark.conf.set(name, str(LARGEST_METHOD))

@@ -150,8 +150,16 @@ def _named(label: str, sales: bool) -> str | None:
 
 
 _kept = lru_cache(KEPT_LABELS)(_named)
+_DIGIT = re.compile("[0-9]")
 
 
 def field_named(label: str, sales: bool) -> str | None:
     """As field_of_label, inside a task: labels come again and again, so a task keeps what they name."""
+    if not sales and _DIGIT.search(label):  # no label of a manifest has a digit, and no spelling takes one away
+        return None
     return (_kept if len(label) <= LONGEST_KEPT else _named)(label, sales)
+
+
+def fields_named(row: list[str | None], sales: bool) -> list[str | None]:
+    """field_named of each cell of a row."""
+    return [field_named(c, sales) if c else None for c in row]

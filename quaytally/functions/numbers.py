@@ -47,10 +47,15 @@ def digits(c: Column) -> Column:
     return F.nullif(F.regexp_replace(F.coalesce(c, F.lit("")), r"\D", ""), F.lit("")).try_cast("long")
 
 
+#: A number with at most a currency sign before it and a unit behind it, as most cells have it.
+PLAIN_CELL = r"(?i)^[¥￥]? ?([\d,]+(?:\.\d+)?) ?(?:PCS|CTNS?|KGS?|CBM|CM|MM)?$"
+
+
 def cell(c: Column) -> Column:
     """A table cell's number without currency signs and unit words."""
+    plain = F.replace(F.nullif(F.regexp_extract(c, PLAIN_CELL, 1), F.lit("")), F.lit(","), F.lit("")).try_cast("double")
     bare = F.regexp_replace(F.regexp_replace(c, "[¥￥,%]", ""), r"(?i)(?:PCS|CTNS?|KGS?|CBM|CM|MM)", "")
-    return prefix_number(F.trim(bare))
+    return F.coalesce(plain, prefix_number(F.trim(bare)))
 
 
 def weight(c: Column) -> Column:

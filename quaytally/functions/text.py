@@ -102,41 +102,51 @@ def storage_section(section: Column, remarks: Column) -> Column:
 
 
 def stuffed_header(raw: Column) -> Column:
-    # fixed values: the banner's words as printed and as glued together
+    return bound(F.upper(raw), _stuffed)
+
+
+def _stuffed(upper: Column) -> Column:
+    # fixed values: the banner's words as printed and as glued together; all of the latter hold the letters of GOODS, which few lines do
     glued = lambda compact: any_of([compact.contains(x) for x in ("GOODSHASBEENSTUFFEDINTOTHISCO", "GOODSLOADINTHISCONTAINER", "GOODSLOADINTHISCONTANIER", "MMBGOODSLOAD")])
-    return bound(F.upper(raw), lambda upper: any_of([upper.contains("STUFFED INTO THIS CO"), upper.rlike(r"\bGOODS\s+LOAD\s+IN\s+THIS\s+CONTAI?NIER?\b"), bound(F.regexp_replace(upper, "[^A-Z0-9]+", ""), glued)]))
+    goods = upper.rlike("[^A-Z0-9]*".join("GOODS"))
+    return any_of([upper.contains("STUFFED INTO THIS CO"), upper.contains("LOAD") & upper.rlike(r"\bGOODS\s+LOAD\s+IN\s+THIS\s+CONTAI?NIER?\b"), goods & bound(F.regexp_replace(upper, "[^A-Z0-9]+", ""), glued)])
 
 
 def header_kind(raw: Column) -> Column:
     """new_order, before_goods, goods_left, repacked, stuffed, unknown, or null for no section header."""
-    return bound(squeezed(text(raw)), lambda line: bound(F.upper(line), lambda upper: _kind_of_line(line, upper)))
+    return bound(squeezed(text(raw)), lambda line: bound(F.upper(line), lambda upper: kind_of_line(line, upper)))
 
 
 def goods_left(line: Column, upper: Column) -> Column:
-    return any_of([F.replace(upper, F.lit(" "), F.lit("")).contains("GOODSLEFTINSANCARGO"), line.rlike(r"\bGOODS\s+LEFT\b") & upper.rlike(r"\bSANCARGO\b"), upper.rlike(r"\bLEFT\s+IN\s+WAREHOUSE\b")])
+    apart = upper.contains("LEFT") & ((line.rlike(r"\bGOODS\s+LEFT\b") & upper.rlike(r"\bSANCARGO\b")) | upper.rlike(r"\bLEFT\s+IN\s+WAREHOUSE\b"))
+    return F.replace(upper, F.lit(" "), F.lit("")).contains("GOODSLEFTINSANCARGO") | apart
 
 
 def opens_goods_left(raw: Column) -> Column:
     """Whether header_kind is goods_left, for many lines that are no headers."""
 
     def kind(line: Column, upper: Column) -> Column:
-        return upper.contains("LEFT") & goods_left(line, upper) & (_kind_of_line(line, upper) == "goods_left")
+        return upper.contains("LEFT") & goods_left(line, upper) & (kind_of_line(line, upper) == "goods_left")
 
     return bound(squeezed(text(raw)), lambda line: bound(F.upper(line), lambda upper: kind(line, upper)))
 
 
-def _kind_of_line(line: Column, upper: Column) -> Column:
-    new_order = upper.rlike(r"\bNEW\s+ORDERS?\b") & (F.regexp_replace(F.regexp_replace(upper, r"\bNEW\s+ORDERS?\b", ""), r"[\s.:—_-]", "") == "")
-    left = goods_left(line, upper)
-    repacked = stuffed_header(line) & upper.rlike(r"REPACKAGED GOODS|REPACKED GOODS|\bREPACK(?:ED|AGED)?\b")
+def kind_of_line(line: Column, upper: Column) -> Column:
+    """header_kind of a squeezed line, which is no null, and the line in capitals.
+
+    A plain word is looked for before each pattern that needs it: most lines are no headers and hold none."""
+    new_order = upper.contains("NEW") & upper.rlike(r"\bNEW\s+ORDERS?\b") & (F.regexp_replace(F.regexp_replace(upper, r"\bNEW\s+ORDERS?\b", ""), r"[\s.:—_-]", "") == "")
+    before = upper.contains("BEFORE") & upper.rlike(r"\bBEFORE\s+GOODS\b")
+    repacked = upper.rlike(r"REPACKAGED GOODS|REPACKED GOODS|\bREPACK(?:ED|AGED)?\b")
     yen = line.rlike("[¥￥]")
     priced = yen & (upper.rlike(r"\b(?:CBM|KGS)\b") | line.rlike(r"\d+\s*-\s*\d+\s*$"))
     coded = upper.rlike(r"MAG-\d{3}-\d+|MS-\d{3}-\d+") & (yen | upper.rlike(r"\b(?:CBM|KGS)\b"))
     numbered = upper.rlike(r"^\d{1,4}\s") & upper.rlike(r"(?:^|\s)(?:\d+(?:\.\d+)?\s+){2}\d+(?:\.\d+)?$")
     words = F.size(F.split(upper, " "))
     metric = upper.rlike(r"\b(?:PCS/CTN|CTNS?|CBM|KGS?|USD|RMB)\b")
-    banner = ~priced & ~coded & ~numbered & upper.rlike("[A-Z一-鿿]") & ~metric & words.between(2, 18)
-    return F.when(new_order, "new_order").when(upper.rlike(r"\bBEFORE\s+GOODS\b"), "before_goods").when(left, "goods_left").when(repacked, "repacked").when(stuffed_header(line), "stuffed").when(banner, "unknown")
+    banner = ~metric & words.between(2, 18) & ~numbered & upper.rlike("[A-Z一-鿿]") & ~coded & ~priced
+    stuffed = F.when(repacked, "repacked").otherwise("stuffed")
+    return F.when(new_order, "new_order").when(before, "before_goods").when(goods_left(line, upper), "goods_left").when(_stuffed(upper), stuffed).when(banner, "unknown")
 
 
 # Words that a mark never holds.
@@ -162,6 +172,14 @@ FOOTER_PATTERNS = (
 )
 
 
+#: Each line of a footer holds one of these.
+FOOTER_WORDS = ("TOTAL", "BALANCE", "CREDIT", "PIVOC", "EXCHANGE", "YIWU", "PAYMENT", "VESSEL", "REDUCE")
+
+
+def may_be_footer(upper: Column) -> Column:
+    return any_of([upper.contains(w) for w in FOOTER_WORDS])
+
+
 def footer_like(*columns: Column) -> Column:
     combined = F.upper(F.concat_ws(" ", *(text(c) for c in columns)))
     payment = combined.rlike(r"\bPAYMENT\b")
@@ -304,17 +322,27 @@ def rolled_totals(line: Column) -> Column:
 
 def subtotal_line(cells: Column) -> Column:
     """Whether a row of cells is a section's subtotal bar."""
-    whole = squeezed(F.array_join(F.filter(cells, lambda c: text(c) != ""), " "))
-    return bound(whole, lambda line: (line != "") & (line.rlike(r"(?i)\bSUB\s*TOTAL\b|\bSECTION\s+TOTAL\b") | rolled_totals(line)))
+    return bound(squeezed(F.array_join(F.filter(cells, lambda c: text(c) != ""), " ")), lambda line: bound(F.upper(line), lambda upper: subtotal_text(line, upper)))
+
+
+def subtotal_text(line: Column, upper: Column) -> Column:
+    """subtotal_line of a row's squeezed text, and that text in capitals."""
+    return (line != "") & ((upper.contains("TOTAL") & line.rlike(r"(?i)\bSUB\s*TOTAL\b|\bSECTION\s+TOTAL\b")) | (may_hold_totals(upper) & rolled_totals(line)))
+
+
+def may_hold_totals(upper: Column) -> Column:
+    """Whether a line in capitals holds what printed totals need; most lines don't, and need no more patterns."""
+    return (upper.contains("CTN") | upper.contains("CBM")) & upper.rlike("[¥￥]|KG|GS")
 
 
 def subtotal_fields(description: Column, item_code: Column, cartons: Column, quantity: Column, amount: Column) -> Column:
     """Whether a mapped row is a rolled total: large numbers without a product's name."""
     d, i = F.trim(text(description)), F.trim(text(item_code))
     named = ((F.length(d) > 2) | (F.length(i) > 2)) & d.rlike(PRODUCT_WORDS)
-    many = (cartons >= 40) & (amount >= 3000) & (F.length(d) <= 1) & (F.length(i) <= 1)
-    much = (quantity >= 200) & (amount >= 10_000) & (d == "")
-    return ~named & (F.coalesce(many, F.lit(False)) | F.coalesce(much, F.lit(False)))
+    # lengths before numbers: a row with a description needs none of its numbers
+    many = (F.length(d) <= 1) & (F.length(i) <= 1) & (cartons >= 40) & (amount >= 3000)
+    much = (d == "") & (quantity >= 200) & (amount >= 10_000)
+    return (F.coalesce(many, F.lit(False)) | F.coalesce(much, F.lit(False))) & ~named
 
 
 def totals_blob(row_text: Column, *fields: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
-from quaytally.functions.headers import SKIP, field_named
+from quaytally.functions.headers import SKIP, field_named, fields_named
 from quaytally.sources.shared import written
 
 
@@ -166,8 +166,10 @@ def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "))
 WHITE = re.compile("[ \t\n\x0b\f\r\xa0\u3000]+")
 #: White space that is more than a space.
+WIDES = ("  ", "\t", "\n", "\x0b", "\f", "\r", "\xa0", "\u3000")
 WIDE = re.compile("  |[\t\n\x0b\f\r\xa0\u3000]")
-TABLE, ROW = re.compile(r"<table\b[^>]*>.*?</table>", re.I | re.S), re.compile(r"<tr\b[^>]*>(.*?)</tr>", re.I | re.S)
+# what stands between two tags is skipped as a whole
+TABLE, ROW = re.compile(r"<table\b[^>]*>[^<]*+(?:<(?!/table>)[^<]*+)*+</table>", re.I), re.compile(r"<tr\b[^>]*>([^<]*+(?:<(?!/tr>)[^<]*+)*+)</tr>", re.I)
 CELL = re.compile(r"<t[dh]\b([^>]*)>(.*?)</t[dh]>", re.I | re.S)
 SPAN = re.compile(r"\b(col|row)span\s*=\s*[\"']?(\d+)", re.I)
 HALF, ENDS_SMALL, SMALL = re.compile("[\ud800-\udfff]"), re.compile("[a-zA-Z]$"), re.compile("[a-z]{1,2}")
@@ -214,6 +216,15 @@ def cell_text(html: str) -> str:
     return _squeezed(whole)
 
 
+def _texts(line: str) -> list[str]:
+    """The texts of a row's cells, each as often as it spans columns."""
+    if line.startswith("<td>") and line.endswith("</td>"):
+        cells = line[4:-5].split("</td><td>")
+        if line.count("<") == 2 * len(cells):  # no cell has attributes or tags, as in most rows
+            return [*map(cell_text, cells)] if "&" in line or any(wide in line for wide in WIDES) else [c.strip(" ") for c in cells]
+    return [text for attributes, html in CELL.findall(line) for text in [cell_text(html)] * (_spans(attributes)[0] if attributes else 1)]
+
+
 def _spans(attributes: str) -> tuple[int, int]:
     """The columns and rows that a cell spans."""
     spans = {kind.lower(): max(1, int(n)) for kind, n in SPAN.findall(attributes)}
@@ -224,7 +235,8 @@ def grid_of(table: str) -> list[list[str]]:
     """A table as rows of equally many texts; spanned places repeat the cell, missing ones are empty."""
     rows = ROW.findall(table)
     if "rowspan" not in table.casefold():  # rows stand for themselves
-        alone = [[text for attributes, html in CELL.findall(line) for text in [cell_text(html)] * (_spans(attributes)[0] if attributes else 1)] for line in rows]
+        # a table without wide space and entities is told once; its cells without tags are their own text
+        alone = [_texts(line) for line in rows]
         most = max(map(len, alone), default=0)
         return [row + [""] * (most - len(row)) for row in alone]
     taken: dict[tuple[int, int], str] = {}
@@ -328,7 +340,7 @@ HEADER = {"score": pa.int32(), "header_row": pa.int32(), "data_row": pa.int32(),
 
 def header_of(grid: list[list[str]], sales: bool, first_rows: int) -> tuple:
     """A grid's HEADER (see `headed`)."""
-    labels = [[field_named(c or "", sales) for c in row] for row in grid[: first_rows + 1]]
+    labels = [fields_named(row, sales) for row in grid[: first_rows + 1]]
     if not labels:
         return 0, None, None, None, None
     scores = [len(row) - row.count(None) for row in labels[:first_rows]]

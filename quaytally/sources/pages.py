@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quaytally.functions import numbers as N
 from quaytally.functions import text as T
-from quaytally.functions.columns import bound, settled
+from quaytally.functions.columns import bound, compiled, settled
 from quaytally.functions.headers import CONTAINER_LABELS, SALES_LABELS, SKIP
 from quaytally.operators import order, rules, shifts
 from quaytally.sources import grids, sales as X
@@ -38,6 +38,8 @@ HEADER_ROWS = 8
 MARKS_ALONE = r"(?i)\bMS-[A-Z0-9]+(?:-[A-Z0-9]+)+\s+SANCARGO\b|\b\d+-T-[A-Z0-9]+-\d+\s+SANCARGO\b|^VICHAS$|^M\s+DUSS\b"
 MARKS_NAMED, CARTONS_IN_CELL = r"(?i)^\s*MOSES\b", r"(?i)\d+\s*CTNS?\b"
 MARKS_SHORT, NO_MARKS_IN_CELL, MOST_MARKS, MOST_SHORT_MARKS = r"(?i)\bSANCARGO\b", r"(?i)\d+\s*pcs|\bCTNS?\b", 160, 88
+#: A row with marks in another cell holds one of these.
+MARKS_WORDS = ("SANCARGO", "VICHAS", "DUSS", "MOSES")
 PRODUCT_LIKE_LABEL = 82
 
 
@@ -75,14 +77,16 @@ def _last_runs(columns: list[str | None]) -> dict[str, list[int]]:
 
 def _joined(cells: list[str]) -> str:
     """Neighbouring cells of one field as one text; a cell equal to what stands before it counts once."""
+    if len(cells) == 1:
+        return cells[0].strip()
     whole = ""
     for c in map(str.strip, cells):
         whole = f"{whole} {c}" if c and whole and c != whole else whole or c
     return whole
 
 
-ROWS = [pa.field("piece", pa.int32()), pa.field("row", pa.int32()), pa.field("cells", pa.list_(pa.string())), pa.field("mapped", pa.bool_()), pa.field("text", pa.string()), pa.field("alone", pa.bool_()), *(pa.field(f"r_{f}", pa.string()) for f in FIELDS)]
-NO_FIELDS = (None,) * len(FIELDS)
+ROWS = [pa.field("piece", pa.int32()), pa.field("row", pa.int32()), pa.field("cells", pa.list_(pa.string())), pa.field("mapped", pa.bool_()), pa.field("line", pa.string()), pa.field("alone", pa.bool_()), *(pa.field(f"r_{f}", pa.string()) for f in FIELDS)]
+NO_FIELDS, PLACES = (None,) * len(FIELDS), {f: i for i, f in enumerate(FIELDS)}
 #: Rows of a batch, about.
 BATCH_ROWS = 10_000
 
@@ -111,16 +115,22 @@ def _rows_of_chunk(html: str | None, sales: bool) -> Iterator[tuple]:
                 continue
         if len(grid) < 2 and score >= LEAST_SCORE:
             continue
-        runs = _last_runs(names or [])
-        for row, cells in enumerate(grid):
-            if row >= first and any(c.strip() for c in cells):
-                aligned = grids.aligned(cells, names, sales) if names else []
-                yield piece, row, cells, names is not None, None, None, *(_joined([aligned[k] for k in runs[f] if k < len(aligned)]) if f in runs else None for f in FIELDS)
+        runs = [(PLACES[f], at) for f, at in _last_runs(names or []).items() if f in PLACES]
+        known = [i for i, f in enumerate(names or []) if f is not None]
+        fits = not known or len(grid[0]) == known[-1] + 1  # rows of a table are equally long
+        for row, cells in enumerate(grid[first:], first):
+            line = " ".join(filter(None, cells))
+            if line.strip():
+                fields, aligned = [*NO_FIELDS], cells if fits else grids.aligned(cells, names, sales)
+                for place, at in runs:
+                    fields[place] = _joined([aligned[k] for k in at if k < len(aligned)])
+                yield piece, row, cells, names is not None, line, None, *fields
 
 
 def table_rows(chunks: DataFrame, sales: bool, html: str = "html") -> DataFrame:
-    """document_id, chunk, piece, row, cells (as printed), r_<field> (null where the table has no such column), text (of pieces that are no
-    table), alone (whether the chunk has no table), mapped (whether the table's columns are known).
+    """document_id, chunk, piece, row, cells (as printed), r_<field> (null where the table has no such column), line (a row's cells in one
+    line, or a piece that is no table), alone (whether the chunk has no table), mapped (whether the table's columns are known, null
+    for a piece that is no table).
 
     A table without a header takes the columns of the one before it in its chunk, if it looks like more of its rows.
     A chunk is read in one go, so no row is shuffled here."""
@@ -140,25 +150,27 @@ def table_rows(chunks: DataFrame, sales: bool, html: str = "html") -> DataFrame:
                     at, out = [], []
 
     types = dict(chunks.dtypes)
-    schema = f"document_id {types['document_id']}, chunk {types['chunk']}, piece int, row int, cells array<string>, mapped boolean, text string, alone boolean, " + ", ".join(f"r_{f} string" for f in FIELDS)
+    schema = f"document_id {types['document_id']}, chunk {types['chunk']}, piece int, row int, cells array<string>, mapped boolean, line string, alone boolean, " + ", ".join(f"r_{f} string" for f in FIELDS)
     return chunks.select("document_id", "chunk", html).mapInArrow(read, schema)
 
 
 def _kinds(rows: DataFrame) -> DataFrame:
-    """rows with line (all their text) and kind: that of a section header, total, subtotal, footer, noise, text, unmapped or product."""
-    r = lambda f: F.col(f"r_{f}")
-    line = F.coalesce("text", T.squeezed(F.array_join(F.filter("cells", lambda c: c != ""), " ")))
-    rows = settled(rows, line=line)
-    rows = settled(rows, header=T.header_kind(F.col("line")))
+    """rows with upper (the line in capitals) and kind: that of a section header, total, subtotal, footer, noise, text, unmapped or product.
+
+    Texts of a row's fields are parts of its line, so a pattern that needs a word is tried where the line has the word."""
+    r, line, upper = lambda f: F.col(f"r_{f}"), F.col("line"), F.col("upper")
+    # columns that the next step reads more than once stay a projection of their own
+    rows = rows.withColumn("upper", F.upper("line")).withColumn("header", T.kind_of_line(line, upper))
     first = F.trim(T.text(F.get(F.col("cells"), F.lit(0))))
     number = lambda f: N.cell(r(f))
-    subtotal = T.subtotal_line(F.col("cells")) | T.subtotal_fields(r("description"), r("item_code"), number("total_cartons"), number("total_quantity"), number("total_amount_rmb")) | T.totals_blob(F.col("line"), r("description"), r("marks"), r("item_code"), r("shop"))
+    blob = T.may_hold_totals(upper) & T.totals_blob(line, r("description"), r("marks"), r("item_code"), r("shop"))
+    subtotal = T.subtotal_text(line, upper) | T.subtotal_fields(r("description"), r("item_code"), number("total_cartons"), number("total_quantity"), number("total_amount_rmb")) | blob
+    footer = T.may_be_footer(upper) & _footer(F.concat_ws(" ", r("marks"), r("description"), r("item_code"), r("shop"), line))
     kind = (
-        F.when(F.col("text").isNotNull(), "text").when(~F.col("mapped"), "unmapped").when(F.col("header").isNotNull(), F.col("header")).when(first.rlike(TOTAL_LABELS[0]) | first.rlike(TOTAL_LABELS[1]), "total")
-        .when(subtotal, "subtotal").when(_footer(F.concat_ws(" ", r("marks"), r("description"), r("item_code"), r("shop"), F.col("line"))), "footer")
-        .when(T.banner_noise(r("shop"), r("item_code"), r("description"), r("packaging")), "noise").otherwise("product")
+        F.when(F.col("mapped").isNull(), "text").when(~F.col("mapped"), "unmapped").when(F.col("header").isNotNull(), F.col("header")).when(first.rlike(TOTAL_LABELS[0]) | first.rlike(TOTAL_LABELS[1]), "total")
+        .when(subtotal, "subtotal").when(footer, "footer").when(T.banner_noise(r("shop"), r("item_code"), r("description"), r("packaging")), "noise").otherwise("product")
     )
-    return settled(rows, kind=kind)
+    return rows.withColumn("kind", kind)
 
 
 def _footer(c: Column) -> Column:
@@ -174,7 +186,8 @@ def walked(chunks: DataFrame, sales: bool = False, html: str = "html") -> DataFr
     The last header at or above a row decides its section, over tables and chunks; an unknown banner opens a
     section of its own. Label and carried-over flag end with their table. Marks go down inside a block; headers and
     subtotals end it. The first block of a table starts with the marks that the last table with open marks ended with."""
-    # all windows below are by document or finer: one shuffle serves them
+    compiled(chunks.sparkSession)
+    # all windows below are by document or finer, and in the order of its rows: one shuffle and one sort serve them
     rows = _kinds(table_rows(chunks, sales, html).repartition("document_id"))
     doc = Window.partitionBy("document_id").orderBy("chunk", "piece", "row")
     here = Window.unboundedPreceding, Window.currentRow
@@ -182,17 +195,19 @@ def walked(chunks: DataFrame, sales: bool = False, html: str = "html") -> DataFr
     header = F.when(F.col("kind").isin(*SECTIONS, "unknown"), F.col("kind"))
     opened = F.when(F.col("kind") == "unknown", section_key(F.col("line"))).otherwise(_section(header))
     in_text = F.when(F.col("kind") == "text", _section(F.when((F.col("header") != "stuffed") | ~F.col("alone"), F.col("header"))))
-    rows = settled(rows, opened=F.coalesce(opened, in_text), reset=(header.isNotNull() | (F.col("kind") == "subtotal")).cast("int"), marks=F.when(F.col("kind") == "product", F.coalesce(F.nullif("r_marks", F.lit("")), inferred_marks(F.col("cells")))))
+    inferred = F.when(T.any_of([F.col("upper").contains(w) for w in MARKS_WORDS]), inferred_marks(F.col("cells")))
+    own = F.when(F.col("kind") == "product", F.coalesce(F.nullif("r_marks", F.lit("")), inferred))
+    rows = rows.withColumns({"opened": F.coalesce(opened, in_text), "reset": header.isNotNull() | (F.col("kind") == "subtotal"), "marks": own}).drop("upper", "header")
     section = F.coalesce(F.last("opened", ignorenulls=True).over(doc.rowsBetween(*here)), F.lit("shipped"))
     label = F.last(F.when(header.isNotNull(), F.col("line")), ignorenulls=True).over(table)
     carried = F.coalesce(F.last(F.when(F.col("kind").isin(*SECTIONS), F.col("kind") == "before_goods"), ignorenulls=True).over(table), F.lit(False))
-    rows = rows.withColumns({"section": section, "label": label, "carried": carried, "block": F.sum("reset").over(table)})
-    block = Window.partitionBy("document_id", "chunk", "piece", "block").orderBy("row").rowsBetween(*here)
-    rows = rows.withColumn("open_marks", F.last("marks", ignorenulls=True).over(block))
+    # a row that ends a block has no marks, so the last row with marks or such an end tells them
+    open_marks = F.last(F.when(F.col("reset") | F.col("marks").isNotNull(), F.struct("marks")), ignorenulls=True).over(table)["marks"]
     ends = F.coalesce(~F.lead(F.struct("chunk", "piece")).over(doc).eqNullSafe(F.struct("chunk", "piece")), F.lit(True))
-    rows = rows.withColumn("left_marks", F.when(ends, F.col("open_marks")))
+    rows = rows.withColumns({"section": section, "label": label, "carried": carried, "first_block": ~F.max("reset").over(table), "open_marks": open_marks, "ends": ends})
+    rows = rows.withColumn("left_marks", F.when(F.col("ends"), F.col("open_marks")))
     inherited = F.last("left_marks", ignorenulls=True).over(doc.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("carried_marks", F.coalesce("open_marks", F.when(F.col("block") == 0, inherited))).drop("opened", "reset", "block", "open_marks", "left_marks", "header")
+    return rows.withColumn("carried_marks", F.coalesce("open_marks", F.when(F.col("first_block"), inherited))).drop("opened", "reset", "first_block", "open_marks", "ends", "left_marks")
 
 
 def _section(header: Column) -> Column:
@@ -219,13 +234,13 @@ def _mapped(rows: DataFrame) -> DataFrame:
     texts = {f: r(f) for f in TEXT_FIELDS if f != "marks"}
     numbers = {f: N.cell(r(f)) for f in NUMBER_FIELDS if f != "qty_per_carton"}
     numbers["qty_per_carton"] = F.nullif(F.regexp_extract(T.text("r_packaging"), r"(\d+(?:\.\d+)?)", 1), F.lit("")).cast("double")
-    rows = settled(rows, **texts, **numbers)
+    rows = rows.withColumns(texts | numbers)
     box = lambda i: F.nullif(F.regexp_extract(T.text("r_box_no_start"), r"(\d+)(?:\s*[-–~]\s*(\d+))?", i), F.lit("")).try_cast("int")
     implied = N.half_up(F.col("total_amount_rmb") / F.col("total_quantity"), 2)
     price = F.when(F.coalesce(F.col("unit_price_rmb") <= 0, F.lit(True)) & (F.col("total_amount_rmb") > 0) & (F.col("total_quantity") > 0) & (implied > 0), implied).otherwise(F.col("unit_price_rmb"))
     sku = T.sku_fields(F.col("source_item_no"), F.col("item_code"))
     delivery = F.coalesce("delivery_no", F.when(T.delivery_ref(F.col("product_marks")), F.col("product_marks")))
-    return settled(rows, unit_price_rmb=price, item_code=sku["item_code"], source_item_no=sku["source_item_no"], delivery_no=delivery, box_no_start=box(1), box_no_end=F.coalesce(box(2), box(1)))
+    return rows.withColumns({"unit_price_rmb": price, "item_code": sku["item_code"], "source_item_no": sku["source_item_no"], "delivery_no": delivery, "box_no_start": box(1), "box_no_end": F.coalesce(box(2), box(1))})
 
 
 def products(rows: DataFrame, sales: bool = False, full: bool = False) -> DataFrame:
@@ -242,32 +257,37 @@ def products(rows: DataFrame, sales: bool = False, full: bool = False) -> DataFr
     anonymous = T.anonymous_parts(F.col("r_marks"), F.col("r_item_code"), F.col("r_shop"), F.col("r_description"))
     is_product = F.col("kind") == "product"
     marks = F.when(is_product & anonymous, F.col("marks")).when(is_product, F.coalesce("marks", "carried_marks")).otherwise(F.nullif(F.trim("r_marks"), F.lit("")))
-    rows = _mapped(settled(rows, product_marks=marks)).withColumn("marks", F.col("product_marks"))
-    own = rows.where(is_product)
-    repaired = _sales_repaired(own) if sales else _manifest_repaired(own)
-    label = T.clean_label(F.col("label"))
-    tag = F.when(F.col("label").isNotNull() & (label != "") & ~product_like(label), T.section_label_tag(label))
+    rows = _mapped(rows.withColumn("product_marks", marks)).withColumn("marks", F.col("product_marks"))
+    if sales:
+        repaired = _finished_row(_sales_repaired(rows.where(is_product)), is_product).select(*PRODUCT)
+        return repaired.unionByName(_sentinels(rows.where(~is_product)).select(*PRODUCT)) if full else repaired
+    repaired = _finished_row(shifts.parsed_rows_repaired(rows, only=is_product), is_product)
+    return (_sentinels(repaired) if full else repaired).select(*PRODUCT)
+
+
+def _finished_row(rows: DataFrame, is_product: Column) -> DataFrame:
+    """Product rows with what their block says of them; others as they are."""
+    label, carried = F.col("label"), is_product & F.col("carried")
+    rows = rows.withColumn("label", F.when(is_product & label.isNotNull(), T.clean_label(label)))
+    rows = rows.withColumn("tag", F.when((label != "") & ~product_like(label), T.section_label_tag(label)))
     added = lambda c, tag: F.when(tag.isNull() | F.coalesce(c.contains(tag), F.lit(False)), c).otherwise(F.concat(F.coalesce(F.concat(F.nullif(c, F.lit("")), F.lit(";")), F.lit("")), tag))
-    repaired = settled(repaired, section=F.when(F.col("carried"), "left_in_warehouse").otherwise(F.col("section")), remarks=F.when(F.col("carried"), shifts.tagged(F.col("remarks"), BEFORE_GOODS_REMARK)).otherwise(F.col("remarks")))
-    repaired = shifts.carryover_amounts_dropped(repaired, F.col("carried"))
-    repaired = repaired.withColumn("remarks", added(F.col("remarks"), tag)).select(*PRODUCT)
-    return repaired.unionByName(_sentinels(rows.where(~is_product))) if full else repaired
+    rows = rows.withColumns({"section": F.when(carried, "left_in_warehouse").otherwise(F.col("section")), "remarks": F.when(carried, shifts.tagged(F.col("remarks"), BEFORE_GOODS_REMARK)).otherwise(F.col("remarks"))})
+    # the remark says of each that it is carried over, so no row above needs to have the amount too
+    rows = shifts.amounts_dropped(rows, carried & (F.col("total_amount_rmb") > 0))
+    return rows.withColumn("remarks", added(F.col("remarks"), F.col("tag")))
 
 
 def _sentinels(rows: DataFrame) -> DataFrame:
-    """Rows that are no products, for review: subtotals and footers with their numbers, the others with their text alone."""
-    numbered = F.col("kind").isin("subtotal", "footer")
+    """Rows that are no products as rows for review: subtotals and footers with their numbers, the others with their text alone."""
+    is_product, numbered = F.col("kind") == "product", F.col("kind").isin("product", "subtotal", "footer")
     noise = F.array_join(F.filter(F.array("r_shop", "r_item_code", "r_description", "r_packaging"), lambda c: T.text(c) != ""), " · ")
     text = F.when(F.col("kind") == "noise", F.coalesce(F.nullif(noise, F.lit("")), F.col("line"))).otherwise(F.col("line"))
-    code = F.when(F.col("kind") == "subtotal", SUBTOTAL_CODE).when(F.col("kind") == "footer", FOOTER_CODE).otherwise(EXTRACT_CODE)
+    code = F.when(is_product, F.col("item_code")).when(F.col("kind") == "subtotal", SUBTOTAL_CODE).when(F.col("kind") == "footer", FOOTER_CODE).otherwise(EXTRACT_CODE)
     remark = F.coalesce(*(F.when(F.col("kind") == k, f"full_extract:{v}") for k, v in REMARKS.items()))
     types = dict(rows.dtypes)
     none = {c: F.when(numbered, F.col(c)).cast(types[c]) for c in PRODUCT if c not in ("document_id", "line_no", "section")}
-    return settled(rows, **(none | {"item_code": code, "description": F.when(numbered, F.col("description")).otherwise(F.nullif(F.trim(text), F.lit(""))), "remarks": F.when(numbered, F.col("remarks")).otherwise(remark)})).select(*PRODUCT)
-
-
-def _manifest_repaired(rows: DataFrame) -> DataFrame:
-    return shifts.parsed_rows_repaired(rows)
+    # what is asked of the code is asked of the result, and not of all that the code is made of
+    return settled(rows, **(none | {"item_code": code, "description": F.when(numbered, F.col("description")).otherwise(F.nullif(F.trim(text), F.lit(""))), "remarks": F.when(numbered, F.col("remarks")).otherwise(remark)}))
 
 
 def _sales_repaired(rows: DataFrame) -> DataFrame:

@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 
 from quaytally.functions import text as T
 from quaytally.functions.numbers import prefix_number
+from quaytally.operators import shifts
 from quaytally.operators import snapshots as S
 from quaytally.plans.catalog import QUERIES
 from quaytally.sources import grids as G
 from quaytally.sources import lines as L
+from quaytally.sources import pages as P
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -44,6 +46,35 @@ def test_steps_stand_once_in_a_plan(spark, name, part, most):
     assert plan(QUERIES[name](spark, SMALL)).count(part) <= most
 
 
+# query, a part of its plan, how often it may stand there: a row's kind and label are told once, and review rows come from one walk
+@pytest.mark.parametrize(("name", "part", "most"), [("page_products", "Window [", 5), ("page_products", "RLIKE", 30), ("page_products", "NEW ORDERS", 1), ("page_review_rows", "Union", 0), ("page_review_rows", "Window [", 5), ("page_subtotals", "Generate ", 1)])
+def test_pages_are_walked_once(spark, name, part, most):
+    assert plan(QUERIES[name](spark, SMALL)).count(part) <= most
+
+
+def test_methods_of_pages_are_of_a_size_that_is_compiled(spark):
+    before = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    try:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+        P.walked(spark.createDataFrame([], "document_id long, chunk int, html string"))
+        assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", before)
+
+
+def test_rows_that_no_rule_holds_for_go_through_none(spark):
+    row = dict.fromkeys(shifts.ROW_FIELDS) | {"marks": "A", "description": "cup 12pcs/ctn", "packaging": "3 CTNS", "total_cartons": 36.0, "total_quantity": 36.0}
+    types = ", ".join(f"{f} {'string' if f in shifts.TEXT_FIELDS else 'double'}" for f in shifts.ROW_FIELDS)
+    rows = spark.createDataFrame([(True, *row.values()), (False, *row.values())], f"own boolean, {types}")
+    found = shifts.parsed_rows_repaired(rows, only=F.col("own"))
+    assert {r.own: (r.total_cartons, r.remarks) for r in found.collect()} == {True: (3.0, "repair:cartons_from_pack_when_qty_correct"), False: (36.0, None)}
+
+
+@pytest.mark.parametrize(("text", "kind"), [("G OODS LE FT IN SANCARGO", "goods_left"), ("M.M.B G-O-O-D-S load", "stuffed"), ("goods left", "unknown"), ("NEW ORDERS .", "new_order"), ("5 CTNS NEW", None), ("", None)])
+def test_headers_without_their_plain_words_are_found(spark, text, kind):
+    assert spark.createDataFrame([(text,)], "t string").select(T.header_kind(F.col("t"))).first()[0] == kind
+
+
 def test_fragments_are_dealt_by_document(spark):
     assert "RepartitionByExpression [document_id" in plan(QUERIES["fragment_lines"](spark, SMALL))
 
