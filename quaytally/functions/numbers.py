@@ -35,7 +35,7 @@ def integer(c: Column) -> Column:
 
 def loose_or_null(c: Column) -> Column:
     """Digits, dots and minus signs only, then the numeric prefix."""
-    return prefix_number(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\d.-]", ""))
+    return prefix_number(F.regexp_replace(c, r"[^\d.-]", ""))
 
 
 def loose(c: Column) -> Column:
@@ -44,7 +44,7 @@ def loose(c: Column) -> Column:
 
 def digits(c: Column) -> Column:
     """All digits as one integer: '1.5' is 15 and '-3' is 3, as in the rule."""
-    return F.nullif(F.regexp_replace(F.coalesce(c, F.lit("")), r"\D", ""), F.lit("")).try_cast("long")
+    return F.nullif(F.regexp_replace(c, r"\D", ""), F.lit("")).try_cast("long")
 
 
 #: A number with at most a currency sign before it and a unit behind it, as most cells have it.

@@ -4,10 +4,14 @@ A repair reads the row as it came; rules that follow see its result. Remarks gai
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaytally.functions import text as T
+from quaytally.functions.columns import bound, compiled
 from quaytally.functions.numbers import half_up, loose_or_null, weight
 from quaytally.operators.reports import TOLERANCE_EXTRACT, TOLERANCE_GATE, TOLERANCE_REPAIR, physical_totals, zero
 
@@ -263,13 +267,22 @@ MANIFEST_FIELDS = ("sku", "description", "packing", "unit_weight", "total_weight
 TEXT_FIELDS = MANIFEST_FIELDS[:6]
 
 
-def replaced(r: Column, condition: Column, new: dict[str, Column]) -> Column:
-    """The row with new values where the condition, worked out once, holds; else the row as it is."""
-    types = {f: "string" if f in TEXT_FIELDS else "double" for f in MANIFEST_FIELDS}
-    return F.when(condition, F.struct(*((new[f].cast(t) if f in new else r[f]).alias(f) for f, t in types.items()))).otherwise(r)
+#: When a rule holds, and a row's new values.
+Rule = tuple[Column, dict[str, Column]]
+
+
+def replaced(rule: Callable[[Column], Rule]) -> Callable[[Column], Column]:
+    """A row with new values where the rule, worked out once, holds; else the row as it is."""
+
+    def run(r: Column) -> Column:
+        some, new = rule(r)
+        types = {f: "string" if f in TEXT_FIELDS else "double" for f in MANIFEST_FIELDS}
+        return F.when(some, F.struct(*((new[f].cast(t) if f in new else r[f]).alias(f) for f, t in types.items()))).otherwise(r)
+
+    return run
 
 
-def shift_repaired(r: Column) -> Column:
+def shift_repaired(r: Column) -> Rule:
     """Rows whose columns moved by one, as their packing and the size of their numbers show.
 
     A row (MANIFEST_FIELDS) is repaired from its values as they came."""
@@ -289,18 +302,18 @@ def shift_repaired(r: Column) -> Column:
         "description": T.without_trailing_packing(r["description"]), "packing": trailing, "cartons": cartons_in_packing, "quantity": r["cartons"], "dim_h_cm": r["quantity"], "dim_w_cm": r["dim_h_cm"], "dim_l_cm": r["dim_w_cm"],
         "unit_cbm": r["dim_l_cm"], "cbm": r["unit_cbm"], "unit_weight": kilograms(r["cbm"]), "total_weight": r["unit_weight"], "cost_price": F.when(unpriced, F.lit(0.0)).otherwise(price), "total_amount_rmb": amount, "remarks": T.with_remark(r["remarks"], SHIFT_TAG),
     }
-    return replaced(r, some, new)
+    return some, new
 
 
-def no_packing_repaired(r: Column) -> Column:
+def no_packing_repaired(r: Column) -> Rule:
     """Rows without packing whose quantity, price and amount each stand one column early."""
     price = F.coalesce(loose_or_null(r["total_weight"]), F.lit(0.0))
     some = F.coalesce((r["cartons"] > 0) & (r["quantity"] <= 0) & (r["cost_price"] >= 1000) & r["total_amount_rmb"].between(100, 500) & (F.trim(T.text(r["packing"])) == "") & price.between(50, 1000), F.lit(False))
     new = {"cartons": F.lit(None).cast("double"), "quantity": r["cartons"], "cost_price": price, "total_amount_rmb": r["cost_price"], "remarks": T.with_remark(r["remarks"], "repair:no_packing_amount_row")}
-    return replaced(r, some, new)
+    return some, new
 
 
-def compact_repaired(r: Column) -> Column:
+def compact_repaired(r: Column) -> Rule:
     """Rows that give packing as a carton count or pieces a carton, with quantity and volume one column early."""
     packed, pieces, trailing = T.packing_cartons(T.text(r["packing"])), T.packing_pieces(T.text(r["packing"])), T.trailing_packing(T.text(r["description"]))
     had, qty, unit, price = (F.coalesce(r[c], F.lit(0.0)) for c in ("cartons", "quantity", "unit_cbm", "cost_price"))
@@ -322,10 +335,10 @@ def compact_repaired(r: Column) -> Column:
         "unit_weight": F.coalesce(kilograms(r["cbm"]), r["unit_weight"]), "total_weight": F.coalesce(r["unit_weight"], r["total_weight"]), "cost_price": F.when(inferred > 0, inferred).otherwise(r["cost_price"]), "total_amount_rmb": paid,
         "dim_h_cm": F.when(early, r["quantity"]).otherwise(r["dim_h_cm"]), "dim_w_cm": F.when(early, r["dim_h_cm"]).otherwise(r["dim_w_cm"]), "dim_l_cm": F.when(early, r["dim_w_cm"]).otherwise(r["dim_l_cm"]), "remarks": T.with_remark(r["remarks"], "repair:compact_packed_shift_row_v2"),
     }
-    return replaced(r, compact | early, new)
+    return compact | early, new
 
 
-def outliers_repaired(r: Column) -> Column:
+def outliers_repaired(r: Column) -> Rule:
     """Rows whose packing is a carton count and whose quantity went to the cartons, or to a dimension."""
     packed = T.packing_cartons(T.text(r["packing"]))
     cartons, qty, cbm, price = (F.coalesce(r[c], F.lit(0.0)) for c in ("cartons", "quantity", "cbm", "cost_price"))
@@ -340,15 +353,19 @@ def outliers_repaired(r: Column) -> Column:
         "total_weight": F.when(unit_weight > 0, kilograms(unit_weight)).otherwise(r["total_weight"]), "cost_price": F.when(total_weight > 0, total_weight).otherwise(r["cost_price"]), "total_amount_rmb": F.when(price > 0, price).otherwise(r["total_amount_rmb"]),
         "remarks": T.with_remark(r["remarks"], "repair:manifest_outlier_shift"),
     }
-    return replaced(r, some, new)
+    return some, new
 
 
 def manifest_repaired(rows: DataFrame) -> DataFrame:
     """The chain of shift rules, run twice as imports do.
 
-    Each rule sees the row as one value, so that a rule's result is worked out once."""
+    Each rule sees the row as one value, so that a rule's result is worked out once. A row for which none holds as it came
+    stays as it is, and goes through none."""
+    compiled(rows.sparkSession)
     row = F.struct(*(F.col(f).cast("string" if f in TEXT_FIELDS else "double").alias(f) for f in MANIFEST_FIELDS))
-    for rule in (shift_repaired, no_packing_repaired, compact_repaired, outliers_repaired) * 2:
-        row = F.transform(F.array(row), rule)[0]
+    rules = (shift_repaired, no_packing_repaired, compact_repaired, outliers_repaired)
+    repaired = reduce(bound, map(replaced, rules * 2), row)
+    # told outside of lambdas, as what stands in one is never generated code
+    row = F.when(T.any_of([rule(row)[0] for rule in rules]), repaired).otherwise(row)
     rest = [c for c in rows.columns if c not in MANIFEST_FIELDS]
     return rows.select(*rest, row.alias("row")).select(*rest, "row.*")

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaytally.functions import text as T
-from quaytally.functions.numbers import prefix_number
-from quaytally.operators import shifts
+from quaytally.functions.numbers import digits, loose_or_null, prefix_number
+from quaytally.operators import rules, shifts
 from quaytally.operators import snapshots as S
 from quaytally.plans.catalog import QUERIES
 from quaytally.sources import grids as G
@@ -70,6 +70,20 @@ def test_rows_that_no_rule_holds_for_go_through_none(spark):
     assert {r.own: (r.total_cartons, r.remarks) for r in found.collect()} == {True: (3.0, "repair:cartons_from_pack_when_qty_correct"), False: (36.0, None)}
 
 
+def test_rows_of_imports_go_through_rules_only_if_one_holds(spark):
+    row = dict.fromkeys(rules.MANIFEST_FIELDS) | {"description": "pan", "cartons": 2.0, "quantity": 48.0}
+    types = ", ".join(f"{f} {'string' if f in rules.TEXT_FIELDS else 'double'}" for f in rules.MANIFEST_FIELDS)
+    found = rules.manifest_repaired(spark.createDataFrame([tuple(row.values())], types))
+    assert "CASE WHEN" in plan(found).split("transform(")[0]  # the chain stands inside of the test of all rules
+    assert found.first().asDict() == row
+
+
+def test_cells_without_a_text_are_no_text_to_search(spark):
+    rows = spark.createDataFrame([(None,), ("",), ("¥ 1,2",), ("-",)], "t string").select(loose_or_null(F.col("t")).alias("n"), digits(F.col("t")).alias("d"))
+    assert "coalesce" not in plan(rows)
+    assert [tuple(r) for r in rows.collect()] == [(None, None), (None, None), (12.0, 12), (None, None)]
+
+
 @pytest.mark.parametrize(("text", "kind"), [("G OODS LE FT IN SANCARGO", "goods_left"), ("M.M.B G-O-O-D-S load", "stuffed"), ("goods left", "unknown"), ("NEW ORDERS .", "new_order"), ("5 CTNS NEW", None), ("", None)])
 def test_headers_without_their_plain_words_are_found(spark, text, kind):
     assert spark.createDataFrame([(text,)], "t string").select(T.header_kind(F.col("t"))).first()[0] == kind
